@@ -91,37 +91,48 @@ def value_chunk(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096.0).cast("long")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    weight: str | None = None) -> DataFrame:
-    """Interpolated quantiles of each group as one column per entry of probs; weight counts repeated values.
+def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """n, mean, std (population), min, max of each group and exact interpolated quantiles, one per entry of probs.
 
-    Distinct values are counted first; a histogram over value chunks then finds the chunks that hold the wanted
-    ranks, and only those are ordered. Nothing larger than one chunk of one group is ever sorted in one task."""
+    Distinct values are counted first. A histogram over value chunks carries the moments and finds the chunks that hold
+    the wanted ranks; only those are ordered. The rows are read once, and nothing larger than one chunk of one group is
+    ever sorted in one task."""
     keys = list(keys)
-    one = F.lit(1) if weight is None else F.col(weight)
+    # both uses of `counted` must see the same filters, or its shuffle would be computed twice
     counted = (df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-               .groupBy(*keys, value_chunk(F.col(value)).alias("__chunk"), F.col(value).alias("__v"))
-               .agg(F.sum(one).alias("__c")))
+               .withColumn("__chunk", value_chunk(F.col(value))).dropna(subset=[*keys, "__chunk"])
+               .groupBy(*keys, "__chunk", F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    hist = (counted.groupBy(*keys, "__chunk").agg(F.sum("__c").alias("__hc"))
-            .withColumn("__upto", F.sum("__hc").over(along)).withColumn("__n", F.sum("__hc").over(whole))
-            .withColumn("__before", F.col("__upto") - F.col("__hc")))
+    v, c = F.col("__v"), F.col("__c")
+    hist = (counted.groupBy(*keys, "__chunk")
+            .agg(F.sum(c).alias("__hc"), F.sum(v * c).alias("__s"), F.sum(v * v * c).alias("__q"),
+                 F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+            .withColumns({"__upto": F.sum("__hc").over(along), "n": F.sum("__hc").over(whole),
+                          "mean": F.sum("__s").over(whole) / F.sum("__hc").over(whole)}))
+    # spread inside a chunk (narrow, so plain sums are safe) plus spread of the chunk means around the mean
+    center = F.col("__s") / F.col("__hc")
+    inside_chunk = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * center)
+    around = inside_chunk + F.col("__hc") * (center - F.col("mean")) * (center - F.col("mean"))
+    hist = hist.withColumns({"std": F.sqrt(F.sum(around).over(whole) / F.col("n")), "min": F.min("__lo").over(whole),
+                             "max": F.max("__hi").over(whole), "__before": F.col("__upto") - F.col("__hc")})
+    basics = ["n", "mean", "std", "min", "max"]
     wanted = F.lit(False)
     for p in probs.values():
-        spot = (F.col("__n") - 1) * F.lit(p)
+        spot = (F.col("n") - 1) * F.lit(p)
         for r in (F.floor(spot), F.ceil(spot)):
             wanted = wanted | ((r >= F.col("__before")) & (r < F.col("__upto")))
     inside = Window.partitionBy(*keys, "__chunk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (counted.join(hist.filter(wanted).select(*keys, "__chunk", "__before", "__n"), keys + ["__chunk"])
+    placed = (counted.join(hist.filter(wanted).select(*keys, "__chunk", "__before", *basics), keys + ["__chunk"])
               .withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
               .withColumn("__start", F.col("__end") - F.col("__c")))
     picks, outputs = [], []
     for name, p in probs.items():
-        spot = (F.col("__n") - 1) * F.lit(p)
+        spot = (F.col("n") - 1) * F.lit(p)
         for tag, r in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             picks.append(F.max(F.when((r >= F.col("__start")) & (r < F.col("__end")), F.col("__v")))
                          .alias(f"__{tag}_{name}"))
         outputs.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
                         * (spot - F.floor(spot))).alias(name))
-    return placed.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks).select(*keys, *outputs)
+    return (placed.groupBy(*keys).agg(*[F.max(b).alias(b) for b in basics], *picks)
+            .select(*keys, *basics, *outputs))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from populi.functions import fixed_values as fixed
 from populi.functions.dist import compare
-from populi.operators.groups import exact_quantiles
+from populi.operators.groups import describe
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -36,10 +36,11 @@ def metric_stats(long: DataFrame, keys: Sequence[str], quantiles: Mapping[str, f
     """count, mean, std (population), min, max and exact quantiles of `value` per group."""
     keys = list(keys)
     quantiles = QUARTILES if quantiles is None else quantiles
-    moments = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
-                                      F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
-                                      F.max("value").alias("max"))
-    return moments.join(exact_quantiles(long, keys, "value", dict(quantiles)), keys) if quantiles else moments
+    if quantiles:
+        return describe(long, keys, "value", dict(quantiles))
+    return long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
+                                   F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
+                                   F.max("value").alias("max"))
 
 
 def level_stats(df: DataFrame, path: Sequence[str], metrics: Sequence[str],
