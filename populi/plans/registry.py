@@ -1,6 +1,6 @@
 """All registered queries: importing a suite registers its queries."""
 
-from populi.plans import metrics_suite, rollup_suite  # noqa: F401
+from populi.plans import cleaning_suite, metrics_suite, rollup_suite, sampling_suite  # noqa: F401
 from populi.plans.testbed import REGISTRY
 
 __all__ = ["REGISTRY"]
