@@ -105,3 +105,15 @@ def rename_logprobs(logprobs: DataFrame, mapping: DataFrame, keys: list[str]) ->
                             ["category", "theme"], "left")
     return (renamed.withColumn("theme", F.coalesce("to_theme", "theme")).groupBy(*keys, "category", "theme")
             .agg(F.max("logprob_yes").alias("logprob_yes"), F.max("logprob_no").alias("logprob_no")))
+
+
+def theme_costs(names: DataFrame, topics: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(category, theme, costs): cost max(0, 1 - cosine) of each distinct name to every topic of its category.
+
+    costs is array<struct<topic, cost>> in list order; a topic list is a short dictionary."""
+    listed = (topics.join(vectors, "theme").groupBy("category")
+              .agg(F.array_sort(F.collect_list(F.struct("pos", "theme", "vector"))).alias("topics")))
+    rows = names.select("category", "theme").distinct().join(vectors, "theme").join(listed, "category")
+    cost = lambda t: F.greatest(F.lit(0.0), 1.0 - cosine(F.col("vector"), t["vector"]))
+    return rows.select("category", "theme", F.transform("topics", lambda t: F.struct(
+        t["theme"].alias("topic"), cost(t).alias("cost"))).alias("costs"))

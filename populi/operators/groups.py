@@ -105,14 +105,17 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
     v, c = F.col("__v"), F.col("__c")
+    # sums are taken from the chunk's own edge, which keeps them small
+    edge = F.signum(F.col("__chunk")) * F.expm1(F.abs(F.col("__chunk")) / 4096.0)
     hist = (counted.groupBy(*keys, "__chunk")
-            .agg(F.sum(c).alias("__hc"), F.sum(v * c).alias("__s"), F.sum(v * v * c).alias("__q"),
-                 F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+            .agg(F.sum(c).alias("__hc"), F.sum((v - edge) * c).alias("__s"),
+                 F.sum((v - edge) * (v - edge) * c).alias("__q"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+            .withColumn("__center", edge + F.col("__s") / F.col("__hc"))
             .withColumns({"__upto": F.sum("__hc").over(along), "n": F.sum("__hc").over(whole),
-                          "mean": F.sum("__s").over(whole) / F.sum("__hc").over(whole)}))
-    # spread inside a chunk (narrow, so plain sums are safe) plus spread of the chunk means around the mean
-    center = F.col("__s") / F.col("__hc")
-    inside_chunk = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * center)
+                          "mean": F.sum(F.col("__center") * F.col("__hc")).over(whole) / F.sum("__hc").over(whole)}))
+    # spread inside a chunk plus spread of the chunk means around the mean
+    center = F.col("__center")
+    inside_chunk = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * F.col("__s") / F.col("__hc"))
     around = inside_chunk + F.col("__hc") * (center - F.col("mean")) * (center - F.col("mean"))
     hist = hist.withColumns({"std": F.sqrt(F.sum(around).over(whole) / F.col("n")), "min": F.min("__lo").over(whole),
                              "max": F.max("__hi").over(whole), "__before": F.col("__upto") - F.col("__hc")})

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from populi.functions import fixed_values as fixed
 from populi.functions.base import let
+from populi.functions.dist import compare, jsd
+from populi.functions.recall import ranked, recall_at_max_nk
 from populi.operators.rollup import at_levels
 
 
@@ -124,3 +126,24 @@ def worklist(nested: DataFrame, keys: Sequence[str], threshold: float = 0.3,
         return due
     again = failed.select(*keys, "iteration", F.lit(None).cast("double").alias("theme"), F.lit("failed").alias("cause"))
     return due.unionByName(again.join(due.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys)))
+
+
+def best_metrics(actual: Column, initial: Column, steps: Column, truth: Column) -> Column:
+    """struct<iteration, jsd, wd, recall_at_max3k, recall_at_max4k> of the best prediction of a journey.
+
+    steps: array<struct<iteration, theme, predicted>>. The initial prediction stands with its own JSD as delta; a step
+    replaces it with a strictly smaller stated delta, the earliest of the smallest. Only the winner is measured."""
+    usable = F.filter(steps, lambda s: s["theme"].isNotNull() & ~F.isnan(s["theme"]) & (F.size(s["predicted"]) > 0))
+    lead = F.array_min(F.transform(usable, lambda s: F.struct(s["theme"].alias("theme"), s["iteration"].alias("iteration"))))
+    start = F.when(F.size(initial) > 0, jsd(actual, initial))
+    stepped = lead.isNotNull() & (start.isNull() | (lead["theme"] < start))
+    won = F.when(stepped, F.get(F.filter(usable, lambda s: s["iteration"] == lead["iteration"]), 0)["predicted"]).otherwise(initial)
+
+    def measured(w: Column) -> Column:
+        order = ranked(w["p"])
+        return let(compare(actual, w["p"]), lambda c: F.struct(
+            w["i"].alias("iteration"), c["jsd"].alias("jsd"), c["wd"].alias("wd"),
+            recall_at_max_nk(order, truth, 3, no_truth=None).alias("recall_at_max3k"),
+            recall_at_max_nk(order, truth, 4, no_truth=None).alias("recall_at_max4k")))
+    return F.when(F.size(won) > 0, let(F.struct(
+        won.alias("p"), F.when(stepped, lead["iteration"]).otherwise(0).cast("int").alias("i")), measured))

@@ -145,7 +145,7 @@ def merge_classifications(reviews: DataFrame, tags: DataFrame, fields: Sequence[
     In the second step the earliest tag (by `pos`) with the same user and text wins whose product is the same or
     unknown on either side. The tag side is first reduced to one row per (user, text, product) and per (user, text),
     so a text repeated many times on both sides does not multiply."""
-    hit = F.struct(F.col("pos"), *[F.col(f) for f in fields])
+    hit = F.struct(F.col("pos"), F.struct(*fields).alias("v"))
     text_key = F.md5("review_text")
     tagged = tags.withColumn("__hit", hit)
     by_id = keep_last(tagged.filter(present(F.col("review_id"))), ["review_id"], "pos").select(
@@ -173,7 +173,7 @@ def merge_classifications(reviews: DataFrame, tags: DataFrame, fields: Sequence[
             .withColumn("__chosen", chosen)
             .select(*[F.when(~F.col(c).startswith("\u0001"), F.col(c)).alias(c) if c == "review_id" else F.col(c)
                       for c in reviews.columns], "match_level",
-                    *[F.col(f"__chosen.{f}").alias(f) for f in fields]))
+                    *[F.col(f"__chosen.v.{f}").alias(f) for f in fields]))
 
 
 def fill_missing_themes(predictions: DataFrame, lookup: DataFrame, themes: str, position: str,

@@ -211,10 +211,10 @@ def tribe_reviews(members: DataFrame, reviews: DataFrame, position: str,
                   limit: int = fixed.TRIBE_MAX_REVIEWS) -> DataFrame:
     """A tribe's reviews in member and review order, the first `limit` of them."""
     joined = members.select("tribe_id", "user_id", F.col("position").alias("__member")).join(reviews, "user_id")
-    per_user = rank_within(joined, ["tribe_id", "user_id"], [F.col(position)], chunk_by_position(position), rank="__r"
-                           ).filter(F.col("__r") <= limit)
-    return (rank_within(per_user, ["tribe_id"], [F.col("__member"), F.col("__r")], chunk_by_position("__member", 1),
-                        rank="review_no").filter(F.col("review_no") <= limit).drop("__member", "__r"))
+    per_user = rank_within(joined, ["tribe_id", "user_id"], [F.col(position)], chunk_by_position(position),
+                           rank="__nth").filter(F.col("__nth") <= limit)
+    return (rank_within(per_user, ["tribe_id"], [F.col("__member"), F.col("__nth")], chunk_by_position("__member", 1),
+                        rank="review_no").filter(F.col("review_no") <= limit).drop("__member", "__nth"))
 
 
 def tribe_summaries(members: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from populi import schema
 from populi.functions import dist, text
 from populi.functions.base import present
 from populi.operators import clean, rollup
+from populi.operators.groups import chunk_by_position
 from populi.plans.testbed import SQL, population, query, rounded, sides, table
-from populi.sources.readers import flatten_users
+from populi.sources.readers import category_texts, flatten_users
+from populi.sources.writers import user_documents
 
 
 @query("unified_ids", """SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE CAST(o_custkey AS VARCHAR) END, ''), 'u' || o_custkey)
@@ -182,15 +184,15 @@ def required_themes(spark: SparkSession, sf: str) -> DataFrame:
 def flattened_user_documents(spark: SparkSession, sf: str) -> DataFrame:
     """{{user: {{reviews: [...]}}}} documents flattened again; pending reviews have blank text and are dropped."""
     kept = population(spark, sf).filter(F.col("sentiment") != "Negative")
-    docs = kept.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("review_key", "category"))).alias("reviews"))
-    users = docs.select(F.create_map("user_id", F.struct("reviews")).alias("users"))
-    return flatten_users(users).select("user_id", "review_idx", "review_key", "category")
+    docs = user_documents(kept, "user_id", ["review_key"], chunk_by_position("review_key"), ["review_key", "category"], 1000)
+    users = docs.select("part", F.create_map("user_id", F.struct("reviews")).alias("users"))
+    return flatten_users(users, "part").select("user_id", (F.col("part") * 1000 + F.col("review_idx")).alias("review_idx"),
+                                               "review_key", "category")
 
 
 @query("category_text_pool", """SELECT lang, count(*) n, CAST(sum(length(trim(text))) AS BIGINT) n_chars FROM documents WHERE trim(text) <> '' AND lang = 'en' GROUP BY 1""")
 def category_text_pool(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select(F.col("lang").alias("category"), F.col("text").alias("review_text"))
-    from populi.sources.readers import category_texts
     texts = category_texts(rows.filter(present(F.col("review_text"))), "en")
     return texts.agg(F.lit("en").alias("lang"), F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")).select(
         "lang", "n", "n_chars")

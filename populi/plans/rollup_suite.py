@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from populi.functions.base import non_empty
 from populi.operators import match, rollup, sample
-from populi.plans.metrics_suite import review_metric_rows
+from populi.plans.metrics_suite import _BLOCK, review_metric_rows
 from populi.plans.testbed import SQL, STATS_SQL, compared, population, query, rounded, sides, table
 
 _PATH = ["cluster_id", "tribe_id"]
@@ -146,16 +145,15 @@ def top_and_bottom_tribes(spark: SparkSession, sf: str) -> DataFrame:
     return top.unionByName(rows.orderBy("improvement_pct", *_PATH).limit(3).select(F.lit("bottom").alias("end"), "*"))
 
 
-@query("recall_improvement_rule", """WITH {} SELECT review_key, round(CASE WHEN x > 0 THEN (y - x) / x * 100 WHEN y > 0 THEN 1000.0 ELSE 0.0 END, 6)
-  improvement FROM (SELECT review_key, recall_at_1 x, recall_at_max3k y FROM metric)""".format(
-    __import__("populi.plans.metrics_suite", fromlist=["_BLOCK"])._BLOCK))
+@query("recall_improvement_rule", f"""WITH {_BLOCK} SELECT review_key, round(CASE WHEN x > 0 THEN (y - x) / x * 100 WHEN y > 0 THEN 1000.0 ELSE 0.0 END, 6)
+  improvement FROM (SELECT review_key, recall_at_1 x, recall_at_max3k y FROM metric)""")
 def recall_improvement_rule(spark: SparkSession, sf: str) -> DataFrame:
     rows = review_metric_rows(spark, sf).filter(F.col("num_actual_themes").isNotNull())
     return rounded(rows.select("review_key", rollup.higher_is_better_pct(
         F.col("recall_at_1"), F.col("recall_at_max3k")).alias("improvement")))
 
 
-@query("method_comparison", f"""WITH {SQL.compared()} SELECT {_LEVEL.replace("coalesce(tribe_id, 'ALL') tribe_id", "coalesce(tribe_id, 'ALL') tribe_id")},
+@query("method_comparison", f"""WITH {SQL.compared()} SELECT {_LEVEL},
   round(avg(jsd), 6) predicted, round(avg(jsd_post), 6) corrected FROM compared GROUP BY GROUPING SETS ((cluster_id), (cluster_id, tribe_id))""")
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Two methods side by side per cluster and per tribe."""

@@ -75,7 +75,7 @@ def user_quotas(spark: SparkSession, path: str, *, per_user_cap: int | None = No
             .filter(present(F.col("value")) & ~F.col("value").rlike("^[#=]"))
             .select("pos", F.trim(F.get(parts, 0)).alias("user_id"), F.trim(F.get(parts, 1)).try_cast("int").alias("quota")))
     if per_user_cap is not None:
-        rows = rows.withColumn("quota", F.least("quota", F.lit(per_user_cap)))
+        rows = rows.filter(F.col("quota").isNotNull()).withColumn("quota", F.least("quota", F.lit(per_user_cap)))
     # a user listed twice keeps the first place and the last number
     listed = rows.filter(F.col("quota") > 0).groupBy("user_id").agg(
         F.min("pos").alias("pos"), F.max_by("quota", "pos").alias("quota"))
@@ -94,10 +94,11 @@ def category_quotas(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("quota").isNotNull()))
 
 
-def flatten_users(documents: DataFrame) -> DataFrame:
+def flatten_users(documents: DataFrame, *carry: str) -> DataFrame:
     """(user_id, review_idx, review fields) from documents users map<user, struct<reviews array<struct>>>."""
-    return (documents.select(F.explode("users").alias("user_id", "doc"))
-            .select("user_id", F.posexplode("doc.reviews").alias("review_idx", "r")).select("user_id", "review_idx", "r.*"))
+    return (documents.select(*carry, F.explode("users").alias("user_id", "doc"))
+            .select(*carry, "user_id", F.posexplode("doc.reviews").alias("review_idx", "r"))
+            .select(*carry, "user_id", "review_idx", "r.*"))
 
 
 def user_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -125,11 +126,11 @@ def category_texts(reviews: DataFrame, category: str) -> DataFrame:
 
 def classifications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(classification rows, rejected lines with their text)."""
-    rows = (spark.read.schema(S.CLASSIFICATION + ", _corrupt string").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt").json(path)
-            .withColumn("pos", F.monotonically_increasing_id()))
-    good = rows.filter(F.col("_corrupt").isNull() & F.col("review_id").isNotNull())
-    return good.drop("_corrupt"), rows.filter(F.col("_corrupt").isNotNull()).select("_corrupt")
+    lines = spark.read.text(path).filter(present(F.col("value"))).withColumn("pos", F.monotonically_increasing_id())
+    rows = lines.withColumn("r", F.from_json("value", S.CLASSIFICATION + ", _corrupt string",
+                                             {"columnNameOfCorruptRecord": "_corrupt"}))
+    broken = F.col("r._corrupt").isNotNull() | F.col("r.review_id").isNull()
+    return rows.filter(~broken).select("r.*", "pos").drop("_corrupt"), rows.filter(broken).select("value")
 
 
 def topic_universe(spark: SparkSession, path: str) -> DataFrame:
@@ -262,7 +263,9 @@ def delta_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def journey_tree(spark: SparkSession, path: str) -> DataFrame:
-    """One row per review with `initial` and `steps` as operators.journey takes them."""
+    """One row per review with `initial` and `steps` as operators.journey takes them.
+
+    Name the folder of the journey files itself: Spark passes over folders that start with an underscore."""
     text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_journey.json")
             .text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")))
     number = lambda word: F.regexp_extract("file", rf"{word}_(\d+)", 1)
