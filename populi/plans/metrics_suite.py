@@ -355,7 +355,7 @@ def review_metric_block(spark: SparkSession, sf: str) -> DataFrame:
   SELECT cluster_id, tribe_id, 'recall_at_max3k', recall_at_max3k FROM metric UNION ALL
   SELECT cluster_id, tribe_id, 'overall_accuracy', overall_accuracy FROM metric)
   SELECT coalesce(cluster_id, 'ALL') cluster_id, coalesce(tribe_id, 'ALL') tribe_id, metric, count(*) n, round(avg(value), 6) mean,
-    round(stddev_pop(value), 6) std, CAST(min(value) AS DOUBLE) "min", CAST(round(max(value), 6) AS DOUBLE) "max" FROM long
+    round(stddev_pop(value), 6) std, CAST(round(min(value), 6) AS DOUBLE) "min", CAST(round(max(value), 6) AS DOUBLE) "max" FROM long
   GROUP BY GROUPING SETS ((metric), (cluster_id, metric), (cluster_id, tribe_id, metric))""")
 def tribe_metric_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Pooled scores per tribe, cluster and overall."""
