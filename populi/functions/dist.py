@@ -148,17 +148,16 @@ def unit_vector(v: Column) -> Column:
     return let(norm, lambda s: F.when(s > 0, F.transform(v, lambda x: x.cast("double") / s)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, v: acc + v)
+def relaxed_transport(actual: Column, predicted: Column, position: Column, costs: Column) -> Column:
+    """Relaxed optimal-transport bound with semantic cost (Kusner et al. 2015).
 
-
-def relaxed_transport(actual: Column, predicted: Column) -> Column:
-    """Relaxed optimal-transport bound with semantic cost 1 - cosine (Kusner et al. 2015).
-
-    Each side is array<struct<theme, p, unit>> with p summing to one and unit a unit vector. Every theme's mass moves
-    to the nearest theme of the other side; the larger of the two directions is returned."""
+    Both sides are maps that sum to one; position is map<theme, index> and costs array<array<double>> over a category's
+    themes, all of which must be listed. Every theme's mass moves to the nearest theme of the other side; the larger of
+    the two directions is returned."""
     def one_way(source: Column, target: Column) -> Column:
-        return F.aggregate(source, F.lit(0.0), lambda acc, s: acc + s["p"] * F.array_min(F.transform(
-            target, lambda t: F.greatest(F.lit(0.0), 1.0 - dot(s["unit"], t["unit"])))))
+        places = F.transform(F.map_keys(target), lambda t: F.element_at(position, t))
+        return let(places, lambda at: F.aggregate(F.map_entries(source), F.lit(0.0), lambda acc, e: acc + e["value"] * let(
+            F.get(costs, F.element_at(position, e["key"])),
+            lambda row: F.array_min(F.transform(at, lambda j: F.get(row, j))))))
     return F.when((F.size(actual) > 0) & (F.size(predicted) > 0),
                   F.greatest(one_way(actual, predicted), one_way(predicted, actual)))

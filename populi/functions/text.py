@@ -227,9 +227,11 @@ def token_probabilities(tokens: Column, themes: Column) -> Column:
 
     def scored(kept: Column) -> Column:
         def one(theme: Column) -> Column:
-            inside = F.filter(kept, lambda t: F.contains(F.lower(F.trim(theme)), t["text"]))
-            return F.struct(theme.alias("key"), let(inside, lambda ts: F.when(
-                F.size(ts) > 0, F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + t["p"]) / F.size(ts))).alias("value"))
+            none = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("n"))
+            inside = lambda name: F.aggregate(kept, none, lambda acc, t: F.when(F.contains(name, t["text"]), F.struct(
+                (acc["p"] + t["p"]).alias("p"), (acc["n"] + 1).alias("n"))).otherwise(acc))
+            mean = let(let(F.lower(F.trim(theme)), inside), lambda a: F.when(a["n"] > 0, a["p"] / a["n"]))
+            return F.struct(theme.alias("key"), mean.alias("value"))
         return F.map_from_entries(F.filter(F.transform(F.array_distinct(themes), one),
                                            lambda e: e["value"].isNotNull()))
     return let(used, scored)

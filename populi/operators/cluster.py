@@ -120,8 +120,8 @@ def project_2d(df: DataFrame, features: str) -> DataFrame:
 
 def weighted_topic_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Probability-weighted mean of the theme vectors of each review. vectors: theme, vector."""
-    joined = (probs.filter(F.col("p") > 0).join(vectors, "theme")
-              .withColumn("__v", array_to_vector(F.col("vector").cast("array<double>"))))
+    ready = vectors.select("theme", array_to_vector(F.col("vector").cast("array<double>")).alias("__v"))
+    joined = probs.filter(F.col("p") > 0).join(ready, "theme")
     mean = Summarizer.mean(F.col("__v"), F.col("p"))
     return joined.groupBy(key).agg(mean.alias("__m"), F.count(F.lit(1)).alias("n_themes")).select(
         key, vector_to_array("__m").alias("topic_vector"), "n_themes")

@@ -117,3 +117,13 @@ def theme_costs(names: DataFrame, topics: DataFrame, vectors: DataFrame) -> Data
     cost = lambda t: F.greatest(F.lit(0.0), 1.0 - cosine(F.col("vector"), t["vector"]))
     return rows.select("category", "theme", F.transform("topics", lambda t: F.struct(
         t["theme"].alias("topic"), cost(t).alias("cost"))).alias("costs"))
+
+
+def cost_matrices(topics: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(category, position map<theme, index>, costs array<array<double>>): one row per category, for relaxed_transport."""
+    known = topics.join(vectors.select("theme"), "theme", "left_semi")
+    rows = theme_costs(known, known, vectors).join(known, ["category", "theme"])
+    packed = rows.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", "theme", F.transform("costs", lambda c: c["cost"]).alias("row")))).alias("r"))
+    return packed.select("category", F.map_from_entries(F.transform("r", lambda x, i: F.struct(x["theme"], i))).alias("position"),
+                         F.transform("r", lambda x: x["row"]).alias("costs"))

@@ -91,14 +91,27 @@ def value_chunk(value: Column) -> Column:
     return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096.0).cast("long")
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def at_levels(df: DataFrame, path: Sequence[str], label: str = "ALL") -> DataFrame:
+    """Each row once per level of the path: everything, first key, first two keys, ... with ALL for what is rolled up.
+
+    Used ahead of an aggregation, whose map-side combine takes the copies in."""
+    levels = [F.struct(*[(F.col(c).cast("string") if i < depth else F.lit(label)).alias(c)
+                         for i, c in enumerate(path)]) for depth in range(len(path) + 1)]
+    rest = [c for c in df.columns if c not in path]
+    return df.select(*rest, F.explode(F.array(*levels)).alias("__level")).select(
+        *[F.col(f"__level.{c}").alias(c) for c in path], *rest)
+
+
+def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+             path: Sequence[str] = ()) -> DataFrame:
     """n, mean, std (population), min, max of each group and exact interpolated quantiles, one per entry of probs.
 
-    Distinct values are counted first. A histogram over value chunks carries the moments and finds the chunks that hold
-    the wanted ranks; only those are ordered. The rows are read once, and nothing larger than one chunk of one group is
-    ever sorted in one task."""
-    keys = list(keys)
-    # both uses of `counted` must see the same filters, or its shuffle would be computed twice
+    With a path, groups are formed at every level of it (see at_levels) within the keys. Distinct values are counted
+    first. A histogram over value chunks carries the moments and finds the chunks that hold the wanted ranks; only
+    those are ordered. The rows are read once, levels multiply histograms and not rows, and nothing larger than one
+    chunk of one group is ever sorted in one task."""
+    keys = [*path, *keys]
+    # all uses of `counted` must see the same filters, or its shuffle would be computed again
     counted = (df.filter(F.col(value).isNotNull() & ~F.isnan(value))
                .withColumn("__chunk", value_chunk(F.col(value))).dropna(subset=[*keys, "__chunk"])
                .groupBy(*keys, "__chunk", F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
@@ -107,10 +120,13 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
     v, c = F.col("__v"), F.col("__c")
     # sums are taken from the chunk's own edge, which keeps them small
     edge = F.signum(F.col("__chunk")) * F.expm1(F.abs(F.col("__chunk")) / 4096.0)
-    hist = (counted.groupBy(*keys, "__chunk")
-            .agg(F.sum(c).alias("__hc"), F.sum((v - edge) * c).alias("__s"),
-                 F.sum((v - edge) * (v - edge) * c).alias("__q"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-            .withColumn("__center", edge + F.col("__s") / F.col("__hc"))
+    hist = counted.groupBy(*keys, "__chunk").agg(
+        F.sum(c).alias("__hc"), F.sum((v - edge) * c).alias("__s"), F.sum((v - edge) * (v - edge) * c).alias("__q"),
+        F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    if path:
+        hist = at_levels(hist, path).groupBy(*keys, "__chunk").agg(
+            *[F.sum(x).alias(x) for x in ("__hc", "__s", "__q")], F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+    hist = (hist.withColumn("__center", edge + F.col("__s") / F.col("__hc"))
             .withColumns({"__upto": F.sum("__hc").over(along), "n": F.sum("__hc").over(whole),
                           "mean": F.sum(F.col("__center") * F.col("__hc")).over(whole) / F.sum("__hc").over(whole)}))
     # spread inside a chunk plus spread of the chunk means around the mean
@@ -126,7 +142,12 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
         for r in (F.floor(spot), F.ceil(spot)):
             wanted = wanted | ((r >= F.col("__before")) & (r < F.col("__upto")))
     inside = Window.partitionBy(*keys, "__chunk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (counted.join(hist.filter(wanted).select(*keys, "__chunk", "__before", *basics), keys + ["__chunk"])
+    ranks = hist.filter(wanted).select(*keys, "__chunk", "__before", *basics)
+    if path:
+        inner = [k for k in keys if k not in path] + ["__chunk"]
+        counted = (at_levels(counted.join(ranks.select(*inner).distinct(), inner, "left_semi"), path)
+                   .groupBy(*keys, "__chunk", "__v").agg(F.sum("__c").alias("__c")))
+    placed = (counted.join(ranks, keys + ["__chunk"])
               .withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
               .withColumn("__start", F.col("__end") - F.col("__c")))
     picks, outputs = [], []

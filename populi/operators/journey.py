@@ -15,7 +15,7 @@ from populi.functions import fixed_values as fixed
 from populi.functions.base import let
 from populi.functions.dist import compare, jsd
 from populi.functions.recall import ranked, recall_at_max_nk
-from populi.operators.rollup import at_levels
+from populi.operators.groups import at_levels
 
 
 def overall_delta(text: Column, theme: Column, stated: Column | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.base import blank, non_empty, present
-from populi.functions.dist import compare, normalise
+from populi.functions.dist import compare, total
 from populi.functions.recall import ranked, recall_at_max_nk
 from populi.functions.text import fold, match_key, topic_file_category, without_copy_suffix
 from populi.operators.groups import keep_first, keep_last
@@ -34,7 +34,7 @@ def match_to_truth(predictions: DataFrame, truth: DataFrame, position: str = "po
     joined = (predictions.withColumn("__incomplete", incomplete)
               .withColumn("match_key", spread_key(key(), F.col("__incomplete").isNull(), F.col("review_key")))
               .join(known.withColumn("__found", F.lit(True)), "match_key", "left"))
-    no_mass = lambda m: F.size(normalise(F.col(m))) <= 0
+    no_mass = lambda m: total(F.col(m)) == 0
     reason = (F.when(F.col("__incomplete").isNotNull(), F.col("__incomplete"))
               .when(F.col("__found").isNull(), "no_ground_truth_match")
               .when(non_empty(F.col("predicted")).isNull() | non_empty(F.col("actual")).isNull(),

@@ -9,22 +9,11 @@ from pyspark.sql import functions as F
 
 from populi.functions import fixed_values as fixed
 from populi.functions.dist import compare
-from populi.operators.groups import describe
+from populi.operators.groups import at_levels, describe
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 
-def at_levels(df: DataFrame, path: Sequence[str], label: str = "ALL") -> DataFrame:
-    """Each row once per level of the path: everything, first key, first two keys, ... with ALL for what is rolled up.
-
-    Used ahead of an aggregation, whose map-side combine takes the copies in."""
-    levels = [F.struct(*[(F.col(c).cast("string") if i < depth else F.lit(label)).alias(c)
-                         for i, c in enumerate(path)]) for depth in range(len(path) + 1)]
-    rest = [c for c in df.columns if c not in path]
-    return df.select(*rest, F.explode(F.array(*levels)).alias("__level")).select(
-        *[F.col(f"__level.{c}").alias(c) for c in path], *rest)
-
-
 def stack_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Long form (keys, metric, value) of numeric columns, without nulls and NaN."""
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
@@ -46,8 +35,11 @@ def metric_stats(long: DataFrame, keys: Sequence[str], quantiles: Mapping[str, f
 def level_stats(df: DataFrame, path: Sequence[str], metrics: Sequence[str],
                 quantiles: Mapping[str, float] | None = None) -> DataFrame:
     """metric_stats of several metrics at every level of the path."""
-    long = at_levels(stack_metrics(df, path, metrics), path)
-    return metric_stats(long, [*path, "metric"], quantiles)
+    long = stack_metrics(df, path, metrics)
+    quantiles = QUARTILES if quantiles is None else quantiles
+    if quantiles:
+        return describe(long, ["metric"], "value", dict(quantiles), path)
+    return metric_stats(at_levels(long, path), [*path, "metric"], quantiles)
 
 
 def threshold_stats(df: DataFrame, path: Sequence[str], metric: str, threshold: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from populi.functions import dist, recall
 from populi.functions.base import non_empty
 from populi.functions.text import themes_overlap
-from populi.operators import match, rollup, wide
+from populi.operators import fuzzy, match, rollup, wide
 from populi.plans.testbed import SQL, STATS_SQL, distributions, population, query, rounded, sides, table
 
 
@@ -173,17 +173,13 @@ def brand_vectors(spark: SparkSession, sf: str) -> DataFrame:
   fs AS (SELECT k, sum(p * c) d FROM f GROUP BY k), gs AS (SELECT k, sum(p * c) d FROM g GROUP BY k)
   SELECT k, round(greatest(fs.d, gs.d), 6) + 0.0 relaxed_wd FROM fs JOIN gs USING (k)""")
 def relaxed_semantic_distance(spark: SparkSession, sf: str) -> DataFrame:
-    units = brand_vectors(spark, sf).select("theme", dist.unit_vector(F.col("vector")).alias("unit"))
-    summed = sides(spark, sf).groupBy("k", "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    entry = lambda p: F.struct(F.col("t").alias("theme"), p, "unit")
-    sided = (summed.join(units, F.col("t") == F.col("theme")).groupBy("k").agg(
-        F.sum("a").alias("sa"), F.sum("b").alias("sb"),
-        F.collect_list(entry(F.col("a").alias("p"))).alias("x"),
-        F.collect_list(F.when(F.col("b").isNotNull(), entry(F.col("b").alias("p")))).alias("y")))
-    share = lambda side, total: F.transform(side, lambda e: F.struct(
-        e["theme"].alias("theme"), (e["p"] / F.col(total)).alias("p"), e["unit"].alias("unit")))
-    both = sided.filter(F.col("sb") > 0)
-    return rounded(both.select("k", dist.relaxed_transport(share("x", "sa"), share("y", "sb")).alias("relaxed_wd")))
+    vectors = brand_vectors(spark, sf)
+    topics = vectors.select(F.lit("all").alias("category"), "theme", F.regexp_extract("theme", r"(\d+)", 1).cast("int").alias("pos"))
+    matrices = fuzzy.cost_matrices(topics, vectors)
+    d = distributions(spark, sf).filter(F.size("predicted") > 0).select(
+        "k", F.lit("all").alias("category"), dist.normalise(F.col("actual")).alias("x"), dist.normalise(F.col("predicted")).alias("y"))
+    bound = dist.relaxed_transport(F.col("x"), F.col("y"), F.col("position"), F.col("costs"))
+    return rounded(d.join(matrices, "category").select("k", bound.alias("relaxed_wd")))
 
 
 @query("text_delta", """SELECT x.vec_id, round(1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6)

@@ -114,8 +114,8 @@ def test_analysis_and_cells(spark):
 
 
 def test_relaxed_transport_is_zero_for_equal_sides(spark):
-    side = [("a", 0.5, [1.0, 0.0]), ("b", 0.5, [0.0, 1.0])]
-    other = [("b", 1.0, [0.0, 1.0])]
-    ddl = "array<struct<theme:string,p:double,unit:array<double>>>"
-    got = rows(spark, [(side, side), (side, other)], f"x {ddl}, y {ddl}", dist.relaxed_transport(F.col("x"), F.col("y")))
+    position, costs = {"a": 0, "b": 1}, [[0.0, 1.0], [1.0, 0.0]]
+    data = [({"a": .5, "b": .5}, {"a": .5, "b": .5}, position, costs), ({"a": .5, "b": .5}, {"b": 1.0}, position, costs)]
+    got = rows(spark, data, "x map<string,double>, y map<string,double>, p map<string,int>, c array<array<double>>",
+               dist.relaxed_transport(F.col("x"), F.col("y"), F.col("p"), F.col("c")))
     assert [r[0] for r in got] == [0.0, 0.5]
