@@ -1,6 +1,6 @@
 """Row choice, ranks, running sums and quantiles per group that stay exact when one group holds most of the rows.
 
-Keys passed to this module must not be null.
+A null key is a group like any other, but is never cut into chunks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ Chunk = Callable[[Column], Column]
 def keep_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column = 1) -> DataFrame:
     """First n rows of each key in the given total order.
 
-    For a literal n (up to 1000) Spark limits every map task's groups before the shuffle (WindowGroupLimit)."""
+    For a literal n below 1000 Spark limits every map task's groups before the shuffle (WindowGroupLimit)."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).filter(F.col("__rank") <= n).drop("__rank")
 
@@ -45,12 +45,15 @@ def chunk_by_position(position: str, rows: int = HOT_ROWS) -> Chunk:
     return lambda n: F.floor(F.col(position) / F.lit(rows)).cast("long")
 
 
-def chunk_by_day(timestamp: str) -> Chunk:
-    return lambda n: F.unix_date(F.to_date(F.col(timestamp))).cast("long")
+def chunk_by_hour(timestamp: str) -> Chunk:
+    return lambda n: F.floor(F.unix_seconds(F.col(timestamp).cast("timestamp")) / 3600).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Chunk, *, rank: str = "rank",
@@ -94,9 +97,9 @@ def value_chunk(value: Column) -> Column:
 def at_levels(df: DataFrame, path: Sequence[str], label: str = "ALL") -> DataFrame:
     """Each row once per level of the path: everything, first key, first two keys, ... with ALL for what is rolled up.
 
-    Used ahead of an aggregation, whose map-side combine takes the copies in."""
-    levels = [F.struct(*[(F.col(c).cast("string") if i < depth else F.lit(label)).alias(c)
-                         for i, c in enumerate(path)]) for depth in range(len(path) + 1)]
+    A missing key is named unknown, so that its rows stay in every total. Used ahead of an aggregation, whose map-side combine takes the copies in."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    levels = [F.struct(*[(named(c) if i < depth else F.lit(label)).alias(c) for i, c in enumerate(path)]) for depth in range(len(path) + 1)]
     rest = [c for c in df.columns if c not in path]
     return df.select(*rest, F.explode(F.array(*levels)).alias("__level")).select(
         *[F.col(f"__level.{c}").alias(c) for c in path], *rest)
@@ -111,10 +114,11 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
     those are ordered. The rows are read once, levels multiply histograms and not rows, and nothing larger than one
     chunk of one group is ever sorted in one task."""
     keys = [*path, *keys]
-    # all uses of `counted` must see the same filters, or its shuffle would be computed again
+    # the joins below are null-safe: a missing key stays a group of its own, and no filter on keys is inferred that
+    # would keep the two uses of `counted` from sharing one shuffle
     counted = (df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-               .withColumn("__chunk", value_chunk(F.col(value))).dropna(subset=[*keys, "__chunk"])
-               .groupBy(*keys, "__chunk", F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+               .groupBy(*keys, value_chunk(F.col(value)).alias("__chunk"), F.col(value).alias("__v"))
+               .agg(F.count(F.lit(1)).alias("__c")))
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
     v, c = F.col("__v"), F.col("__c")
@@ -145,9 +149,9 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
     ranks = hist.filter(wanted).select(*keys, "__chunk", "__before", *basics)
     if path:
         inner = [k for k in keys if k not in path] + ["__chunk"]
-        counted = (at_levels(counted.join(ranks.select(*inner).distinct(), inner, "left_semi"), path)
+        counted = (at_levels(_null_safe_join(counted, ranks.select(*inner).distinct(), inner, "left_semi"), path)
                    .groupBy(*keys, "__chunk", "__v").agg(F.sum("__c").alias("__c")))
-    placed = (counted.join(ranks, keys + ["__chunk"])
+    placed = (_null_safe_join(counted, ranks, keys + ["__chunk"])
               .withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
               .withColumn("__start", F.col("__end") - F.col("__c")))
     picks, outputs = [], []

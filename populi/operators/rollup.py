@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from populi.functions import fixed_values as fixed
-from populi.functions.dist import compare
 from populi.operators.groups import at_levels, describe
+from populi.operators.wide import compare_long
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -112,14 +112,10 @@ def pooled_divergence(df: DataFrame, path: Sequence[str], *, average: bool = Fal
         F.coalesce(F.max(F.when(F.col("side") == "predicted", F.col("mass"))), F.lit(0.0)).alias("p"))
     if truth_only:
         both = both.filter(F.col("a") > 0)
-    # one entry per theme of the vocabulary and level
-    maps = both.groupBy(*path).agg(F.map_from_entries(F.collect_list(F.struct("theme", "a"))).alias("a"),
-                                   F.map_from_entries(F.collect_list(F.struct("theme", "p"))).alias("p"))
     sizes = at_levels(df.select(*path), path).groupBy(*path).agg(F.count(F.lit(1)).alias("n_reviews"))
-    result = (maps.withColumn("c", compare(F.col("a"), F.col("p"))).join(sizes, list(path))
-              .select(*path, "n_reviews", F.col("c.jsd").alias("jsd"), F.col("c.wd").alias("wd"),
-                      F.col("c.support").alias("n_themes")))
-    return result.filter((F.col(path[-1]) == "ALL") | (F.col("n_reviews") >= min_reviews)) if path else result
+    result = (compare_long(both, path, "theme", "a", "p").join(sizes, list(path))
+              .select(*path, "n_reviews", "jsd", "wd", F.col("support").cast("int").alias("n_themes")))
+    return result.filter((F.col(path[-1]) == "ALL") | (F.col("n_reviews") >= min_reviews))
 
 
 def quantitative_summary(df: DataFrame, keys: Sequence[str], rating: str = "rating",
@@ -228,6 +224,6 @@ def reviews_per_user_histogram(reviews: DataFrame, user: str) -> DataFrame:
 
 def split_counts(reviews: DataFrame, user: str, category: str, split: str = "split") -> DataFrame:
     """Reviews per category and split, and distinct users per category over both splits."""
-    per = reviews.groupBy(category).pivot(split, ["train", "test"]).agg(F.count(F.lit(1)))
-    return (per.withColumns({"train": F.coalesce("train", F.lit(0)), "test": F.coalesce("test", F.lit(0))})
-            .join(reviews.groupBy(category).agg(F.countDistinct(user).alias("users")), category))
+    return reviews.groupBy(category).agg(F.count_if(F.col(split) == "train").alias("train"),
+                                         F.count_if(F.col(split) == "test").alias("test"),
+                                         F.countDistinct(user).alias("users"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.base import unit_hash
-from populi.operators.groups import Chunk, chunk_by_day, chunk_by_hash, chunk_by_position, rank_within
+from populi.operators.groups import Chunk, chunk_by_hour, chunk_by_hash, chunk_by_position, rank_within
 
 
 def user_split(df: DataFrame, user: str, key: str, *, ratio: float = 0.2, min_reviews: int = 4,
@@ -105,7 +105,7 @@ def pack_to_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def position_labels(df: DataFrame, user: str, timestamp: str, key: str) -> DataFrame:
     """review_index from 0 in time order and review_type = first | intermediate | last."""
-    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_day(timestamp), rank="__rank",
+    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="__rank",
                          size="__size")
     return (ranked.withColumn("review_index", F.col("__rank") - 1)
             .withColumn("review_type", F.when(F.col("__rank") == 1, "first")
@@ -131,7 +131,7 @@ def leave_one_out_history(df: DataFrame, user: str, timestamp: str, key: str, te
 
     Only a prefix of each user's texts can ever fit, so that prefix (budget plus one longest text) is gathered once
     per user and every review drops itself from it."""
-    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_day(timestamp), rank="__rank",
+    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="__rank",
                          weight=F.length(text), running="__upto")
     longest = df.groupBy(user).agg(F.max(F.length(text)).alias("__longest"))
     entries = (ranked.join(longest, user).filter((F.length(text) > 0) & (F.col("__upto") <= F.col("__longest") + budget))

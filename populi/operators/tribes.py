@@ -115,7 +115,7 @@ def _play(rule: TribeRule, state: dict[str, dict], seeds: dict[str, list[int]],
 
 
 def greedy_pass(users: DataFrame, rule: TribeRule, *, done: dict[str, int] | None = None, start: dict[str, int] | None = None,
-                seeds_per_round: int = 512, reach: int = 1000, rounds_per_cut: int = 8) -> DataFrame:
+                seeds_per_round: int = 512, reach: int = 999, rounds_per_cut: int = 8) -> DataFrame:
     """(segment_id, position, tribe_no, seed, similarity) of every decided user; tribe_no -1: a seed that was refused.
 
     users: segment_id, position (unique in a segment, the order of seeds), unit, n_reviews; undecided users only.
@@ -134,7 +134,7 @@ def greedy_pass(users: DataFrame, rule: TribeRule, *, done: dict[str, int] | Non
     while state:
         last = F.create_map(*[x for s, v in state.items() for x in (F.lit(s), F.lit(v["last"]).cast("long"))])
         ahead = pending.filter(F.col("position") > F.try_element_at(last, F.col("segment_id")))
-        heads = keep_top(ahead, ["segment_id"], [F.col("position")], min(seeds_per_round, 1000)).select(
+        heads = keep_top(ahead, ["segment_id"], [F.col("position")], min(seeds_per_round, 999)).select(
             "segment_id", "position", "unit").collect()  # bounded: segments x seeds_per_round rows
         if not heads:
             break

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.dist import EPSILON, jsd_term
 
 
-def compare_long(sides: DataFrame, key: str, theme: str, actual: str, predicted: str) -> DataFrame:
-    """JSD, WD and support size per key from (key, theme, actual mass, predicted mass).
+def compare_long(sides: DataFrame, keys: str | Sequence[str], theme: str, actual: str, predicted: str) -> DataFrame:
+    """JSD, WD and support size per key from (keys, theme, actual mass, predicted mass).
 
     Totals are aggregated and joined back, so even one key's themes may be spread over many tasks."""
-    cells = sides.groupBy(key, theme).agg(F.coalesce(F.sum(actual), F.lit(0.0)).alias("x"),
-                                          F.coalesce(F.sum(predicted), F.lit(0.0)).alias("y"))
-    totals = cells.groupBy(key).agg(F.sum("x").alias("a"), F.sum("y").alias("b"), F.count(F.lit(1)).alias("n"))
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    cells = sides.groupBy(*keys, theme).agg(F.coalesce(F.sum(actual), F.lit(0.0)).alias("x"),
+                                            F.coalesce(F.sum(predicted), F.lit(0.0)).alias("y"))
+    totals = cells.groupBy(*keys).agg(F.sum("x").alias("a"), F.sum("y").alias("b"), F.count(F.lit(1)).alias("n"))
     n = F.col("n")
     smooth = lambda mass, total: F.when(F.col(total) != 0, (F.col(mass) / F.col(total) + EPSILON) / (1.0 + n * EPSILON)
                                         ).otherwise(1.0 / n)
-    placed = cells.join(totals, key).select(
-        key, "n", smooth("x", "a").alias("p"), smooth("y", "b").alias("q"),
+    placed = cells.join(totals, keys).select(
+        *keys, "n", smooth("x", "a").alias("p"), smooth("y", "b").alias("q"),
         F.when((F.col("a") != 0) & (F.col("b") != 0), F.abs(F.col("x") / F.col("a") - F.col("y") / F.col("b"))).alias("g"))
-    return placed.groupBy(key).agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"),
-                                   (0.5 * F.sum("g")).alias("wd"), F.max("n").alias("support"))
+    return placed.groupBy(*keys).agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("jsd"),
+                                     (0.5 * F.sum("g")).alias("wd"), F.max("n").alias("support"))
 
 
 def theme_map(long: DataFrame, key: str, theme: str, **values: str) -> DataFrame:

@@ -16,8 +16,8 @@ _FIELDS = ["theme", "overall", "text", "prediction"]
 def journey_rows(spark: SparkSession, sf: str) -> DataFrame:
     """cluster_id, tribe_id, review_key, iteration, theme, overall, text, prediction (an error event yields none)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = (table(spark, sf, "events").withColumn("iteration", F.row_number().over(order) - 1)
-             .filter(F.col("iteration") <= 12))
+    first = (table(spark, sf, "events").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 13)
+             .withColumn("iteration", F.col("r") - 1))
     theme, text = F.floor(F.col("value")) / 500, F.length("props") / 20
     return first.select(
         F.concat(F.lit("c"), F.col("user_id") % 4).alias("cluster_id"), F.concat(F.lit("t"), F.col("user_id") % 12).alias("tribe_id"),
