@@ -20,6 +20,15 @@ def unify_ids(df: DataFrame) -> DataFrame:
                            "asin": F.coalesce(filled("parent_asin"), F.col("asin"))}).drop("reviewerID", "parent_asin")
 
 
+def needed_products(products: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Product lines named by some review, through either of their ids."""
+    ids = reviews.select("asin").distinct()
+    by = lambda column: products.join(ids.withColumnRenamed("asin", column), column, "left_semi")
+    own = by("asin")
+    parents = by("parent_asin").join(own.select("pos"), "pos", "left_anti")
+    return own.unionByName(parents)
+
+
 def attach_product(reviews: DataFrame, products: DataFrame, default_category: str | None = None) -> DataFrame:
     """Left join of reviews to product lines by either product id; the later line wins for an id.
 

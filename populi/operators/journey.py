@@ -115,6 +115,11 @@ def status(before: Column, after: Column) -> Column:
     return F.when(after < before, "IMPROVED").when(after > before, "WORSE").otherwise("UNCHANGED")
 
 
+def revoked(before: Column, after: Column) -> Column:
+    """Whether the analysis behind a correction is to be taken back: the delta got worse."""
+    return F.coalesce(after > before, F.lit(False))
+
+
 def worklist(nested: DataFrame, keys: Sequence[str], threshold: float = 0.3,
              failed: DataFrame | None = None) -> DataFrame:
     """Reviews whose latest theme delta exceeds the threshold, together with earlier failures."""

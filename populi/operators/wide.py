@@ -34,3 +34,9 @@ def theme_map(long: DataFrame, key: str, theme: str, **values: str) -> DataFrame
     return summed.groupBy(key).agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(theme, c)))).alias(name)
         for name, c in values.items()])
+
+
+def audit(df: DataFrame, stored: str, recomputed: str, tolerance: float = 1e-6) -> DataFrame:
+    """One row: how many stored values a recomputation confirms, and the largest difference."""
+    gap = F.abs(F.col(stored) - F.col(recomputed))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < tolerance).alias("n_agree"), F.max(gap).alias("largest_gap"))

@@ -42,7 +42,8 @@ def attached_products(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_name").alias("title"), F.col("p_type").alias("main_category"),
         F.when(size <= 10, "").when(size <= 20, "[]").when(size > 30, F.concat_ws(" ", "p_brand", "p_name"))
         .alias("description"), F.col("p_partkey").alias("pos"))
-    rows = clean.with_valid_description(clean.attach_product(_lines(spark, sf), product, "None"))
+    lines = _lines(spark, sf)
+    rows = clean.with_valid_description(clean.attach_product(lines, clean.needed_products(product, lines), "None"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("product_description").alias("n_descriptions"))
 
 

@@ -125,12 +125,14 @@ def journey_best_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("correction_status", f"""WITH {_ROWS}, p AS (SELECT review_key, iteration, theme, max(theme) FILTER (WHERE iteration = 0) OVER (PARTITION BY review_key) t0 FROM j)
-  SELECT CAST(iteration AS INTEGER) AS iteration, CASE WHEN theme < t0 THEN 'IMPROVED' WHEN theme > t0 THEN 'WORSE' ELSE 'UNCHANGED' END status, count(*) n FROM p WHERE iteration > 0 GROUP BY 1, 2""")
+  SELECT CAST(iteration AS INTEGER) AS iteration, CASE WHEN theme < t0 THEN 'IMPROVED' WHEN theme > t0 THEN 'WORSE' ELSE 'UNCHANGED' END status, theme > t0 revoked, count(*) n FROM p WHERE iteration > 0 GROUP BY 1, 2, 3""")
 def correction_status(spark: SparkSession, sf: str) -> DataFrame:
-    """A worse step would have its analysis revoked."""
+    """A worse step has its analysis revoked."""
     rows = nested(spark, sf).select("initial", F.explode("steps").alias("s")).filter(F.col("s.iteration") > 0)
     status = journey.status(F.col("initial.theme"), F.col("s.theme"))
-    return rows.groupBy(F.col("s.iteration").alias("iteration"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    worse = journey.revoked(F.col("initial.theme"), F.col("s.theme"))
+    return rows.groupBy(F.col("s.iteration").alias("iteration"), status.alias("status"), worse.alias("revoked")).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 @query("correction_worklist", f"""WITH {_ROWS}, l AS (SELECT review_key, max(iteration) i, max_by(theme, iteration) theme, max(iteration) FILTER (WHERE prediction IS NULL) f FROM j GROUP BY 1)

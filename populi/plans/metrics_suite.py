@@ -226,8 +226,7 @@ def actual_side_priority(spark: SparkSession, sf: str) -> DataFrame:
 def stored_jsd_audit(spark: SparkSession, sf: str) -> DataFrame:
     stored = wide.compare_long(sides(spark, sf), "k", "t", "a", "b").filter(F.col("wd").isNotNull())
     again = distributions(spark, sf).select("k", dist.jsd(F.col("actual"), F.col("predicted")).alias("again"))
-    return stored.join(again, "k").agg(F.count(F.lit(1)).alias("n"),
-                                       F.count_if(F.abs(F.col("jsd") - F.col("again")) < 1e-6).alias("n_agree"))
+    return wide.audit(stored.join(again, "k"), "jsd", "again").select("n", "n_agree")
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,6 +37,28 @@ JOURNEY_ENTRY = (
     "initial_prediction_deltas:struct<text_delta:double,theme_delta:double,overall_delta:double>,"
     f"initial_prediction_data:string,correction_journey:array<struct<{CORRECTION}>>")
 
+_SUMMARY = "struct<influencing_characteristics_summary:string>"
+_LIST = "array<string>"
+RECORDS: dict[str, str] = {
+    "user_backstory": f"user_id:string,overall_characteristics:{_SUMMARY},category_characteristics:map<string,{_SUMMARY}>,"
+                      f"num_categories:int,categories:{_LIST}",
+    "user_embedding": f"user_id:string,user_embedding:array<double>,user_categories:{_LIST},embedding_model:string,"
+                      "embedding_dimension:int,embedding_text:string",
+    "user_review_history": "user_id:string,review_history:array<struct<review_id:string,product_description:string,"
+                           "review_text:string>>",
+    "user_segments": "user_id:string,segment_id:string,segment_name:string,user_embedding:array<double>,"
+                     "cluster_metadata:struct<silhouette_score:double,cluster_size:int,davies_bouldin_score:double,"
+                     "balance_ratio:double>",
+    "user_tribe": "user_id:string,segment_id:string,tribe_id:string,tribe_name:string,similarity_score:double,"
+                  "tribe_metadata:struct<total_users:int,total_reviews:int,persona_name:string,relaxed_criteria:boolean>",
+    "tribe_seed_characteristics":
+        "tribe_id:string,persona_name:string,total_users_in_cluster:int,total_reviews_from_cluster:int,"
+        "quantitative_summary:struct<average_rating:string,sentiment_distribution_percent:map<string,double>>,"
+        f"qualitative_summary:struct<persona_summary:string,key_motivations:{_LIST},common_praises:{_LIST},"
+        f"common_criticisms:{_LIST},core_characteristics:{_LIST},potential_goals:{_LIST}>,justification:string,key_topics:{_LIST},"
+        "member_user_characteristics:array<struct<user_id:string,characteristic_summary:string>>",
+}
+
 _SENTIMENTS = "('Positive', 'Negative', 'Neutral')"
 
 
@@ -78,8 +100,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "user_tribe": [_filled("user_id"), _filled("segment_id"), _filled("tribe_id"),
                    _unit("similarity_score", optional=True), _at_least("total_users", 0),
                    _at_least("total_reviews", 0)],
-    "tribe_seed_characteristics": [_filled("tribe_id"), _filled("persona_name"), _at_least("total_users", 0),
-                                   _at_least("total_reviews", 0)],
+    "tribe_seed_characteristics": [_filled("tribe_id"), _at_least("total_users_in_cluster", 0, optional=True),
+                                   _at_least("total_reviews_from_cluster", 0, optional=True)],
     "refined_characteristics": [_filled("tribe_id"), _at_least("num_analyses", 0), _at_least("refinement_round", 1),
                                 _unit("confidence", optional=True), _at_least("support_count", 0, optional=True)],
     "behavior_loss": [_filled("user_id"), _filled("review_id"), _unit("text_delta"), _unit("theme_delta"),

@@ -149,6 +149,15 @@ def topics_from_json(df: DataFrame, raw: Column) -> DataFrame:
             .select("category", "pos", name.alias("theme")).filter(F.col("theme").isNotNull()))
 
 
+def learned_records(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Records of a learned table (see schema.RECORDS) from {key: record} files; a record without its own id takes the key."""
+    record = f"struct<{S.RECORDS[table]}>"
+    rows = spark.read.text(path, wholetext=True).select(
+        F.explode(F.from_json("value", f"map<string,{record}>")).alias("key", "r"))
+    id_field = S.RECORDS[table].split(":", 1)[0]
+    return rows.withColumn("r", F.col("r").withField(id_field, F.coalesce(F.col(f"r.{id_field}"), F.col("key")))).select("r.*")
+
+
 def category_map(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """{main: [names]} of a mapping file, in the form functions.text.main_category takes (a few dozen entries)."""
     row = (spark.read.text(path, wholetext=True)
@@ -229,10 +238,23 @@ def predictions(spark: SparkSession, path: str, layout: str) -> DataFrame:
     raise ValueError(f"unknown layout {layout!r}")
 
 
+def detect_layout(spark: SparkSession, path: str) -> str:
+    """tree for a folder with tribe accuracy files, topic_list for a file holding a list, baseline for one holding an object."""
+    if not path.rstrip("/").endswith((".json", ".json.gz")):
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                 .option("pathGlobFilter", "micro_*accuracy.json").load(path).select("path"))
+        if files.limit(1).count() == 0:
+            raise ValueError(f"no prediction files below {path}")
+        return "tree"
+    head = spark.read.text(path).filter(present(F.col("value"))).select(F.substring(F.trim("value"), 1, 1)).first()
+    return "topic_list" if head and head[0] == "[" else "baseline"
+
+
 def all_predictions(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """Union of several sources given as {path: layout}, with missing fields null."""
+    """Union of several sources given as {path: layout}, with missing fields null; layout auto looks at the path."""
     result = None
     for path, layout in sources.items():
+        layout = detect_layout(spark, path) if layout == "auto" else layout
         rows = predictions(spark, path, layout).withColumn("layout", F.lit(layout))
         result = rows if result is None else result.unionByName(rows, allowMissingColumns=True)
     return result

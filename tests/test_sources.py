@@ -164,6 +164,33 @@ def test_failures_are_merged_once(spark):
     assert listed(incremental.merge_failures(log, new, ["k", "iteration"]), "k", "iteration") == [("a", 1), ("b", 1)]
 
 
+def test_learned_records_take_their_key(spark, tmp_path):
+    summary = {"influencing_characteristics_summary": "s"}
+    path = put(tmp_path / "b.json", {"u1": {"overall_characteristics": summary, "category_characteristics": {"Books": summary}, "num_categories": 1},
+                                     "k": {"user_id": "u2", "overall_characteristics": summary}})
+    rows = readers.learned_records(spark, path, "user_backstory")
+    assert listed(rows, "user_id", "overall_characteristics.influencing_characteristics_summary") == [("u1", "s"), ("u2", "s")]
+    assert rows.filter("user_id = 'u1'").first()["category_characteristics"]["Books"][0] == "s"
+    for table in readers.S.RECORDS:
+        assert readers.learned_records(spark, put(tmp_path / f"{table}.json", {"x": {}}), table).count() == 1
+
+
+def test_layout_detection(spark, tmp_path):
+    put(tmp_path / "t" / "cluster_0" / "micro_1_accuracy.json", {"user_predictions": {}})
+    assert readers.detect_layout(spark, str(tmp_path / "t")) == "tree"
+    assert readers.detect_layout(spark, put(tmp_path / "l.json", [{"a": 1}])) == "topic_list"
+    assert readers.detect_layout(spark, put(tmp_path / "o.json", {"a": 1})) == "baseline"
+    put(tmp_path / "e" / "x.json", {})
+    with pytest.raises(ValueError):
+        readers.detect_layout(spark, str(tmp_path / "e"))
+
+
+def test_needed_products_by_either_id(spark):
+    products = spark.createDataFrame([("p1", "a1", 1), (None, "a2", 2), ("p3", "a3", 3), ("a2", "p1", 4)], "parent_asin string, asin string, pos long")
+    reviews = spark.createDataFrame([("p1",), ("a2",), ("p1",)], "asin string")
+    assert listed(clean.needed_products(products, reviews), "pos") == [(1,), (2,), (4,)]
+
+
 def test_unknown_layout(spark):
     with pytest.raises(ValueError):
         readers.predictions(spark, "x", "nothing")
