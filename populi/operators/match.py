@@ -68,6 +68,12 @@ class Rung:
     keep: str = "last"
 
 
+def joined_key(parts: Sequence[Column]) -> Column:
+    """One text out of several key parts; each is preceded by its length, so different parts never give the same text."""
+    texts = [p.cast("string") for p in parts]
+    return texts[0] if len(texts) == 1 else F.concat(*[x for t in texts for x in (F.length(t).cast("string"), F.lit(":"), t)])
+
+
 def cascade(left: DataFrame, lookup: DataFrame, rungs: Sequence[Rung], value: str, position: str,
             spread_by: str) -> DataFrame:
     """Try rungs in order; the first that yields a value fills `value`, and match_level names it.
@@ -80,12 +86,11 @@ def cascade(left: DataFrame, lookup: DataFrame, rungs: Sequence[Rung], value: st
                               F.col(position).alias("__pos")).dropna(subset=names)
         keep = keep_last if rung.keep == "last" else keep_first
         side = keep(keyed, names, "__pos").drop("__pos")
-        side = side.select(F.to_json(F.struct(*names)).alias(f"__k{i}"), f"__v{i}")
+        side = side.select(joined_key([F.col(n) for n in names]).alias(f"__k{i}"), f"__v{i}")
         usable = F.lit(True)
         for c in rung.left:
             usable = usable & c.isNotNull()
-        key = F.to_json(F.struct(*[c.alias(n) for c, n in zip(rung.left, names)]))
-        result = (result.withColumn(f"__k{i}", spread_key(key, usable, F.col(spread_by)))
+        result = (result.withColumn(f"__k{i}", spread_key(joined_key(rung.left), usable, F.col(spread_by)))
                   .join(side, f"__k{i}", "left").drop(f"__k{i}"))
     found = [F.when(F.col(f"__v{i}").isNotNull(), F.lit(r.name)) for i, r in enumerate(rungs)]
     return (result.withColumn("match_level", F.coalesce(*found))

@@ -53,7 +53,8 @@ def first_actual(review: Column) -> Column:
 # ---- reviews, products, users ------------------------------------------------------------------------------------
 
 def raw_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Raw review lines with their file and place in it; blank and malformed lines are dropped."""
+    """Raw review lines; blank and malformed lines are dropped. `pos` grows along each `file`: order by pos for one
+    file, by (file, pos) for several."""
     return (spark.read.schema(S.RAW_REVIEW).option("mode", "DROPMALFORMED").json(path)
             .filter(F.coalesce("reviewerID", "user_id").isNotNull())
             .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")))
