@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from populi.llm.common import Scratch, gathered, per_batch, text_or_empty
@@ -47,12 +48,13 @@ def fingerprint(text: str, words: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the 64 bits as a signed long."""
+    """doc_id, text_hash, fp: the 64 bits as a signed long."""
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(per_batch(one), "doc_id long, fp long")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
+    text = text_or_empty(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return source.mapInArrow(per_batch(one), "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -198,16 +200,28 @@ def links(distinct: DataFrame, most: int, scratch: Scratch, hot_rows: int = HOT_
 
 def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id",
                     text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, fp, component_id for every input row: the smallest doc_id reachable over fingerprints within `most` bits."""
+    """doc_id, text_hash, fp, component (a fingerprint), component_id for every input row.
+
+    component_id is the smallest doc_id reachable over fingerprints within `most` bits."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(fingerprints(docs, words, seed, id_col, text_col), "prints")
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     joined = components(links(distinct, most, scratch, hot_rows), scratch)
-    linked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp")
+    linked = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(lowest, "component").select("fp", "component_id")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = scratch.write(linked.join(lowest, "component").select("fp", "component", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs, with its columns, of each component: the one of the smallest doc_id (then hash of its text)."""
+    found = near_duplicates(docs, **options)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("k"))
+    best = best.select(F.col("k.doc_id").alias("__d"), F.col("k.text_hash").alias("__t"))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text_or_empty())})
+    kept = keyed.join(best, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__t")), "left_semi")
+    first = F.row_number().over(W.partitionBy("__id", "__hash").orderBy("__id"))  # rows that repeat id and text
+    return kept.withColumn("__k", first).where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(classes: DataFrame) -> DataFrame:
