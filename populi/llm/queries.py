@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from populi.llm import packing, pii, simhash
-from populi.llm.common import Scratch, table
+from populi.llm import decontaminate, line_dedup, packing, pii, resharding, simhash, toxicity
+from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
+
+
+def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -27,5 +39,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(scratch.write(pieces, "pieces"), scratch)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op8_simhash_near_dedup, op9_best_fit_packing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op5_resharding, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing,
+                                                     op10_decontamination)}
 ORACLES: dict[str, str] = {}
