@@ -10,6 +10,7 @@ own; further input columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -28,31 +29,78 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 OPEN = PIECES + ", bin long, offset long, done boolean"
 
 
+PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower-case letters that the tokenizer's normalizer leaves as they are
+ENDING = b".,!?;:|$%&*#()"
+
+
+def _byte_signs() -> list[str]:
+    """The sign by which a byte-level vocabulary writes each byte: itself where printable, else the next one from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids of a stretch of text (UTF-8) as little-endian bytes, remembered.
 
     This tokenizer drops white space and never joins across it, so a text's ids are those of the stretches between its
-    ASCII white space, in order."""
+    ASCII white space, in order. It lowers letters and parts a word from the signs that end it, so both are remembered
+    apart, and a word of plain lower-case letters goes to the merges directly."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.encode = Tokenizer.from_file(path).encode
+        self.path, tokenizer = path, Tokenizer.from_file(path)
+        self.encode, self.merge, self.signs = tokenizer.encode, tokenizer.model.tokenize, _byte_signs()
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, part: bytes) -> bytes:
+        ids = self.words.get(part)
+        if ids is None:
+            ids = self.older.get(part)
+            if ids is None:
+                text = part.decode()
+                if PLAIN.fullmatch(text):
+                    found = [t.id for t in self.merge("".join([self.signs[b] for b in part]))]
+                else:
+                    found = self.encode(text, add_special_tokens=False).ids
+                ids = np.array(found, "<u4").tobytes()
+            if len(self.words) >= MEMO:
+                self.older, self.words = self.words, {}
+            self.words[part] = ids
+        return ids
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, stretch: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        if b"<|" in stretch:  # a special token's name counts as written
+            ids = self._ids(stretch)
+        else:
+            low = stretch.lower() if stretch.isascii() else stretch  # beside other signs a letter's case can matter to NFC
+            word = low.rstrip(ENDING)
+            last = word.decode()[-1:] if len(word) < len(low) else ""
+            # an ending is parted from one letter or digit only (a letter may become two signs in lower case)
+            ids = self._ids(word) + self._ids(low[len(word):]) if last.isalnum() and len(last.lower()) == 1 else self._ids(low)
+        self[stretch] = ids
         return ids
 
     def document(self, text: str, closing: bytes = bytes(4)) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) + closing
 
 
+_KNOWN: list[WordIds] = []  # of a worker process: tasks that follow each other share the words
+
+
+def word_ids(path: str) -> WordIds:
+    if not _KNOWN or _KNOWN[0].path != path:
+        _KNOWN[:] = [WordIds(path)]
+    return _KNOWN[0]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
     def run(batches):
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             ids, piece, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
