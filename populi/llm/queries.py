@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from populi.llm import decontaminate, line_dedup, packing, pii, resharding, simhash, toxicity
+from populi.llm import decontaminate, html_crf, line_dedup, packing, pii, quality, resharding, simhash, toxicity
 from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +21,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(3, 1))
+
+
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
 
@@ -43,6 +51,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op5_resharding, op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing,
-                                                     op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op5_resharding, op6_html_extraction, op7_toxicity,
+                                                     op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
