@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from populi.llm import decontaminate, html_crf, line_dedup, packing, pii, quality, resharding, simhash, toxicity
+from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, pii, quality, resharding, simhash, toxicity
 from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(3, 1))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op5_resharding, op6_html_extraction, op7_toxicity,
-                                                     op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op4_nearest_neighbours, op5_resharding, op6_html_extraction,
+                                                     op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
