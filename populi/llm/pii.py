@@ -161,8 +161,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts, checksum of the base spans and all spans as one string."""
+    def named(kind):
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+
     def text(kinds):
-        each = [F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))) for k in kinds]
+        each = [named(k) for k in kinds]
         return F.array_join(F.concat(*each), ",")
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
                         F.sha2(text(BASE_KINDS).cast("binary"), 256).alias("base_sha256"), text(KINDS).alias("spans"))
