@@ -82,8 +82,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY], "line")
     original = windows.groupBy("fingerprint", "window").agg(
         F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "before", "after")).alias("o")).where("n > 1")
-    later = (windows.join(original.select("fingerprint", "window", F.col("o.place").alias("o_place"), F.col("o.before").alias("o_before"),
-                                          F.col("o.after").alias("o_after")), ["fingerprint", "window"])
+    original = original.select("fingerprint", "window", F.col("o.place").alias("o_place"), F.col("o.before").alias("o_before"), F.col("o.after").alias("o_after"))
+    # written, so that both sides of the join are plain shuffles and a hot window can be split
+    later = (windows.join(scratch.write(original, "original"), ["fingerprint", "window"])
              .where(place != F.col("o_place"))
              .select(*KEY, (F.col("line") - _same("before", "o_before")).alias("first"), (F.col("last") + _same("after", "o_after")).alias("last")))
     ranges = later.distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("r"))
