@@ -2,7 +2,8 @@
 
 A document's fingerprint is the bitwise majority of the XXH64 of its word shingles. Equal fingerprints become one.
 Two fingerprints at most d bits apart agree on one of d + 1 bit ranges, so rows meet by (range, its bits); a group too
-large for a task is dealt again by d + 1 ranges of its remaining bits, which keeps every link. Within a task each group
+large for a task is dealt again by d + 1 ranges of its remaining bits, which keeps every link, and one that even then
+is too large is cut into blocks that meet in pairs. Within a task each group
 is sorted by Gray rank, so that neighbours differ in few bits; runs of 16 become nodes holding the bits all members
 share, nodes become nodes of the level above, and a shared bit is kept at the highest node only. A query goes down from
 the top, adds up differences node by node, and drops a whole group once they exceed d. Groups already in its component
@@ -26,7 +27,8 @@ from populi.llm.components import components
 
 MASK = (1 << 64) - 1
 FAN = 16  # members of a node
-HOT_ROWS = 20_000  # fingerprints of a group beyond which it is dealt again
+HOT_ROWS = 500_000  # fingerprints of a group beyond which it is dealt again; some 50 MB in a task
+DEPTH = 2  # dealings by ranges; groups that stay large then are compared in pairs of blocks
 BLOCK = 1 << 16  # shingles counted at a time
 BATCH, BUDGET = 4096, 1 << 21  # queries of a batch, and rows of a frontier held at a time
 
@@ -170,9 +172,9 @@ def links(distinct: DataFrame, most: int, scratch: Scratch, hot_rows: int = HOT_
         rows = gathered(batches)
         if rows is None:
             return
-        mask, part, fp = (rows.column(c).to_numpy() for c in ("mask", "part", "fp"))
-        order = np.lexsort((part, mask))
-        fresh = np.r_[True, (mask[order][1:] != mask[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        fp, *key = (rows.column(c).to_numpy() for c in ("fp", "mask", "part", "block"))
+        order = np.lexsort(key)
+        fresh = np.r_[True, np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in key])]
         group = np.empty(len(fp), np.int64)
         group[order] = np.cumsum(fresh)
         root = GrayIndex(group, fp.view(np.uint64)).roots(most)
@@ -181,23 +183,35 @@ def links(distinct: DataFrame, most: int, scratch: Scratch, hot_rows: int = HOT_
 
     used = [0]
     todo, found = distinct.select("fp", F.lit(0).cast("long").alias("mask")), []
-    for depth in range(most + 64):
-        wider = {m: split_bits(m, most + 1) for m in used}
-        rows = _dealt(todo, wider)
+    for depth in range(DEPTH):
+        rows = _dealt(todo, {m: split_bits(m, most + 1) for m in used}).withColumn("block", F.lit(0).cast("long"))
         sizes = rows.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
-        hot = scratch.write(sizes.select("mask", "part"), f"hot-{depth}")
-        masks = [r["mask"] & MASK for r in hot.select("mask").distinct().collect()]  # at most (most + 1) per level and mask
-        calm = rows if not masks else rows.join(hot, ["mask", "part"], "left_anti")
-        found.append(scratch.write(calm.repartition("mask", "part").mapInArrow(search, "a long, b long"), f"found-{depth}"))
-        if not masks:
+        hot = scratch.write(sizes, f"hot-{depth}")  # fewer than rows / hot_rows groups
+        used = [r["mask"] & MASK for r in hot.select("mask").distinct().collect()]  # at most (most + 1) ** (depth + 1) numbers
+        calm = rows.join(hot, ["mask", "part"], "left_anti") if used else rows
+        if used:
+            todo = scratch.write(rows.join(hot, ["mask", "part"]).select("fp", "mask", "part", "n"), f"todo-{depth}")
+            if depth == DEPTH - 1:
+                calm = calm.unionByName(_in_blocks(todo, hot_rows))
+        found.append(scratch.write(calm.repartition("mask", "part", "block").mapInArrow(search, "a long, b long"), f"found-{depth}"))
+        if not used:
             break
-        todo, used = scratch.write(rows.join(hot, ["mask", "part"], "left_semi").select("fp", "mask"), f"todo-{depth}"), masks
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _in_blocks(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """Groups that no dealing makes small, as pairs of blocks: each row goes to the pairs its own block is in.
+
+    rows: fp, mask, part, n (rows of the group). A pair holds about hot_rows rows, and every two rows share a pair."""
+    count = F.ceil(F.col("n") * 2 / hot_rows).cast("long")
+    own = F.pmod(F.xxhash64("fp"), count)
+    pairs = rows.withColumns({"own": own, "count": count}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    return pairs.select("fp", "mask", "part", (1 + F.least("own", "other") * F.col("count") + F.greatest("own", "other")).alias("block"))
+
+
 def near_duplicates(docs: DataFrame, most: int = 4, words: int = 4, seed: int = 42, id_col: str = "doc_id",
                     text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, text_hash, fp, component (a fingerprint), component_id for every input row.
