@@ -30,7 +30,7 @@ DEGREE = 32  # neighbours a node keeps
 LINKS = 128  # links that a search follows from a node, nearest first, either way
 TREES, BLOCK = 3, 1024  # random partitions of the start, and nodes compared in a block
 ROUNDS, SETTLED = 4, 0.02  # rounds of improvement at most; stop once that share of the edges changes
-GROUP, QUERY_GROUP = 2048, 320  # nodes, and queries, whose vectors are fetched together
+GROUP, QUERY_GROUP = 512, 160  # nodes, and queries, whose vectors are fetched together
 BEAM = 200  # nodes a query keeps
 EDGE = "u long, v long, s float, fresh boolean"
 
