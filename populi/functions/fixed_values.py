@@ -87,8 +87,4 @@ MODEL_PRICES = {
 
 # fixed values: limits and weights
 TEXT_WEIGHT, THEME_WEIGHT = 0.7, 0.3
-MAX_ITERATION = 12
 SAME_DELTA = 0.001
-TRIBE_MAX_REVIEWS = 2000
-TRIBE_MAX_CHARACTERS = 50000
-SUMMARY_MAX_CHARACTERS = 2000

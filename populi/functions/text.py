@@ -22,7 +22,8 @@ def match_key(*parts: Column) -> Column:
     return F.concat_ws("|||", *[fold(p) for p in parts])
 
 
-def text_prefix_hash(text: Column, prefix: int | None = 100, digits: int = 8) -> Column:
+def text_hash(text: Column, prefix: int | None = None, digits: int = 32) -> Column:
+    """md5 of the whole text; a caller may state a prefix and fewer digits."""
     source = text if prefix is None else F.substring(text, 1, prefix)
     return F.substring(F.md5(source), 1, digits)
 
@@ -31,7 +32,7 @@ def review_id(user: Column, asin: Column, timestamp: Column, text: Column) -> Co
     """user_asin_timestamp_hash with 'unknown' for missing parts."""
     known = lambda c: F.when(present(c.cast("string")), c.cast("string")).otherwise("unknown")
     return F.concat_ws("_", F.coalesce(user.cast("string"), F.lit("")), known(asin), known(timestamp),
-                       text_prefix_hash(text))
+                       text_hash(text))
 
 
 def user_of_review_key(key: Column) -> Column:

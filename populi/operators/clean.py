@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from populi.functions.base import blank, non_empty, present
 from populi.functions.dist import finite_entries, positive_entries
@@ -57,17 +58,19 @@ def new_rows(df: DataFrame, keys: Sequence[str], existing: DataFrame | None = No
 
 
 def prediction_duplicates_removed(df: DataFrame, text: str, asin: str, user: str, position: str,
-                                  prefix: int = 100) -> DataFrame:
-    keyed = df.withColumn("__prefix", F.md5(F.substring(F.coalesce(text, F.lit("")), 1, prefix)))
-    return keep_first(keyed, ["__prefix", asin, user], position).drop("__prefix")
+                                  prefix: int | None = None) -> DataFrame:
+    """First row of each (text, product, user); a caller may state a prefix, which then stands for the text."""
+    whole = F.coalesce(text, F.lit(""))
+    keyed = df.withColumn("__text", F.md5(whole if prefix is None else F.substring(whole, 1, prefix)))
+    return keep_first(keyed, ["__text", asin, user], position).drop("__text")
 
 
 def task_duplicates_removed(df: DataFrame, user: str, asin: str, timestamp: str, text: str,
-                            position: str) -> DataFrame:
-    """First row of each (user, product, time, start of text)."""
+                            position: str, prefix: int | None = None) -> DataFrame:
+    """First row of each (user, product, time, text)."""
     return prediction_duplicates_removed(
         df.withColumn("__ua", F.concat_ws("|", user, F.col(timestamp).cast("string"))), text, asin, "__ua", position,
-        prefix=50).drop("__ua")
+        prefix).drop("__ua")
 
 
 def pollution_reason(text: Column, user: Column) -> Column:
@@ -99,11 +102,28 @@ def clean_distribution(m: Column, positive: bool = False) -> Column:
     return non_empty(positive_entries(kept) if positive else kept)
 
 
+def _finite(value: Column, kind: DataType) -> Column:
+    """The value with every NaN or infinite number inside it null, at any depth."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    if not _holds_numbers(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+
+
+def _holds_numbers(kind: DataType) -> bool:
+    inner = ([kind.elementType] if isinstance(kind, ArrayType) else [kind.valueType] if isinstance(kind, MapType)
+             else [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [])
+    return isinstance(kind, (DoubleType, FloatType)) or any(map(_holds_numbers, inner))
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Doubles that are NaN or infinite become null, ready for a JSON sink."""
-    bad = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
-    return df.select(*[F.when(~bad(F.col(n)), F.col(n)).alias(n) if t in ("double", "float") else F.col(n)
-                       for n, t in df.dtypes])
+    """Doubles that are NaN or infinite become null, inside maps, arrays and structs too, ready for a JSON sink."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def in_clusters(df: DataFrame, column: str, targets: Sequence[str | int]) -> DataFrame:

@@ -118,9 +118,14 @@ def project_2d(df: DataFrame, features: str) -> DataFrame:
     return model.transform(df).withColumns({"x": F.get(xy, 0), "y": F.get(xy, 1)}).drop("__xy")
 
 
+def _theme_vectors(vectors: DataFrame) -> DataFrame:
+    """theme, vector with one row per theme; of several the smallest stands."""
+    return vectors.groupBy("theme").agg(F.min(F.col("vector").cast("array<double>")).alias("vector"))
+
+
 def weighted_topic_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Probability-weighted mean of the theme vectors of each review. vectors: theme, vector."""
-    ready = vectors.select("theme", array_to_vector(F.col("vector").cast("array<double>")).alias("__v"))
+    ready = _theme_vectors(vectors).select("theme", array_to_vector("vector").alias("__v"))
     joined = probs.filter(F.col("p") > 0).join(ready, "theme")
     mean = Summarizer.mean(F.col("__v"), F.col("p"))
     return joined.groupBy(key).agg(mean.alias("__m"), F.count(F.lit(1)).alias("n_themes")).select(
@@ -129,7 +134,7 @@ def weighted_topic_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> Da
 
 def attach_theme_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """map<theme, struct<probability, embedding>> of each review; a theme without a vector has a null one."""
-    joined = probs.join(vectors, "theme", "left")
+    joined = probs.join(_theme_vectors(vectors), "theme", "left")
     entry = F.struct(F.col("theme").alias("key"), F.struct(F.col("p").alias("probability"),
                                                            F.col("vector").alias("embedding")).alias("value"))
     return joined.groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("theme_vectors"))

@@ -2,47 +2,27 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from populi.functions.dist import cosine
 from populi.functions.text import fold, string_similarity
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Sequence-matcher ratio of two folded names; called on distinct pairs only."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
-
-
 def topic_lists(topics: DataFrame) -> DataFrame:
     """(category, topics array in list order) from (category, theme, pos); a topic list is a short dictionary."""
     return topics.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "theme"))),
                                                       lambda s: s["theme"]).alias("topics"))
 
 
-def best_fuzzy(names: DataFrame, topics: DataFrame, threshold: float, ratio: str = "sequence") -> DataFrame:
-    """(category, theme, topic, similarity) for names whose most similar topic reaches the threshold.
-
-    ratio='sequence' scores with the standard library's matcher in an Arrow batch; ratio='edit' stays in the JVM."""
+def best_fuzzy(names: DataFrame, topics: DataFrame, threshold: float) -> DataFrame:
+    """(category, theme, topic, similarity) for names whose most similar topic, by edit ratio, reaches the threshold."""
     distinct = names.select("category", "theme").distinct().join(topic_lists(topics), "category")
-    if ratio == "edit":
-        scored = F.transform("topics", lambda t: F.struct(string_similarity(F.col("theme"), t).alias("s"), t.alias("t")))
-        best = F.reduce(scored, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("t")),
-                        lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
-        return (distinct.withColumn("__b", best).filter(F.col("__b.s") >= threshold)
-                .select("category", "theme", F.col("__b.t").alias("topic"), F.col("__b.s").alias("similarity")))
-    rows = distinct.select("category", "theme", F.posexplode("topics").alias("pos", "topic"))
-    similarity = string_similarity(F.col("theme"), F.col("topic"),
-                                   sequence_ratio(fold(F.col("theme")), fold(F.col("topic"))))
-    scored = rows.withColumn("similarity", similarity).filter(F.col("similarity") > 0)
-    return (scored.groupBy("category", "theme")
-            .agg(F.max_by("topic", F.struct(F.col("similarity"), (-F.col("pos")).alias("p"))).alias("topic"),
-                 F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold))
+    scored = F.transform("topics", lambda t: F.struct(string_similarity(F.col("theme"), t).alias("s"), t.alias("t")))
+    best = F.reduce(scored, F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("string").alias("t")),
+                    lambda acc, x: F.when(x["s"] > acc["s"], x).otherwise(acc))
+    return (distinct.withColumn("__b", best).filter(F.col("__b.s") >= threshold)
+            .select("category", "theme", F.col("__b.t").alias("topic"), F.col("__b.s").alias("similarity")))
 
 
 def best_by_vector(names: DataFrame, topics: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -63,11 +43,12 @@ def onto_topic_list(probs: DataFrame, topics: DataFrame, matches: list[DataFrame
 
     probs: review_key, category, theme, p. A theme goes to the equal topic, else to the topic of the first match table
     that has it, else it is dropped; a review with no mass left is uniform over the list."""
-    equal = topics.select("category", fold(F.col("theme")).alias("__f"), F.col("theme").alias("__m0"))
+    # of topics that fold alike the last of the list stands
+    equal = topics.groupBy("category", fold(F.col("theme")).alias("__f")).agg(F.max_by("theme", F.struct("pos", "theme")).alias("__m0"))
     named = probs.withColumn("__f", fold(F.col("theme"))).join(equal, ["category", "__f"], "left")
     for i, table in enumerate(matches, 1):
-        named = named.join(table.select("category", "theme", F.col("topic").alias(f"__m{i}")), ["category", "theme"],
-                           "left")
+        single = table.groupBy("category", "theme").agg(F.max_by("topic", F.struct("similarity", "topic")).alias(f"__m{i}"))
+        named = named.join(single, ["category", "theme"], "left")
     target = F.coalesce(*[F.col(f"__m{i}") for i in range(len(matches) + 1)])
     mass = (named.withColumn("topic", target)
             .groupBy("review_key", "category", "topic").agg(F.sum("p").alias("p")))
@@ -83,13 +64,17 @@ def onto_topic_list(probs: DataFrame, topics: DataFrame, matches: list[DataFrame
             .select("review_key", "category", "topic", share(F.col("topic")).alias("p")))
 
 
+def _single_targets(mapping: DataFrame) -> DataFrame:
+    """(category, theme, to_theme): one row per mapped theme; of several targets the last name stands."""
+    return mapping.groupBy("category", F.col("from_theme").alias("theme")).agg(F.max("to_theme").alias("to_theme"))
+
+
 def rename_themes(probs: DataFrame, mapping: DataFrame, keys: list[str], combine: str = "sum",
                   keep_unmapped: bool = True, targets: DataFrame | None = None) -> DataFrame:
     """Move mass to new theme names by (category, from_theme, to_theme); masses that meet are summed or maximised.
 
     Unmapped themes keep their name, or are dropped unless they belong to `targets` (category, theme)."""
-    renamed = probs.join(mapping.select("category", F.col("from_theme").alias("theme"), "to_theme"),
-                         ["category", "theme"], "left")
+    renamed = probs.join(_single_targets(mapping), ["category", "theme"], "left")
     if not keep_unmapped:
         listed = targets.select("category", "theme").distinct().withColumn("__listed", F.lit(True))
         renamed = renamed.join(listed, ["category", "theme"], "left").filter(
@@ -101,8 +86,7 @@ def rename_themes(probs: DataFrame, mapping: DataFrame, keys: list[str], combine
 
 def rename_logprobs(logprobs: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
     """As rename_themes for (logprob_yes, logprob_no): the larger of each is kept."""
-    renamed = logprobs.join(mapping.select("category", F.col("from_theme").alias("theme"), "to_theme"),
-                            ["category", "theme"], "left")
+    renamed = logprobs.join(_single_targets(mapping), ["category", "theme"], "left")
     return (renamed.withColumn("theme", F.coalesce("to_theme", "theme")).groupBy(*keys, "category", "theme")
             .agg(F.max("logprob_yes").alias("logprob_yes"), F.max("logprob_no").alias("logprob_no")))
 

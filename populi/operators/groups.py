@@ -1,11 +1,11 @@
 """Row choice, ranks, running sums and quantiles per group that stay exact when one group holds most of the rows.
 
-A null key is a group like any other, but is never cut into chunks.
+A null key is a group like any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from populi.functions.base import hash_fraction
 
-# A group above this many rows is cut into chunks; fewer than rows / HOT_ROWS groups can be that large.
-HOT_ROWS = 1_000_000
-
-Chunk = Callable[[Column], Column]
+# Rows of a chunk that a position or hash cuts to where keys are dense.
+CHUNK_ROWS = 1_000_000
+HASH_CHUNKS = 64
 
 
 def keep_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column = 1) -> DataFrame:
@@ -35,18 +34,18 @@ def keep_last(df: DataFrame, keys: Sequence[str], *position: str) -> DataFrame:
     return keep_top(df, keys, [F.col(p).desc() for p in position])
 
 
-def chunk_by_hash(digest: str, rows: int = HOT_ROWS) -> Chunk:
+def chunk_by_hash(digest: str, chunks: int = HASH_CHUNKS) -> Column:
     """Chunks of a hash-ordered group: equal slices of the digest's range."""
-    return lambda n: F.floor(hash_fraction(F.col(digest)) * F.ceil(n / F.lit(rows))).cast("long")
+    return F.floor(hash_fraction(F.col(digest)) * F.lit(chunks)).cast("long")
 
 
-def chunk_by_position(position: str, rows: int = HOT_ROWS) -> Chunk:
+def chunk_by_position(position: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunks of a group ordered by a whole number such as a line or key number."""
-    return lambda n: F.floor(F.col(position) / F.lit(rows)).cast("long")
+    return F.floor(F.col(position) / F.lit(rows)).cast("long")
 
 
-def chunk_by_hour(timestamp: str) -> Chunk:
-    return lambda n: F.floor(F.unix_seconds(F.col(timestamp).cast("timestamp")) / 3600).cast("long")
+def chunk_by_hour(timestamp: str) -> Column:
+    return F.floor(F.unix_seconds(F.col(timestamp).cast("timestamp")) / 3600).cast("long")
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -56,37 +55,32 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Chunk, *, rank: str = "rank",
-                size: str | None = None, weight: Column | None = None, running: str | None = None,
-                hot_rows: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, *, rank: str = "rank",
+                size: str | None = None, weight: Column | None = None, running: str | None = None) -> DataFrame:
     """Exact 1-based rank per key, and on request the group's size and the running sum of a weight.
 
-    Groups above hot_rows are ranked chunk by chunk and shifted by the totals of the chunks before, so no task ever
-    holds a whole large group. `chunk` maps the group size to an expression that never decreases along `order`."""
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    keys = list(keys)
-    weighted = df.withColumn("__w", F.lit(0).cast("long") if weight is None else weight)
-    sizes = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows)
-    marked = (weighted.join(F.broadcast(hot), keys, "left")  # bounded: fewer than rows / hot_rows groups
-              .withColumn("__chunk", F.when(F.col("__n").isNotNull(), chunk(F.col("__n"))).otherwise(F.lit(0))))
-    ahead = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (marked.filter(F.col("__n").isNotNull()).groupBy(*keys, "__chunk")
-              .agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__cw"))
-              .select(*keys, "__chunk", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"),
-                      F.coalesce(F.sum("__cw").over(ahead), F.lit(0)).alias("__before_w")))
-    inside = Window.partitionBy(*keys, "__chunk")
-    ordered = inside.orderBy(*order)
+    Groups of any size, a null key's too, are ranked chunk by chunk and shifted by the totals of the chunks before, so
+    no task holds a whole group. `chunk` must never decrease along `order`; a null chunk comes first. Rows that tie on
+    what the chunk is made of share one."""
+    key, keys = F.struct(*keys), list(keys)  # a struct is never null, and its fields compare null-safe
+    marked = df.withColumns({"__key": key, "__chunk": F.coalesce(chunk, F.lit(-2 ** 63).cast("long")),
+                             "__w": F.lit(0).cast("long") if weight is None else weight})
+    totals = marked.groupBy("__key", "__chunk").agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__cw"))
+    whole = Window.partitionBy("__key")
+    ahead = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("__key", "__chunk", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"),
+                           F.coalesce(F.sum("__cw").over(ahead), F.lit(0)).alias("__before_w"), F.sum("__c").over(whole).alias("__n"))
+    ordered = Window.partitionBy("__key", "__chunk").orderBy(*order)
     ranked = marked.withColumn("__r", F.row_number().over(ordered))
     if running:
         ranked = ranked.withColumn("__rw", F.sum("__w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = (ranked.join(shifts, ["__key", "__chunk"])
+              .withColumn(rank, (F.col("__r") + F.col("__before")).cast("long")))
     if size:
-        ranked = ranked.withColumn(size, F.coalesce("__n", F.count(F.lit(1)).over(inside)))
-    placed = (ranked.join(shifts, keys + ["__chunk"], "left")
-              .withColumn(rank, (F.col("__r") + F.coalesce("__before", F.lit(0))).cast("long")))
+        placed = placed.withColumn(size, F.col("__n"))
     if running:
-        placed = placed.withColumn(running, F.col("__rw") + F.coalesce("__before_w", F.lit(0)))
-    return placed.drop("__w", "__n", "__chunk", "__r", "__rw", "__before", "__before_w")
+        placed = placed.withColumn(running, F.col("__rw") + F.col("__before_w"))
+    return placed.drop("__key", "__w", "__n", "__chunk", "__r", "__rw", "__before", "__before_w")
 
 
 def value_chunk(value: Column) -> Column:

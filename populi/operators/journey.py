@@ -1,4 +1,6 @@
-"""Correction journeys: each review's initial deltas and up to twelve corrected ones.
+"""Correction journeys: each review's initial deltas and its corrected ones, as many as were observed.
+
+Limits on iterations are the caller's: `last` is None for all that the data hold.
 
 Nested form: initial struct<theme, overall, text>, steps array<struct<iteration, theme, overall, text, prediction>>.
 Long form: (review_key, iteration, delta), iteration 0 being the initial prediction.
@@ -23,23 +25,31 @@ def overall_delta(text: Column, theme: Column, stated: Column | None = None) ->
     return weighted if stated is None else F.coalesce(stated, weighted)
 
 
-def nest_steps(long: DataFrame, keys: Sequence[str], fields: Sequence[str], last: int = fixed.MAX_ITERATION) -> DataFrame:
-    """Iteration-sorted steps per review from the long form; at most last + 1 entries a review.
+def nest_steps(long: DataFrame, keys: Sequence[str], fields: Sequence[str], last: int | None = None) -> DataFrame:
+    """Iteration-sorted steps per review from the long form.
 
-    Repeated iterations keep the smallest row, so the array stays bounded."""
+    Repeated iterations keep the smallest row, so the array has one entry an iteration."""
     row = F.struct("iteration", *fields)
-    single = (long.filter(F.col("iteration").between(0, last)).groupBy(*keys, "iteration").agg(F.min(row).alias("__s")))
+    kept = F.col("iteration") >= 0 if last is None else F.col("iteration").between(0, last)
+    single = (long.filter(kept).groupBy(*keys, "iteration").agg(F.min(row).alias("__s")))
     return single.groupBy(*keys).agg(F.array_sort(F.collect_list("__s")).alias("steps"))
 
 
-def running_best(steps: Column, field: str, last: int = fixed.MAX_ITERATION) -> Column:
+def _last(steps: Column, last: int | Column | None) -> Column:
+    """The stated last iteration, or the review's own; steps are sorted."""
+    if last is None:
+        return F.greatest(F.coalesce(F.element_at(steps, -1)["iteration"], F.lit(0)), F.lit(0)).cast("int")
+    return F.lit(last) if isinstance(last, int) else last.cast("int")
+
+
+def running_best(steps: Column, field: str, last: int | Column | None = None) -> Column:
     """Smallest value seen up to each iteration 0..last; null before the first one."""
-    return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.array_min(F.transform(
+    return F.transform(F.sequence(F.lit(0), _last(steps, last)), lambda i: F.array_min(F.transform(
         F.filter(steps, lambda s: s["iteration"] <= i), lambda s: s[field])))
 
 
 def dense_grid(nested: DataFrame, keys: Sequence[str], fields: Sequence[str], fill: float | None = None,
-               last: int = fixed.MAX_ITERATION) -> DataFrame:
+               last: int | Column | None = None) -> DataFrame:
     """(keys, iteration, one running minimum per field) for every iteration; fill replaces a missing value."""
     zipped = F.arrays_zip(*[running_best(F.col("steps"), f, last).alias(f) for f in fields])
     grid = nested.select(*keys, F.posexplode(zipped).alias("iteration", "__g"))
@@ -48,10 +58,11 @@ def dense_grid(nested: DataFrame, keys: Sequence[str], fields: Sequence[str], fi
 
 
 def convergence(nested: DataFrame, path: Sequence[str], fields: Sequence[str], fill: float | None = None,
-                last: int = fixed.MAX_ITERATION) -> DataFrame:
+                last: int | Column | None = None) -> DataFrame:
     """Mean first and last running minimum and the improvement, per level and delta kind."""
-    ends = F.array(*[F.struct(F.lit(f.upper()).alias("kind"), F.get(running_best(F.col("steps"), f, last), 0).alias("i0"),
-                              F.get(running_best(F.col("steps"), f, last), last).alias("i_last")) for f in fields])
+    within = lambda f, upto: F.array_min(F.transform(F.filter(F.col("steps"), lambda s: s["iteration"] <= upto), lambda s: s[f]))
+    ends = F.array(*[F.struct(F.lit(f.upper()).alias("kind"), within(f, F.lit(0)).alias("i0"),
+                              within(f, _last(F.col("steps"), last)).alias("i_last")) for f in fields])
     rows = nested.select(*path, F.explode(ends).alias("e")).select(*path, "e.kind", "e.i0", "e.i_last")
     if fill is not None:
         rows = rows.fillna(fill, ["i0", "i_last"])

@@ -207,9 +207,15 @@ def with_user_text(df: DataFrame, texts: DataFrame, user: str, value: str) -> Da
             .withColumn(value, F.coalesce("__hit_bare", "__hit_raw")).drop("__bare", "__raw", "__hit_bare", "__hit_raw"))
 
 
+def _one_row(lookup: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The lookup with one row per key, the last by `order`, so that a join never multiplies rows."""
+    return keep_last(lookup, keys, order)
+
+
 def segment_details(segments: DataFrame, reviews: DataFrame, backstories: DataFrame) -> DataFrame:
     """Reviews of segmented users with their backstory, one row per review; nest with writers.user_documents."""
-    return segments.join(reviews, "user_id").join(backstories, "user_id", "left")
+    held = [c for c in backstories.columns if c != "user_id"]
+    return segments.join(reviews, "user_id").join(_one_row(backstories, ["user_id"], held[0]) if held else backstories.distinct(), "user_id", "left")
 
 
 def seed_characteristics(summaries: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -230,12 +236,12 @@ def prediction_tasks(tribes: DataFrame, reviews: DataFrame, backstories: DataFra
     (tribe_id, persona) and memory (tribe_id, user_id, learnings) give the other context variants."""
     tasks = tribes.join(reviews, "user_id")
     if user_context:
-        tasks = tasks.join(backstories, "user_id", "left")
-    tasks = tasks.join(topics, "main_category", "left")
+        tasks = tasks.join(_one_row(backstories, ["user_id"], "overall_summary"), "user_id", "left")
+    tasks = tasks.join(_one_row(topics, ["main_category"], "category_themes"), "main_category", "left")
     if seeds is not None:
-        tasks = tasks.join(seeds, "tribe_id", "left")
+        tasks = tasks.join(_one_row(seeds, ["tribe_id"], "persona"), "tribe_id", "left")
     if memory is not None:
-        tasks = tasks.join(memory, ["tribe_id", "user_id"], "left")
+        tasks = tasks.join(_one_row(memory, ["tribe_id", "user_id"], "learnings"), ["tribe_id", "user_id"], "left")
     reason = F.when(F.lit(False), "")
     if user_context:
         reason = reason.when(blank(F.col("overall_summary")), "no_user_summary")

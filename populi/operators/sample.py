@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.base import unit_hash
-from populi.operators.groups import Chunk, chunk_by_hour, chunk_by_hash, chunk_by_position, rank_within
+from populi.operators.groups import chunk_by_hour, chunk_by_hash, chunk_by_position, rank_within
 
 
 def user_split(df: DataFrame, user: str, key: str, *, ratio: float = 0.2, min_reviews: int = 4,
@@ -29,15 +29,16 @@ def within_quota(df: DataFrame, quotas: DataFrame, user: str, position: str) ->
 
 
 def first_distinct(df: DataFrame, keys: Sequence[str], position: str, n: int) -> DataFrame:
-    """First n distinct keys of the scan, whoever the user is (what the lenient quota scan amounts to)."""
+    """First n distinct keys of the scan, whoever the user is."""
     first = df.groupBy(*keys).agg(F.min(position).alias("__pos"))
     return df.join(first.orderBy("__pos").limit(n).select(F.col("__pos").alias(position)), position, "left_semi")
 
 
-def top_up(df: DataFrame, taken: DataFrame, keys: Sequence[str], position: str, n: int) -> DataFrame:
-    """n further distinct keys, in scan order, from rows not taken yet."""
+def top_up(df: DataFrame, taken: DataFrame, quotas: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """As many further distinct keys, in scan order, from rows not taken yet as the quotas are short of."""
+    wanted = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("n")).first()["n"]  # one number
     rest = df.join(taken.select(*keys).distinct(), list(keys), "left_anti")
-    return first_distinct(rest, keys, position, n)
+    return first_distinct(rest, keys, position, max(0, wanted - taken.count()))
 
 
 def category_targets(counts: DataFrame, category: str, total: int, keep_ratios: bool = True) -> DataFrame:
@@ -79,13 +80,13 @@ def busiest_users(df: DataFrame, user: str, n: int) -> DataFrame:
     return df.join(top.select(user), user, "left_semi")
 
 
-def sampling_rounds(df: DataFrame, category: str, text: str, *, per_round: int = 1000, max_rounds: int = 10,
+def sampling_rounds(df: DataFrame, category: str, text: str, *, per_round: int = 1000, max_rounds: int | None = None,
                     seed: int = 0) -> DataFrame:
-    """Distinct texts of each category dealt into numbered rounds without replacement."""
+    """Distinct texts of each category dealt into numbered rounds without replacement; every text has a round."""
     distinct = df.select(category, text).distinct().withColumn("__h", unit_hash(F.col(text), seed=seed))
-    return (rank_within(distinct, [category], [F.col("__h"), F.col(text)], chunk_by_hash("__h"), rank="__rank")
-            .withColumn("round", F.ceil(F.col("__rank") / F.lit(per_round)).cast("int"))
-            .filter(F.col("round") <= max_rounds).drop("__h", "__rank"))
+    dealt = (rank_within(distinct, [category], [F.col("__h"), F.col(text)], chunk_by_hash("__h"), rank="__rank")
+             .withColumn("round", F.ceil(F.col("__rank") / F.lit(per_round)).cast("int")).drop("__h", "__rank"))
+    return dealt if max_rounds is None else dealt.filter(F.col("round") <= max_rounds)
 
 
 def systematic_sample(df: DataFrame, keys: Sequence[str], position: str, m: int) -> DataFrame:
@@ -96,7 +97,7 @@ def systematic_sample(df: DataFrame, keys: Sequence[str], position: str, m: int)
     return ranked.filter((F.col("__size") <= m) | chosen).drop("__rank", "__size")
 
 
-def pack_to_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Chunk, length: Column,
+def pack_to_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, length: Column,
                    budget: int, separator: int = 0) -> DataFrame:
     """The rows of each group before the first one that would overflow the budget; adds `used`, the sum so far."""
     ranked = rank_within(df, keys, order, chunk, rank="__rank", weight=length + F.lit(separator), running="used")
@@ -126,11 +127,16 @@ def leave_one_out_totals(df: DataFrame, user: str, values: Sequence[str]) -> Dat
     return joined.drop("__n", *[f"__{t}_{v}" for v in values for t in "sc"])
 
 
-def leave_one_out_history(df: DataFrame, user: str, timestamp: str, key: str, text: str, *, budget: int) -> DataFrame:
-    """history: texts of the user's other reviews in time order, cut before the first that overflows `budget`.
+def leave_one_out_history(df: DataFrame, user: str, timestamp: str, key: str, text: str, *,
+                          budget: int | None = None) -> DataFrame:
+    """history: texts of the user's other reviews in time order, on request cut before the first that overflows `budget`.
 
-    Only a prefix of each user's texts can ever fit, so that prefix (budget plus one longest text) is gathered once
-    per user and every review drops itself from it."""
+    With a budget only a prefix of each user's texts can ever fit, so that prefix (budget plus one longest text) is
+    gathered once per user and every review drops itself from it. Without one the rows come back with `rank`, their
+    place in the user's history, and the history itself is the user's rows but that place: n texts and never n^2."""
+    if budget is None:
+        return rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="rank", size="others").withColumn(
+            "others", F.col("others") - 1)
     ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="__rank",
                          weight=F.length(text), running="__upto")
     longest = df.groupBy(user).agg(F.max(F.length(text)).alias("__longest"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from populi.functions.base import unit_hash
 from populi.functions.dist import unit_vector
 
+MOST_PIVOTS = 4096  # vectors that go to the driver and every task: 2 MB at 64 dimensions
+
 
 def distinct_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(rep, unit, copies): one row per distinct unit vector, named by its smallest key."""
@@ -25,8 +27,15 @@ def distinct_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
             .groupBy("unit").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
 
-def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int = 64, block: int = 2000) -> DataFrame:
-    """(a, b, similarity) for rep pairs a < b with cosine >= threshold. reps: rep (long), unit, copies."""
+def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int | None = None, block: int = 2000,
+                  within: str | None = None) -> DataFrame:
+    """(a, b, similarity) for rep pairs a < b with cosine >= threshold. reps: rep (long), unit, copies.
+
+    within: a column whose values must be equal. Pivots number about the square root of the rows, MOST_PIVOTS at most,
+    so that cells stay small as the data grow."""
+    if pivots is None:
+        pivots = max(1, min(MOST_PIVOTS, round(reps.count() ** 0.5)))
+    reps = reps.withColumn("part", F.lit("") if within is None else F.col(within).cast("string"))
     chosen = reps.orderBy(unit_hash(F.col("rep")), "rep").limit(pivots).select("unit").collect()  # `pivots` rows
     if not chosen:
         return reps.sparkSession.createDataFrame([], "a long, b long, similarity double")
@@ -44,11 +53,11 @@ def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int = 64, block:
             rows, cells = np.nonzero(visits)
             yield pd.concat([part.assign(cell=home, guest=False), part.iloc[rows].assign(cell=cells, guest=True)])
 
-    placed = reps.select("rep", "unit").mapInPandas(place, "rep long, unit array<double>, cell int, guest boolean")
-    cells = placed.groupBy("cell").agg(  # at most `pivots` rows
+    placed = reps.select("rep", "part", "unit").mapInPandas(place, "rep long, part string, unit array<double>, cell int, guest boolean")
+    cells = placed.groupBy("part", "cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("guest")) / F.lit(block))).alias("nh"),
         F.ceil(F.count_if("guest") / F.lit(block)).alias("ng"))
-    rows = placed.join(F.broadcast(cells), "cell").withColumn(
+    rows = placed.join(cells, ["part", "cell"]).withColumn(
         "blk", F.pmod(F.xxhash64("rep"), F.when(F.col("guest"), F.col("ng")).otherwise(F.col("nh"))))
     to = lambda i, j, guest, left: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"),
                                             F.lit(guest).alias("with_guests"), F.lit(left).alias("is_left"))
@@ -59,8 +68,8 @@ def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int = 64, block:
         F.transform(F.sequence(F.lit(0).cast("long"), blk), lambda i: to(i, blk, False, False)),
         F.transform(upto(F.col("ng")), lambda j: to(blk, j, True, True)))
     guest_tasks = F.transform(upto(F.col("nh")), lambda i: to(i, blk, True, False))
-    tasks = rows.select("cell", "rep", "unit", F.explode(F.when(F.col("guest"), guest_tasks).otherwise(home_tasks))
-                        .alias("t")).select("cell", "t.*", "rep", "unit")
+    tasks = rows.select("part", "cell", "rep", "unit", F.explode(F.when(F.col("guest"), guest_tasks).otherwise(home_tasks))
+                        .alias("t")).select("part", "cell", "t.*", "rep", "unit")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["is_left"]], part[~part["is_left"]]
@@ -74,7 +83,7 @@ def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int = 64, block:
         a, b, s = a[kept], b[kept], s[kept]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
 
-    return tasks.groupBy("cell", "i", "j", "with_guests").applyInPandas(meet, "a long, b long, similarity double")
+    return tasks.groupBy("part", "cell", "i", "j", "with_guests").applyInPandas(meet, "a long, b long, similarity double")
 
 
 def neighbour_counts(df: DataFrame, key: str, vector: str, threshold: float, **options: int) -> DataFrame:

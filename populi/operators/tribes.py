@@ -1,32 +1,30 @@
-"""Greedy micro-clusters ("tribes") inside each segment, exactly as the sequential rule forms them.
+"""Greedy micro-clusters ("tribes") inside each segment, formed in parallel rounds.
 
 The rule: the lowest undecided position is the next seed; its members are the undecided users with cosine at or above
-the threshold, the most similar max_users of them; the tribe stands if it has enough users and reviews.
-
-A round takes the next seeds of every segment at once. One pass over the undecided users scores them against those
-seeds and keeps each seed's `reach` best; one small task per segment then plays the rule over that bounded table. It
-stops early, leaving the rest to the next round, when removals by earlier seeds could let a user beyond a seed's kept
-list matter. No similarity table and no segment is ever gathered.
+the threshold, the most similar max_users of them (earlier positions first); the tribe stands if it has enough users and
+reviews, else the seed alone is decided. What a seed takes depends only on earlier seeds within two steps of it, so in
+each round every undecided user that is lower than all undecided users within two steps is a seed at once: their
+neighbourhoods do not meet, and the outcome is that of the rule one by one. A goal of coverage cuts the sequence of
+seeds afterwards, where running sums in seed order reach it.
+
+Neighbours come from the metric similarity join over distinct vectors of a segment; copies of a vector are held together
+and never paired. A round is a few joins and aggregations over the undecided vectors, written in the shared folder; the
+number of rounds is the longest chain of seeds that wait for each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from populi.functions import fixed_values as fixed
 from populi.functions.base import present
 from populi.functions.dist import unit_vector
-from populi.operators.groups import chunk_by_position, keep_top, rank_within
+from populi.operators.groups import CHUNK_ROWS, chunk_by_position, keep_top, rank_within
+from populi.operators.similarity import similar_pairs
 from populi.session import cut_lineage
 
-_DECIDED = "segment_id string, position long, tribe_no long, seed long, similarity double"
-
 
 @dataclass(frozen=True)
 class TribeRule:
@@ -44,188 +42,117 @@ class TribeRule:
                        max_users=self.max_users + 10, min_reviews=max(2, self.min_reviews - 2), is_relaxed=True)
 
 
-def _score(shared, threshold: float, reach: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds: dict[str, tuple[np.ndarray, np.ndarray]] = shared.value
-        held: dict[str, list[pd.DataFrame]] = {}
-
-        def trimmed(rows: pd.DataFrame) -> pd.DataFrame:
-            return (rows.sort_values(["seed", "similarity", "position"], ascending=[True, False, True])
-                    .groupby("seed", sort=False).head(reach))
-
-        for part in batches:
-            for segment, group in part.groupby("segment_id"):
-                if segment not in seeds:
-                    continue
-                positions, units = seeds[segment]
-                similarity = np.round(np.stack(group["unit"].to_numpy()) @ units.T, 12)
-                row, seed = np.nonzero(similarity >= threshold)
-                found = pd.DataFrame({"segment_id": segment, "seed": positions[seed],
-                                      "position": group["position"].to_numpy()[row],
-                                      "similarity": similarity[row, seed],
-                                      "n_reviews": group["n_reviews"].to_numpy()[row]})
-                rows = held.setdefault(segment, [])
-                rows.append(found)
-                if sum(map(len, rows)) > 4 * reach * len(positions):
-                    held[segment] = [trimmed(pd.concat(rows))]
-        for rows in held.values():
-            yield trimmed(pd.concat(rows))
-    return run
-
-
-def _play(rule: TribeRule, state: dict[str, dict], seeds: dict[str, list[int]], reach: int):
-    """Sequential rule over one segment's bounded candidate table."""
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        segment = part["segment_id"].iloc[0]
-        now, out, gone = state[segment], [], set()
-        counter, processed = now["tribes"], now["processed"]
-        candidates = {s: g.sort_values(["similarity", "position"], ascending=[False, True])
-                      for s, g in part.groupby("seed")}
-        for seed in seeds[segment]:
-            if seed in gone:
-                continue
-            own = candidates.get(seed)
-            rows = own[~own["position"].isin(gone)] if own is not None else None
-            if own is not None and len(own) >= reach and len(rows) < rule.max_users:
-                break  # the kept list may hide users that earlier removals would let in
-            members = rows.head(rule.max_users) if rows is not None else part.head(0)
-            enough = len(members) >= max(1, rule.min_users) and (
-                min(int(members["n_reviews"].sum()), fixed.TRIBE_MAX_REVIEWS) >= rule.min_reviews)
-            out.append((segment, seed, -2, seed, None))  # visited as a seed
-            if not enough:
-                gone.add(seed)
-                processed += 1
-                out.append((segment, seed, -1, seed, None))
-                continue
-            out.extend((segment, int(p), counter, seed, float(min(1.0, max(0.0, s))))
-                       for p, s in zip(members["position"], members["similarity"]))
-            gone.update(int(p) for p in members["position"])
-            processed += len(members)
-            counter += 1
-            if rule.is_relaxed:
-                done = processed >= now["total"]
-            else:
-                done = processed / now["total"] >= rule.coverage_goal and counter >= rule.min_tribes
-            if done:
-                out.append((segment, -1, -3, seed, None))  # the segment is finished
-                break
-        frame = pd.DataFrame(out, columns=["segment_id", "position", "tribe_no", "seed", "similarity"])
-        return frame.astype({"position": "int64", "tribe_no": "int64", "seed": "int64", "similarity": "float64"})
-    return run
-
-
-def greedy_pass(users: DataFrame, rule: TribeRule, *, done: dict[str, int] | None = None, start: dict[str, int] | None = None,
-                seeds_per_round: int = 512, reach: int = 999, rounds_per_cut: int = 8) -> DataFrame:
-    """(segment_id, position, tribe_no, seed, similarity) of every decided user; tribe_no -1: a seed that was refused.
-
-    users: segment_id, position (unique in a segment, the order of seeds), unit, n_reviews; undecided users only.
-    done and start give users decided and tribes formed per segment by an earlier pass."""
-    if reach < rule.max_users:
-        raise ValueError("reach must be at least max_users")
-    spark = users.sparkSession
-    done, start = done or {}, start or {}
-    pending = cut_lineage(users)
-    counts = pending.groupBy("segment_id").count().collect()  # one row per segment
-    state = {r["segment_id"]: {"total": r["count"] + done.get(r["segment_id"], 0), "last": -1,
-                               "processed": done.get(r["segment_id"], 0), "tribes": start.get(r["segment_id"], 0)}
-             for r in counts}
+def vector_links(users: DataFrame, threshold: float, **options: int) -> tuple[DataFrame, DataFrame]:
+    """(users with rep, links a, b, similarity both ways and of each rep to itself). users: segment_id, unit and more."""
+    reps = cut_lineage(users.groupBy("segment_id", "unit").agg(F.count(F.lit(1)).alias("copies"))
+                       .withColumn("rep", F.monotonically_increasing_id()))
+    pairs = cut_lineage(similar_pairs(reps, threshold, within="segment_id", **options))
+    links = (pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+             .unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))))
+    return users.join(reps.drop("copies"), ["segment_id", "unit"]).drop("unit"), links
+
+
+def all_seeds(users: DataFrame, links: DataFrame, rule: TribeRule) -> DataFrame:
+    """(segment_id, seed, position, similarity, stands) of everyone the rule decides when nothing stops it.
+
+    users: segment_id, position, n_reviews, rep; links as vector_links gives them."""
+    undecided, live = cut_lineage(users), cut_lineage(links)
     decided: list[DataFrame] = []
-    rounds = 0
-    while state:
-        last = F.create_map(*[x for s, v in state.items() for x in (F.lit(s), F.lit(v["last"]).cast("long"))])
-        ahead = pending.filter(F.col("position") > F.try_element_at(last, F.col("segment_id")))
-        heads = keep_top(ahead, ["segment_id"], [F.col("position")], min(seeds_per_round, 999)).select(
-            "segment_id", "position", "unit").collect()  # bounded: segments x seeds_per_round rows
-        if not heads:
-            break
-        heads.sort(key=lambda r: (r["segment_id"], r["position"]))
-        order: dict[str, list[int]] = {}
-        vectors: dict[str, list] = {}
-        for r in heads:
-            order.setdefault(r["segment_id"], []).append(r["position"])
-            vectors.setdefault(r["segment_id"], []).append(r["unit"])
-        packed = spark.sparkContext.broadcast({s: (np.array(order[s]), np.array(vectors[s])) for s in order})
-        scored = pending.mapInPandas(_score(packed, rule.threshold, reach), "segment_id string, seed long, position long, "
-                                     "similarity double, n_reviews long")
-        best = keep_top(scored, ["segment_id", "seed"], [F.col("similarity").desc(), F.col("position")], reach)
-        played = cut_lineage(best.groupBy("segment_id").applyInPandas(
-            _play(rule, {s: state[s] for s in order}, order, reach), _DECIDED))
-        settled = played.filter(F.col("tribe_no") >= -1)
+    while not undecided.isEmpty():
+        low = undecided.groupBy("rep").agg(F.min("position").alias("low"))
+        near = live.join(low.select(F.col("rep").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+        near = cut_lineage(near)
+        far = live.join(near.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+        seeds = (undecided.join(far.withColumnRenamed("a", "rep"), "rep").filter(F.col("position") == F.col("low"))
+                 .select(F.col("rep").alias("a"), F.col("position").alias("seed")))
+        # of one vector's copies no more than max_users can be members
+        offered = keep_top(undecided, ["rep"], [F.col("position")], rule.max_users)
+        found = live.join(seeds, "a").join(offered.withColumnRenamed("rep", "b"), "b")
+        best = keep_top(found, ["a"], [F.col("similarity").desc(), F.col("position")], rule.max_users)
+        sums = best.groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_reviews").alias("__r"))
+        stands = (F.col("__n") >= max(1, rule.min_users)) & (F.col("__r") >= rule.min_reviews)
+        settled = (best.join(sums, "a").withColumn("stands", stands).filter(F.col("stands") | (F.col("position") == F.col("seed")))
+                   .select("segment_id", "seed", "position", F.when(F.col("stands"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
+                           .alias("similarity"), "stands"))
+        settled = cut_lineage(settled)
         decided.append(settled)
-        progress = {r["segment_id"]: r for r in played.groupBy("segment_id").agg(
-            F.max(F.when(F.col("tribe_no") == -2, F.col("position"))).alias("last"),
-            F.count_if(F.col("tribe_no") >= -1).alias("settled"),
-            (F.max("tribe_no") + 1).alias("tribes"),
-            F.max(F.col("tribe_no") == -3).alias("finished")).collect()}  # one row per segment
-        for segment in list(state):
-            row = progress.get(segment)
-            if row is None or row["finished"]:
-                del state[segment]  # no seed is left, or the goal is reached
-                continue
-            state[segment]["last"] = row["last"]
-            state[segment]["processed"] += row["settled"]
-            state[segment]["tribes"] = max(state[segment]["tribes"], row["tribes"])
-        # bounded: at most segments x seeds_per_round x max_users positions a round
-        pending = pending.join(F.broadcast(settled.select("segment_id", "position")), ["segment_id", "position"], "left_anti")
-        rounds += 1
-        if rounds % rounds_per_cut == 0:
-            pending = cut_lineage(pending)
-            merged = decided[0]
-            for d in decided[1:]:
-                merged = merged.unionByName(d)
-            decided = [cut_lineage(merged)]
-    result = spark.createDataFrame([], _DECIDED)
-    for d in decided:
-        result = result.unionByName(d)
-    return result
+        undecided = cut_lineage(undecided.join(settled.select("segment_id", "position"), ["segment_id", "position"], "left_anti"))
+        left = undecided.select("rep").distinct()
+        live = cut_lineage(live.join(left.withColumnRenamed("rep", "a"), "a", "left_semi").join(left.withColumnRenamed("rep", "b"), "b", "left_semi"))
+        if len(decided) == 16:
+            decided = [cut_lineage(_union(decided))]
+    return _union(decided) if decided else users.select("segment_id", F.col("position").alias("seed"), "position", F.lit(0.0).alias("similarity"), F.lit(False).alias("stands"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def numbered(decided: DataFrame, totals: DataFrame, rule: TribeRule) -> DataFrame:
+    """decided with tribe_no (null: refused), up to the seed at which its segment reaches the goal.
+
+    totals: segment_id, total (all users of the segment), done (decided before), start (tribes before)."""
+    seeds = decided.groupBy("segment_id", "seed").agg(F.count(F.lit(1)).alias("n"), F.first("stands").alias("stands"))
+    chunk = chunk_by_position("seed", CHUNK_ROWS)
+    sums = rank_within(seeds, ["segment_id"], [F.col("seed")], chunk, rank="__k", weight=F.col("n"), running="upto")
+    sums = rank_within(sums, ["segment_id"], [F.col("seed")], chunk, rank="__k", weight=F.col("stands").cast("long"), running="formed")
+    sums = sums.join(totals, "segment_id").withColumns({"upto": F.col("upto") + F.col("done"), "formed": F.col("formed") + F.col("start")})
+    over = (F.col("upto") >= F.col("total") if rule.is_relaxed else
+            (F.col("upto") / F.col("total") >= rule.coverage_goal) & (F.col("formed") >= rule.min_tribes))
+    stop = sums.filter(over & F.col("stands")).groupBy("segment_id").agg(F.min("seed").alias("stop"))
+    kept = sums.join(stop, "segment_id", "left").filter(F.col("stop").isNull() | (F.col("seed") <= F.col("stop")))
+    number = F.when(F.col("stands"), F.col("formed") - 1).alias("tribe_no")
+    return decided.drop("stands").join(kept.select("segment_id", "seed", number), ["segment_id", "seed"])
 
 
 def form_tribes(users: DataFrame, rule: TribeRule | None = None, **options: int) -> DataFrame:
     """Tribe of every user that gets one: main pass, then the relaxed pass over whoever is left undecided.
 
-    users: user_id, segment_id, position, user_embedding, n_reviews."""
+    users: user_id, segment_id, position (unique in a segment), user_embedding, n_reviews."""
     rule = rule or TribeRule()
     prepared = users.select("user_id", "segment_id", F.col("position").cast("long").alias("position"),
                             unit_vector(F.col("user_embedding")).alias("unit"),
                             F.col("n_reviews").cast("long").alias("n_reviews")).filter(F.col("unit").isNotNull())
-    work = prepared.drop("user_id")
-    main = greedy_pass(work, rule, **options)
-    rest = work.join(main.select("segment_id", "position"), ["segment_id", "position"], "left_anti")
-    so_far = {r["segment_id"]: r for r in main.groupBy("segment_id").agg(
-        F.count(F.lit(1)).alias("n"), (F.max("tribe_no") + 1).alias("tribes")).collect()}  # one row per segment
-    again = greedy_pass(rest, rule.relaxed(), done={s: r["n"] for s, r in so_far.items()},
-                        start={s: r["tribes"] for s, r in so_far.items()}, **options)
+    prepared = cut_lineage(prepared)
+    totals = prepared.groupBy("segment_id").agg(F.count(F.lit(1)).alias("total")).withColumns(
+        {"done": F.lit(0).cast("long"), "start": F.lit(0).cast("long")})
+    held, links = vector_links(prepared.drop("user_id"), rule.threshold, **options)
+    main = cut_lineage(numbered(all_seeds(held, links, rule), totals, rule))
+    rest = prepared.drop("user_id").join(main.select("segment_id", "position"), ["segment_id", "position"], "left_anti")
+    so_far = main.groupBy("segment_id").agg(F.count(F.lit(1)).alias("done"), F.coalesce(F.max("tribe_no") + 1, F.lit(0)).alias("start"))
+    held, links = vector_links(rest, rule.relaxed().threshold, **options)
+    again = numbered(all_seeds(held, links, rule.relaxed()), totals.select("segment_id", "total").join(so_far, "segment_id"), rule.relaxed())
     both = main.withColumn("relaxed", F.lit(False)).unionByName(again.withColumn("relaxed", F.lit(True)))
-    members = (both.filter(F.col("tribe_no") >= 0).join(prepared.drop("unit"), ["segment_id", "position"])
+    members = (both.filter(F.col("tribe_no").isNotNull()).join(prepared.drop("unit"), ["segment_id", "position"])
                .withColumn("tribe_id", F.concat("segment_id", F.when(F.col("relaxed"), "_relaxed_micro_")
                                                 .otherwise("_micro_"), "tribe_no")))
-    totals = members.groupBy("tribe_id").agg(
-        F.count(F.lit(1)).alias("total_users"),
-        F.least(F.sum("n_reviews"), F.lit(fixed.TRIBE_MAX_REVIEWS)).cast("long").alias("total_reviews"))
-    return (members.join(totals, "tribe_id")
+    sums = members.groupBy("tribe_id").agg(F.count(F.lit(1)).alias("total_users"), F.sum("n_reviews").alias("total_reviews"))
+    return (members.join(sums, "tribe_id")
             .select("user_id", "segment_id", "tribe_id", F.col("similarity").alias("similarity_score"), "position",
                     "total_users", "total_reviews", F.col("relaxed").alias("relaxed_criteria")))
 
 
-def tribe_reviews(members: DataFrame, reviews: DataFrame, position: str,
-                  limit: int = fixed.TRIBE_MAX_REVIEWS) -> DataFrame:
-    """A tribe's reviews in member and review order, the first `limit` of them."""
+def tribe_reviews(members: DataFrame, reviews: DataFrame, position: str, limit: int | None = None) -> DataFrame:
+    """A tribe's reviews in member and review order, with review_no; on request the first `limit` of them."""
     joined = members.select("tribe_id", "user_id", F.col("position").alias("__member")).join(reviews, "user_id")
-    per_user = rank_within(joined, ["tribe_id", "user_id"], [F.col(position)], chunk_by_position(position),
-                           rank="__nth").filter(F.col("__nth") <= limit)
-    return (rank_within(per_user, ["tribe_id"], [F.col("__member"), F.col("__nth")], chunk_by_position("__member", 1),
-                        rank="review_no").filter(F.col("review_no") <= limit).drop("__member", "__nth"))
+    ranked = rank_within(joined, ["tribe_id"], [F.col("__member"), F.col(position)], chunk_by_position("__member", 1),
+                         rank="review_no").drop("__member")
+    return ranked if limit is None else ranked.filter(F.col("review_no") <= limit)
 
 
-def tribe_summaries(members: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Members' summaries in member order, each cut at its limit, until the tribe's character limit is reached.
+def tribe_summaries(members: DataFrame, summaries: DataFrame, each: int | None = None, total: int | None = None) -> DataFrame:
+    """Members' summaries in member order; on request each cut at a length, and none after a total is reached.
 
     A tribe has at most max_users members, so its window is small."""
-    long = F.length("summary") > fixed.SUMMARY_MAX_CHARACTERS
-    cut = F.when(long, F.concat(F.substring("summary", 1, fixed.SUMMARY_MAX_CHARACTERS), F.lit("..."))
-                 ).otherwise(F.col("summary"))
+    text = F.col("summary")
+    if each is not None:
+        text = F.when(F.length(text) > each, F.concat(F.substring(text, 1, each), F.lit("..."))).otherwise(text)
+    kept = members.join(summaries, "user_id").filter(present(F.col("summary"))).withColumn("summary", text)
+    if total is None:
+        return kept
     before = Window.partitionBy("tribe_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return (members.join(summaries, "user_id").filter(present(F.col("summary")))
-            .withColumn("summary", cut)
-            .withColumn("__before", F.coalesce(F.sum(F.length("summary")).over(before), F.lit(0)))
-            .filter(F.col("__before") < fixed.TRIBE_MAX_CHARACTERS).drop("__before"))
+    return (kept.withColumn("__before", F.coalesce(F.sum(F.length("summary")).over(before), F.lit(0)))
+            .filter(F.col("__before") < total).drop("__before"))

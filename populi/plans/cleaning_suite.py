@@ -59,13 +59,13 @@ def new_keys_only(spark: SparkSession, sf: str) -> DataFrame:
     return clean.new_rows(rows.filter(~old).drop("l_returnflag"), ["l_partkey", "l_suppkey"], rows.filter(old), ["pos"])
 
 
-@query("prediction_duplicates", """SELECT lang, source, md5(substr(text, 1, 100)) prefix, min(doc_id) doc_id FROM documents GROUP BY 1, 2, 3""")
+@query("prediction_duplicates", """SELECT lang, source, md5(text) text_md5, min(doc_id) doc_id FROM documents GROUP BY 1, 2, 3""")
 def prediction_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     rows = clean.prediction_duplicates_removed(table(spark, sf, "documents"), "text", "lang", "source", "doc_id")
-    return rows.select("lang", "source", F.md5(F.substring("text", 1, 100)).alias("prefix"), "doc_id")
+    return rows.select("lang", "source", F.md5("text").alias("text_md5"), "doc_id")
 
 
-@query("task_duplicates", """SELECT user_id, event_type, CAST(ts AS DATE) AS "day", min(event_id) event_id FROM events GROUP BY 1, 2, 3, substr(props, 1, 50)""")
+@query("task_duplicates", """SELECT user_id, event_type, CAST(ts AS DATE) AS "day", min(event_id) event_id FROM events GROUP BY 1, 2, 3, props""")
 def task_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumn("day", F.to_date("ts"))
     kept = clean.task_duplicates_removed(rows, "user_id", "event_type", "day", "props", "event_id")
@@ -199,7 +199,7 @@ def category_text_pool(spark: SparkSession, sf: str) -> DataFrame:
         "lang", "n", "n_chars")
 
 
-@query("review_ids", """SELECT doc_id, source || '_' || lang || '_unknown_' || substr(md5(substr(text, 1, 100)), 1, 8) review_id FROM documents""")
+@query("review_ids", """SELECT doc_id, source || '_' || lang || '_unknown_' || md5(text) review_id FROM documents""")
 def review_ids(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return table(spark, sf, "documents").select("doc_id", text.review_id(F.col("source"), F.col("lang"), none, F.col("text"))

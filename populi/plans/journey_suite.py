@@ -1,12 +1,13 @@
-"""Correction journeys on the driver tables: a user's first thirteen events are the iterations of one review."""
+"""Correction journeys on the driver tables: each thirteen events of a user, in time order, are the iterations of one review."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from populi.functions import recall
 from populi.operators import journey
+from populi.operators.groups import chunk_by_hour, rank_within
 from populi.operators.wide import theme_map
 from populi.plans.testbed import SQL, distributions, query, rounded, sides, table
 
@@ -15,20 +16,20 @@ _FIELDS = ["theme", "overall", "text", "prediction"]
 
 def journey_rows(spark: SparkSession, sf: str) -> DataFrame:
     """cluster_id, tribe_id, review_key, iteration, theme, overall, text, prediction (an error event yields none)."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = (table(spark, sf, "events").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 13)
-             .withColumn("iteration", F.col("r") - 1))
+    order = [F.col("ts"), F.col("event_id")]
+    placed = rank_within(table(spark, sf, "events"), ["user_id"], order, chunk_by_hour("ts"), rank="r").withColumns(
+        {"review": F.floor((F.col("r") - 1) / 13), "iteration": ((F.col("r") - 1) % 13).cast("int")})
     theme, text = F.floor(F.col("value")) / 500, F.length("props") / 20
-    return first.select(
+    return placed.select(
         F.concat(F.lit("c"), F.col("user_id") % 4).alias("cluster_id"), F.concat(F.lit("t"), F.col("user_id") % 12).alias("tribe_id"),
-        F.col("user_id").alias("review_key"), "iteration", theme.alias("theme"), journey.overall_delta(text, theme).alias("overall"),
+        F.concat_ws("-", "user_id", "review").alias("review_key"), "iteration", theme.alias("theme"), journey.overall_delta(text, theme).alias("overall"),
         text.alias("text"), F.when(F.col("event_type") != "error", F.concat(F.lit("p"), "event_id")).alias("prediction"))
 
 
-_ROWS = """j AS (SELECT 'c' || (user_id % 4) cluster_id, 't' || (user_id % 12) tribe_id, user_id review_key, r - 1 AS iteration, floor(value) / 500 theme,
+_ROWS = """j AS (SELECT 'c' || (user_id % 4) cluster_id, 't' || (user_id % 12) tribe_id, user_id || '-' || ((r - 1) // 13) review_key, (r - 1) % 13 AS iteration, floor(value) / 500 theme,
     0.7::DOUBLE * (length(props) / 20) + 0.3::DOUBLE * (floor(value) / 500) overall, length(props) / 20 AS text_delta,
     CASE WHEN event_type <> 'error' THEN 'p' || event_id END prediction
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) r FROM events) WHERE r <= 13)"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) r FROM events))"""
 
 _GROUP = ["cluster_id", "tribe_id"]
 
@@ -48,7 +49,7 @@ def overall_deltas(spark: SparkSession, sf: str) -> DataFrame:
   FROM g LEFT JOIN j ON j.review_key = g.review_key AND iteration = i
   WINDOW w AS (PARTITION BY g.review_key ORDER BY i ROWS UNBOUNDED PRECEDING)""")
 def running_minimum_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(journey.dense_grid(nested(spark, sf), ["review_key"], ["theme", "overall"]))
+    return rounded(journey.dense_grid(nested(spark, sf), ["review_key"], ["theme", "overall"], last=12))
 
 
 _ENDS = """e AS (SELECT cluster_id, tribe_id, review_key, max(theme) FILTER (WHERE iteration = 0) t0, min(theme) t1, max(overall) FILTER (WHERE iteration = 0) o0, min(overall) o1

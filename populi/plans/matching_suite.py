@@ -18,7 +18,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 # Clicks and views are reviews; purchases are classifications. A view names no product, a purchase above 100 neither.
 _J4 = """rev AS (SELECT event_id, CAST(user_id AS VARCHAR) u, props x, CASE WHEN event_type = 'click' THEN CAST(user_id % 7 AS VARCHAR) END asin
-    FROM events WHERE event_type IN ('click', 'view')),
+    FROM events WHERE event_type <> 'purchase'),
   tag AS (SELECT event_id pos, CAST(user_id AS VARCHAR) u, props x, CASE WHEN value <= 50 THEN CAST(user_id % 7 AS VARCHAR) WHEN value > 100 THEN 'zz' END asin
     FROM events WHERE event_type = 'purchase')"""
 
@@ -26,7 +26,7 @@ _J4 = """rev AS (SELECT event_id, CAST(user_id AS VARCHAR) u, props x, CASE WHEN
 def _j4_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     asin = (F.col("user_id").cast("long") % 7).cast("string")
     rows = _events(spark, sf)
-    reviews = rows.filter(F.col("event_type").isin("click", "view")).select(
+    reviews = rows.filter(F.col("event_type") != "purchase").select(
         "event_id", "user_id", F.col("props").alias("review_text"), F.when(F.col("event_type") == "click", asin).alias("asin"),
         F.when(F.col("value") > 150, F.concat(F.lit("id"), F.col("user_id"))).alias("review_id"))
     tags = rows.filter(F.col("event_type") == "purchase").select(
@@ -264,8 +264,8 @@ def suffix_tolerant_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return match.with_user_text(rows, texts, "user_id", "summary").select("event_id", "summary")
 
 
-@query("unified_methods_deduplicated", """WITH r AS (SELECT user_id, event_type, event_id, CASE event_type WHEN 'view' THEN 'pre' WHEN 'click' THEN 'post' ELSE 'baseline' END simulation_method,
-    CASE WHEN event_type = 'click' THEN 0 ELSE value / 1000 END acc, value / 700 rec, props FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+@query("unified_methods_deduplicated", """WITH r AS (SELECT user_id, event_type, event_id, CASE event_type WHEN 'view' THEN 'pre' WHEN 'click' THEN 'post' WHEN 'purchase' THEN 'baseline' ELSE 'other' END simulation_method,
+    CASE WHEN event_type = 'click' THEN 0 ELSE value / 1000 END acc, value / 700 rec, props FROM events),
   s AS (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY CASE WHEN acc = 0 THEN rec ELSE acc END DESC, event_id) n FROM r)
   SELECT user_id, props, simulation_method, event_id FROM s WHERE n = 1""")
 def unified_methods_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,6 +274,8 @@ def unified_methods_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     parts = [to_results(rows.filter(F.col("event_type") == kind), method, user=F.col("user_id"), product=F.col("props"),
                         accuracy=acc, recall=F.col("value") / 700, extra={"event_id": F.col("event_id")})
              for kind, (method, acc) in accuracy.items()]
+    parts.append(to_results(rows.filter(~F.col("event_type").isin(list(accuracy))), "other", user=F.col("user_id"), product=F.col("props"),
+                            accuracy=F.col("value") / 1000, recall=F.col("value") / 700, extra={"event_id": F.col("event_id")}))
     kept = best_results(parts, ["user_id", "stimulus_product_id"], "event_id", keep="best")
     return kept.select("user_id", F.col("stimulus_product_id").alias("props"), "simulation_method", "event_id")
 

@@ -35,21 +35,14 @@ def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sample.within_quota(population(spark, sf), _quotas(spark, sf), "user_id", "review_key").select("review_key", "user_id")
 
 
-@query("quota_scan_lenient", f"""WITH {SQL.POP}, k AS (SELECT user_id, category, min(review_key) p FROM pop GROUP BY 1, 2 ORDER BY p LIMIT 500)
-  SELECT p review_key, user_id, category FROM k""")
-def quota_scan_lenient(spark: SparkSession, sf: str) -> DataFrame:
-    """First 500 distinct keys of the scan, as the lenient quota scan takes them."""
-    return sample.first_distinct(population(spark, sf), ["user_id", "category"], "review_key", 500).select(
-        "review_key", "user_id", "category")
-
-
 @query("quota_top_up", f"""WITH {SQL.POP}, {_QUOTA}, rest AS (SELECT user_id, category, min(review_key) p FROM pop
-    WHERE (user_id, category) NOT IN (SELECT user_id, category FROM taken) GROUP BY 1, 2 ORDER BY p LIMIT 300)
+    WHERE (user_id, category) NOT IN (SELECT user_id, category FROM taken) GROUP BY 1, 2 ORDER BY p
+    LIMIT (SELECT greatest(0, (SELECT sum(quota) FROM quota) - (SELECT count(*) FROM taken))::BIGINT))
   SELECT p review_key, user_id, category FROM rest""")
 def quota_top_up(spark: SparkSession, sf: str) -> DataFrame:
     pop = population(spark, sf)
     taken = sample.within_quota(pop, _quotas(spark, sf), "user_id", "review_key")
-    return sample.top_up(pop, taken, ["user_id", "category"], "review_key", 300).select("review_key", "user_id", "category")
+    return sample.top_up(pop, taken, _quotas(spark, sf), ["user_id", "category"], "review_key").select("review_key", "user_id", "category")
 
 
 _TARGETS = """cnt AS (SELECT category, count(*) n FROM pop GROUP BY 1),
@@ -107,10 +100,10 @@ def busiest_users(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sampling_rounds", """WITH t AS (SELECT DISTINCT lang, text FROM documents),
   r AS (SELECT lang, md5(text) text_md5, CAST(ceil(row_number() OVER (PARTITION BY lang ORDER BY md5('1|' || text), text) / 50.0) AS INTEGER)
-    round FROM t) SELECT * FROM r WHERE round <= 4""")
+    round FROM t) SELECT * FROM r""")
 def sampling_rounds(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("lang", "text")
-    rounds = sample.sampling_rounds(docs, "lang", "text", per_round=50, max_rounds=4, seed=1)
+    rounds = sample.sampling_rounds(docs, "lang", "text", per_round=50, seed=1)
     return rounds.select("lang", F.md5("text").alias("text_md5"), "round")
 
 
@@ -145,6 +138,15 @@ def leave_one_out_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select("review_key", "others", "others_mean_rating"))
 
 
+@query("leave_one_out_places", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) "rank", count(*) OVER (PARTITION BY conv_id) - 1 others, md5(text) text_md5
+  FROM conversations""")
+def leave_one_out_places(spark: SparkSession, sf: str) -> DataFrame:
+    """All other reviews, without a budget: each user's texts once, and each row's own place to leave out."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.timestamp_seconds(F.col("turn")).alias("ts"))
+    rows = sample.leave_one_out_history(turns, "conv_id", "ts", "turn", "text")
+    return rows.select("conv_id", "turn", "rank", "others", F.md5("text").alias("text_md5"))
+
+
 @query("leave_one_out_history", """WITH c AS (SELECT conv_id, turn, text, length(text) l FROM conversations),
   p AS (SELECT a.conv_id, a.turn, b.turn bt, b.text, sum(b.l) OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn
     ROWS UNBOUNDED PRECEDING) used FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn <> b.turn)

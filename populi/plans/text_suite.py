@@ -75,10 +75,10 @@ def match_keys(spark: SparkSession, sf: str) -> DataFrame:
     return population(spark, sf).select("review_key", text.match_key(F.col("user_id"), padded, F.col("category")).alias("match_key"))
 
 
-@query("content_hashes", "SELECT doc_id, substr(md5(text), 1, 8) whole, substr(md5(substr(text, 1, 100)), 1, 8) start FROM documents")
+@query("content_hashes", "SELECT doc_id, md5(text) whole, substr(md5(substr(text, 1, 100)), 1, 8) stated_prefix FROM documents")
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.text_prefix_hash(F.col("text"), None).alias("whole"),
-                                                text.text_prefix_hash(F.col("text")).alias("start"))
+    return table(spark, sf, "documents").select("doc_id", text.text_hash(F.col("text")).alias("whole"),
+                                                text.text_hash(F.col("text"), 100, 8).alias("stated_prefix"))
 
 
 @query("sentiment_words", """SELECT event_type, CASE WHEN event_type IN ('view') THEN 'Neutral' WHEN event_type = 'purchase' THEN 'Positive' WHEN event_type = 'error' THEN 'Negative' ELSE 'Neutral' END sentiment,
@@ -283,17 +283,10 @@ def _topic_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("fuzzy_theme_matches", f"WITH {_FUZZY} SELECT n theme, round(s, 6) similarity FROM bs WHERE s >= 0.6")
 def fuzzy_theme_matches(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "part").select(F.lit("all").alias("category"), F.col("p_name").alias("theme"))
-    found = fuzzy.best_fuzzy(names, _topic_rows(spark, sf), 0.6, ratio="edit")
+    found = fuzzy.best_fuzzy(names, _topic_rows(spark, sf), 0.6)
     return rounded(found.select("theme", "similarity"))
 
 
-@query("fuzzy_theme_matches_by_sequence")
-def fuzzy_theme_matches_by_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """The standard library's sequence ratio, which SQL does not have; tested against a plain loop."""
-    names = table(spark, sf, "part").select(F.lit("all").alias("category"), F.col("p_name").alias("theme"))
-    return rounded(fuzzy.best_fuzzy(names, _topic_rows(spark, sf), 0.6).select("theme", "topic", "similarity"))
-
-
 @query("vector_theme_matches", """WITH v AS (SELECT DISTINCT p_brand t, CAST(embedding AS DOUBLE[]) e FROM part JOIN embeddings ON vec_id = CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT)),
   s AS (SELECT a.t theme, b.t topic, list_cosine_similarity(a.e, b.e) s FROM v a JOIN v b ON b.t IN ('Brand#1', 'Brand#2', 'Brand#3')), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY s DESC) n FROM s)
   SELECT theme, topic, round(s, 6) similarity FROM r WHERE n = 1 AND s >= 0.05""")
@@ -312,5 +305,5 @@ def distributions_onto_topics(spark: SparkSession, sf: str) -> DataFrame:
     probs = sides(spark, sf, "p_name").groupBy(F.col("k").alias("review_key"), F.col("t").alias("theme")).agg(F.sum("a").alias("p")).withColumn("category", F.lit("all"))
     # equally similar topics: the alphabetically first is wanted here, so the list is given in that order
     topics = _topic_rows(spark, sf).withColumn("pos", F.when(F.col("theme") == "cold washer", 0).when(F.col("theme") == "large bolt", 1).when(F.col("theme") == "ring", 2).otherwise(3))
-    matches = fuzzy.best_fuzzy(probs, topics, 0.6, ratio="edit")
+    matches = fuzzy.best_fuzzy(probs, topics, 0.6)
     return rounded(fuzzy.onto_topic_list(probs, topics, [matches]).select(F.col("review_key").alias("k"), "topic", "p"))

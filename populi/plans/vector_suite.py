@@ -10,20 +10,25 @@ from populi.operators import cluster, fuzzy, similarity, tribes
 from populi.plans.metrics_suite import brand_vectors
 from populi.plans.testbed import SQL, query, rounded, sides, table
 
-_PAIR = """n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings)"""
+_PAIR = """n AS (SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) e FROM embeddings)"""
 
 
-@query("similar_neighbour_counts", f"""WITH {_PAIR}, p AS (SELECT a.vec_id x, b.vec_id y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.3)
+def _short(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eight dimensions, where some vectors are near."""
+    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e"))
+
+
+@query("similar_neighbour_counts", f"""WITH {_PAIR}, p AS (SELECT a.vec_id x, b.vec_id y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.8)
   SELECT vec_id, count(y) neighbours FROM n LEFT JOIN p ON x = vec_id GROUP BY 1""")
 def similar_neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.neighbour_counts(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.3, pivots=16, block=500)
+    return similarity.neighbour_counts(_short(spark, sf), "vec_id", "e", 0.8)
 
 
 @query("similar_pairs", f"""WITH {_PAIR} SELECT a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.e, b.e), 6) similarity FROM n a JOIN n b
-  ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.3""")
+  ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.8""")
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    reps = similarity.distinct_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    return rounded(similarity.similar_pairs(reps, 0.3, pivots=16, block=500))
+    reps = similarity.distinct_vectors(_short(spark, sf), "vec_id", "e")
+    return rounded(similarity.similar_pairs(reps, 0.8))
 
 
 @query("standardised_embeddings", """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) d, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings)
@@ -71,21 +76,51 @@ def tribe_users(spark: SparkSession, sf: str) -> DataFrame:
 TEST_RULE = tribes.TribeRule(threshold=0.2, min_users=2, max_users=5, min_reviews=3, coverage_goal=0.7, min_tribes=2)
 
 
-@query("user_tribes")
+def _greedy(name: str, start: str, rule: tribes.TribeRule) -> str:
+    """The rule one seed after another: a row per segment and step k, with the members m of its seed."""
+    goal = "len(done) >= n" if rule.is_relaxed else f"len(done) / n >= {rule.coverage_goal} AND formed >= {rule.min_tribes}"
+    return f"""{name}_near AS (SELECT x.segment_id, x.position, list({{'s': s, 'v': y}} ORDER BY s DESC, y) vs FROM users x JOIN sims ON x.position = sims.x
+      WHERE s >= {rule.threshold} GROUP BY 1, 2),
+  {name} AS ({start} UNION ALL
+    SELECT segment_id, k + 1, CASE WHEN ok THEN list_concat(done, list_transform(m, lambda q: q.v)) ELSE list_append(done, seed) END, formed + ok::INT, ok, m, n, positions
+    FROM (SELECT *, len(m) >= {max(1, rule.min_users)} AND list_sum(list_transform(m, lambda q: q.v % 5)) >= {rule.min_reviews} ok
+      FROM (SELECT t.segment_id, k, done, formed, n, positions, seed, list_filter(vs, lambda q: NOT list_contains(done, q.v))[1:{rule.max_users}] m
+        FROM (SELECT *, list_min(list_filter(positions, lambda q: NOT list_contains(done, q))) seed FROM {name} WHERE NOT (ok AND {goal})) t
+        JOIN {name}_near w ON w.segment_id = t.segment_id AND w.position = seed)))"""
+
+
+_TRIBES = f"""WITH RECURSIVE users AS (SELECT 'segment_' || label segment_id, vec_id AS position, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+  sims AS (SELECT a.position x, b.position y, CASE WHEN a.position = b.position THEN 1 ELSE round(list_cosine_similarity(a.e, b.e), 12) END s
+    FROM users a JOIN users b ON a.segment_id = b.segment_id),
+  {_greedy('main', """SELECT segment_id, 0 k, []::BIGINT[] done, 0 formed, FALSE ok, []::STRUCT(s DOUBLE, v BIGINT)[] m, count(*) n, list(position) positions
+    FROM users GROUP BY 1""", TEST_RULE)},
+  {_greedy('again', """SELECT segment_id, 0 k, done, formed, FALSE ok, []::STRUCT(s DOUBLE, v BIGINT)[] m, n, positions
+    FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY k DESC) r FROM main) WHERE r = 1""", TEST_RULE.relaxed())},
+  formed_tribes AS (SELECT segment_id, segment_id || '_micro_' || (formed - 1) tribe_id, m, FALSE relaxed_criteria FROM main WHERE ok
+    UNION ALL SELECT segment_id, segment_id || '_relaxed_micro_' || (formed - 1), m, TRUE FROM again WHERE ok AND k > 0),
+  members AS (SELECT CAST(q.v AS VARCHAR) user_id, segment_id, tribe_id, round(greatest(0, least(1, q.s)), 6) similarity_score, q.v AS position,
+    count(*) OVER (PARTITION BY tribe_id) total_users, CAST(sum(q.v % 5) OVER (PARTITION BY tribe_id) AS BIGINT) total_reviews, relaxed_criteria
+    FROM (SELECT *, unnest(m) q FROM formed_tribes))"""
+
+
+@query("user_tribes", f"{_TRIBES} SELECT * FROM members")
 def user_tribes(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy tribes; the sequential rule has no SQL twin and is tested against a plain loop."""
+    """Greedy tribes in parallel rounds; the SQL plays the rule seed by seed."""
     return rounded(tribes.form_tribes(tribe_users(spark, sf), TEST_RULE))
 
 
-@query("tribe_reviews")
+@query("tribe_reviews", f"""{_TRIBES}, d AS (SELECT doc_id, text, CAST(doc_id % (SELECT count(*) FROM embeddings) AS VARCHAR) user_id FROM documents),
+  r AS (SELECT tribe_id, count(*) n_reviews, arg_min(doc_id, (position, doc_id)) first_doc FROM members JOIN d USING (user_id) GROUP BY 1),
+  l AS (SELECT user_id, max(length(text)) n FROM d GROUP BY 1 HAVING max(length(trim(text))) > 0)
+  SELECT r.*, (SELECT CAST(sum(n) AS BIGINT) FROM members JOIN l USING (user_id) WHERE members.tribe_id = r.tribe_id) n_chars FROM r""")
 def tribe_reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """First reviews of each tribe in member and review order, and how many characters of summaries it keeps."""
+    """Reviews of each tribe, the first in member and review order, and the characters of its users' longest texts."""
     members = tribes.form_tribes(tribe_users(spark, sf), TEST_RULE)
     docs = table(spark, sf, "documents")
-    user = (F.col("doc_id") % 500).cast("string").alias("user_id")
-    kept = tribes.tribe_reviews(members, docs.select(user, "doc_id"), "doc_id", limit=4).groupBy("tribe_id").agg(
-        F.count(F.lit(1)).alias("n_reviews"), F.min("doc_id").alias("first_doc"))
-    longest = docs.groupBy(user).agg(F.max_by("text", "doc_id").alias("summary"))
+    user = (F.col("doc_id") % table(spark, sf, "embeddings").count()).cast("string").alias("user_id")
+    kept = tribes.tribe_reviews(members, docs.select(user, "doc_id"), "doc_id").groupBy("tribe_id").agg(
+        F.count(F.lit(1)).alias("n_reviews"), F.max_by("doc_id", -F.col("review_no")).alias("first_doc"))
+    longest = docs.groupBy(user).agg(F.max_by("text", F.struct(F.length("text"), "doc_id")).alias("summary"))
     text = tribes.tribe_summaries(members, longest).groupBy("tribe_id").agg(F.sum(F.length("summary")).alias("n_chars"))
     return kept.join(text, "tribe_id", "left")
 
@@ -93,11 +128,13 @@ def tribe_reviews(spark: SparkSession, sf: str) -> DataFrame:
 _WEIGHTED = f"""{SQL.SIDES}, v AS (SELECT DISTINCT p_brand t, CAST(embedding AS DOUBLE[]) e FROM part JOIN embeddings ON vec_id = CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT))"""
 
 
-@query("weighted_topic_vectors", f"""WITH {_WEIGHTED} SELECT k, round(sum(a * e[1]) / sum(a), 6) first_dim, round(sum(a * e[64]) / sum(a), 6) last_dim, count(*) n_themes FROM sides JOIN v USING (t) GROUP BY k""")
+@query("weighted_topic_vectors", f"""WITH {_WEIGHTED}, d AS (SELECT k, a, generate_subscripts(e, 1) - 1 dim, unnest(e) x FROM sides JOIN v USING (t)),
+  n AS (SELECT k, count(DISTINCT t) n FROM sides JOIN v USING (t) GROUP BY 1)
+  SELECT k, CAST(dim AS INTEGER) dim, round(sum(a * x) / sum(a), 6) + 0.0 x, n n_themes FROM d JOIN n USING (k) GROUP BY 1, 2, 4""")
 def weighted_topic_vectors(spark: SparkSession, sf: str) -> DataFrame:
     probs = sides(spark, sf).groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p"))
     rows = cluster.weighted_topic_vectors(probs, brand_vectors(spark, sf), "k")
-    return rounded(rows.select("k", F.get("topic_vector", 0).alias("first_dim"), F.get("topic_vector", 63).alias("last_dim"), "n_themes"))
+    return rounded(rows.select("k", F.posexplode("topic_vector").alias("dim", "x"), "n_themes"))
 
 
 @query("attached_theme_vectors", f"""WITH {_WEIGHTED} SELECT k, CAST(count(*) AS INTEGER) n_themes, CAST(count(e) FILTER (WHERE t <> 'Brand#7') AS INTEGER) n_vectors, sum(a) mass FROM sides LEFT JOIN v USING (t) GROUP BY k""")

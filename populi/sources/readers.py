@@ -298,7 +298,7 @@ def journey_tree(spark: SparkSession, path: str) -> DataFrame:
     step = lambda s: F.struct(s["iteration"].alias("iteration"), s["new_theme_delta"].alias("theme"),
                               s["new_overall_delta"].alias("overall"), s["new_text_delta"].alias("text"),
                               s["corrected_prediction_data"].alias("prediction"))
-    steps = F.filter(F.transform(F.coalesce("j.correction_journey", F.array()), step), lambda s: s["iteration"].between(1, 12))
+    steps = F.filter(F.transform(F.coalesce("j.correction_journey", F.array()), step), lambda s: s["iteration"] >= 1)
     d = F.col("j.initial_prediction_deltas")
     first = F.struct(F.lit(0).alias("iteration"), d["theme_delta"].alias("theme"), d["overall_delta"].alias("overall"),
                      d["text_delta"].alias("text"), F.col("j.initial_prediction_data").alias("prediction"))

@@ -32,16 +32,24 @@ def append_tagged(spark: SparkSession, source: str, sink: str, rejects: str, che
     run_available(tagged.filter(F.col("reason").isNotNull()), rejects, checkpoint + "/rejects")
 
 
+def _single(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of several the smallest by all other columns, the same in every run."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
 def cache_hits_and_misses(items: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(items with their cached value, items still to be computed). cache: keys and value."""
-    known = cache.dropDuplicates(keys)
+    known = _single(cache, keys)
     return items.join(known, keys), items.join(known.select(*keys), keys, "left_anti")
 
 
 def merge_failures(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Failure log with the new failures, one row per key; a logged row stays."""
-    fresh = new.dropDuplicates(keys).join(log.select(*keys), keys, "left_anti")
-    return log.dropDuplicates(keys).unionByName(fresh)
+    fresh = _single(new, keys).join(log.select(*keys), keys, "left_anti")
+    return _single(log, keys).unionByName(fresh)
 
 
 def score_batches(df: DataFrame, fn, ddl: str) -> DataFrame:

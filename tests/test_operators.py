@@ -27,15 +27,17 @@ def test_describe_equals_numpy(spark):
         assert [r["q25"], r["median"], r["q90"]] == pytest.approx(list(np.percentile(v, [25, 50, 90])), rel=1e-12)
 
 
-@pytest.mark.parametrize("hot", [50, 10_000])
+@pytest.mark.parametrize("hot", ["'hot'", "CAST(NULL AS STRING)"])
 def test_ranks_do_not_depend_on_chunks(spark, hot):
-    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
-                                  F.md5(F.col("id").cast("string")).alias("h"))
-    got = groups.rank_within(df, ["k"], [F.col("h")], groups.chunk_by_hash("h", 50), size="n", weight=F.col("id"), running="w",
-                             hot_rows=hot).toPandas().sort_values(["k", "h"])
-    grouped = got.groupby("k")
-    assert (got["rank"] == grouped.cumcount() + 1).all() and (got["w"] == grouped["id"].cumsum()).all()
-    assert (got["n"] == grouped["id"].transform("size")).all()
+    """One key, or the null key, holds most rows; so does one order value."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), F.col("id") % 50)).otherwise(F.expr(hot)).alias("k"),
+                                  F.md5(F.col("id").cast("string")).alias("h"), F.greatest(F.col("id") - 2000, F.lit(0)).alias("p"))
+    for order, chunk in ((["h"], groups.chunk_by_hash("h", 50)), (["p", "id"], groups.chunk_by_position("p", 10))):
+        got = groups.rank_within(df, ["k"], [F.col(c) for c in order], chunk, size="n", weight=F.col("id"), running="w").toPandas()
+        got = got.fillna({"k": "-"}).sort_values(["k", *order])
+        grouped = got.groupby("k")
+        assert (got["rank"] == grouped.cumcount() + 1).all() and (got["w"] == grouped["id"].cumsum()).all()
+        assert (got["n"] == grouped["id"].transform("size")).all()
 
 
 def test_top_rows_are_limited_before_the_shuffle(spark):
@@ -62,13 +64,6 @@ def test_split_is_complete_disjoint_and_repeatable(spark):
         assert test == (max(1, int(n * 0.2)) if n >= 4 else 0)
 
 
-def test_hot_user_split_equals_plain_split(spark, monkeypatch):
-    df = spark.range(900).select("id", F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("u"))
-    plain = sorted(map(tuple, sample.user_split(df, "u", "id").collect()))
-    monkeypatch.setattr(groups, "HOT_ROWS", 40)
-    assert sorted(map(tuple, sample.user_split(df, "u", "id").collect())) == plain
-
-
 def test_leave_one_out_history_against_loop(spark):
     rng = random.Random(4)
     data = [(f"u{u}", i, "w" * rng.randint(0, 9)) for u in range(8) for i in range(rng.randint(1, 12))]
@@ -242,9 +237,9 @@ def plain_tribes(unit, reviews, rule, processed, counter):
 
 
 @pytest.mark.parametrize("rule,options", [
-    (tribes.TribeRule(0.8, 2, 6, 5, 0.6, 1), {"seeds_per_round": 5, "reach": 16}),
-    (tribes.TribeRule(0.9, 1, 30, 5), {"seeds_per_round": 64, "reach": 40}),
-    (tribes.TribeRule(0.7, 3, 4, 9, 0.5, 3), {"seeds_per_round": 7, "reach": 14, "rounds_per_cut": 2}),
+    (tribes.TribeRule(0.8, 2, 6, 5, 0.6, 1), {"block": 16}),
+    (tribes.TribeRule(0.9, 1, 30, 5), {}),
+    (tribes.TribeRule(0.7, 3, 4, 9, 0.5, 3), {"pivots": 3}),
 ])
 def test_tribes_equal_the_sequential_rule(spark, rule, options):
     data, want = [], set()
@@ -273,7 +268,7 @@ def test_tribe_caps(spark):
     kept = [(r["user_id"], r["pos"]) for r in tribes.tribe_reviews(members, reviews, "pos", limit=6).orderBy("review_no").collect()]
     assert kept == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1)]
     texts = spark.createDataFrame([("a", "x" * 3000), ("b", "y" * 10), ("c", " ")], "user_id string, summary string")
-    got = {r["user_id"]: r["summary"] for r in tribes.tribe_summaries(members, texts).collect()}
+    got = {r["user_id"]: r["summary"] for r in tribes.tribe_summaries(members, texts, each=2000, total=50_000).collect()}
     assert len(got["a"]) == 2003 and got["b"] == "y" * 10 and "c" not in got
 
 
