@@ -35,10 +35,14 @@ def match_to_truth(predictions: DataFrame, truth: DataFrame, position: str = "po
               .withColumn("match_key", spread_key(key(), F.col("__incomplete").isNull(), F.col("review_key")))
               .join(known.withColumn("__found", F.lit(True)), "match_key", "left"))
     no_mass = lambda m: total(F.col(m)) == 0
+    no_value = lambda m: F.size(F.map_filter(F.col(m), lambda _, v: v.isNotNull())) == 0
+    not_finite = lambda m: F.exists(F.map_values(m), lambda v: F.isnan(v) | (F.abs(v) == float("inf")))
     reason = (F.when(F.col("__incomplete").isNotNull(), F.col("__incomplete"))
               .when(F.col("__found").isNull(), "no_ground_truth_match")
               .when(non_empty(F.col("predicted")).isNull() | non_empty(F.col("actual")).isNull(),
                     "empty_distributions")
+              .when(no_value("predicted") | no_value("actual"), "alignment_failed")
+              .when(not_finite("predicted") | not_finite("actual"), "invalid_metrics")
               .when(no_mass("predicted") | no_mass("actual"), "normalization_failed"))
     return joined.withColumn("reason", reason).drop("__incomplete", "__found")
 
@@ -270,18 +274,32 @@ def user_memory(batches: DataFrame) -> DataFrame:
 
 
 def memory_for(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Count and first/last analysis per member, from the member's tribe, else from the whole cluster."""
+    """analyses of each member in batch order, from the member's tribe; a tribe without any memory takes its cluster's.
+
+    memory_level is tribe or cluster, null for a member without any; tribe_has_memory tells the two kinds apart once a tribe."""
     def at(keys: list[str], tag: str) -> DataFrame:
-        order = F.struct("tribe_id", "batch", "i")
-        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{tag}"),
-                                       F.min_by("analysis", order).alias(f"first_{tag}"),
-                                       F.max_by("analysis", order).alias(f"last_{tag}"))
+        entry = F.struct("tribe_id", "batch", "i", "analysis")
+        return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["analysis"]).alias(f"__{tag}"))
     tribe, cluster = at(["tribe_id", "user_id"], "tribe"), at(["cluster_id", "user_id"], "cluster")
-    joined = members.join(tribe, ["tribe_id", "user_id"], "left").join(cluster, ["cluster_id", "user_id"], "left")
-    pick = lambda name: F.coalesce(f"{name}_tribe", f"{name}_cluster").alias(name)
-    return joined.select(*members.columns, pick("n"), pick("first"), pick("last"),
-                         F.when(F.col("n_tribe").isNotNull(), "tribe").when(F.col("n_cluster").isNotNull(), "cluster")
-                         .alias("memory_level"))
+    known = rows.select("tribe_id").distinct().withColumn("__known", F.lit(True))
+    joined = (members.join(tribe, ["tribe_id", "user_id"], "left").join(known, "tribe_id", "left")
+              .join(cluster, ["cluster_id", "user_id"], "left"))
+    has = F.coalesce("__known", F.lit(False))
+    found = F.when(has, F.col("__tribe")).otherwise(F.col("__cluster"))
+    return joined.select(*members.columns, found.alias("analyses"), has.alias("tribe_has_memory"),
+                         F.when(found.isNotNull(), F.when(has, "tribe").otherwise("cluster")).alias("memory_level"))
+
+
+def history_without_own(rows: DataFrame, history: DataFrame, key: str, place: str) -> DataFrame:
+    """Each row with the history of its key, less the entry at its own place: n_history, own place and whether any is there.
+
+    history: key, place, text. The texts stay in the history table, once each; a reader of one row skips `own`."""
+    sums = history.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.length("text")).alias("__chars"))
+    own = history.groupBy(key, place).agg(F.count(F.lit(1)).alias("__own"), F.sum(F.length("text")).alias("__own_chars"))
+    joined = rows.join(sums, key, "left").join(own, [key, place], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return joined.withColumns({"n_history": zero("__n") - zero("__own"), "n_chars": zero("__chars") - zero("__own_chars"),
+                               "missing": F.col("__n").isNull()}).drop("__n", "__chars", "__own", "__own_chars")
 
 
 def category_lookup(categories: DataFrame, universe: DataFrame, raw: str = "raw_category",

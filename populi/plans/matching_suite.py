@@ -218,24 +218,25 @@ def category_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return match.category_lookup(categories, universe).drop("strategy")
 
 
-@query("user_memory", """WITH r AS (SELECT l_suppkey % 3 cl, l_suppkey tr, l_orderkey b, l_linenumber i, l_partkey u, l_returnflag || l_partkey an FROM lineitem WHERE l_returnflag <> 'R'),
+@query("user_memory", """WITH r AS (SELECT l_suppkey % 3 cl, l_suppkey tr, l_orderkey b, l_partkey || '_review_' || l_linenumber i, l_partkey u, l_returnflag || l_orderkey an
+    FROM lineitem WHERE l_returnflag <> 'R' AND l_suppkey % 4 > 0),
   m AS (SELECT DISTINCT l_suppkey % 3 cl, l_suppkey tr, l_partkey u FROM lineitem),
-  t AS (SELECT tr, u, count(*) n FROM r GROUP BY 1, 2), c AS (SELECT cl, u, count(*) n FROM r GROUP BY 1, 2)
-  SELECT coalesce(CASE WHEN t.n IS NOT NULL THEN 'tribe' WHEN c.n IS NOT NULL THEN 'cluster' END, 'none') memory_level, count(*) members,
-    CAST(coalesce(sum(coalesce(t.n, c.n)), 0) AS BIGINT) n_analyses FROM m LEFT JOIN t USING (tr, u) LEFT JOIN c USING (cl, u) GROUP BY 1""")
+  t AS (SELECT tr, u, string_agg(an, ',' ORDER BY b, i) a FROM r GROUP BY 1, 2), c AS (SELECT cl, u, string_agg(an, ',' ORDER BY tr, b, i) a FROM r GROUP BY 1, 2)
+  SELECT m.tr tribe_id, CAST(m.u AS VARCHAR) user_id, CASE WHEN m.tr IN (SELECT tr FROM r) THEN CASE WHEN t.a IS NOT NULL THEN 'tribe' END WHEN c.a IS NOT NULL THEN 'cluster' END memory_level,
+    CASE WHEN m.tr IN (SELECT tr FROM r) THEN t.a ELSE c.a END analyses FROM m LEFT JOIN t USING (tr, u) LEFT JOIN c USING (cl, u)""")
 def user_memory(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches are orders' lines per supplier: parallel arrays of review keys and analyses; returned lines have none."""
+    """Batches are orders' lines per supplier: parallel arrays of review keys and analyses; a quarter of the tribes and returned lines have none."""
+    told = (F.col("l_returnflag") != "R") & (F.col("l_suppkey") % 4 > 0)
     line = table(spark, sf, "lineitem").select(
         (F.col("l_suppkey") % 3).alias("cluster_id"), F.col("l_suppkey").alias("tribe_id"), F.col("l_orderkey").alias("batch"),
         F.concat("l_partkey", F.lit("_review_"), "l_linenumber").alias("key"),
-        F.when(F.col("l_returnflag") != "R", F.concat("l_returnflag", "l_partkey")).otherwise("").alias("analysis"),
+        F.when(told, F.concat("l_returnflag", "l_orderkey")).otherwise("").alias("analysis"),
         F.col("l_partkey").cast("string").alias("user_id"))
     packed = line.groupBy("cluster_id", "tribe_id", "batch").agg(F.array_sort(F.collect_list(F.struct("key", "analysis"))).alias("e"))
     batches = packed.select("cluster_id", "tribe_id", "batch", F.transform("e", lambda x: x["key"]).alias("reviews"),
                             F.transform("e", lambda x: x["analysis"]).alias("analyses"))
     found = match.memory_for(line.select("cluster_id", "tribe_id", "user_id").distinct(), match.user_memory(batches))
-    return found.groupBy(F.coalesce("memory_level", F.lit("none")).alias("memory_level")).agg(
-        F.count(F.lit(1)).alias("members"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_analyses"))
+    return found.select("tribe_id", "user_id", "memory_level", F.array_join("analyses", ",").alias("analyses"))
 
 
 @query("history_without_own", """WITH h AS (SELECT conv_id, turn, length(text) l FROM conversations WHERE role = 'user'), t AS (SELECT conv_id, turn FROM conversations),
@@ -244,12 +245,9 @@ def user_memory(spark: SparkSession, sf: str) -> DataFrame:
   FROM t LEFT JOIN s USING (conv_id) LEFT JOIN h ON h.conv_id = t.conv_id AND h.turn = t.turn""")
 def history_without_own(spark: SparkSession, sf: str) -> DataFrame:
     """History table of one kind of turns joined to all turns, without the turn at the same place."""
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("l"))
-    own = F.when(F.col("role") == "user", F.col("l"))
-    sums = turns.filter(F.col("role") == "user").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s"))
-    return turns.join(sums, "conv_id", "left").select(
-        "conv_id", "turn", (F.coalesce("n", F.lit(0)) - F.when(own.isNotNull(), 1).otherwise(0)).cast("long").alias("n_history"),
-        (F.coalesce("s", F.lit(0)) - F.coalesce(own, F.lit(0))).alias("n_chars"), F.col("n").isNull().alias("missing"))
+    turns = table(spark, sf, "conversations")
+    rows = match.history_without_own(turns.select("conv_id", "turn"), turns.filter(F.col("role") == "user"), "conv_id", "turn")
+    return rows.select("conv_id", "turn", "n_history", "n_chars", "missing")
 
 
 @query("suffix_tolerant_lookup", """WITH w AS (SELECT event_id, CASE WHEN event_type = 'view' THEN user_id || '_1' ELSE CAST(user_id AS VARCHAR) END u FROM events),
