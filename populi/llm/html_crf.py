@@ -217,9 +217,10 @@ def laid_out(page: list[Block], labels: list[int], others: list[str], rng: rando
 
 def train(pages: DataFrame, sample: int = SAMPLE, layouts: int = LAYOUTS, seed: int = 3) -> Field:
     """Fit on a bounded sample of pages and their new layouts."""
-    chosen = (pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("html").alias("html"))
-              .where((F.col("html") != "") & (F.length("html") <= LONGEST)).select("page_id", "html", F.xxhash64("page_id", F.length("html")).alias("k"))
-              .orderBy("k", "page_id", "html").limit(sample).toPandas())
+    source = (pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("html").alias("html"))
+              .where((F.col("html") != "") & (F.length("html") <= LONGEST)).withColumn("k", F.xxhash64("page_id", "html")))
+    keys = source.select("k").distinct().orderBy("k").limit(sample)  # `sample` numbers; their pages are fetched by a join
+    chosen = source.join(F.broadcast(keys), "k", "left_semi").dropDuplicates(["k"]).orderBy("k").toPandas()
     field, rng, known = Field(), random.Random(seed), []
     for source in chosen["html"]:
         page = blocks(source)
