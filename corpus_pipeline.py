@@ -22,7 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that an earlier document has; a document that loses all its text goes."""
     cleaned = line_dedup.drop_repeated_lines(docs)
-    touched = F.col("__removed") > 0
+    touched = F.col("__runs").isNotNull() | F.col("__passages").isNotNull()
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cleaned.where(~(touched & (F.trim("text") == ""))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,11 @@ match, extended line by line both ways against the original; the lines of a matc
 Each window carries the few lines around it that an extension can need (what lies further is in a window of its own),
 so no document is compared with another as a whole and a window shared by many documents costs one row for each.
 
+Passages in the middle of lines are found the same way with every stretch of `GRAM` words as a line of its own: of
+`SPAN` consecutive stretches the one of the smallest hash is a fingerprint, so that a run of `PASSAGE` words shared
+anywhere has one in common. Matches outside the lines already deleted are extended word by word both ways, by hashes of the words
+around, and deleted from `PASSAGE` words on.
+
 Defined results: lines are parted by line feeds and compared exactly, but for white space at their ends; a run counts
 its words; white lines match only within a run. Null and empty texts stay as they are. Rows equal in doc_id and text
 are one document and all get its result; a null doc_id comes after all others. Further columns are kept, whatever their
@@ -15,15 +20,23 @@ names; an empty table gives an empty result. Whole texts are read; one document
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from populi.llm.common import Scratch, per_batch
 
-MIN_WORDS = 10
+MIN_WORDS = 10  # of a repeated run of lines
+GRAM, SPAN = 10, 40  # words of a stretch, and consecutive stretches of which one is a fingerprint
+PASSAGE = GRAM + SPAN  # words of a passage inside lines; all of GRAM + SPAN - 1 words share a fingerprint
+REACH = 60  # words around a fingerprint that are compared; further ones have fingerprints of their own
+BROADCAST_DOCS = 1_000_000  # documents (24 bytes each, and their places) that may be broadcast
 KEY = ("__doc", "__text")  # doc_id and the text's hash: a document
 WINDOWS = "line int, last int, fingerprint long, window long, before array<long>, after array<long>"
 
@@ -76,6 +89,18 @@ def _same(a: str, b: str) -> F.Column:
     return F.when(F.size(hits) == 0, 0).when(miss == 0, F.size(hits)).otherwise(miss.cast("int") - 1)
 
 
+def _merged(ranges: DataFrame) -> DataFrame:
+    """KEY, runs: the ranges first, last of each document sorted and joined where they touch."""
+    listed = ranges.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("r"))
+    kind = "array<struct<first:int,last:int>>"
+    merged = F.aggregate("r", F.array().cast(kind), lambda acc, x: F.when(
+        (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"] - 1),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"),
+                                                                  F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))))
+        .otherwise(F.concat(acc, F.array(x))).cast(kind))
+    return listed.select(*KEY, merged.alias("runs"))
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """KEY, runs: sorted, merged [first, last] line ranges that an earlier place has already. docs: KEY and text."""
     windows = scratch.write(_windows(docs, min_words), "windows")
@@ -87,40 +112,147 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     later = (windows.join(scratch.write(original, "original"), ["fingerprint", "window"])
              .where(place != F.col("o_place"))
              .select(*KEY, (F.col("line") - _same("before", "o_before")).alias("first"), (F.col("last") + _same("after", "o_after")).alias("last")))
-    ranges = later.distinct().groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("r"))
-    kind = "array<struct<first:int,last:int>>"
-    merged = F.aggregate("r", F.array().cast(kind), lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"] - 1),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"),
-                                                                  F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last")))))
-        .otherwise(F.concat(acc, F.array(x))).cast(kind))
-    return ranges.select(*KEY, merged.alias("runs"))
+    return _merged(later)
+
+
+def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first word, line of its first word, line of its last) of the selected stretches of a text."""
+    data = text.encode("utf-8", "surrogatepass")
+    words = data.split()
+    n = len(words) - GRAM + 1
+    if n < SPAN:
+        return (np.zeros(0, np.int64),) * 4
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    h = np.zeros(n, np.uint64)
+    for j in range(GRAM):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + each[j:n + j]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    at = np.unique(np.arange(n - SPAN + 1) + np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(axis=1))
+    ends = np.cumsum(np.fromiter((len(line.split()) for line in data.split(b"\n")), np.int64))
+    line = np.searchsorted(ends, at, side="right")
+    return h[at].view(np.int64), at, line, np.searchsorted(ends, at + GRAM - 1, side="right")
+
+
+def around(text: str, starts: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """(start, hashes of the words before it from the nearest on, hashes of the words after the stretch)."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    held: dict[bytes, int] = {}
+
+    def codes(part: list[bytes]) -> list[int]:
+        for w in part:
+            if w not in held:
+                held[w] = _signed(xxhash.xxh64_intdigest(w))
+        return [held[w] for w in part]
+    return [(i, codes(words[max(0, i - REACH):i][::-1]), codes(words[i + GRAM:i + GRAM + REACH])) for i in starts]
+
+
+def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """KEY, runs: [first, last] word ranges of passages that an earlier place has and whose lines `runs` does not cover."""
+    def select(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [fingerprints(t) for t in batch.column("text").to_pylist()]
+        row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        parts = [np.concatenate([f[k] for f in found]) for k in range(4)]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in KEY] + [pa.array(parts[0], pa.int64())] + [pa.array(p, pa.int32()) for p in parts[1:]],
+                                          names=[*KEY, "hash", "start", "line", "last"])
+    rows = docs.select(*KEY, "text").mapInArrow(per_batch(select), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, line int, last int")
+    rows = scratch.write(rows, "stretches")
+    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY], "start")
+    original = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1").select("hash", "o")
+    later = rows.join(scratch.write(original, "firsts"), "hash").where(place != F.col("o"))
+    covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
+    later = later.join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
+    inside = F.exists("__runs", lambda r: (r["first"] <= F.col("line")) & (F.col("last") <= r["last"]))
+    later = later.where(~F.coalesce(inside, F.lit(False))).select(*KEY, "start", F.col(f"o.{KEY[0]}").alias("o_doc"), F.col(f"o.{KEY[1]}").alias("o_text"), F.col("o.start").alias("o_start"))
+    later = scratch.write(later.distinct(), "later")
+    scratch.drop("stretches")
+    places = later.select(*KEY, "start").unionByName(later.select(F.col("o_doc").alias(KEY[0]), F.col("o_text").alias(KEY[1]), F.col("o_start").alias("start")))
+    places = places.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
+    places = scratch.write(places.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), "starts"), "places")
+    small = places.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("s")).first()
+    asked = F.broadcast(places) if small["n"] <= BROADCAST_DOCS and (small["s"] or 0) <= 4 * BROADCAST_DOCS else places
+    wanted = docs.join(asked, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t"))).select(*KEY, "text", "starts")
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [around(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        cells = list(zip(*[c for f in found for c in f])) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.list_(pa.int64())), pa.array(cells[2], pa.list_(pa.int64()))],
+                                          names=[*KEY, "start", "before", "after"])
+    seen = wanted.mapInArrow(per_batch(look), f"{KEY[0]} long, {KEY[1]} long, start int, before array<long>, after array<long>")
+    seen = scratch.write(seen.dropDuplicates([*KEY, "start"]), "seen")
+    first = seen.select(F.col(KEY[0]).alias("f_doc"), F.col(KEY[1]).alias("f_text"), F.col("start").alias("f_start"), F.col("before").alias("o_before"), F.col("after").alias("o_after"))
+    own = seen.select(F.col(KEY[0]).alias("s_doc"), F.col(KEY[1]).alias("s_text"), F.col("start").alias("s_start"), "before", "after")
+    both = (later.join(own, F.col(KEY[0]).eqNullSafe(F.col("s_doc")) & (F.col(KEY[1]) == F.col("s_text")) & (F.col("start") == F.col("s_start")))
+            .join(first, F.col("o_doc").eqNullSafe(F.col("f_doc")) & (F.col("o_text") == F.col("f_text")) & (F.col("o_start") == F.col("f_start"))))
+    ranges = both.select(*KEY, (F.col("start") - _same("before", "o_before")).alias("first"), (F.col("start") + GRAM - 1 + _same("after", "o_after")).alias("last"))
+    return _merged(ranges.where(F.col("last") - F.col("first") + 1 >= PASSAGE))
+
+
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+
+
+def without(text: str, lines: list[tuple[int, int]], words: list[tuple[int, int]]) -> str:
+    """The text without the line ranges and the word ranges; a line that loses all its words goes."""
+    out, word, l, w = [], 0, 0, 0
+    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        here = len(line.split())
+        while l < len(lines) and lines[l][1] < i:
+            l += 1
+        while w < len(words) and words[w][1] < word:
+            w += 1
+        end = word + here
+        if l < len(lines) and lines[l][0] <= i:
+            pass
+        elif w < len(words) and words[w][0] < end and here:
+            spans, at, kept, v = [m.span() for m in WORD.finditer(line)], 0, [], w
+            while v < len(words) and words[v][0] < end:
+                a, b = max(words[v][0], word) - word, min(words[v][1], end - 1) - word
+                kept.append(line[at:spans[a][0]])
+                at = spans[b + 1][0] if b + 1 < here else len(line)
+                v += 1
+            left = b"".join(kept) + line[at:]
+            if left.strip():
+                out.append(left.rstrip() if at == len(line) else left)
+        else:
+            out.append(line)
+        word = end
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with repeated runs deleted from the text, and after their columns __lines, __removed (lines) and __runs."""
+    """The rows of docs with repeated runs deleted from the text, and after their columns __lines (lines before), __runs (line
+    ranges) and __passages (word ranges) that were deleted, null if none were."""
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({KEY[0]: F.col(id_col).cast("long"), KEY[1]: F.xxhash64(text)})
     held = keyed.where(text != "").select(*KEY, text.alias("text"))
     runs = scratch.write(repeated_runs(held, scratch, min_words), "runs")
-    runs = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
-    joined = keyed.join(runs, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
-    lines = F.split(text, "\n", -1)
-    n = F.aggregate("__runs", F.lit(0), lambda acc, r: acc + r["last"] - r["first"] + 1)
-    # what stays is the stretches between the runs: one slice each, so that long texts take linear time
-    edges = F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda i: F.struct(
-        F.when(i == 0, 0).otherwise(F.get("__runs", i - 1)["last"] + 1).alias("a"),
-        F.when(i == F.size("__runs"), F.size("__all")).otherwise(F.get("__runs", i)["first"]).alias("b")))
-    kept = F.array_join(F.flatten(F.transform(edges, lambda e: F.slice("__all", e["a"] + 1, e["b"] - e["a"]))), "\n")
-    return (joined.withColumn("__all", lines)
-            .withColumn(text_col, F.when(F.col("__runs").isNull(), text).otherwise(kept))
-            .select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__all"), F.lit(0)).alias("__lines"),
-                    F.coalesce(n, F.lit(0)).alias("__removed"), "__runs"))
+    scratch.drop("windows")
+    passages = scratch.write(repeated_passages(held, runs, scratch), "passages")
+    named = lambda df, name: df.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias(name))
+    none = F.lit(None).cast("array<struct<first:int,last:int>>")
+    edits = (named(runs, "__runs").withColumn("__passages", none).unionByName(named(passages, "__passages").withColumn("__runs", none))
+             .groupBy("__d", "__t").agg(F.max("__runs").alias("__runs"), F.max("__passages").alias("__passages")))
+    joined = keyed.join(edits, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
+    columns = [*docs.columns, "__runs", "__passages"]
+    out = joined.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in columns])
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(text_col).to_pylist()
+        edits_of = lambda name: [[(r["first"], r["last"]) for r in rs or ()] for rs in batch.column(name).to_pylist()]
+        clean = [without(t, l, w) if t and (l or w) else t for t, l, w in zip(texts, edits_of("__runs"), edits_of("__passages"))]
+        n = [t.count("\n") + 1 if t is not None else 0 for t in texts]
+        return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if c == text_col else batch.column(c) for c in batch.schema.names] + [pa.array(n, pa.int32())],
+                                          names=[*batch.schema.names, "__lines"])
+    schema = StructType([*out.schema.fields]).add("__lines", IntegerType())
+    return out.mapInArrow(per_batch(cut), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
-    """doc_id, lines before, lines removed, the removed ranges as first-last (from 0) and the text that stays."""
-    runs = F.array_join(F.transform("__runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
-    return cleaned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__lines").cast("long").alias("n_lines"),
-                          F.col("__removed").cast("long").alias("n_removed"), F.coalesce(runs, F.lit("")).alias("removed"), "text")
+    """doc_id, lines before, lines and words of passages removed, their ranges as first-last (from 0) and the text that stays."""
+    ranges = lambda c: F.coalesce(F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ","), F.lit(""))
+    size = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda acc, r: acc + r["last"] - r["first"] + 1), F.lit(0).cast("long"))
+    return cleaned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__lines").cast("long").alias("n_lines"), size("__runs").alias("n_removed"),
+                          ranges("__runs").alias("removed"), size("__passages").alias("n_words_removed"), ranges("__passages").alias("passages"), "text")

@@ -123,6 +123,37 @@ def test_repeated_runs_go(spark, docs_of):
     assert "component" in got[0].asDict() and line_dedup.drop_repeated_lines(docs_of([])).count() == 0
 
 
+def test_passages_inside_lines_go(spark, docs_of):
+    """Passages of fifty words and more in the middle of lines leave every later document; what is around them stays."""
+    rng = random.Random(31)
+    fresh = lambda n: words(rng, n, 10 ** 7)
+    passages = [fresh(52), fresh(90), fresh(300)]
+    rows, want = [], {}
+    for i in range(80):
+        at = [fresh(rng.randint(1, 70)) for _ in range(3)]
+        p = passages[i % 4] if i % 4 < 3 else ""
+        rows.append((i, f"{at[0]}\n{at[1]} {p} {at[2]}"))
+        want[i] = rows[-1][1] if i < 3 else f"{at[0]}\n{at[1]} {at[2]}" if p else rows[-1][1]
+    rows += [(1000, fresh(40) + " " + passages[1][: len(passages[1]) // 4] + " " + fresh(3)), (None, passages[0] + " end"), (1001, "ab " * 4000)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs_of(rows)).collect()}
+    for i, text in want.items():
+        assert " ".join(got[i].split()) == " ".join(text.split()), i
+    assert got[1000] == rows[80][1] and got[None] == "end"
+
+
+def test_fingerprints_are_guaranteed():
+    rng = random.Random(3)
+    for _ in range(60):
+        shared = words(rng, line_dedup.GRAM + line_dedup.SPAN - 1, 50)
+        a, b = (line_dedup.fingerprints(words(rng, rng.randint(0, 90), 10 ** 6) + " " + shared + " " + words(rng, rng.randint(0, 90), 10 ** 6)) for _ in range(2))
+        assert set(a[0].tolist()) & set(b[0].tolist())
+
+
+def test_cutting():
+    assert line_dedup.without("a b c\nd e\n\nf g h", [(1, 1)], [(1, 1), (6, 7)]) == "a c\n\nf"
+    assert line_dedup.without("a b\nc d\ne", [], [(1, 3)]) == "a\ne"
+
+
 # --- quality and toxicity
 
 def test_quality_held_out(spark):
