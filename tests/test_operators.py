@@ -180,11 +180,11 @@ def test_best_step_fold_against_loop(spark):
         assert (got[i].iteration, got[i].theme, got[i].overall) == plain_best(initial[1:3], steps)
 
 
-def test_running_best_ignores_later_iterations_and_fills(spark):
+def test_running_best_of_all_or_of_stated_iterations_and_fills(spark):
     long = spark.createDataFrame([("r", 0, None), ("r", 2, .5), ("r", 4, .7), ("r", 13, .1)], "k string, iteration int, theme double")
     nested = journey.nest_steps(long, ["k"], ["theme"])
-    grid = [r["theme"] for r in journey.dense_grid(nested, ["k"], ["theme"]).orderBy("iteration").collect()]
-    assert grid == [None, None] + [.5] * 11
+    grid = lambda **o: [r["theme"] for r in journey.dense_grid(nested, ["k"], ["theme"], **o).orderBy("iteration").collect()]
+    assert grid() == [None, None] + [.5] * 11 + [.1] and grid(last=12) == [None, None] + [.5] * 11
     assert journey.dense_grid(nested, ["k"], ["theme"], fill=0.0).filter("theme = 0").count() == 2
 
 

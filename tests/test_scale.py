@@ -61,10 +61,12 @@ def test_partition_count_does_not_change_results(spark):
     assert runs[0] == runs[1]
 
 
-def test_first_iterations_are_limited_before_the_shuffle(spark):
-    from populi.plans.journey_suite import journey_rows
-    plan = journey_rows(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_journeys_hold_every_event(spark):
+    from populi.plans.journey_suite import journey_rows, nested
+    from populi.plans.testbed import table
+    n = table(spark, SF, "events").count()
+    assert journey_rows(spark, SF).count() == n
+    assert nested(spark, SF).selectExpr("sum(size(steps)) AS n").first()["n"] == n
 
 
 def test_journeys_with_repeated_iterations_stay_bounded(spark):

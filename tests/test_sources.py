@@ -122,7 +122,7 @@ def test_delta_and_journey_trees(spark, tmp_path):
         "user_id": "u", "review_idx": 0, "initial_prediction_deltas": {"theme_delta": .5, "overall_delta": .5}, "initial_prediction_data": {"t": 0},
         "correction_journey": steps}})
     j = readers.journey_tree(spark, str(tmp_path / "j" / "_journey")).withColumn("best", journey.best_by_theme(F.col("initial"), F.col("steps"))).first()
-    assert len(j["steps"]) == 3 and j["best"]["iteration"] == 2 and json.loads(j["best"]["prediction"]) == {"t": 1}
+    assert len(j["steps"]) == 4 and j["best"]["iteration"] == 13 and json.loads(j["best"]["prediction"]) == {"t": 9}
 
 
 def test_cluster_texts_from_both_places(spark, tmp_path):
