@@ -30,8 +30,8 @@ BROADCAST_WINDOWS = 1_000_000  # 24 MB of hashes
 UNITS = ("kilograms kilogram grams gram kilometers kilometres kilometer kilometre meters metres meter metre centimeters centimetres "
          "miles mile hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro "
          "cents cent percent degrees liters litres liter litre kg km cm mm mg ml lb oz ft").split()
-NAME, NUMBER, UNIT = "", "", ""
-MARK = ""  # stands before a name until its word is replaced
+NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"  # placeholders, from the private use area
+MARK = "\ue000"  # stands before a name until its word is replaced
 
 
 def _words(text: F.Column) -> F.Column:
@@ -150,6 +150,29 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(text_or_empty()) == F.col("__t")), "left_anti")
 
 
+# The same result said in SQL, with windows as texts in place of hashes. Signs that a look-ahead only looks at are taken
+# along and put back, which differs where two numbers with units share the one sign between them.
+ORACLE = f"""WITH src AS (SELECT 'd' side, doc_id id, coalesce(text, '') t FROM documents UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+  joined AS (SELECT side, id, regexp_replace(t, '([0-9])[.,]([0-9])', '\\1\\2', 'g') t FROM src),
+  parted AS (SELECT side, id, regexp_replace(t, '([0-9]) ?({"|".join(UNITS)})([^\\p{{L}}]|$)', '\\1 \\2\\3', 'g') t FROM joined),
+  marked AS (SELECT side, id, regexp_replace(t, '([\\p{{Ll}}0-9,;:] )(\\p{{Lu}}\\p{{L}}*)', '\\1{MARK}\\2', 'g') t FROM parted),
+  lines AS (SELECT side, id, trim(lower(regexp_replace(t, '[^\\p{{L}}\\p{{N}}{MARK}]+', ' ', 'g'))) t FROM marked),
+  typed AS (SELECT side, id, t, regexp_replace(regexp_replace(regexp_replace(t, '{MARK}[\\p{{L}}\\p{{N}}]*', '{NAME}', 'g'), '[0-9]+', '{NUMBER}', 'g'),
+    '{NUMBER} (?:{"|".join(UNITS)})( |$)', '{NUMBER} {UNIT}\\1', 'g') k FROM lines),
+  tok AS (SELECT side, id, string_split(t, ' ') w, string_split(k, ' ') k FROM typed WHERE t <> ''),
+  items AS (SELECT min(id) item_id, arg_min(w, id) iw, k ik, least(len(k), {WINDOW}) n, len(k) size FROM tok WHERE side = 'b' AND len(k) >= {LEAST_WORDS} GROUP BY k),
+  iwin AS (SELECT item_id, n, p, array_to_string(ik[p + 1:p + n], ' ') g FROM (SELECT *, unnest(generate_series(0, size - n)) p FROM items)),
+  dwin AS (SELECT id doc_id, n, p, array_to_string(k[p + 1:p + n], ' ') g FROM (SELECT id, k, n, unnest(generate_series(0, len(k) - n)) p
+    FROM tok, (SELECT DISTINCT n FROM items) WHERE side = 'd' AND len(k) >= n)),
+  hits AS (SELECT doc_id, item_id, dwin.p - iwin.p shift, count(DISTINCT iwin.p) matched, min(iwin.p) lo, max(iwin.p + n) hi FROM dwin JOIN iwin USING (n, g) GROUP BY 1, 2, 3),
+  held AS (SELECT hits.*, size - n + 1 item_windows, list_filter(list_transform(range(lo, hi), lambda i: {{'kind': ik[i + 1], 'item': iw[i + 1], 'doc': tok.w[i + 1 + shift]}}),
+      lambda s: contains(s.kind, '{NAME}') OR contains(s.kind, '{NUMBER}')) s
+    FROM hits JOIN items USING (item_id) JOIN tok ON side = 'd' AND id = doc_id WHERE matched >= greatest(least(size, {RUN_WORDS}) - {WINDOW}, 0) + 1)
+  SELECT doc_id, item_id, max(matched) matched_windows, max(item_windows) item_windows, CAST(max(len(s)) AS BIGINT) n_slots,
+    bool_or(len(list_filter(s, lambda x: x.item <> x.doc)) = 0) same_values
+  FROM held WHERE len(list_distinct(s)) = len(list_distinct(list_transform(s, lambda x: {{'kind': x.kind, 'item': x.item}}))) GROUP BY 1, 2"""
+
+
 def digest(found: DataFrame) -> DataFrame:
     """One row per leaked document and item class."""
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("long").alias("item_id")).agg(

@@ -58,4 +58,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op4_nearest_neighbours, op5_resharding, op6_html_extraction,
                                                      op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE}
