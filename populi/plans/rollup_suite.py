@@ -125,12 +125,13 @@ _IMPROVED_R = _IMPROVED.replace("FROM compared)", """FROM (SELECT user_id, revie
 
 @query("improvement_by_tribe_ranked", f"""WITH {_IMPROVED_R}, t AS (SELECT cluster_id, tribe_id, avg(ij) j, avg(iw) w FROM imp GROUP BY 1, 2)
   SELECT cluster_id, tribe_id, round(j, 3) mean_improvement_jsd, round(w, 3) mean_improvement_wd,
-    round((j * 0.3 + w * 0.3) / 0.6, 3) composite FROM t""")
+    round((j * 0.3 + w * 0.3) / 0.6, 3) composite, row_number() OVER (ORDER BY round((j * 0.3 + w * 0.3) / 0.6, 3) DESC, cluster_id, tribe_id) "rank" FROM t""")
 def improvement_by_tribe_ranked(spark: SparkSession, sf: str) -> DataFrame:
     means = rollup.group_means(_improved(spark, sf), _PATH, ["improvement_jsd", "improvement_wd"], 1).drop("n")
     none = F.lit(None).cast("double")
     score = rollup.composite_score(F.col("mean_improvement_jsd"), F.col("mean_improvement_wd"), none, none)
-    return rounded(means.withColumn("composite", score).orderBy(F.desc("composite")), 3)
+    scored = rounded(means.withColumn("composite", score), 3)
+    return rollup.ranked_groups(scored, "composite", _PATH)
 
 
 @query("top_and_bottom_tribes", f"""WITH {SQL.compared()}, t AS (SELECT cluster_id, tribe_id, avg(jsd) x, avg(jsd_post) y FROM compared GROUP BY 1, 2),

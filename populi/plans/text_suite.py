@@ -307,3 +307,14 @@ def distributions_onto_topics(spark: SparkSession, sf: str) -> DataFrame:
     topics = _topic_rows(spark, sf).withColumn("pos", F.when(F.col("theme") == "cold washer", 0).when(F.col("theme") == "large bolt", 1).when(F.col("theme") == "ring", 2).otherwise(3))
     matches = fuzzy.best_fuzzy(probs, topics, 0.6)
     return rounded(fuzzy.onto_topic_list(probs, topics, [matches]).select(F.col("review_key").alias("k"), "topic", "p"))
+
+
+@query("renamed_theme_lists", """WITH l AS (SELECT l_orderkey k, (l_linenumber, p_brand) i, CASE p_brand WHEN 'Brand#1' THEN 'Brand#2' WHEN 'Brand#3' THEN 'three' ELSE p_brand END t
+    FROM lineitem JOIN part ON l_partkey = p_partkey), f AS (SELECT k, t, min(i) i FROM l GROUP BY 1, 2)
+  SELECT k, string_agg(t, ',' ORDER BY i) themes FROM f GROUP BY 1""")
+def renamed_theme_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Each review's themes in line order; two names become one."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    listed = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_brand"))).alias("e"))
+    names = F.create_map(*[F.lit(x) for x in ("Brand#1", "Brand#2", "Brand#3", "three")])
+    return listed.select("k", F.array_join(text.rename_list(F.transform("e", lambda x: x["p_brand"]), names), ",").alias("themes"))
