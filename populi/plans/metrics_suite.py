@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from populi.functions import dist, recall
-from populi.functions.base import non_empty
 from populi.functions.text import themes_overlap
 from populi.operators import fuzzy, match, rollup, wide
 from populi.plans.testbed import SQL, STATS_SQL, distributions, population, query, rounded, sides, table
+from populi.sources import readers
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,10 +214,9 @@ def actual_side_priority(spark: SparkSession, sf: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.when(F.col("pa").isNotNull(), F.struct("t", "pa")))).alias("first"),
         F.collect_list(F.when(F.col("n"), F.col("t"))).alias("second"),
         F.map_from_entries(F.collect_list(F.struct("t", "a"))).alias("third"))
-    first, second = non_empty(F.col("first")), non_empty(dist.uniform(F.col("second")))
-    chosen = rows.select(F.when(first.isNotNull(), "topic_probabilities").when(second.isNotNull(), "themes")
-                         .otherwise("predicted_themes").alias("source"),
-                         F.size(F.coalesce(first, second, F.col("third"))).alias("m"))
+    review = F.struct(F.to_json("first").alias("topic_probabilities"), F.to_json("second").alias("themes"), F.to_json("third").alias("predicted_themes"))
+    source = (F.when(F.size("first") > 0, "topic_probabilities").when(F.size("second") > 0, "themes").otherwise("predicted_themes"))
+    chosen = rows.select(source.alias("source"), F.size(readers.first_actual(review)).alias("m"))
     return chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n_reviews"), F.sum("m").alias("n_themes"))
 
 
