@@ -115,10 +115,20 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS)
     return _merged(later)
 
 
+def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over every `width` neighbours, in a logarithm of passes."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = pick(x[:-step], x[step:])
+        have += step
+    return x
+
+
 def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, line of its first word, line of its last) of the selected stretches of a text."""
-    data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+    words = [w for line in lines for w in line]
     n = len(words) - GRAM + 1
     if n < SPAN:
         return (np.zeros(0, np.int64),) * 4
@@ -129,10 +139,12 @@ def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    at = np.unique(np.arange(n - SPAN + 1) + np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(axis=1))
-    ends = np.cumsum(np.fromiter((len(line.split()) for line in data.split(b"\n")), np.int64))
-    line = np.searchsorted(ends, at, side="right")
-    return h[at].view(np.int64), at, line, np.searchsorted(ends, at + GRAM - 1, side="right")
+    # a stretch is selected if it is the smallest of some SPAN neighbours: the largest of the minima around it is its own hash
+    low = _sliding(h, SPAN, np.minimum)
+    ends = np.zeros(SPAN - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([ends, low, ends]), SPAN, np.maximum) == h)
+    upto = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    return h[at].view(np.int64), at, np.searchsorted(upto, at, side="right"), np.searchsorted(upto, at + GRAM - 1, side="right")
 
 
 def around(text: str, starts: list[int]) -> list[tuple[int, list[int], list[int]]]:
@@ -149,7 +161,7 @@ def around(text: str, starts: list[int]) -> list[tuple[int, list[int], list[int]
 
 
 def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
-    """KEY, runs: [first, last] word ranges of passages that an earlier place has and whose lines `runs` does not cover."""
+    """KEY, runs: [first, last] word ranges of passages that an earlier document has and whose lines `runs` does not cover."""
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [fingerprints(t) for t in batch.column("text").to_pylist()]
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
@@ -160,7 +172,8 @@ def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> Dat
     rows = scratch.write(rows, "stretches")
     place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY], "start")
     original = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1").select("hash", "o")
-    later = rows.join(scratch.write(original, "firsts"), "hash").where(place != F.col("o"))
+    elsewhere = ~F.col(KEY[0]).eqNullSafe(F.col(f"o.{KEY[0]}")) | (F.col(KEY[1]) != F.col(f"o.{KEY[1]}"))
+    later = rows.join(scratch.write(original, "firsts"), "hash").where(elsewhere)
     covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
     later = later.join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
     inside = F.exists("__runs", lambda r: (r["first"] <= F.col("line")) & (F.col("last") <= r["last"]))
