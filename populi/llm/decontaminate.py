@@ -131,12 +131,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run_words
     texts = texts.join(chosen.select(F.col("__d").alias("__cd"), F.col("__t").alias("__ct")), F.col("__d").eqNullSafe(F.col("__cd")) & (F.col("__t") == F.col("__ct")), "left_semi")
     texts = texts.select("__d", "__t", _words(F.col("__body")).alias("__doc_line")).dropDuplicates(["__d", "__t"])
     pairs = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
-    doc_words, item_words = F.split("__doc_line", " "), F.split("item_line", " ")
-    slot = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.struct(
-        F.get("item_tokens", i).alias("kind"), F.get("__iw", i).alias("item"), F.get("__dw", i + F.col("shift")).alias("doc")))
-    kinds = F.filter(slot, lambda s: s["kind"].contains(NAME) | s["kind"].contains(NUMBER))
+    n = F.col("hi") - F.col("lo")
+    # the matched words alone are written, so that no later expression splits a whole text again
+    pairs = scratch.write(pairs.select(
+        "doc_id", "__text", "item_id", "matched", "needed", "item_windows", F.slice("item_tokens", F.col("lo") + 1, n).alias("kind"),
+        F.slice(F.split("item_line", " "), F.col("lo") + 1, n).alias("item"),
+        F.slice(F.split("__doc_line", " "), F.col("lo") + F.col("shift") + 1, n).alias("doc")), "pairs")
+    kinds = F.filter(F.arrays_zip("kind", "item", "doc"), lambda s: s["kind"].contains(NAME) | s["kind"].contains(NUMBER))
     values = F.array_distinct("__slots")
-    checked = (pairs.withColumns({"__dw": doc_words, "__iw": item_words}).withColumn("__slots", kinds)
+    checked = (pairs.withColumn("__slots", kinds)
                .withColumn("ok", F.size(values) == F.size(F.array_distinct(F.transform("__slots", lambda s: F.struct(s["kind"], s["item"])))))
                .where("ok").withColumn("same", F.forall("__slots", lambda s: s["item"] == s["doc"])))
     return checked.groupBy("doc_id", "__text", "item_id").agg(
