@@ -10,7 +10,7 @@ The benchmark's distinct windows are broadcast only while their counted number i
 the same join shuffles. Items with equal templates are one class, named by its smallest item_id.
 
 Defined results: null and empty texts match nothing; an item shorter than `WINDOW` words is one window of its own
-length; items under `LEAST_WORDS` words match nothing, as any text holds them by chance. Rows equal in doc_id and text
+length; items under `LEAST_WORDS` words match nothing, as any text holds them by chance; nor do items without an id. Rows equal in doc_id and text
 are one document; a null doc_id is kept as null. Further columns are ignored (by `drop_leaked`: kept); empty tables give
 empty results. Whole texts are read."""
 
@@ -102,7 +102,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run_words
     scratch = Scratch(docs.sparkSession, "leaks")
     items = templates(benchmark, "item_id", "text", "item_id")
     n = F.size("__tokens")
-    items = (items.where(n >= LEAST_WORDS).groupBy("__tokens").agg(F.min(F.struct("item_id", "__line")).alias("i"))
+    items = (items.where((n >= LEAST_WORDS) & F.col("item_id").isNotNull()).groupBy("__tokens").agg(F.min(F.struct("item_id", "__line")).alias("i"))
              .select(F.col("i.item_id").alias("item_id"), F.col("i.__line").alias("item_line"), "__tokens",
                      F.least(n, F.lit(window)).alias("item_length"), (F.greatest(n - window, F.lit(0)) + 1).alias("item_windows"),
                      (F.greatest(F.least(n, F.lit(run_words)) - window, F.lit(0)) + 1).alias("needed")))

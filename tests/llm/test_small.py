@@ -517,17 +517,19 @@ def plain_leaks(docs, items):
     return out
 
 
-@pytest.mark.skip(reason="open: did not end with the long text and failed without it; the operator is held by its SQL so far")
 def test_leaks(spark, docs_of):
     rng = random.Random(12)
+
+    def words(rng, n, vocabulary=0):  # letters only: a word with digits would be a number's template
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
     items = [(1, "If Anna has 12 apples and gives 5 kg of them to Bert, then 12 minus 5 leaves how many for Anna today?"),
              (2, "a short item here"), (3, "too short"), (4, None), (5, words(rng, 30)), (6, words(rng, 20) + " Some Name did it again for 3.5 miles."), (None, words(rng, 15))]
     docs = [(1, "Intro words. " + items[0][1]), (2, "so If Carl has 7 apples and gives 2 kg of them to Dora, then 7 minus 2 leaves how many for Carl today? yes"),
             (3, "If Carl has 7 apples and gives 2 kg of them to Dora, then 9 minus 2 leaves how many for Carl today?"), (4, None), (5, ""),
             (6, words(rng, 50) + " a short item here " + words(rng, 9)), (7, items[4][1]), (7, items[4][1]), (8, " ".join(items[4][1].split()[5:19])),
-            (9, " ".join(items[4][1].split()[5:15])), (None, "xx yy " + items[5][1].replace("3.5", "48")), (10, words(rng, 60_000, 10 ** 6) + " " + items[5][1])]
+            (9, " ".join(items[4][1].split()[5:15])), (None, "xx yy " + items[5][1].replace("3.5", "48")), (10, words(rng, 20_000) + " " + items[5][1])]
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, pos int")
-    want = plain_leaks(docs, items)
+    want = plain_leaks(docs, [(i, t) for i, t in items if i is not None])
     assert {(1, 1), (2, 1), (6, 2), (7, 5), (8, 5), (None, 6), (10, 6)} <= want and (3, 1) not in want
     for limit in (1_000_000, 0):
         got = decontaminate.digest(decontaminate.leaks(docs_of(docs), benchmark, broadcast_windows=limit)).collect()
