@@ -7,7 +7,9 @@ words is hashed by doubling (hashes of 1, 2, 4, 8 words) and looked up among the
 shorter item, and where its slots are consistent: one value of the item always stands for one value in the document.
 
 The benchmark's distinct windows are broadcast only while their counted number is within `BROADCAST_WINDOWS`; beyond it
-the same join shuffles. Items with equal templates are one class, named by its smallest item_id.
+the same join shuffles. Items with equal templates are one class, named by its smallest item_id (`members` lists the others).
+Slots are checked for every distinct line of a class, by the equality patterns its lines have, so that documents times
+lines are never made.
 
 Defined results: null and empty texts match nothing; an item shorter than `WINDOW` words is one window of its own
 length; items under `LEAST_WORDS` words match nothing, as any text holds them by chance; nor do items without an id. Rows equal in doc_id and text
@@ -96,15 +98,40 @@ def templates(docs: DataFrame, id_col: str, text_col: str, id_name: str) -> Data
             .select(id_name, "__text", "__line", _tokens(_template(F.col("__line"))).alias("__tokens")))
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The items that can match: item_id, __line, __tokens."""
+    return templates(benchmark, "item_id", "text", "item_id").where((F.size("__tokens") >= LEAST_WORDS) & F.col("item_id").isNotNull())
+
+
+def members(benchmark: DataFrame) -> DataFrame:
+    """item_id (of the class, as in `leaks`), member_id: all items of each class."""
+    items = _items(benchmark)
+    named = items.groupBy("__tokens").agg(F.min("item_id").alias("__class"))
+    return items.join(named, "__tokens").select(F.col("__class").alias("item_id"), F.col("item_id").alias("member_id")).distinct()
+
+
+def _is_slot(kind: F.Column) -> F.Column:
+    return kind.contains(NAME) | kind.contains(NUMBER)
+
+
+def _class_lines(items: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """item_id of the class, words and pattern of each distinct line: a slot's pattern is the place where its value stands first, others have 0."""
+    lines = items.join(named.select("item_id", "__tokens").withColumnRenamed("item_id", "__class"), "__tokens")
+    lines = lines.select(F.col("__class").alias("item_id"), "__line", "__tokens").distinct()
+    lines = scratch.write(lines.select("item_id", F.arrays_zip(F.col("__tokens").alias("kind"), F.split("__line", " ").alias("word")).alias("cells")), "lines")
+    pattern = F.transform("cells", lambda c: F.when(_is_slot(c["kind"]), F.array_position("cells", c)).otherwise(0).cast("int"))
+    return scratch.write(lines.select("item_id", F.transform("cells", lambda c: c["word"]).alias("words"), pattern.alias("pattern")), "patterns")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run_words: int = RUN_WORDS, id_col: str = "doc_id",
           text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, __text, item_id, matched, needed, item_windows, slots, same_values: one row per leaked item of a document."""
+    """doc_id, __text, item_id, matched, needed, item_windows, slots, same_values: one row per leaked item class of a document;
+    same_values: some item of the class stands there with its own values."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    items = templates(benchmark, "item_id", "text", "item_id")
+    usable = _items(benchmark)
     n = F.size("__tokens")
-    items = (items.where((n >= LEAST_WORDS) & F.col("item_id").isNotNull()).groupBy("__tokens").agg(F.min(F.struct("item_id", "__line")).alias("i"))
-             .select(F.col("i.item_id").alias("item_id"), F.col("i.__line").alias("item_line"), "__tokens",
-                     F.least(n, F.lit(window)).alias("item_length"), (F.greatest(n - window, F.lit(0)) + 1).alias("item_windows"),
+    items = (usable.groupBy("__tokens").agg(F.min("item_id").alias("item_id"))
+             .select("item_id", "__tokens", F.least(n, F.lit(window)).alias("item_length"), (F.greatest(n - window, F.lit(0)) + 1).alias("item_windows"),
                      (F.greatest(F.least(n, F.lit(run_words)) - window, F.lit(0)) + 1).alias("needed")))
     items = scratch.write(items, "items")
     lengths = sorted(r[0] for r in items.select("item_length").distinct().collect())  # at most `window` numbers
@@ -121,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run_words
     hits = (found.distinct().join(wanted, ["length", "hash"])
             .groupBy("doc_id", "__text", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
             .agg(F.count_distinct("item_pos").alias("matched"), F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("length")).alias("hi"))
-            .join(items.select("item_id", "item_line", "item_windows", "needed", F.col("__tokens").alias("item_tokens")), "item_id")
+            .join(items.select("item_id", "item_windows", "needed", F.col("__tokens").alias("item_tokens")), "item_id")
             .where(F.col("matched") >= F.col("needed")))
     hits = scratch.write(hits, "hits")
     # slots are read from the texts of matched documents only
@@ -133,18 +160,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run_words
     pairs = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__text") == F.col("__t")))
     n = F.col("hi") - F.col("lo")
     # the matched words alone are written, so that no later expression splits a whole text again
-    pairs = scratch.write(pairs.select(
-        "doc_id", "__text", "item_id", "matched", "needed", "item_windows", F.slice("item_tokens", F.col("lo") + 1, n).alias("kind"),
-        F.slice(F.split("item_line", " "), F.col("lo") + 1, n).alias("item"),
-        F.slice(F.split("__doc_line", " "), F.col("lo") + F.col("shift") + 1, n).alias("doc")), "pairs")
-    kinds = F.filter(F.arrays_zip("kind", "item", "doc"), lambda s: s["kind"].contains(NAME) | s["kind"].contains(NUMBER))
-    values = F.array_distinct("__slots")
-    checked = (pairs.withColumn("__slots", kinds)
-               .withColumn("ok", F.size(values) == F.size(F.array_distinct(F.transform("__slots", lambda s: F.struct(s["kind"], s["item"])))))
-               .where("ok").withColumn("same", F.forall("__slots", lambda s: s["item"] == s["doc"])))
+    cells = F.arrays_zip(F.slice("item_tokens", F.col("lo") + 1, n).alias("kind"),
+                         F.slice(F.split("__doc_line", " "), F.col("lo") + F.col("shift") + 1, n).alias("doc"))
+    pairs = scratch.write(pairs.select("doc_id", "__text", "item_id", "matched", "needed", "item_windows", "lo", n.alias("n"), cells.alias("cells")), "pairs")
+    lines = _class_lines(usable, items, scratch)
+    values = lambda c, word: F.array_join(F.transform(F.filter(c, lambda x: _is_slot(x["kind"])), lambda x: x[word]), " ")
+    pairs = pairs.withColumn("__values", values("cells", "doc"))
+    # what each line of a class has in its slots, for the ranges that were matched
+    own = (pairs.select("item_id", "lo", "n").distinct().join(lines, "item_id")
+           .select("item_id", "lo", "n", F.arrays_zip(F.slice("words", F.col("lo") + 1, F.col("n")).alias("doc"), F.slice("pattern", F.col("lo") + 1, F.col("n")).alias("at")).alias("cells"))
+           .select("item_id", "lo", "n", F.array_join(F.transform(F.filter("cells", lambda x: x["at"] > 0), lambda x: x["doc"]), " ").alias("__values"))
+           .distinct().withColumn("same", F.lit(True)))
+    pairs = pairs.join(own, ["item_id", "lo", "n", "__values"], "left")
+    # one value of the item always stands for one value in the document: as many pairs as places where values stand first
+    slots = F.filter(F.arrays_zip(F.slice("pattern", F.col("lo") + 1, F.col("n")).alias("at"), F.transform("cells", lambda x: x["doc"]).alias("doc")), lambda x: x["at"] > 0)
+    checked = (pairs.join(lines.select("item_id", "pattern").distinct(), "item_id").withColumn("__slots", slots)
+               .where(F.size(F.array_distinct("__slots")) == F.size(F.array_distinct(F.transform("__slots", lambda x: x["at"])))))
     return checked.groupBy("doc_id", "__text", "item_id").agg(
         F.max("matched").alias("matched"), F.first("needed").alias("needed"), F.first("item_windows").alias("item_windows"),
-        F.max(F.size("__slots")).alias("slots"), F.max("same").alias("same_values"))
+        F.max(F.size("__slots")).alias("slots"), F.max(F.coalesce("same", F.lit(False))).alias("same_values"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

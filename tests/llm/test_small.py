@@ -539,6 +539,20 @@ def test_leaks(spark, docs_of):
     assert decontaminate.leaks(docs_of([]), benchmark).count() == 0 and decontaminate.leaks(docs_of(docs), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_every_item_of_a_class(spark, docs_of):
+    text = "if {} has {} apples and gives {} of them away, how many are left over for {} today?"
+    items = [(4, text.format("Anna", 5, 5, "Anna")), (9, text.format("Carl", 7, 2, "Carl")), (11, text.format("Carl", 7, 2, "Carl")), (12, text.format("Dora", 8, 8, "Emil"))]
+    docs = [(1, "see " + items[0][1]), (2, "see " + items[1][1]), (3, "see " + text.format("Fred", 6, 1, "Fred")), (4, "see " + items[3][1]),
+            (5, "see " + text.format("Fred", 6, 1, "Gina"))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {i for i, _ in plain_leaks(docs, items)}
+    assert want == {1, 2, 3, 4}
+    got = {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontaminate.digest(decontaminate.leaks(docs_of(docs), benchmark)).collect()}
+    assert got == {(1, 4): True, (2, 4): True, (3, 4): False, (4, 4): True}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaked(docs_of(docs), benchmark).collect()) == [5]
+    assert {tuple(r) for r in decontaminate.members(benchmark).collect()} == {(4, m) for m in (4, 9, 11, 12)}
+
+
 def test_no_python_on_the_main_path(spark):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.digest(decontaminate.leaks(docs, benchmark))._jdf.queryExecution().toString()
