@@ -11,7 +11,9 @@ so no document is compared with another as a whole and a window shared by many d
 Passages in the middle of lines are found the same way with every stretch of `GRAM` words as a line of its own: of
 `SPAN` consecutive stretches the one of the smallest hash is a fingerprint, so that a run of `PASSAGE` words shared
 anywhere has one in common. Matches outside the lines already deleted are extended word by word both ways, by hashes of the words
-around, and deleted from `PASSAGE` words on.
+around, and deleted from `PASSAGE` words on. The first place of a fingerprint need not be the one that has the passage: where three
+places or more hold a fingerprint and one differs from the first within reach of a passage, every window of `PASSAGE`
+words around that fingerprint is hashed at all its places, and a window that an earlier document has is deleted.
 
 Defined results: lines are parted by line feeds and compared exactly, but for white space at their ends; a run counts
 its words; white lines match only within a run. Null and empty texts stay as they are. Rows equal in doc_id and text
@@ -160,6 +162,38 @@ def around(text: str, starts: list[int]) -> list[tuple[int, list[int], list[int]
     return [(i, codes(words[max(0, i - REACH):i][::-1]), codes(words[i + GRAM:i + GRAM + REACH])) for i in starts]
 
 
+def passages_around(text: str, starts: list[int]) -> list[tuple[int, int]]:
+    """(first word, hash of the words) of all windows of PASSAGE words that hold one of the stretches."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    first = sorted({i for s in starts for i in range(max(0, s + GRAM - PASSAGE), min(s, len(words) - PASSAGE) + 1)})
+    return [(i, _signed(xxhash.xxh64_intdigest(b" ".join(words[i:i + PASSAGE])))) for i in first]
+
+
+def _with_starts(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """KEY, text, starts: the documents that have a place, with their places. places: KEY and start."""
+    places = places.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
+    places = scratch.write(places.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), "starts"), name)
+    small = places.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("s")).first()
+    asked = F.broadcast(places) if small["n"] <= BROADCAST_DOCS and (small["s"] or 0) <= 4 * BROADCAST_DOCS else places
+    return docs.join(asked, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t"))).select(*KEY, "text", "starts")
+
+
+def _held_windows(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """KEY, first, last: windows around the places that an earlier document has."""
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [passages_around(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        cells = list(zip(*[c for f in found for c in f])) or [(), ()]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64())],
+                                          names=[*KEY, "first", "window"])
+    spans = _with_starts(docs, places, scratch, "asked").mapInArrow(per_batch(look), f"{KEY[0]} long, {KEY[1]} long, first int, window long")
+    spans = scratch.write(spans.dropDuplicates([*KEY, "first"]), "spans")
+    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY])
+    original = spans.groupBy("window").agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select("window", "o")
+    held = spans.join(scratch.write(original, "held"), "window").where(place != F.col("o"))
+    return held.select(*KEY, "first", (F.col("first") + PASSAGE - 1).alias("last"))
+
+
 def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
     """KEY, runs: [first, last] word ranges of passages that an earlier document has and whose lines `runs` does not cover."""
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,21 +205,16 @@ def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> Dat
     rows = docs.select(*KEY, "text").mapInArrow(per_batch(select), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, line int, last int")
     rows = scratch.write(rows, "stretches")
     place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY], "start")
-    original = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1").select("hash", "o")
+    original = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1")
     elsewhere = ~F.col(KEY[0]).eqNullSafe(F.col(f"o.{KEY[0]}")) | (F.col(KEY[1]) != F.col(f"o.{KEY[1]}"))
     later = rows.join(scratch.write(original, "firsts"), "hash").where(elsewhere)
     covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
     later = later.join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
     inside = F.exists("__runs", lambda r: (r["first"] <= F.col("line")) & (F.col("last") <= r["last"]))
-    later = later.where(~F.coalesce(inside, F.lit(False))).select(*KEY, "start", F.col(f"o.{KEY[0]}").alias("o_doc"), F.col(f"o.{KEY[1]}").alias("o_text"), F.col("o.start").alias("o_start"))
+    later = later.where(~F.coalesce(inside, F.lit(False))).select(*KEY, "start", "hash", "n", F.col(f"o.{KEY[0]}").alias("o_doc"), F.col(f"o.{KEY[1]}").alias("o_text"), F.col("o.start").alias("o_start"))
     later = scratch.write(later.distinct(), "later")
-    scratch.drop("stretches")
     places = later.select(*KEY, "start").unionByName(later.select(F.col("o_doc").alias(KEY[0]), F.col("o_text").alias(KEY[1]), F.col("o_start").alias("start")))
-    places = places.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
-    places = scratch.write(places.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), "starts"), "places")
-    small = places.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("s")).first()
-    asked = F.broadcast(places) if small["n"] <= BROADCAST_DOCS and (small["s"] or 0) <= 4 * BROADCAST_DOCS else places
-    wanted = docs.join(asked, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t"))).select(*KEY, "text", "starts")
+    wanted = _with_starts(docs, places, scratch, "places")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [around(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
@@ -199,8 +228,18 @@ def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> Dat
     own = seen.select(F.col(KEY[0]).alias("s_doc"), F.col(KEY[1]).alias("s_text"), F.col("start").alias("s_start"), "before", "after")
     both = (later.join(own, F.col(KEY[0]).eqNullSafe(F.col("s_doc")) & (F.col(KEY[1]) == F.col("s_text")) & (F.col("start") == F.col("s_start")))
             .join(first, F.col("o_doc").eqNullSafe(F.col("f_doc")) & (F.col("o_text") == F.col("f_text")) & (F.col("o_start") == F.col("f_start"))))
-    ranges = both.select(*KEY, (F.col("start") - _same("before", "o_before")).alias("first"), (F.col("start") + GRAM - 1 + _same("after", "o_after")).alias("last"))
-    return _merged(ranges.where(F.col("last") - F.col("first") + 1 >= PASSAGE))
+    left, right = _same("before", "o_before"), _same("after", "o_after")
+    whole = lambda same, words: (same >= PASSAGE - GRAM) | (same == F.size(words))
+    ranges = both.select(*KEY, "hash", "n", (F.col("start") - left).alias("first"), (F.col("start") + GRAM - 1 + right).alias("last"),
+                         (whole(left, "before") & whole(right, "after")).alias("settled"))
+    ranges = scratch.write(ranges, "ranges")
+    for name in ("seen", "later", "places", "firsts"):
+        scratch.drop(name)
+    # another place than the first can have what the first has not
+    again = rows.join(ranges.where("n > 2 and not settled").select("hash").distinct(), "hash", "left_semi").select(*KEY, "start")
+    held = _held_windows(docs, again, scratch)
+    scratch.drop("stretches")
+    return _merged(ranges.where(F.col("last") - F.col("first") + 1 >= PASSAGE).select(*KEY, "first", "last").unionByName(held))
 
 
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")

@@ -123,6 +123,23 @@ def test_repeated_runs_go(spark, docs_of):
     assert "component" in got[0].asDict() and line_dedup.drop_repeated_lines(docs_of([])).count() == 0
 
 
+def test_passages_around_a_common_phrase_go(spark, docs_of):
+    rng = random.Random(31)
+    fresh = lambda n: words(rng, n, 10 ** 6)
+    marks = lambda text: set(line_dedup.fingerprints(text)[0].tolist())
+    while True:  # the phrase is the one fingerprint that the two documents share, and all hold it
+        phrase = fresh(line_dedup.GRAM)
+        passage = fresh(25) + " " + phrase + " " + fresh(20)
+        rows = [(i, fresh(70) + " " + phrase + " " + fresh(70)) for i in range(3)]
+        rows += [(20, fresh(30) + " " + passage + " " + fresh(30)), (21, "beg " + fresh(33) + " " + passage + " " + fresh(30) + " end")]
+        common = marks(rows[-1][1]) & marks(rows[-2][1])
+        if len(common) == 1 and all(common <= marks(text) for _, text in rows):
+            break
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs_of(rows)).collect()}
+    for i, text in rows:
+        assert got[i] == (text if i != 21 else text.replace(passage + " ", "")), i
+
+
 def test_passages_inside_lines_go(spark, docs_of):
     """Passages of fifty words and more in the middle of lines leave every later document; what is around them stays."""
     rng = random.Random(31)
