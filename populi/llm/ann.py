@@ -28,8 +28,8 @@ from populi.llm.common import Scratch
 
 DEGREE = 32  # neighbours a node keeps
 LINKS = 128  # links that a search follows from a node, nearest first, either way
-TREES, BLOCK = 3, 1024  # random partitions of the start, and nodes compared in a block
-ROUNDS, SETTLED = 4, 0.02  # rounds of improvement at most; stop once that share of the edges changes
+TREES, BLOCK = 3, 1024  # random partitions of the start at least, and nodes compared in a block
+ROUNDS, SETTLED = 40, 0.02  # rounds of improvement as a guard; they stop once that share of the edges changes
 GROUP, QUERY_GROUP = 512, 160  # nodes, and queries, whose vectors are fetched together
 BEAM = 200  # nodes a query keeps
 EDGE = "u long, v long, s float, fresh boolean"
@@ -136,9 +136,10 @@ def improve(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     return lists.groupBy("grp").cogroup(need.groupBy("part")).applyInArrow(compare, EDGE)
 
 
-def build_graph(nodes: DataFrame, dim: int, count: int, scratch: Scratch, degree: int = DEGREE, trees: int = TREES, block: int = BLOCK,
+def build_graph(nodes: DataFrame, dim: int, count: int, scratch: Scratch, degree: int = DEGREE, trees: int | None = None, block: int = BLOCK,
                 rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """u, v, s: approximate neighbours of every node."""
+    """u, v, s: approximate neighbours of every node. The partitions of the start grow with the logarithm of the number of blocks."""
+    trees = trees or max(TREES, int(np.ceil(np.log2(max(2, count / block)))))
     edges = scratch.write(best(start(nodes, dim, count, trees, block, degree, seed), degree), "graph-0")
     total = max(1, count * min(degree, count - 1))
     for k in range(1, rounds + 1):

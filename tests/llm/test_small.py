@@ -502,6 +502,18 @@ def test_best_fit_is_close_to_the_bound():
     assert fill.max() <= 2048 and len(fill) <= sizes.sum() / 2048 * 1.01 + 1
 
 
+def test_graph_is_improved_until_it_settles(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, i % 6, v.tolist()) for i, v in enumerate(x)], "node long, grp long, x array<float>").cache()
+    graph = ann.build_graph(nodes, 32, len(x), Scratch(spark, "graph"), degree=8, block=32).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    near = [set(row) for row in np.argsort(-s, axis=1)[:, :8].tolist()]
+    share = sum(r["v"] in near[r["u"]] for r in graph) / (8 * len(x))
+    assert share >= 0.55, share
+
+
 # --- decontamination
 
 def canonical(text):
