@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, pii, quality, resharding, simhash, toxicity
+from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, periodic, pii, quality, resharding, simhash, toxicity
 from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op4_nearest_neighbours, op5_resharding, op6_html_extraction,
-                                                     op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination)}
+                                                     op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination, op11_periodic_runs)}
 ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE}
