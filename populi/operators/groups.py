@@ -11,12 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from populi.functions.base import hash_fraction
-
-# Rows of a chunk that a position or hash cuts to where keys are dense.
-CHUNK_ROWS = 1_000_000
-HASH_CHUNKS = 64
-
+from populi.session import written
 
 def keep_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column = 1) -> DataFrame:
     """First n rows of each key in the given total order.
@@ -34,20 +29,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], *position: str) -> DataFrame:
     return keep_top(df, keys, [F.col(p).desc() for p in position])
 
 
-def chunk_by_hash(digest: str, chunks: int = HASH_CHUNKS) -> Column:
-    """Chunks of a hash-ordered group: equal slices of the digest's range."""
-    return F.floor(hash_fraction(F.col(digest)) * F.lit(chunks)).cast("long")
-
-
-def chunk_by_position(position: str, rows: int = CHUNK_ROWS) -> Column:
-    """Chunks of a group ordered by a whole number such as a line or key number."""
-    return F.floor(F.col(position) / F.lit(rows)).cast("long")
-
-
-def chunk_by_hour(timestamp: str) -> Column:
-    return F.floor(F.unix_seconds(F.col(timestamp).cast("timestamp")) / 3600).cast("long")
-
-
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the right side's keys are dropped."""
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
@@ -55,32 +36,42 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, *, rank: str = "rank",
+def dealt_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df written in parts of about equal size that follow each other by key and order; adds `__part` and `__tie`.
+
+    Rows are dealt by sampled bounds of (keys, order, hash of the row), so neither a hot key nor a hot order value stays
+    in one part; only rows equal in every column do. Maps take no part in the hash. The parts are written in the shared
+    folder, because their bounds must be the same for whoever reads them."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__tie", F.xxhash64(*hashed)).repartitionByRange(parts, *keys, *order, "__tie")
+    return written(dealt.withColumn("__part", F.spark_partition_id()))
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, rank: str = "rank",
                 size: str | None = None, weight: Column | None = None, running: str | None = None) -> DataFrame:
     """Exact 1-based rank per key, and on request the group's size and the running sum of a weight.
 
-    Groups of any size, a null key's too, are ranked chunk by chunk and shifted by the totals of the chunks before, so
-    no task holds a whole group. `chunk` must never decrease along `order`; a null chunk comes first. Rows that tie on
-    what the chunk is made of share one."""
-    key, keys = F.struct(*keys), list(keys)  # a struct is never null, and its fields compare null-safe
-    marked = df.withColumns({"__key": key, "__chunk": F.coalesce(chunk, F.lit(-2 ** 63).cast("long")),
-                             "__w": F.lit(0).cast("long") if weight is None else weight})
-    totals = marked.groupBy("__key", "__chunk").agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__cw"))
-    whole = Window.partitionBy("__key")
-    ahead = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select("__key", "__chunk", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"),
+    Groups of any size, a null key's too, are ranked part by part (see dealt_in_order) and shifted by prefix sums of
+    the parts' totals, so no task holds a whole group. Ties of the order go by a hash of the row, the same in every run."""
+    key = F.struct(*keys)  # never null, and its fields compare null-safe
+    marked = dealt_in_order(df, keys, order).withColumns({"__key": key, "__w": F.lit(0).cast("long") if weight is None else weight})
+    totals = marked.groupBy("__key", "__part").agg(F.count(F.lit(1)).alias("__c"), F.sum("__w").alias("__cw"))
+    whole = Window.partitionBy("__key")  # one row for each part that has rows of the key
+    ahead = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("__key", "__part", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"),
                            F.coalesce(F.sum("__cw").over(ahead), F.lit(0)).alias("__before_w"), F.sum("__c").over(whole).alias("__n"))
-    ordered = Window.partitionBy("__key", "__chunk").orderBy(*order)
+    ordered = Window.partitionBy("__key", "__part").orderBy(*order, "__tie")
     ranked = marked.withColumn("__r", F.row_number().over(ordered))
     if running:
         ranked = ranked.withColumn("__rw", F.sum("__w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = (ranked.join(shifts, ["__key", "__chunk"])
+    placed = (ranked.join(shifts, ["__key", "__part"])
               .withColumn(rank, (F.col("__r") + F.col("__before")).cast("long")))
     if size:
         placed = placed.withColumn(size, F.col("__n"))
     if running:
         placed = placed.withColumn(running, F.col("__rw") + F.col("__before_w"))
-    return placed.drop("__key", "__w", "__n", "__chunk", "__r", "__rw", "__before", "__before_w")
+    return placed.drop("__key", "__w", "__n", "__part", "__tie", "__r", "__rw", "__before", "__before_w")
 
 
 def value_chunk(value: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from populi.functions import fixed_values as fixed
-from populi.operators.groups import at_levels, describe, rank_within, value_chunk
+from populi.operators.groups import at_levels, describe, rank_within
 from populi.operators.wide import compare_long
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
@@ -146,10 +146,10 @@ def topic_universe(df: DataFrame, category: str, theme: str) -> DataFrame:
 
 
 def ranked_groups(groups: DataFrame, score: str, path: Sequence[str]) -> DataFrame:
-    """One row per group with rank, 1 for the best score; the path breaks ties. Chunks of the score keep a task small."""
+    """One row per group with rank, 1 for the best score; the path breaks ties."""
     order = [F.desc(score), *[F.asc(p) for p in path]]
     down = groups.withColumn("__all", F.lit(1))
-    return rank_within(down, ["__all"], order, value_chunk(-F.col(score)), rank="rank").drop("__all")
+    return rank_within(down, ["__all"], order, rank="rank").drop("__all")
 
 
 def composite_score(jsd: Column, wd: Column, recall_3k: Column, recall_4k: Column) -> Column:

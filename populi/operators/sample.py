@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.base import unit_hash
-from populi.operators.groups import chunk_by_hour, chunk_by_hash, chunk_by_position, rank_within
+from populi.operators.groups import rank_within
 
 
 def user_split(df: DataFrame, user: str, key: str, *, ratio: float = 0.2, min_reviews: int = 4,
                seed: int = 0) -> DataFrame:
     """Adds split = train | test. A user with min_reviews or more gives max(1, floor(n * ratio)) rows to test."""
     hashed = df.withColumn("__h", unit_hash(F.col(key), seed=seed))
-    ranked = rank_within(hashed, [user], [F.col("__h"), F.col(key)], chunk_by_hash("__h"), rank="__rank", size="__size")
+    ranked = rank_within(hashed, [user], [F.col("__h"), F.col(key)], rank="__rank", size="__size")
     quota = F.when(F.col("__size") >= min_reviews, F.greatest(F.lit(1), F.floor(F.col("__size") * ratio))).otherwise(0)
     return (ranked.withColumn("split", F.when(F.col("__rank") <= quota, "test").otherwise("train"))
             .drop("__h", "__rank", "__size"))
@@ -24,7 +24,7 @@ def user_split(df: DataFrame, user: str, key: str, *, ratio: float = 0.2, min_re
 def within_quota(df: DataFrame, quotas: DataFrame, user: str, position: str) -> DataFrame:
     """First quota rows of each listed user in scan order. quotas: (user, quota)."""
     listed = df.join(quotas, user)
-    return (rank_within(listed, [user], [F.col(position)], chunk_by_position(position), rank="__rank")
+    return (rank_within(listed, [user], [F.col(position)], rank="__rank")
             .filter(F.col("__rank") <= F.col("quota")).drop("__rank", "quota"))
 
 
@@ -55,7 +55,7 @@ def category_targets(counts: DataFrame, category: str, total: int, keep_ratios:
 def uniform_sample(df: DataFrame, category: str, key: str, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Exactly target rows per category (or all of a smaller category)."""
     hashed = df.withColumn("__h", unit_hash(F.col(key), seed=seed)).join(F.broadcast(targets), category)
-    return (rank_within(hashed, [category], [F.col("__h"), F.col(key)], chunk_by_hash("__h"), rank="__rank")
+    return (rank_within(hashed, [category], [F.col("__h"), F.col(key)], rank="__rank")
             .filter(F.col("__rank") <= F.col("target")).drop("__h", "__rank", "target"))
 
 
@@ -64,13 +64,13 @@ def balanced_sample(df: DataFrame, category: str, user: str, key: str, targets:
     """Whole users in random order until a category's target is met; the last user gives only what is missing."""
     users = (df.groupBy(category, user).agg(F.count(F.lit(1)).alias("__cnt"))
              .withColumn("__h", unit_hash(F.col(user), seed=seed)))
-    queued = (rank_within(users, [category], [F.col("__h"), F.col(user)], chunk_by_hash("__h"), rank="__rank",
+    queued = (rank_within(users, [category], [F.col("__h"), F.col(user)], rank="__rank",
                           weight=F.col("__cnt"), running="__upto")
               .join(F.broadcast(targets), category)
               .withColumn("__take", F.least(F.col("__cnt"), F.col("target") - (F.col("__upto") - F.col("__cnt"))))
               .filter(F.col("__take") > 0).select(category, user, "__take"))
     picked = df.withColumn("__h", unit_hash(F.col(key), seed=seed)).join(queued, [category, user])
-    return (rank_within(picked, [category, user], [F.col("__h"), F.col(key)], chunk_by_hash("__h"), rank="__rank")
+    return (rank_within(picked, [category, user], [F.col("__h"), F.col(key)], rank="__rank")
             .filter(F.col("__rank") <= F.col("__take")).drop("__h", "__rank", "__take"))
 
 
@@ -84,29 +84,29 @@ def sampling_rounds(df: DataFrame, category: str, text: str, *, per_round: int =
                     seed: int = 0) -> DataFrame:
     """Distinct texts of each category dealt into numbered rounds without replacement; every text has a round."""
     distinct = df.select(category, text).distinct().withColumn("__h", unit_hash(F.col(text), seed=seed))
-    dealt = (rank_within(distinct, [category], [F.col("__h"), F.col(text)], chunk_by_hash("__h"), rank="__rank")
+    dealt = (rank_within(distinct, [category], [F.col("__h"), F.col(text)], rank="__rank")
              .withColumn("round", F.ceil(F.col("__rank") / F.lit(per_round)).cast("int")).drop("__h", "__rank"))
     return dealt if max_rounds is None else dealt.filter(F.col("round") <= max_rounds)
 
 
 def systematic_sample(df: DataFrame, keys: Sequence[str], position: str, m: int) -> DataFrame:
     """Every floor(n/m)-th row of a group in order, m rows at most; groups of m rows or fewer stay whole."""
-    ranked = rank_within(df, keys, [F.col(position)], chunk_by_position(position), rank="__rank", size="__size")
+    ranked = rank_within(df, keys, [F.col(position)], rank="__rank", size="__size")
     step = F.greatest(F.lit(1), F.floor(F.col("__size") / F.lit(m)))
     chosen = ((F.col("__rank") - 1) % step == 0) & ((F.col("__rank") - 1) / step < m)
     return ranked.filter((F.col("__size") <= m) | chosen).drop("__rank", "__size")
 
 
-def pack_to_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, length: Column,
+def pack_to_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], length: Column,
                    budget: int, separator: int = 0) -> DataFrame:
     """The rows of each group before the first one that would overflow the budget; adds `used`, the sum so far."""
-    ranked = rank_within(df, keys, order, chunk, rank="__rank", weight=length + F.lit(separator), running="used")
+    ranked = rank_within(df, keys, order, rank="__rank", weight=length + F.lit(separator), running="used")
     return ranked.filter(F.col("used") <= budget).drop("__rank")
 
 
 def position_labels(df: DataFrame, user: str, timestamp: str, key: str) -> DataFrame:
     """review_index from 0 in time order and review_type = first | intermediate | last."""
-    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="__rank",
+    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], rank="__rank",
                          size="__size")
     return (ranked.withColumn("review_index", F.col("__rank") - 1)
             .withColumn("review_type", F.when(F.col("__rank") == 1, "first")
@@ -135,9 +135,9 @@ def leave_one_out_history(df: DataFrame, user: str, timestamp: str, key: str, te
     gathered once per user and every review drops itself from it. Without one the rows come back with `rank`, their
     place in the user's history, and the history itself is the user's rows but that place: n texts and never n^2."""
     if budget is None:
-        return rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="rank", size="others").withColumn(
+        return rank_within(df, [user], [F.col(timestamp), F.col(key)], rank="rank", size="others").withColumn(
             "others", F.col("others") - 1)
-    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], chunk_by_hour(timestamp), rank="__rank",
+    ranked = rank_within(df, [user], [F.col(timestamp), F.col(key)], rank="__rank",
                          weight=F.length(text), running="__upto")
     longest = df.groupBy(user).agg(F.max(F.length(text)).alias("__longest"))
     entries = (ranked.join(longest, user).filter((F.length(text) > 0) & (F.col("__upto") <= F.col("__longest") + budget))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from populi.functions.base import present
 from populi.functions.dist import unit_vector
-from populi.operators.groups import CHUNK_ROWS, chunk_by_position, keep_top, rank_within
+from populi.operators.groups import keep_top, rank_within
 from populi.operators.similarity import similar_pairs
 from populi.session import cut_lineage
 
@@ -96,9 +96,8 @@ def numbered(decided: DataFrame, totals: DataFrame, rule: TribeRule) -> DataFram
 
     totals: segment_id, total (all users of the segment), done (decided before), start (tribes before)."""
     seeds = decided.groupBy("segment_id", "seed").agg(F.count(F.lit(1)).alias("n"), F.first("stands").alias("stands"))
-    chunk = chunk_by_position("seed", CHUNK_ROWS)
-    sums = rank_within(seeds, ["segment_id"], [F.col("seed")], chunk, rank="__k", weight=F.col("n"), running="upto")
-    sums = rank_within(sums, ["segment_id"], [F.col("seed")], chunk, rank="__k", weight=F.col("stands").cast("long"), running="formed")
+    sums = rank_within(seeds, ["segment_id"], [F.col("seed")], rank="__k", weight=F.col("n"), running="upto")
+    sums = rank_within(sums, ["segment_id"], [F.col("seed")], rank="__k", weight=F.col("stands").cast("long"), running="formed")
     sums = sums.join(totals, "segment_id").withColumns({"upto": F.col("upto") + F.col("done"), "formed": F.col("formed") + F.col("start")})
     over = (F.col("upto") >= F.col("total") if rule.is_relaxed else
             (F.col("upto") / F.col("total") >= rule.coverage_goal) & (F.col("formed") >= rule.min_tribes))
@@ -138,8 +137,7 @@ def form_tribes(users: DataFrame, rule: TribeRule | None = None, **options: int)
 def tribe_reviews(members: DataFrame, reviews: DataFrame, position: str, limit: int | None = None) -> DataFrame:
     """A tribe's reviews in member and review order, with review_no; on request the first `limit` of them."""
     joined = members.select("tribe_id", "user_id", F.col("position").alias("__member")).join(reviews, "user_id")
-    ranked = rank_within(joined, ["tribe_id"], [F.col("__member"), F.col(position)], chunk_by_position("__member", 1),
-                         rank="review_no").drop("__member")
+    ranked = rank_within(joined, ["tribe_id"], [F.col("__member"), F.col(position)], rank="review_no").drop("__member")
     return ranked if limit is None else ranked.filter(F.col("review_no") <= limit)
 
 

@@ -9,7 +9,6 @@ from populi import schema
 from populi.functions import dist, text
 from populi.functions.base import present
 from populi.operators import clean, rollup
-from populi.operators.groups import chunk_by_position
 from populi.plans.testbed import SQL, population, query, rounded, sides, table
 from populi.sources.readers import category_texts, flatten_users
 from populi.sources.writers import user_documents
@@ -185,7 +184,7 @@ def required_themes(spark: SparkSession, sf: str) -> DataFrame:
 def flattened_user_documents(spark: SparkSession, sf: str) -> DataFrame:
     """{{user: {{reviews: [...]}}}} documents flattened again; pending reviews have blank text and are dropped."""
     kept = population(spark, sf).filter(F.col("sentiment") != "Negative")
-    docs = user_documents(kept, "user_id", ["review_key"], chunk_by_position("review_key"), ["review_key", "category"], 1000)
+    docs = user_documents(kept, "user_id", ["review_key"], ["review_key", "category"], 1000)
     users = docs.select("part", F.create_map("user_id", F.struct("reviews")).alias("users"))
     return flatten_users(users, "part").select("user_id", (F.col("part") * 1000 + F.col("review_idx")).alias("review_idx"),
                                                "review_key", "category")

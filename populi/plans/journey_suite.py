@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from populi.functions import recall
 from populi.operators import journey
-from populi.operators.groups import chunk_by_hour, rank_within
+from populi.operators.groups import rank_within
 from populi.operators.wide import theme_map
 from populi.plans.testbed import SQL, distributions, query, rounded, sides, table
 
@@ -17,7 +17,7 @@ _FIELDS = ["theme", "overall", "text", "prediction"]
 def journey_rows(spark: SparkSession, sf: str) -> DataFrame:
     """cluster_id, tribe_id, review_key, iteration, theme, overall, text, prediction (an error event yields none)."""
     order = [F.col("ts"), F.col("event_id")]
-    placed = rank_within(table(spark, sf, "events"), ["user_id"], order, chunk_by_hour("ts"), rank="r").withColumns(
+    placed = rank_within(table(spark, sf, "events"), ["user_id"], order, rank="r").withColumns(
         {"review": F.floor((F.col("r") - 1) / 13), "iteration": ((F.col("r") - 1) % 13).cast("int")})
     theme, text = F.floor(F.col("value")) / 500, F.length("props") / 20
     return placed.select(

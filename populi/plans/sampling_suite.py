@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from populi.operators import sample
-from populi.operators.groups import chunk_by_position, keep_top, rank_within
+from populi.operators.groups import keep_top, rank_within
 from populi.plans.rollup_suite import _SPLIT, split_population
 from populi.plans.testbed import SQL, population, query, rounded, table
 from populi.sources.writers import user_documents
@@ -118,7 +118,7 @@ def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
 @query("budget_packing", """WITH r AS (SELECT conv_id, turn, sum(length(text) + 7) OVER (PARTITION BY conv_id ORDER BY turn
     ROWS UNBOUNDED PRECEDING) used FROM conversations) SELECT conv_id, turn, CAST(used AS BIGINT) used FROM r WHERE used <= 1500""")
 def budget_packing(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sample.pack_to_budget(table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], chunk_by_position("turn"),
+    rows = sample.pack_to_budget(table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")],
                                  F.length("text"), 1500, separator=7)
     return rows.select("conv_id", "turn", "used")
 
@@ -167,7 +167,7 @@ def leave_one_out_history(spark: SparkSession, sf: str) -> DataFrame:
   FROM r GROUP BY 1, 2""")
 def nested_user_documents(spark: SparkSession, sf: str) -> DataFrame:
     """User documents in bounded parts, as the nested sink writes them."""
-    docs = user_documents(population(spark, sf), "user_id", ["review_key"], chunk_by_position("review_key"),
+    docs = user_documents(population(spark, sf), "user_id", ["review_key"],
                           ["review_key", "rating"], per_part=4)
     return docs.select("user_id", "part", F.size("reviews").alias("n_reviews"), F.array_join(F.transform(
         "reviews", lambda r: r["review_key"].cast("string")), ",").alias("keys"))
@@ -190,7 +190,7 @@ def coverage_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Users in order of activity until they cover half of a tribe's reviews, three users at least."""
     users = (population(spark, sf).groupBy("tribe_id", "user_id").agg(F.count(F.lit(1)).alias("c"))
              .withColumn("down", -F.col("c")))
-    queued = rank_within(users, ["tribe_id"], [F.col("down"), F.col("user_id")], chunk_by_position("down", 1), rank="r",
+    queued = rank_within(users, ["tribe_id"], [F.col("down"), F.col("user_id")], rank="r",
                          weight=F.col("c"), running="upto")
     totals = users.groupBy("tribe_id").agg(F.sum("c").alias("n"))
     rows = queued.join(totals, "tribe_id")

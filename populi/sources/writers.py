@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from populi.operators.clean import nan_to_null
 from populi.operators.groups import rank_within
 
 
-def user_documents(reviews: DataFrame, user: str, order: Sequence[str], chunk: Column, fields: Sequence[str],
+def user_documents(reviews: DataFrame, user: str, order: Sequence[str], fields: Sequence[str],
                    per_part: int = 10_000) -> DataFrame:
     """(user, part, reviews array): a user's reviews in order, in parts of bounded size so that no user is too large."""
-    ranked = rank_within(reviews, [user], [F.col(c) for c in order], chunk, rank="__rank")
+    ranked = rank_within(reviews, [user], [F.col(c) for c in order], rank="__rank")
     rows = ranked.withColumn("part", F.floor((F.col("__rank") - 1) / F.lit(per_part)).cast("int"))
     entry = F.struct(F.col("__rank").alias("r"), F.struct(*fields).alias("v"))
     packed = rows.groupBy(user, "part").agg(F.array_sort(F.collect_list(entry)).alias("e"))

@@ -28,16 +28,28 @@ def test_describe_equals_numpy(spark):
 
 
 @pytest.mark.parametrize("hot", ["'hot'", "CAST(NULL AS STRING)"])
-def test_ranks_do_not_depend_on_chunks(spark, hot):
+def test_ranks_of_hot_keys_and_hot_order_values(spark, hot):
     """One key, or the null key, holds most rows; so does one order value."""
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), F.col("id") % 50)).otherwise(F.expr(hot)).alias("k"),
                                   F.md5(F.col("id").cast("string")).alias("h"), F.greatest(F.col("id") - 2000, F.lit(0)).alias("p"))
-    for order, chunk in ((["h"], groups.chunk_by_hash("h", 50)), (["p", "id"], groups.chunk_by_position("p", 10))):
-        got = groups.rank_within(df, ["k"], [F.col(c) for c in order], chunk, size="n", weight=F.col("id"), running="w").toPandas()
+    for order in (["h"], ["p", "id"]):
+        got = groups.rank_within(df, ["k"], [F.col(c) for c in order], size="n", weight=F.col("id"), running="w").toPandas()
         got = got.fillna({"k": "-"}).sort_values(["k", *order])
         grouped = got.groupby("k")
         assert (got["rank"] == grouped.cumcount() + 1).all() and (got["w"] == grouped["id"].cumsum()).all()
         assert (got["n"] == grouped["id"].transform("size")).all()
+    down = groups.rank_within(df, ["k"], [F.desc("p"), F.asc("id")]).filter("k = 'k0' and rank = 1").first()
+    assert down["p"] == df.filter("k = 'k0'").agg(F.max("p")).first()[0]
+
+
+def test_one_key_and_one_order_value_for_all_rows_make_balanced_parts(spark):
+    df = spark.range(40_000).select("id", F.lit("k").alias("k"), F.lit(7).alias("o"))
+    sizes = [r["count"] for r in groups.dealt_in_order(df, ["k"], [F.col("o")]).groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+    got = groups.rank_within(df, ["k"], [F.col("o")], size="n", weight=F.lit(2), running="w")
+    assert got.agg(F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.min("n"), F.max(F.col("w") - 2 * F.col("rank"))).first()[:] == (40_000, 1, 40_000, 40_000, 0)
+    again = groups.rank_within(df.repartition(3), ["k"], [F.col("o")]).withColumnRenamed("rank", "r2")
+    assert got.join(again, "id").filter("rank <> r2").count() == 0  # ties go the same way in every run
 
 
 def test_top_rows_are_limited_before_the_shuffle(spark):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from populi.functions.base import present
 from populi.operators import clean, journey, match
-from populi.operators.groups import chunk_by_position
 from populi.sources import readers, writers
 from populi.streaming import incremental
 
@@ -56,7 +55,7 @@ def test_nested_reviews_round_trip(spark, tmp_path):
     path = put(tmp_path / "u.json", {"u1": {"reviews": [review("x", "a"), review(" ", "b"), review("z", "c")]}, "u2": {"reviews": [review("w", "a")]}})
     rows = readers.user_reviews(spark, path)
     assert listed(rows, "user_id", "review_idx", "asin") == [("u1", 0, "a"), ("u1", 2, "c"), ("u2", 0, "a")]
-    docs = writers.user_documents(rows, "user_id", ["review_idx"], chunk_by_position("review_idx"),
+    docs = writers.user_documents(rows, "user_id", ["review_idx"],
                                   ["product_description", "review_text", "rating", "category", "timestamp", "asin"], per_part=1)
     writers.write_json(docs, str(tmp_path / "docs"))
     back = readers.user_review_parts(spark, str(tmp_path / "docs"))
