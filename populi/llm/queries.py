@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, periodic, pii, quality, resharding, simhash, toxicity
+from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, periodic, pii, prefix_trie, quality, resharding, simhash, toxicity
 from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.find_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    turns = scratch.write(prefix_trie.ordered(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie.digest(prefix_trie.prefix_trie(scratch.write(prefix_trie.spliced(turns), "spliced"), scratch))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op4_nearest_neighbours, op5_resharding, op6_html_extraction,
-                                                     op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination, op11_periodic_runs)}
+                                                     op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination, op11_periodic_runs,
+                                                     op12_prefix_trie)}
 ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE}
