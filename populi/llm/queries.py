@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from populi.llm import ann, decontaminate, html_crf, line_dedup, packing, periodic, pii, prefix_trie, quality, resharding, simhash, toxicity
+from populi.llm import ann, class_lm, decontaminate, html_crf, line_dedup, packing, periodic, pii, prefix_trie, quality, resharding, simhash, toxicity
 from populi.llm.common import Scratch, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(prefix_trie.prefix_trie(scratch.write(prefix_trie.spliced(turns), "spliced"), scratch))
 
 
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.digest(class_lm.scored(table(spark, sf_dir, "documents"), held_out(5, 1)))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_quality, op4_nearest_neighbours, op5_resharding, op6_html_extraction,
                                                      op7_toxicity, op8_simhash_near_dedup, op9_best_fit_packing, op10_decontamination, op11_periodic_runs,
-                                                     op12_prefix_trie)}
+                                                     op12_prefix_trie, op13_class_lm)}
 ORACLES: dict[str, str] = {"op10_decontamination": decontaminate.ORACLE}
