@@ -68,7 +68,8 @@ def coded_blocks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col
             cells = [[name], [ids], [flags], [sizes], [codes.tobytes()], [b" ".join(number)], [np.bincount(train, minlength=len(number)).astype("<i4").tobytes()]]
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
-        for batch in batches:
+        slices = (batch.slice(at, 200) for batch in batches for at in range(0, batch.num_rows, 200))  # few texts at a time as Python strings
+        for batch in slices:
             for doc_id, flag, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "held", "text")]):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
                 ids.append(doc_id)
@@ -102,17 +103,16 @@ class Block:
 
     def train_pairs(self, kind_of: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(before, after) of all neighbouring tokens of the training texts, mapped by kind_of, the end being `end`; with the word numbers (-1: end)."""
-        total = len(self.codes) + len(self.size)
-        word = np.full(total, -1, np.int64)
         at = self.ends + np.arange(len(self.size))  # where the ends stand
-        here = np.ones(total, bool)
+        word = np.empty(len(self.codes) + len(self.size), np.int32)
+        here = np.ones(len(word), bool)
         here[at] = False
         word[here] = self.codes
-        kinds = np.full(total, end, np.int64)
-        kinds[here] = kind_of[self.codes]
+        word[at] = -1
+        kinds = np.append(kind_of, end).astype(np.int32)[word]  # the number -1 finds the last
         train = np.repeat(~self.held, self.size + 1)
-        before, earlier = np.concatenate(([end], kinds[:-1])), np.concatenate(([-1], word[:-1]))  # a text follows an end
-        return before[train], kinds[train], earlier[train], word[train]
+        ends = np.array([end], np.int32), np.array([-1], np.int32)  # a text follows an end
+        return np.concatenate((ends[0], kinds[:-1]))[train], kinds[train], np.concatenate((ends[1], word[:-1]))[train], word[train]
 
 
 def _each(fn: Callable[[Block], Iterator[pa.RecordBatch]]):
@@ -126,7 +126,7 @@ def _each(fn: Callable[[Block], Iterator[pa.RecordBatch]]):
 def _counted(keys: np.ndarray, names: list[str], divisor: int) -> pa.RecordBatch:
     """(a, b, times) of the distinct values of a * divisor + b."""
     found, times = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found // divisor), pa.array(found % divisor), pa.array(times)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found // divisor, found % divisor, times)], names=names)
 
 
 def _seed_numbers(block: Block, seeds: dict[bytes, int]) -> np.ndarray:
@@ -194,6 +194,8 @@ def _gain(between: np.ndarray, right: np.ndarray, left: np.ndarray, candidates:
 def _sums(block: Block, kinds: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (word, side and class of the neighbour) of a block, coded word * 2 * KINDS + side * KINDS + class, and their counts."""
     before, after, earlier, word = block.train_pairs(kinds, END)
+    if len(block.words) * 2 * KINDS >= 1 << 31:
+        earlier, word = earlier.astype(np.int64), word.astype(np.int64)
     l, r = (word >= 0) & (before >= 0), (earlier >= 0) & (after >= 0)
     l[l] = ~skip[word[l]]
     r[r] = ~skip[earlier[r]]
