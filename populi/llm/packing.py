@@ -1,9 +1,12 @@
 """Best-fit packing into sequences of a fixed length by hierarchical residual packing.
 
 Every task tokenises its documents and cuts only those longer than a sequence. Each partition then packs its pieces
-best-fit, largest first, and emits bins that are nearly full; underfull bins go on as items (never taken apart) to the
-next level of a merge tree, where fewer tasks pack the residuals of several. The tree narrows while the open rows of a
-task stay within a bound; where they would not, the rest is emitted as it stands (a pool of that size leaves little to gain).
+best-fit: the largest opens a bin and its room takes the one or two pieces that fill it best, again and again. Bins that
+are nearly full are emitted; what stays underfull goes on to the next level of a merge tree, item by item, where fewer
+tasks pack the residuals of several again. Bins without a piece over half a sequence go on first, whose pieces can fill
+the rooms beside large ones elsewhere. At most three quarters of a task's items go on, and no more than the next
+level's tasks may hold: beyond that the fullest bins, which have the least to gain, are emitted too. So every level
+shrinks, and the tree always ends in one task.
 
 Defined results: a null or empty text is one piece holding only the closing id; repeated rows are packed each on its
 own; further input columns are ignored; an empty table gives an empty result."""
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ FAN_IN = 8  # tasks whose residuals meet in one task of the next level
 TASK_ROWS = 1_000_000  # pieces that one packing task may hold
 MEMO = 400_000  # words whose ids a task remembers; a cache, cleared when full
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-OPEN = PIECES + ", bin long, offset long, done boolean"
+PLACED = PIECES + ", bin long, offset long, done boolean, task int"
 
 
 PLAIN = re.compile("[a-zß-öø-ÿ]+")  # lower-case letters that the tokenizer's normalizer leaves as they are
@@ -119,52 +123,67 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col:
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The bin of each item: largest items first, each into the fullest bin that takes it, else a new one.
-
-    Bins are kept by free places, and the set of present amounts is one integer, so an item takes constant time."""
-    bins = np.empty(len(sizes), np.int64)
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    present, opened = 0, 0
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        fitting = present >> size
-        if fitting:
-            room = size + (fitting & -fitting).bit_length() - 1
-            at = by_room[room].pop()
-            if not by_room[room]:
-                present ^= 1 << room
-        else:
-            room, at, opened = capacity, opened, opened + 1
-        bins[i] = at
-        if room > size:
-            by_room[room - size].append(at)
-            present |= 1 << room - size
+    """The bin of each item: the largest left opens a bin, and while items fit, the one or two that leave least room join it.
+
+    Items are kept by size, and the set of present sizes is one integer, so the largest size up to a bound takes constant
+    time; of pairs, only larger parts of half the best so far are tried, and a fit without rest ends the search."""
+    by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, size in enumerate(sizes.tolist()):
+        by_size[size].append(i)
+    present = sum(1 << size for size in range(1, capacity + 1) if by_size[size])
+    below = lambda bound: (present & ((1 << bound + 1) - 1)).bit_length() - 1  # noqa: E731  largest size up to bound, -1: none
+    bins, opened = np.full(len(sizes), -1, np.int64), 0
+    while present:
+        room, chosen = capacity, [below(capacity)]
+        while chosen:
+            for size in chosen:
+                bins[by_size[size].pop()] = opened
+                room -= size
+                if not by_size[size]:
+                    present ^= 1 << size
+            first = below(room)
+            chosen, best = ([first], first) if first > 0 else ([], 0)
+            while best < room and 2 * first > best and first > 0:
+                second = below(min(room - first, first))
+                if second == first and len(by_size[first]) < 2:
+                    second = below(first - 1)
+                if second > 0 and first + second > best:
+                    chosen, best = [first, second], first + second
+                first = below(first - 1)
+        opened += 1
+    for i in by_size[0]:  # empty items lie in the first bin
+        bins[i] = 0
     return bins
 
 
-def _packed(capacity: int, slack: int, level: int, last: bool):
-    """mapInArrow function: packs the open bins of a task; a bin's id is made of level, task and number."""
+def _packed(capacity: int, slack: int, level: int, most: float | None):
+    """mapInArrow function: packs the items of a task; a bin's id is made of level, task and number. At most `most` items
+    (None: no item), and three quarters of all, are left for the next level: those of bins of smaller items, then of the emptiest."""
     def run(batches):
         from pyspark import TaskContext
         rows = gathered(batches)
         if rows is None:
             return
         task = TaskContext.get().partitionId()
-        old, offset, length = (rows.column(c).to_numpy() for c in ("bin", "offset", "length"))
-        _, item = np.unique(old, return_inverse=True)
-        size = np.bincount(item, weights=length).astype(np.int64)
+        size = rows.column("length").to_numpy()
         target = best_fit(size, capacity)
         order = np.lexsort((-size, target))
         before = np.cumsum(size[order]) - size[order]  # places taken before an item, over all bins
         fresh = np.r_[True, target[order][1:] != target[order][:-1]]
         place = np.empty(len(size), np.int64)
         place[order] = before - np.repeat(before[fresh], np.diff(np.r_[np.flatnonzero(fresh), len(size)]))
-        fill = np.bincount(target, weights=size).astype(np.int64)
-        done = np.full(len(old), True) if last else (capacity - fill[target] <= slack)[item]
-        new = (np.int64(level) << 56) | (np.int64(task) << 32) | target[item]
-        for name, values in (("bin", new), ("offset", place[item] + offset), ("done", done)):
-            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values))
-        yield from rows.to_batches()
+        fill, items, largest = np.bincount(target, weights=size), np.bincount(target), np.zeros(target.max() + 1)
+        np.maximum.at(largest, target, size)
+        small = largest <= capacity // 2
+        done = np.full(len(fill), True)
+        if most is not None:
+            emptiest = np.argsort(np.where(small, 0, fill), kind="stable")
+            room = np.cumsum(items[emptiest]) <= min(most, len(size) * 3 // 4)
+            done[emptiest[room & (small | (fill < capacity - slack))[emptiest]]] = False
+        for name, values in (("bin", (np.int64(level) << 56) | (np.int64(task) << 32) | target), ("offset", place), ("done", done[target]),
+                             ("task", np.full(len(size), task, np.int32))):
+            rows = rows.append_column(name, pa.array(values))
+        yield from rows.to_batches(max_chunksize=100_000)
     return run
 
 
@@ -174,32 +193,17 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, slack: i
     count = pieces.count()
     if not count:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    session = pieces.sparkSession
-    whole = pieces.where(F.col("length") == capacity)
-    full = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("done"))
+    session, columns = pieces.sparkSession, [c.split(" ")[0] for c in PIECES.split(", ")]
     tasks = max(-(-count // task_rows), min(int(session.conf.get("spark.sql.shuffle.partitions")), -(-count // 2000)))
-    # level 0: every piece is a bin of its own; its task is drawn from the row, so equal rows spread evenly
-    first = pieces.where(F.col("length") < capacity).select(
-        "*", F.monotonically_increasing_id().alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("done"))
-    todo, level, parts = first, 1, []
+    # a first task is drawn from the row, so equal rows spread evenly
+    todo = pieces.where(F.col("length") < capacity).withColumn("task", F.monotonically_increasing_id()).repartition(tasks, "task")
+    level = 1
+    out = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("bin"), F.lit(0).cast("long").alias("offset"))
     while True:
-        last = tasks == 1
-        packed = scratch.write(todo.repartition(tasks, "bin" if level == 1 else "node")
-                               .select(*[c.split(" ")[0] for c in OPEN.split(", ")]).mapInArrow(_packed(capacity, slack, level, last), OPEN),
-                               f"packed-{level}")
-        parts.append(packed.where("done"))
-        if last:
-            break
-        n_open = packed.where(~F.col("done")).count()
-        narrower = max(-(-tasks // fan_in), -(-n_open // task_rows), 1)
-        if not n_open:
-            break
-        if narrower >= tasks:  # the bound of a task holds the tree open: emit what is left
-            parts.append(packed.where(~F.col("done")))
-            break
-        node = F.pmod(F.shiftright("bin", 32).bitwiseAND(0xFFFFFF), F.lit(narrower))
-        todo, tasks, level = packed.where(~F.col("done")).withColumn("node", node), narrower, level + 1
-    out = full
-    for part in parts:
-        out = out.unionByName(part)
-    return out.select(*[c.split(" ")[0] for c in PIECES.split(", ")], F.col("bin").alias("sequence_id"), "offset")
+        narrower = -(-tasks // fan_in)
+        most = None if tasks == 1 else narrower * task_rows / tasks
+        packed = scratch.write(todo.select(columns).mapInArrow(_packed(capacity, slack, level, most), PLACED), f"packed-{level}")
+        out = out.unionByName(packed.where("done").select(*columns, "bin", "offset"))
+        if tasks == 1:
+            return out.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+        todo, tasks, level = packed.where(~F.col("done")).repartition(narrower, F.pmod("task", F.lit(narrower))), narrower, level + 1
