@@ -10,10 +10,9 @@ so no document is compared with another as a whole and a window shared by many d
 
 Passages in the middle of lines are found the same way with every stretch of `GRAM` words as a line of its own: of
 `SPAN` consecutive stretches the one of the smallest hash is a fingerprint, so that a run of `PASSAGE` words shared
-anywhere has one in common. Matches outside the lines already deleted are extended word by word both ways, by hashes of the words
-around, and deleted from `PASSAGE` words on. The first place of a fingerprint need not be the one that has the passage: where three
-places or more hold a fingerprint and one differs from the first within reach of a passage, every window of `PASSAGE`
-words around that fingerprint is hashed at all its places, and a window that an earlier document has is deleted.
+anywhere has one in common. Where documents share a fingerprint and a later one has it outside the lines already
+deleted, the match is extended both ways: all windows of `PASSAGE` words around the fingerprint are hashed at all its
+places, and those that an earlier document has are deleted; a longer match is the union of its windows.
 
 Defined results: lines are parted by line feeds and compared exactly, but for white space at their ends; a run counts
 its words; white lines match only within a run. Null and empty texts stay as they are. Rows equal in doc_id and text
@@ -35,10 +34,11 @@ from pyspark.sql.types import IntegerType, StructType
 from populi.llm.common import Scratch, per_batch
 
 MIN_WORDS = 10  # of a repeated run of lines
-GRAM, SPAN = 10, 40  # words of a stretch, and consecutive stretches of which one is a fingerprint
+GRAM, SPAN = 16, 34  # words of a stretch, and consecutive stretches of which one is a fingerprint
 PASSAGE = GRAM + SPAN  # words of a passage inside lines; all of GRAM + SPAN - 1 words share a fingerprint
-REACH = 60  # words around a fingerprint that are compared; further ones have fingerprints of their own
-BROADCAST_DOCS = 1_000_000  # documents (24 bytes each, and their places) that may be broadcast
+SALTS = 8  # parts of a hash's places
+BROADCAST_DOCS = 100_000  # documents (24 bytes each, and their places) that may be broadcast
+SLICE = 400  # documents whose windows stand in memory at once
 KEY = ("__doc", "__text")  # doc_id and the text's hash: a document
 WINDOWS = "line int, last int, fingerprint long, window long, before array<long>, after array<long>"
 
@@ -81,7 +81,7 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
         names = [c.split(" ")[0] for c in WINDOWS.split(", ")]
         return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row, pa.int64())) for c in KEY] + [pa.array(c, t) for c, t in zip(columns, types)],
                                           names=[*KEY, *names])
-    return docs.select(*KEY, "text").mapInArrow(per_batch(one), f"{KEY[0]} long, {KEY[1]} long, {WINDOWS}")
+    return docs.select(*KEY, "text").mapInArrow(per_batch(one, SLICE), f"{KEY[0]} long, {KEY[1]} long, {WINDOWS}")
 
 
 def _same(a: str, b: str) -> F.Column:
@@ -149,51 +149,26 @@ def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h[at].view(np.int64), at, np.searchsorted(upto, at, side="right"), np.searchsorted(upto, at + GRAM - 1, side="right")
 
 
-def around(text: str, starts: list[int]) -> list[tuple[int, list[int], list[int]]]:
-    """(start, hashes of the words before it from the nearest on, hashes of the words after the stretch)."""
+def passages_around(text: str, starts: list[int], free: list[bool]) -> tuple[list[int], list[int], list[bool]]:
+    """First words and hashes of all windows of PASSAGE words that hold one of the stretches, and whether one of these is free."""
     words = text.encode("utf-8", "surrogatepass").split()
-    held: dict[bytes, int] = {}
-
-    def codes(part: list[bytes]) -> list[int]:
-        for w in part:
-            if w not in held:
-                held[w] = _signed(xxhash.xxh64_intdigest(w))
-        return [held[w] for w in part]
-    return [(i, codes(words[max(0, i - REACH):i][::-1]), codes(words[i + GRAM:i + GRAM + REACH])) for i in starts]
-
-
-def passages_around(text: str, starts: list[int]) -> list[tuple[int, int]]:
-    """(first word, hash of the words) of all windows of PASSAGE words that hold one of the stretches."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    first = sorted({i for s in starts for i in range(max(0, s + GRAM - PASSAGE), min(s, len(words) - PASSAGE) + 1)})
-    return [(i, _signed(xxhash.xxh64_intdigest(b" ".join(words[i:i + PASSAGE])))) for i in first]
-
-
-def _with_starts(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """KEY, text, starts: the documents that have a place, with their places. places: KEY and start."""
-    places = places.distinct().groupBy(*KEY).agg(F.collect_list("start").alias("starts"))
-    places = scratch.write(places.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), "starts"), name)
+    held: dict[int, bool] = {}
+    for s, f in zip(starts, free):
+        for i in range(max(0, s + GRAM - PASSAGE), min(s, len(words) - PASSAGE) + 1):
+            held[i] = f or held.get(i, False)
+    first = sorted(held)
+    return first, [_signed(xxhash.xxh64_intdigest(b" ".join(words[i:i + PASSAGE]))) for i in first], [held[i] for i in first]
+
+
+def _with_starts(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """KEY, text, starts: the documents that have a place, with their places. places: KEY, start, free."""
+    places = places.groupBy(*KEY).agg(F.collect_set(F.struct("start", "free")).alias("starts"))
+    places = scratch.write(places.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), "starts"), "places")
     small = places.agg(F.count("*").alias("n"), F.sum(F.size("starts")).alias("s")).first()
     asked = F.broadcast(places) if small["n"] <= BROADCAST_DOCS and (small["s"] or 0) <= 4 * BROADCAST_DOCS else places
     return docs.join(asked, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t"))).select(*KEY, "text", "starts")
 
 
-def _held_windows(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
-    """KEY, first, last: windows around the places that an earlier document has."""
-    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [passages_around(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
-        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        cells = list(zip(*[c for f in found for c in f])) or [(), ()]
-        return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64())],
-                                          names=[*KEY, "first", "window"])
-    spans = _with_starts(docs, places, scratch, "asked").mapInArrow(per_batch(look), f"{KEY[0]} long, {KEY[1]} long, first int, window long")
-    spans = scratch.write(spans.dropDuplicates([*KEY, "first"]), "spans")
-    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY])
-    original = spans.groupBy("window").agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select("window", "o")
-    held = spans.join(scratch.write(original, "held"), "window").where(place != F.col("o"))
-    return held.select(*KEY, "first", (F.col("first") + PASSAGE - 1).alias("last"))
-
-
 def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
     """KEY, runs: [first, last] word ranges of passages that an earlier document has and whose lines `runs` does not cover."""
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -202,44 +177,34 @@ def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> Dat
         parts = [np.concatenate([f[k] for f in found]) for k in range(4)]
         return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in KEY] + [pa.array(parts[0], pa.int64())] + [pa.array(p, pa.int32()) for p in parts[1:]],
                                           names=[*KEY, "hash", "start", "line", "last"])
-    rows = docs.select(*KEY, "text").mapInArrow(per_batch(select), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, line int, last int")
-    rows = scratch.write(rows, "stretches")
-    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY], "start")
-    original = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1")
-    elsewhere = ~F.col(KEY[0]).eqNullSafe(F.col(f"o.{KEY[0]}")) | (F.col(KEY[1]) != F.col(f"o.{KEY[1]}"))
-    later = rows.join(scratch.write(original, "firsts"), "hash").where(elsewhere)
+    rows = docs.select(*KEY, "text").mapInArrow(per_batch(select, SLICE), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, line int, last int")
     covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
-    later = later.join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
+    rows = scratch.write(rows, "stretches").join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
     inside = F.exists("__runs", lambda r: (r["first"] <= F.col("line")) & (F.col("last") <= r["last"]))
-    later = later.where(~F.coalesce(inside, F.lit(False))).select(*KEY, "start", "hash", "n", F.col(f"o.{KEY[0]}").alias("o_doc"), F.col(f"o.{KEY[1]}").alias("o_text"), F.col("o.start").alias("o_start"))
-    later = scratch.write(later.distinct(), "later")
-    places = later.select(*KEY, "start").unionByName(later.select(F.col("o_doc").alias(KEY[0]), F.col("o_text").alias(KEY[1]), F.col("o_start").alias("start")))
-    wanted = _with_starts(docs, places, scratch, "places")
+    rows = scratch.write(rows.select(*KEY, "hash", "start", (~F.coalesce(inside, F.lit(False))).alias("free")), "marked")
+    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY])
+    shared = rows.groupBy("hash").agg(F.min(place).alias("o"), F.max(F.when(F.col("free"), place)).alias("z")).where("z > o").select("hash")
+    # a fingerprint that a third of all documents have must not meet in one task
+    shared = scratch.write(shared, "shared").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    places = rows.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int")).join(shared, ["hash", "salt"], "left_semi").select(*KEY, "start", "free")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [around(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
-        row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-        cells = list(zip(*[c for f in found for c in f])) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + [pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.list_(pa.int64())), pa.array(cells[2], pa.list_(pa.int64()))],
-                                          names=[*KEY, "start", "before", "after"])
-    seen = wanted.mapInArrow(per_batch(look), f"{KEY[0]} long, {KEY[1]} long, start int, before array<long>, after array<long>")
-    seen = scratch.write(seen.dropDuplicates([*KEY, "start"]), "seen")
-    first = seen.select(F.col(KEY[0]).alias("f_doc"), F.col(KEY[1]).alias("f_text"), F.col("start").alias("f_start"), F.col("before").alias("o_before"), F.col("after").alias("o_after"))
-    own = seen.select(F.col(KEY[0]).alias("s_doc"), F.col(KEY[1]).alias("s_text"), F.col("start").alias("s_start"), "before", "after")
-    both = (later.join(own, F.col(KEY[0]).eqNullSafe(F.col("s_doc")) & (F.col(KEY[1]) == F.col("s_text")) & (F.col("start") == F.col("s_start")))
-            .join(first, F.col("o_doc").eqNullSafe(F.col("f_doc")) & (F.col("o_text") == F.col("f_text")) & (F.col("o_start") == F.col("f_start"))))
-    left, right = _same("before", "o_before"), _same("after", "o_after")
-    whole = lambda same, words: (same >= PASSAGE - GRAM) | (same == F.size(words))
-    ranges = both.select(*KEY, "hash", "n", (F.col("start") - left).alias("first"), (F.col("start") + GRAM - 1 + right).alias("last"),
-                         (whole(left, "before") & whole(right, "after")).alias("settled"))
-    ranges = scratch.write(ranges, "ranges")
-    for name in ("seen", "later", "places", "firsts"):
+        found = [passages_around(t, [x["start"] for x in s], [x["free"] for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
+        row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        cells = [pa.array([x for f in found for x in f[k]], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_()))]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + cells, names=[*KEY, "first", "window", "free"])
+    spans = _with_starts(docs, places, scratch).mapInArrow(per_batch(look, SLICE), f"{KEY[0]} long, {KEY[1]} long, first int, window long, free boolean")
+    spans = scratch.write(spans, "spans")
+    for name in ("stretches", "marked", "shared", "places"):
+        scratch.drop(name)
+    original = spans.groupBy("window").agg(F.min(place).alias("o"), F.max(F.when(F.col("free"), place)).alias("z")).where("z > o").select("window", "o")
+    original = scratch.write(original, "held").select("window", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    free = spans.where("free").withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int"))
+    held = free.join(original, ["window", "salt"]).where(place != F.col("o"))
+    merged = scratch.write(_merged(held.select(*KEY, "first", (F.col("first") + PASSAGE - 1).alias("last"))), "passages")
+    for name in ("spans", "held"):
         scratch.drop(name)
-    # another place than the first can have what the first has not
-    again = rows.join(ranges.where("n > 2 and not settled").select("hash").distinct(), "hash", "left_semi").select(*KEY, "start")
-    held = _held_windows(docs, again, scratch)
-    scratch.drop("stretches")
-    return _merged(ranges.where(F.col("last") - F.col("first") + 1 >= PASSAGE).select(*KEY, "first", "last").unionByName(held))
+    return merged
 
 
 WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -281,8 +246,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     keyed = docs.withColumns({KEY[0]: F.col(id_col).cast("long"), KEY[1]: F.xxhash64(text)})
     held = keyed.where(text != "").select(*KEY, text.alias("text"))
     runs = scratch.write(repeated_runs(held, scratch, min_words), "runs")
-    scratch.drop("windows")
-    passages = scratch.write(repeated_passages(held, runs, scratch), "passages")
+    for name in ("windows", "original"):
+        scratch.drop(name)
+    passages = repeated_passages(held, runs, scratch)
     named = lambda df, name: df.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias(name))
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
     edits = (named(runs, "__runs").withColumn("__passages", none).unionByName(named(passages, "__passages").withColumn("__runs", none))
@@ -299,7 +265,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
         return pa.RecordBatch.from_arrays([pa.array(clean, pa.string()) if c == text_col else batch.column(c) for c in batch.schema.names] + [pa.array(n, pa.int32())],
                                           names=[*batch.schema.names, "__lines"])
     schema = StructType([*out.schema.fields]).add("__lines", IntegerType())
-    return out.mapInArrow(per_batch(cut), schema)
+    return out.mapInArrow(per_batch(cut, SLICE), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
