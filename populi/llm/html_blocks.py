@@ -91,6 +91,8 @@ def blocks(page: str) -> list[Block]:
                 close(depth)
             continue
         if tag in RAW:
+            if tag in ("svg", "math") and attributes and attributes.rstrip().endswith("/"):
+                continue  # closed by itself
             closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = closing.end() if closing else end
             continue

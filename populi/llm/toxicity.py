@@ -28,7 +28,6 @@ from populi.llm.common import Scratch, per_batch, text_or_empty
 SAMPLE = 16_000  # labelled rows that the fit may read, toxic and other together
 MIN_SUPPORT = 4  # different neighbours of a term in toxic texts
 MIN_ODDS = 4.0  # log odds of a term between toxic and other texts
-MAX_TERMS = 1000
 STEMS = range(4, 8)
 STEM_FORMS = 4  # words that a stem must have
 WINDOW = 6  # tokens on either side
@@ -177,13 +176,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
     return w
 
 
-def learn_lexicon(rows: DataFrame, scratch: Scratch, max_terms: int = MAX_TERMS) -> list[tuple[str, bool]]:
-    """(term, is a stem) from a bounded sample: doc_id, text, toxic. The driver gets at most max_terms rows of each kind."""
+def learn_lexicon(rows: DataFrame, scratch: Scratch) -> list[tuple[str, bool]]:
+    """(term, is a stem): every term of the bounded sample (doc_id, text, toxic) that has the support and the odds, of any length.
+
+    A term needs MIN_SUPPORT different neighbours, so the sample bounds the lexicon too."""
     words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
     beside = F.concat(F.array(F.lit("")), words)
     pairs = rows.select("toxic", F.explode(F.arrays_zip(words.alias("word"), beside.alias("near"))).alias("p")).select(
         "toxic", F.col("p.word").alias("word"), F.col("p.near").alias("near"))
-    support = (pairs.where(F.length("word") >= STEMS[0]).groupBy("word", "near").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("n"))
+    support = (pairs.where(F.length("word") > 0).groupBy("word", "near").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("n"))
                .groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
     support = scratch.write(support, "support")
     total = rows.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("n")).first()
@@ -192,11 +193,11 @@ def learn_lexicon(rows: DataFrame, scratch: Scratch, max_terms: int = MAX_TERMS)
     odds = F.log((F.col("t") + 0.5) / total["t"]) - F.log((F.col("n") + 0.5) / total["n"])
     pure = lambda df, least: df.where(F.col("t") >= least).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
     best = [F.desc("odds"), F.desc("t"), "term"]
-    whole = pure(support, MIN_SUPPORT).select(F.col("word").alias("term"), "t", "odds").orderBy(*best).limit(max_terms).collect()
+    whole = pure(support, MIN_SUPPORT).select(F.col("word").alias("term"), "t", "odds").orderBy(*best).collect()
     stems = support.select("word", "t", "n", F.explode(F.array(*[F.lit(k) for k in STEMS])).alias("k")).where(F.length("word") > F.col("k"))
     stems = (stems.select(F.substring("word", F.lit(1), F.col("k")).alias("term"), "t", "n").groupBy("term")
              .agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum((F.col("t") > 0).cast("int")).alias("forms")).where(F.col("forms") >= STEM_FORMS))
-    stems = pure(stems, 2 * MIN_SUPPORT).select("term", "t", "odds").orderBy(*best).limit(max_terms).collect()
+    stems = pure(stems, 2 * MIN_SUPPORT).select("term", "t", "odds").orderBy(*best).collect()
     short: list[str] = []
     for term in sorted((r["term"] for r in stems), key=lambda t: (len(t), t)):
         if not any(term.startswith(s) for s in short):

@@ -228,6 +228,19 @@ def test_automaton_is_the_edit_distance():
     assert stems.match("loweihr") == (0, 0) and stems.match("idoit") == (1, 1) and stems.match("flower") is None
 
 
+def test_short_terms_and_many_terms_are_learned(spark):
+    rng = random.Random(6)
+    neutral = [f"plain{i}" for i in range(40)]
+    bad = ["zud"] + ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) + f"{i}q" for i in range(1200)]
+    rows = []
+    for k, term in enumerate(bad):
+        for j in range(6):
+            rows.append((6 * k + j, f"{rng.choice(neutral)} {neutral[(5 * j + k) % 40]} {term} {rng.choice(neutral)}", 1))
+    rows += [(10_000 + i, " ".join(rng.choice(neutral) for _ in range(8)), 0) for i in range(4000)]
+    terms = {t for t, stem in toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), Scratch(spark, "t")) if not stem}
+    assert len(terms & set(bad)) > 1150 and "zud" in terms and not terms & set(neutral)
+
+
 def test_quoted_hits_are_told_apart():
     hits = toxicity.Hits([("idiot", False)])
     assert toxicity.contexts("you are an idiot now", hits)[0] == [(0, 0, False)]
@@ -338,6 +351,8 @@ def test_blocks():
     assert "t:nav" in found[0].above and found[0].links == 3 and found[0].container == found[1].container
     assert "t:article" in found[3].above and found[3].tag == "p" and "n:hidden" in found[6].above
     assert html_blocks.blocks("") == []
+    closed = html_blocks.blocks('<article><p>one</p><svg width="1"/><p>two</p><math/><svg><text>x</text></svg><p>three</p></article>')
+    assert [b.text for b in closed] == ["one", "two", "three"]
 
 
 def test_viterbi_and_gradient():
