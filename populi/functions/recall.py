@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.functions.base import let, non_empty
@@ -95,6 +95,15 @@ def truth_themes(threshold: float, *, nested: Column | None = None, flat: Column
     return F.coalesce(*[non_empty(r) for r in rungs], F.array().cast("array<string>"))
 
 
+def recall_of_rows(rows: DataFrame, predicted: str, actual: str, threshold: float) -> DataFrame:
+    """The rows with k_actual and recall at k and at max(3,k); true themes are the actual entries at or above the threshold."""
+    truth = truth_themes(threshold, flat=F.col(actual))
+    ready = rows.withColumns({"__truth": truth, "__order": ranked(F.col(predicted))})
+    order, truth = F.col("__order"), F.col("__truth")
+    return ready.withColumns({"k_actual": F.size(truth), "recall_at_k": recall_at(order, truth, F.size(truth), no_truth=None),
+                              "recall_at_max3k": recall_at_max_nk(order, truth, 3, no_truth=None)}).drop("__truth", "__order")
+
+
 def rating_score(predicted: Column, actual: Column) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.abs(predicted - actual) / 4.0)
 

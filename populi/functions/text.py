@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -109,22 +110,24 @@ def category_by_keyword(category: Column, rules: str = "sampling") -> Column:
     return chain
 
 
+def _folded(name: str) -> str:
+    return name.lower().replace("_", " ").replace("&", "and")
+
+
 def spelled_main_category(category: Column, groups: Mapping[str, list[str]] | None = None) -> Column:
-    """Main category tolerant of spelling variants, with every fashion spelling folded into one name.
+    """Main category of a name in any spelling, under one name for all of fashion; a name that stays unmapped is kept.
 
-    A name that stays unmapped is returned unchanged."""
+    A listed name in mixed spelling stands for itself. One in a single style (all upper or lower case, or underscores for
+    spaces) stands for every spelling that folds to the same: case, underscores and the word for & do not matter."""
     groups = fixed.MAIN_CATEGORIES if groups is None else groups
-    pairs = _inverted(groups)
-    lookup = _literal_map(pairs)
-    variants = [category, F.replace(category, F.lit(" "), F.lit("_")), F.replace(category, F.lit(" & "), F.lit("_and_")),
-                F.replace(category, F.lit(" & "), F.lit(" and ")), F.replace(category, F.lit(" & "), F.lit("_&_")),
-                F.lower(category), F.upper(category), F.lower(F.replace(category, F.lit(" "), F.lit("_")))]
-    found = F.coalesce(*[F.try_element_at(lookup, v) for v in variants], category)
-    fashion = next((main for main in groups if any(w in main.lower() for w in ("fashion", "clothing", "jewelry"))), None)
-    if fashion is None:
+    listed = _inverted(groups)
+    styled = {_folded(n): main for n, main in listed.items() if n in (n.upper(), n.lower()) or "_" in n}
+    fold = F.replace(F.replace(F.lower(category), F.lit("_"), F.lit(" ")), F.lit("&"), F.lit("and"))
+    found = F.coalesce(F.try_element_at(_literal_map(listed), category), *([F.try_element_at(_literal_map(styled), fold)] if styled else []), category)
+    of_fashion = [main for main in groups if set(re.split("[ _]", main.lower())) & {"fashion", "clothing", "jewelry"}]
+    if not of_fashion:
         return found
-    return let(found, lambda c: F.when(F.lower(c).rlike("fashion|clothing_shoes_and_jewelry|jewelry"), fashion)
-               .otherwise(c))
+    return let(found, lambda c: F.when(F.lower(c).rlike("fashion|jewelry"), of_fashion[0]).otherwise(c))
 
 
 def underscored_category(category: Column) -> Column:
@@ -223,26 +226,6 @@ def tagged_response(response: Column) -> Column:
         .alias("probabilities")))
 
 
-def token_probabilities(tokens: Column, themes: Column) -> Column:
-    """map<theme, mean probability of the tokens that occur inside the theme's name>; themes without one are left out.
-
-    tokens is array<struct<token, logprob>>; tokens that are only JSON structure are skipped."""
-    used = F.filter(F.transform(tokens, lambda t: F.struct(
-        F.lower(F.trim(t["token"])).alias("text"), F.exp(t["logprob"]).alias("p"))),
-        lambda t: ~t["text"].isin(fixed.STRUCTURE_TOKENS))
-
-    def scored(kept: Column) -> Column:
-        def one(theme: Column) -> Column:
-            none = F.struct(F.lit(0.0).alias("p"), F.lit(0).alias("n"))
-            inside = lambda name: F.aggregate(kept, none, lambda acc, t: F.when(F.contains(name, t["text"]), F.struct(
-                (acc["p"] + t["p"]).alias("p"), (acc["n"] + 1).alias("n"))).otherwise(acc))
-            mean = let(let(F.lower(F.trim(theme)), inside), lambda a: F.when(a["n"] > 0, a["p"] / a["n"]))
-            return F.struct(theme.alias("key"), mean.alias("value"))
-        return F.map_from_entries(F.filter(F.transform(F.array_distinct(themes), one),
-                                           lambda e: e["value"].isNotNull()))
-    return let(used, scored)
-
-
 def theme_probabilities(themes: Column, token_based: Column, stated: Column, default: float = 0.5) -> Column:
     """Probability per theme: from tokens, else as stated by the model, else the default."""
     return F.map_from_entries(F.transform(F.array_distinct(themes), lambda t: F.struct(
@@ -251,18 +234,21 @@ def theme_probabilities(themes: Column, token_based: Column, stated: Column, def
 
 
 def parse_analysis(response: Column) -> Column:
-    """'[motive] [explanation]' of a free-text response, with a JSON fallback and an error marker."""
-    both = F.trim(F.regexp_extract(response, r"(?s)(\[.*?\]\s*\[.*?\])", 1))
-    head = F.trim(F.regexp_extract(response, r"(?s)(\[.*?\])\s*(.*)", 1))
-    tail = F.trim(F.regexp_extract(response, r"(?s)(\[.*?\])\s*(.*)", 2))
+    """'[motive] [explanation]' of a free-text response, with a JSON fallback and an error marker.
+
+    The text after the first opening bracket is halved where one bracket closes and, white space apart, another opens."""
+    blank = F.lit(" \t\n\r\x0b\x0c")
+    opened = F.when(response.contains("["), F.substr(response, F.instr(response, "[") + 1))
+    second = F.get(F.split(opened, r"\]\s*\[", 2), F.lit(1))
+    first_half = F.left(opened, F.length(opened) - F.length(second))  # with both brackets in between
+    pair = F.when(second.contains("]"), F.concat(F.lit("["), first_half, F.substring_index(second, "]", 1), F.lit("]")))
+    motive = F.when(opened.contains("]"), F.substring_index(opened, "]", 1))
+    words = F.btrim(F.substr(opened, F.length(motive) + 2), blank)
+    settled = F.when(F.lower(pair).rlike("no missed motives|none"), "[No missed motives] [No additional themes missed]").otherwise(pair)
     stated = F.when(response.startswith("{"), F.get_json_object(response, "$.analysis"))
-    return (F.when(response.isNull() | (response == ""), "[LLM Error] [Empty response]")
-            .when((both != "") & F.lower(both).rlike("no missed motives|none"),
-                  "[No missed motives] [No additional themes missed]")
-            .when(both != "", both)
-            .when(head != "", F.concat(head, F.lit(" ["), tail, F.lit("]")))
-            .when(stated.isNotNull(), stated)
-            .otherwise(F.concat(F.lit("[LLM Error] [Format mismatch: "), response, F.lit("]"))))
+    reason = F.when(F.coalesce(response, F.lit("")) == "", "Empty response").otherwise(F.concat(F.lit("Format mismatch: "), response))
+    return F.coalesce(settled, F.concat(F.lit("["), motive, F.lit("] ["), words, F.lit("]")), stated,
+                      F.concat(F.lit("[LLM Error] ["), reason, F.lit("]")))
 
 
 def pre_post_cell(cell: Column) -> Column:

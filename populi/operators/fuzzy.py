@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from populi.functions import fixed_values as fixed
 from populi.functions.dist import cosine
 from populi.functions.text import fold, string_similarity
 
 
+def token_theme_means(df: DataFrame, key: str, tokens: Column, names: DataFrame, theme: str = "theme") -> DataFrame:
+    """(key, means map<theme, p>): for each theme the mean probability of the tokens that occur inside its name.
+
+    tokens: array<struct<token, logprob>>; tokens that are only JSON structure are skipped. Every substring of the names is
+    indexed and tokens meet the index by equality: a token costs one lookup however many themes there are. Spark
+    broadcasts the index when its size allows. Keys without such a token are left out."""
+    name = F.lower(F.trim(theme))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("__n"), F.lit(1)))
+    cuts = names.select(theme).distinct().withColumn("__n", name).select(theme, "__n", F.explode(starts).alias("__s"))
+    cuts = cuts.select(theme, F.explode(F.transform(F.sequence(F.lit(0), F.length("__n") - F.col("__s") + 1), lambda n: F.substr("__n", F.col("__s"), n))).alias("__text"))
+    index = cuts.distinct().groupBy("__text").agg(F.collect_set(theme).alias("__themes"))
+    said = df.select(key, F.explode(tokens).alias("__t")).select(key, F.lower(F.trim("__t.token")).alias("__text"), F.exp("__t.logprob").alias("__p"))
+    met = said.filter(~F.col("__text").isin(fixed.STRUCTURE_TOKENS)).join(index, "__text")
+    means = met.select(key, F.explode("__themes").alias(theme), "__p").groupBy(key, theme).agg(F.avg("__p").alias("__p"))
+    return means.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(theme, "__p"))).alias("means"))
+
+
 def topic_lists(topics: DataFrame) -> DataFrame:
     """(category, topics array in list order) from (category, theme, pos); a topic list is a short dictionary."""
     return topics.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "theme"))),

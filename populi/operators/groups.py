@@ -74,9 +74,20 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *,
     return placed.drop("__key", "__w", "__n", "__part", "__tie", "__r", "__rw", "__before", "__before_w")
 
 
-def value_chunk(value: Column) -> Column:
-    """A whole number that never decreases with the value: signed logarithm in steps of 1/4096."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 4096.0).cast("long")
+DIGITS = (40, 20, 0)  # lowest bit of each radix digit of a 64-bit key
+
+
+def ordered_key(value: Column) -> Column:
+    """A 64-bit whole number in the order of the double (no NaN): sign, exponent and mantissa as numbers; both zeros are 0."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    power = lambda e: F.pow(F.lit(2.0), e)  # noqa: E731  exact for whole exponents
+    exponent = F.greatest(F.lit(-1022), F.when(power(guess) > size, guess - 1).when(power(guess) * 2.0 <= size, guess + 1).otherwise(guess))
+    exponent = F.when(guess >= 1024, F.lit(1023)).otherwise(exponent)  # the logarithm of the largest doubles rounds up
+    part = size * power(-exponent)  # from 1 up to 2, or below 1 under the smallest normal exponent
+    key = (exponent.cast("long") + 1022) * F.lit(1 << 52) + (part * F.lit(float(1 << 52))).cast("long")
+    whole = F.when(size == 0.0, F.lit(0).cast("long")).when(size == F.lit(float("inf")), F.lit(2047 << 52)).otherwise(key)
+    return F.when(value < 0.0, -whole).otherwise(whole)
 
 
 def at_levels(df: DataFrame, path: Sequence[str], label: str = "ALL") -> DataFrame:
@@ -95,57 +106,50 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, fl
     """n, mean, std (population), min, max of each group and exact interpolated quantiles, one per entry of probs.
 
     With a path, groups are formed at every level of it (see at_levels) within the keys. Distinct values are counted
-    first. A histogram over value chunks carries the moments and finds the chunks that hold the wanted ranks; only
-    those are ordered. The rows are read once, levels multiply histograms and not rows, and nothing larger than one
-    chunk of one group is ever sorted in one task."""
+    first, in one shuffle that all later steps share. The wanted ranks are then found for all groups at once by radix
+    selection on order-preserving keys: a histogram over the first digit, which also carries the moments, one over the
+    second digit of the values that remain, one over the third. A histogram has 2^24 or 2^20 bins at most whatever the
+    values are, so nothing larger is ever ordered in one task; levels multiply histograms and not rows."""
     keys = [*path, *keys]
+    digit = lambda i: (F.shiftright("__key", DIGITS[i]) if not i else F.shiftright("__key", DIGITS[i]).bitwiseAND((1 << 20) - 1))
     # the joins below are null-safe: a missing key stays a group of its own, and no filter on keys is inferred that
-    # would keep the two uses of `counted` from sharing one shuffle
+    # would keep the uses of `counted` from sharing one shuffle
     counted = (df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-               .groupBy(*keys, value_chunk(F.col(value)).alias("__chunk"), F.col(value).alias("__v"))
-               .agg(F.count(F.lit(1)).alias("__c")))
-    whole = Window.partitionBy(*keys)
-    along = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    v, c = F.col("__v"), F.col("__c")
-    # sums are taken from the chunk's own edge, which keeps them small
-    edge = F.signum(F.col("__chunk")) * F.expm1(F.abs(F.col("__chunk")) / 4096.0)
-    hist = counted.groupBy(*keys, "__chunk").agg(
+               .groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    counted = counted.withColumn("__key", ordered_key(F.col("__v"))).withColumns({f"__d{i}": digit(i) for i in range(3)})
+    if path:
+        counted = at_levels(counted, path)
+    whole, v, c = Window.partitionBy(*keys), F.col("__v"), F.col("__c")
+    upto = lambda *more: F.sum("__hc").over(Window.partitionBy(*keys, *more[:-1]).orderBy(more[-1]).rowsBetween(Window.unboundedPreceding, 0))
+    # sums are taken from a value of the bin itself, which keeps them small
+    edge = F.signum(F.col("__d0")) * F.pow(F.lit(2.0), F.floor(F.abs("__d0") / 4096) - 1023) * (1.0 + F.abs("__d0") % 4096 / 4096.0)
+    hist = counted.groupBy(*keys, "__d0").agg(
         F.sum(c).alias("__hc"), F.sum((v - edge) * c).alias("__s"), F.sum((v - edge) * (v - edge) * c).alias("__q"),
         F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    if path:
-        hist = at_levels(hist, path).groupBy(*keys, "__chunk").agg(
-            *[F.sum(x).alias(x) for x in ("__hc", "__s", "__q")], F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
     hist = (hist.withColumn("__center", edge + F.col("__s") / F.col("__hc"))
-            .withColumns({"__upto": F.sum("__hc").over(along), "n": F.sum("__hc").over(whole),
+            .withColumns({"__upto": upto("__d0"), "n": F.sum("__hc").over(whole),
                           "mean": F.sum(F.col("__center") * F.col("__hc")).over(whole) / F.sum("__hc").over(whole)}))
-    # spread inside a chunk plus spread of the chunk means around the mean
+    # spread inside a bin plus spread of the bins' means around the mean
     center = F.col("__center")
-    inside_chunk = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * F.col("__s") / F.col("__hc"))
-    around = inside_chunk + F.col("__hc") * (center - F.col("mean")) * (center - F.col("mean"))
+    inside = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * F.col("__s") / F.col("__hc"))
+    around = inside + F.col("__hc") * (center - F.col("mean")) * (center - F.col("mean"))
     hist = hist.withColumns({"std": F.sqrt(F.sum(around).over(whole) / F.col("n")), "min": F.min("__lo").over(whole),
                              "max": F.max("__hi").over(whole), "__before": F.col("__upto") - F.col("__hc")})
     basics = ["n", "mean", "std", "min", "max"]
-    wanted = F.lit(False)
-    for p in probs.values():
-        spot = (F.col("n") - 1) * F.lit(p)
-        for r in (F.floor(spot), F.ceil(spot)):
-            wanted = wanted | ((r >= F.col("__before")) & (r < F.col("__upto")))
-    inside = Window.partitionBy(*keys, "__chunk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = hist.filter(wanted).select(*keys, "__chunk", "__before", *basics)
-    if path:
-        inner = [k for k in keys if k not in path] + ["__chunk"]
-        counted = (at_levels(_null_safe_join(counted, ranks.select(*inner).distinct(), inner, "left_semi"), path)
-                   .groupBy(*keys, "__chunk", "__v").agg(F.sum("__c").alias("__c")))
-    placed = (_null_safe_join(counted, ranks, keys + ["__chunk"])
-              .withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
-              .withColumn("__start", F.col("__end") - F.col("__c")))
-    picks, outputs = [], []
-    for name, p in probs.items():
-        spot = (F.col("n") - 1) * F.lit(p)
-        for tag, r in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            picks.append(F.max(F.when((r >= F.col("__start")) & (r < F.col("__end")), F.col("__v")))
-                         .alias(f"__{tag}_{name}"))
-        outputs.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}"))
-                        * (spot - F.floor(spot))).alias(name))
-    return (placed.groupBy(*keys).agg(*[F.max(b).alias(b) for b in basics], *picks)
-            .select(*keys, *basics, *outputs))
+    spots = {name: (F.col("n") - 1) * F.lit(p) for name, p in probs.items()}
+    ranks = {f"__{tag}_{name}": rank(spot) for name, spot in spots.items() for tag, rank in (("lo", F.floor), ("hi", F.ceil))}
+    holds = lambda r: (r >= F.col("__before")) & (r < F.col("__upto"))
+    wanted = reduce(lambda a, b: a | b, [holds(r) for r in ranks.values()], F.lit(False))
+    seen = ["__d0"]
+    for i in (1, 2):
+        left = hist.filter(wanted).select(*keys, *seen, F.col("__before").alias("__ahead"), *basics)
+        hist = (_null_safe_join(counted, left, keys + seen).groupBy(*keys, *seen, f"__d{i}")
+                .agg(F.sum(c).alias("__hc"), F.max(v).alias("__v"), *[F.max(x).alias(x) for x in ("__ahead", *basics)]))
+        seen.append(f"__d{i}")
+        # partitioned by the keys alone, which serves the last aggregation too
+        hist = (hist.repartition(*keys).withColumn("__upto", F.col("__ahead") + upto(*seen))
+                .withColumn("__before", F.col("__upto") - F.col("__hc")))
+    picks = [F.max(F.when(holds(r), F.col("__v"))).alias(name) for name, r in ranks.items()]
+    outputs = [(F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (spot - F.floor(spot))).alias(name)
+               for name, spot in spots.items()]
+    return hist.groupBy(*keys).agg(*[F.max(b).alias(b) for b in basics], *picks).select(*keys, *basics, *outputs)

@@ -27,18 +27,15 @@ def distinct_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
             .groupBy("unit").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies")))
 
 
-def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int | None = None, block: int = 2000,
-                  within: str | None = None) -> DataFrame:
-    """(a, b, similarity) for rep pairs a < b with cosine >= threshold. reps: rep (long), unit, copies.
-
-    within: a column whose values must be equal. Pivots number about the square root of the rows, MOST_PIVOTS at most,
-    so that cells stay small as the data grow."""
+def _meetings(reps: DataFrame, threshold: float, pivots: int | None, block: int, within: str | None, found, schema: str) -> DataFrame:
+    """Every pair of vectors that can be near each other meets in one task; found(a, b, similarity, copies) makes the rows of a
+    task from its near pairs a < b. Pivots number about the square root of the rows, MOST_PIVOTS at most."""
     if pivots is None:
         pivots = max(1, min(MOST_PIVOTS, round(reps.count() ** 0.5)))
     reps = reps.withColumn("part", F.lit("") if within is None else F.col(within).cast("string"))
     chosen = reps.orderBy(unit_hash(F.col("rep")), "rep").limit(pivots).select("unit").collect()  # `pivots` rows
     if not chosen:
-        return reps.sparkSession.createDataFrame([], "a long, b long, similarity double")
+        return reps.sparkSession.createDataFrame([], schema)
     points = np.array([r["unit"] for r in chosen])
     reach = 2.0 * np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
 
@@ -53,7 +50,7 @@ def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int | None = Non
             rows, cells = np.nonzero(visits)
             yield pd.concat([part.assign(cell=home, guest=False), part.iloc[rows].assign(cell=cells, guest=True)])
 
-    placed = reps.select("rep", "part", "unit").mapInPandas(place, "rep long, part string, unit array<double>, cell int, guest boolean")
+    placed = reps.select("rep", "copies", "part", "unit").mapInPandas(place, "rep long, copies long, part string, unit array<double>, cell int, guest boolean")
     cells = placed.groupBy("part", "cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("guest")) / F.lit(block))).alias("nh"),
         F.ceil(F.count_if("guest") / F.lit(block)).alias("ng"))
@@ -68,32 +65,43 @@ def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int | None = Non
         F.transform(F.sequence(F.lit(0).cast("long"), blk), lambda i: to(i, blk, False, False)),
         F.transform(upto(F.col("ng")), lambda j: to(blk, j, True, True)))
     guest_tasks = F.transform(upto(F.col("nh")), lambda i: to(i, blk, True, False))
-    tasks = rows.select("part", "cell", "rep", "unit", F.explode(F.when(F.col("guest"), guest_tasks).otherwise(home_tasks))
-                        .alias("t")).select("part", "cell", "t.*", "rep", "unit")
+    tasks = rows.select("part", "cell", "rep", "copies", "unit", F.explode(F.when(F.col("guest"), guest_tasks).otherwise(home_tasks))
+                        .alias("t")).select("part", "cell", "t.*", "rep", "copies", "unit")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         left, right = part[part["is_left"]], part[~part["is_left"]]
         if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64"})
+            return found(*[np.zeros(0, np.int64)] * 2, np.zeros(0), *[np.zeros(0, np.int64)] * 2)
         similarity = np.round(np.stack(left["unit"].to_numpy()) @ np.stack(right["unit"].to_numpy()).T, 12)
         x, y = np.nonzero(similarity >= threshold)
         a, b, s = left["rep"].to_numpy()[x], right["rep"].to_numpy()[y], similarity[x, y]
         # two different blocks meet once; a block that meets itself shows each pair twice
         kept = (a < b) if part["i"].iloc[0] == part["j"].iloc[0] and not part["with_guests"].iloc[0] else (a != b)
-        a, b, s = a[kept], b[kept], s[kept]
+        return found(a[kept], b[kept], s[kept], left["copies"].to_numpy()[x][kept], right["copies"].to_numpy()[y][kept])
+
+    return tasks.groupBy("part", "cell", "i", "j", "with_guests").applyInPandas(meet, schema)
+
+
+def similar_pairs(reps: DataFrame, threshold: float, *, pivots: int | None = None, block: int = 2000,
+                  within: str | None = None) -> DataFrame:
+    """(a, b, similarity) for rep pairs a < b with cosine >= threshold. reps: rep (long), unit, copies.
+
+    within: a column whose values must be equal."""
+    def pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray, *_: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": s})
+    return _meetings(reps, threshold, pivots, block, within, pairs, "a long, b long, similarity double")
 
-    return tasks.groupBy("part", "cell", "i", "j", "with_guests").applyInPandas(meet, "a long, b long, similarity double")
 
+def neighbour_counts(df: DataFrame, key: str, vector: str, threshold: float, *, pivots: int | None = None, block: int = 2000) -> DataFrame:
+    """(key, neighbours): how many other rows have a cosine of at least the threshold; copies are counted, not paired.
 
-def neighbour_counts(df: DataFrame, key: str, vector: str, threshold: float, **options: int) -> DataFrame:
-    """(key, neighbours): how many other rows have a cosine of at least the threshold; copies are counted, not paired."""
+    A task sums its pairs up, so one row a vector leaves it and never a pair."""
     reps = distinct_vectors(df, key, vector)
-    pairs = similar_pairs(reps, threshold, **options)
-    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(
-        pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    sizes = reps.select(F.col("rep").alias("other"), "copies")
-    around = both.join(sizes, "other").groupBy("rep").agg(F.sum("copies").alias("around"))
+
+    def sums(a: np.ndarray, b: np.ndarray, _: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray) -> pd.DataFrame:
+        around = pd.Series(np.concatenate((copies_b, copies_a))).groupby(np.concatenate((a, b))).sum()
+        return pd.DataFrame({"rep": around.index.to_numpy().astype(np.int64), "around": around.to_numpy().astype(np.int64)})
+    around = _meetings(reps, threshold, pivots, block, None, sums, "rep long, around long").groupBy("rep").agg(F.sum("around").alias("around"))
     named = df.select(F.col(key), unit_vector(F.col(vector)).alias("unit")).filter(F.col("unit").isNotNull())
     counted = reps.join(around, "rep", "left").select("unit", (F.col("copies") - 1 + F.coalesce("around", F.lit(0)))
                                                       .cast("long").alias("neighbours"))

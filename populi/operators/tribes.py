@@ -7,15 +7,21 @@ each round every undecided user that is lower than all undecided users within tw
 neighbourhoods do not meet, and the outcome is that of the rule one by one. A goal of coverage cuts the sequence of
 seeds afterwards, where running sums in seed order reach it.
 
+Where a segment is dense such seeds are few: nearly all wait for each other. Then a round looks ahead instead: the k
+lowest undecided users of a segment with their nearest neighbours are played in order by one task. The j-th of them
+needs its j * max_users nearest at most, as no more are taken before it, so the lists are bounded and the outcome is the
+same; k doubles up to MOST_AHEAD from round to round.
+
 Neighbours come from the metric similarity join over distinct vectors of a segment; copies of a vector are held together
-and never paired. A round is a few joins and aggregations over the undecided vectors, written in the shared folder; the
-number of rounds is the longest chain of seeds that wait for each other.
+and never paired. A round is a few joins and aggregations over the undecided vectors, written in the shared folder.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +32,9 @@ from populi.operators.similarity import similar_pairs
 from populi.session import cut_lineage
 
 
+LEAST_AHEAD, MOST_AHEAD = 32, 128  # undecided users of a segment that one task plays in order
+
+
 @dataclass(frozen=True)
 class TribeRule:
     threshold: float = 0.8
@@ -52,29 +61,69 @@ def vector_links(users: DataFrame, threshold: float, **options: int) -> tuple[Da
     return users.join(reps.drop("copies"), ["segment_id", "unit"]).drop("unit"), links
 
 
+def _seeds_apart(undecided: DataFrame, live: DataFrame, rule: TribeRule) -> DataFrame:
+    """What the seeds take that are lower than all undecided users within two steps."""
+    low = undecided.groupBy("rep").agg(F.min("position").alias("low"))
+    near = live.join(low.select(F.col("rep").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+    near = cut_lineage(near)
+    far = live.join(near.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
+    seeds = (undecided.join(far.withColumnRenamed("a", "rep"), "rep").filter(F.col("position") == F.col("low"))
+             .select(F.col("rep").alias("a"), F.col("position").alias("seed")))
+    # of one vector's copies no more than max_users can be members
+    offered = keep_top(undecided, ["rep"], [F.col("position")], rule.max_users)
+    found = live.join(seeds, "a").join(offered.withColumnRenamed("rep", "b"), "b")
+    best = keep_top(found, ["a"], [F.col("similarity").desc(), F.col("position")], rule.max_users)
+    sums = best.groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_reviews").alias("__r"))
+    stands = (F.col("__n") >= max(1, rule.min_users)) & (F.col("__r") >= rule.min_reviews)
+    return (best.join(sums, "a").withColumn("stands", stands).filter(F.col("stands") | (F.col("position") == F.col("seed")))
+            .select("segment_id", "seed", "position", F.when(F.col("stands"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
+                    .alias("similarity"), "stands"))
+
+
+def _seeds_ahead(undecided: DataFrame, live: DataFrame, rule: TribeRule, k: int) -> DataFrame:
+    """What the k lowest undecided users of each segment take, one after the other."""
+    most = k * rule.max_users
+    seeds = keep_top(undecided, ["segment_id"], [F.col("position")], k).select("segment_id", F.col("rep").alias("a"), F.col("position").alias("seed"))
+    order = Window.partitionBy("segment_id").orderBy("seed")  # k rows a segment
+    seeds = seeds.withColumn("turn", F.row_number().over(order))
+    offered = keep_top(undecided, ["rep"], [F.col("position")], most).select(F.col("rep").alias("b"), "position", "n_reviews")
+    found = live.join(seeds, "a").join(offered, "b")
+    nearest = keep_top(found, ["segment_id", "seed"], [F.col("similarity").desc(), F.col("position")], F.col("turn") * rule.max_users)
+
+    def play(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        rows = rows.sort_values(["seed", "similarity", "position"], ascending=[True, False, True])
+        for seed, near in rows.groupby("seed", sort=True):
+            if seed in taken:
+                continue
+            open_to = near[~near["position"].isin(taken)].head(rule.max_users)
+            stands = len(open_to) >= max(1, rule.min_users) and open_to["n_reviews"].sum() >= rule.min_reviews
+            if not stands:
+                open_to = open_to[open_to["position"] == seed]
+            taken.update(open_to["position"])
+            out.append(pd.DataFrame({"segment_id": rows["segment_id"].iloc[0], "seed": seed, "position": open_to["position"],
+                                     "similarity": open_to["similarity"].clip(0.0, 1.0) if stands else np.nan, "stands": stands}))
+        return pd.concat(out)
+    kind = undecided.schema["segment_id"].dataType.simpleString()
+    settled = nearest.groupBy("segment_id").applyInPandas(play, f"segment_id {kind}, seed long, position long, similarity double, stands boolean")
+    return settled.withColumn("similarity", F.when(F.col("stands"), F.col("similarity")))
+
+
 def all_seeds(users: DataFrame, links: DataFrame, rule: TribeRule) -> DataFrame:
     """(segment_id, seed, position, similarity, stands) of everyone the rule decides when nothing stops it.
 
     users: segment_id, position, n_reviews, rep; links as vector_links gives them."""
     undecided, live = cut_lineage(users), cut_lineage(links)
     decided: list[DataFrame] = []
+    segments = users.select("segment_id").distinct().count()
+    ahead, last, since = LEAST_AHEAD, None, 0  # `last`: users that the last round of seeds apart decided
     while not undecided.isEmpty():
-        low = undecided.groupBy("rep").agg(F.min("position").alias("low"))
-        near = live.join(low.select(F.col("rep").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
-        near = cut_lineage(near)
-        far = live.join(near.select(F.col("a").alias("b"), "low"), "b").groupBy("a").agg(F.min("low").alias("low"))
-        seeds = (undecided.join(far.withColumnRenamed("a", "rep"), "rep").filter(F.col("position") == F.col("low"))
-                 .select(F.col("rep").alias("a"), F.col("position").alias("seed")))
-        # of one vector's copies no more than max_users can be members
-        offered = keep_top(undecided, ["rep"], [F.col("position")], rule.max_users)
-        found = live.join(seeds, "a").join(offered.withColumnRenamed("rep", "b"), "b")
-        best = keep_top(found, ["a"], [F.col("similarity").desc(), F.col("position")], rule.max_users)
-        sums = best.groupBy("a").agg(F.count(F.lit(1)).alias("__n"), F.sum("n_reviews").alias("__r"))
-        stands = (F.col("__n") >= max(1, rule.min_users)) & (F.col("__r") >= rule.min_reviews)
-        settled = (best.join(sums, "a").withColumn("stands", stands).filter(F.col("stands") | (F.col("position") == F.col("seed")))
-                   .select("segment_id", "seed", "position", F.when(F.col("stands"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")))
-                           .alias("similarity"), "stands"))
-        settled = cut_lineage(settled)
+        if last is not None and last < ahead * segments and since < 4:
+            settled = cut_lineage(_seeds_ahead(undecided, live, rule, ahead))
+            ahead, since = min(2 * ahead, MOST_AHEAD), since + 1
+        else:
+            settled = cut_lineage(_seeds_apart(undecided, live, rule))
+            last, since = settled.count(), 0
         decided.append(settled)
         undecided = cut_lineage(undecided.join(settled.select("segment_id", "position"), ["segment_id", "position"], "left_anti"))
         left = undecided.select("rep").distinct()

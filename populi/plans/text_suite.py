@@ -184,7 +184,9 @@ def token_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     words = F.transform(F.split(F.lower("text"), " "), lambda w: F.struct(w.alias("token"), (-F.length(F.trim(w)) / 10.0).alias("logprob")))
     themes = F.array(F.lit("the other thing"), F.lit("ration"), F.lit("#%"))
     stated = F.create_map(F.lit("ration"), F.lit(0.25))
-    rows = table(spark, sf, "documents").select("doc_id", text.token_probabilities(words, themes).alias("m"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    means = fuzzy.token_theme_means(docs, "doc_id", words, docs.limit(1).select(F.explode(themes).alias("theme")))
+    rows = docs.select("doc_id").distinct().join(means.withColumnRenamed("means", "m"), "doc_id", "left")
     rows = rows.withColumn("all", text.theme_probabilities(themes, F.col("m"), stated))
     pick = lambda m, t: F.try_element_at(F.col(m), F.lit(t))
     return rounded(rows.select("doc_id", pick("m", "the other thing").alias("p_thing"), pick("all", "ration").alias("p_ration"), pick("all", "#%").alias("p_unknown")))

@@ -10,24 +10,26 @@ from populi.operators import cluster, fuzzy, similarity, tribes
 from populi.plans.metrics_suite import brand_vectors
 from populi.plans.testbed import SQL, query, rounded, sides, table
 
-_PAIR = """n AS (SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) e FROM embeddings)"""
+_PAIR = """n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+    UNION ALL SELECT vec_id + 1000000000000, [round(x, 1) FOR x IN CAST(embedding AS DOUBLE[])] FROM embeddings)"""
 
 
-def _short(spark: SparkSession, sf: str) -> DataFrame:
-    """The first eight dimensions, where some vectors are near."""
-    return table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e"))
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector and a near copy of it, rounded to one digit: whole vectors seldom come near each other by themselves."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return rows.unionByName(rows.select(F.col("vec_id") + 1000000000000, F.transform("e", lambda x: F.round(x, 1))).toDF("vec_id", "e"))
 
 
 @query("similar_neighbour_counts", f"""WITH {_PAIR}, p AS (SELECT a.vec_id x, b.vec_id y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.8)
   SELECT vec_id, count(y) neighbours FROM n LEFT JOIN p ON x = vec_id GROUP BY 1""")
 def similar_neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.neighbour_counts(_short(spark, sf), "vec_id", "e", 0.8)
+    return similarity.neighbour_counts(_vectors(spark, sf), "vec_id", "e", 0.8)
 
 
 @query("similar_pairs", f"""WITH {_PAIR} SELECT a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.e, b.e), 6) similarity FROM n a JOIN n b
   ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.8""")
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    reps = similarity.distinct_vectors(_short(spark, sf), "vec_id", "e")
+    reps = similarity.distinct_vectors(_vectors(spark, sf), "vec_id", "e")
     return rounded(similarity.similar_pairs(reps, 0.8))
 
 

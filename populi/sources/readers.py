@@ -10,6 +10,7 @@ from populi import schema as S
 from populi.functions.base import non_empty, present
 from populi.functions.dist import uniform
 from populi.functions.text import underscored_category
+from populi.sources.entries import line_place, object_entries
 
 
 # ---- shapes that differ from file to file ------------------------------------------------------------------------
@@ -53,26 +54,24 @@ def first_actual(review: Column) -> Column:
 # ---- reviews, products, users ------------------------------------------------------------------------------------
 
 def raw_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Raw review lines; blank and malformed lines are dropped. `pos` grows along each `file`: order by pos for one
-    file, by (file, pos) for several."""
-    return (spark.read.schema(S.RAW_REVIEW).option("mode", "DROPMALFORMED").json(path)
-            .filter(F.coalesce("reviewerID", "user_id").isNotNull())
-            .select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos")))
+    """Raw review lines; blank and malformed lines are dropped. `pos` orders them by file and place in it."""
+    return (spark.read.schema(S.RAW_REVIEW).option("mode", "DROPMALFORMED").json(path).select("*", line_place().alias("pos"))
+            .filter(F.coalesce("reviewerID", "user_id").isNotNull()).withColumn("file", F.col("pos.file")))
 
 
 def products(spark: SparkSession, path: str) -> DataFrame:
-    """Product lines; a description given as a list becomes one text."""
-    rows = spark.read.schema(S.PRODUCT).option("mode", "DROPMALFORMED").json(path)
+    """Product lines; a description given as a list becomes one text. `pos` orders them by file and place in it."""
+    rows = spark.read.schema(S.PRODUCT).option("mode", "DROPMALFORMED").json(path).select("*", line_place().alias("pos"))
     parts = F.from_json("description", "array<string>")
     text = F.when(F.trim("description").startswith("["), F.array_join(parts, " ")).otherwise(F.col("description"))
-    return rows.withColumn("description", text).withColumn("pos", F.monotonically_increasing_id())
+    return rows.withColumn("description", text)
 
 
 def user_quotas(spark: SparkSession, path: str, *, per_user_cap: int | None = None,
                 max_users: int | None = None) -> DataFrame:
     """(user_id, quota) from tab-separated lines; # and = lines, and lines without a number, are passed over."""
     parts = F.split(F.trim("value"), "\t")
-    rows = (spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.trim("value").alias("value"))
+    rows = (spark.read.text(path).select(line_place().alias("pos"), F.trim("value").alias("value"))
             .filter(present(F.col("value")) & ~F.col("value").rlike("^[#=]"))
             .select("pos", F.trim(F.get(parts, 0)).alias("user_id"), F.trim(F.get(parts, 1)).try_cast("int").alias("quota")))
     if per_user_cap is not None:
@@ -102,13 +101,11 @@ def flatten_users(documents: DataFrame, *carry: str) -> DataFrame:
             .select(*carry, "user_id", "review_idx", "r.*"))
 
 
-def user_reviews(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Reviews from {user: {reviews: [...]}} JSON; reviews with blank text are dropped.
-
-    A file written as one object is read by one task; write user documents as lines (multi_line=False) for size."""
-    text = spark.read.text(path, wholetext=multi_line)
-    users = F.from_json("value", f"map<string,struct<reviews:array<struct<{_colon(S.NESTED_REVIEW)}>>>>")
-    return flatten_users(text.select(users.alias("users"))).filter(present(F.col("review_text")))
+def user_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews from {user: {reviews: [...]}} files, one object of any size or one a line; reviews with blank text are dropped."""
+    document = F.from_json("value", f"reviews array<struct<{_colon(S.NESTED_REVIEW)}>>")
+    rows = object_entries(spark, path).select(F.col("key").alias("user_id"), F.posexplode(document["reviews"]).alias("review_idx", "r"))
+    return rows.select("user_id", "review_idx", "r.*").filter(present(F.col("review_text")))
 
 
 def _colon(ddl: str) -> str:
@@ -127,7 +124,7 @@ def category_texts(reviews: DataFrame, category: str) -> DataFrame:
 
 def classifications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(classification rows, rejected lines with their text)."""
-    lines = spark.read.text(path).filter(present(F.col("value"))).withColumn("pos", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", line_place().alias("pos")).filter(present(F.col("value")))
     rows = lines.withColumn("r", F.from_json("value", S.CLASSIFICATION + ", _corrupt string",
                                              {"columnNameOfCorruptRecord": "_corrupt"}))
     broken = F.col("r._corrupt").isNotNull() | F.col("r.review_id").isNull()
@@ -137,24 +134,27 @@ def classifications(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def topic_universe(spark: SparkSession, path: str) -> DataFrame:
     """(category, pos, theme) from {category: [...]}, {category: {topics|themes: [...]}}; entries are names or objects
     with a topic_name. Categories are spelled with underscores."""
-    return topics_from_json(spark.read.text(path, wholetext=True), F.col("value"))
+    return _topics(object_entries(spark, path, end=",").select(F.col("key").alias("category"), F.col("value").alias("body")))
 
 
 def topics_from_json(df: DataFrame, raw: Column) -> DataFrame:
+    """The same from a column of JSON text."""
+    return _topics(df.select(F.explode(F.from_json(raw, "map<string,string>")).alias("category", "body")))
+
+
+def _topics(bodies: DataFrame) -> DataFrame:
     listed = F.when(F.trim("body").startswith("["), F.from_json("body", "array<string>")).otherwise(
         F.coalesce(F.from_json("body", "topics array<string>")["topics"],
                    F.from_json("body", "themes array<string>")["themes"]))
     name = F.when(F.trim("entry").startswith("{"), F.get_json_object("entry", "$.topic_name")).otherwise(F.col("entry"))
-    return (df.select(F.explode(F.from_json(raw, "map<string,string>")).alias("category", "body"))
-            .select(underscored_category(F.col("category")).alias("category"), F.posexplode(listed).alias("pos", "entry"))
+    return (bodies.select(underscored_category(F.col("category")).alias("category"), F.posexplode(listed).alias("pos", "entry"))
             .select("category", "pos", name.alias("theme")).filter(F.col("theme").isNotNull()))
 
 
 def learned_records(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Records of a learned table (see schema.RECORDS) from {key: record} files; a record without its own id takes the key."""
-    record = f"struct<{S.RECORDS[table]}>"
-    rows = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", f"map<string,{record}>")).alias("key", "r"))
+    """Records of a learned table (see schema.RECORDS) from {key: record} files of any size, one object or one a line; a
+    record without its own id takes the key."""
+    rows = object_entries(spark, path).select("key", F.from_json("value", f"struct<{S.RECORDS[table]}>").alias("r")).filter(F.col("r").isNotNull())
     id_field = S.RECORDS[table].split(":", 1)[0]
     return rows.withColumn("r", F.col("r").withField(id_field, F.coalesce(F.col(f"r.{id_field}"), F.col("key")))).select("r.*")
 
@@ -200,12 +200,11 @@ def prediction_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def baseline_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Flat files {user_review_i: {...}} in the layout of prediction_tree."""
+    """Flat files {user_review_i: {...}} of any size in the layout of prediction_tree."""
     entry = (f"struct<product_description:string,category:string,asin:string,prediction:struct<{S.SIDE}>,"
              f"actual:struct<{S.SIDE},themes:string,topic_probabilities:string>>")
-    rows = (spark.read.text(path, wholetext=True)
-            .select(F.explode(F.from_json("value", f"map<string,{entry}>")).alias("key", "r"))
-            .filter(F.col("key").rlike(r"_review_\d+$")))
+    rows = (object_entries(spark, path).filter(F.col("key").rlike(r"_review_\d+$"))
+            .select("key", F.from_json("value", entry).alias("r")))
     return rows.select(
         F.regexp_extract("key", r"^(.*)_review_(\d+)$", 1).alias("user_id"),
         F.regexp_extract("key", r"^(.*)_review_(\d+)$", 2).cast("int").alias("review_idx"), "r.product_description",
@@ -261,9 +260,9 @@ def all_predictions(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     return result
 
 
-def ground_truth_tree(spark: SparkSession, path: str) -> DataFrame:
+def ground_truth_tree(spark: SparkSession, path: str, pattern: str = "*_details.json") -> DataFrame:
     """One row per ground-truth review, in the order (file, user, index) as pos; see match.match_to_truth."""
-    files = _tree(spark, path, S.GROUND_TRUTH_FILE, "*_details.json")
+    files = _tree(spark, path, S.GROUND_TRUTH_FILE, pattern)
     rows = (files.select("file", F.col("path_cluster").alias("cluster_id"), F.col("path_micro").alias("micro_id"),
                          "persona_name", F.explode("members_grouped_by_user").alias("user_id", "reviews"))
             .select("*", F.posexplode("reviews").alias("review_idx", "r")).drop("reviews")
@@ -285,16 +284,15 @@ def delta_tree(spark: SparkSession, path: str) -> DataFrame:
                     theme_map(F.col("d.actual.predicted_themes")).alias("actual")))
 
 
-def journey_tree(spark: SparkSession, path: str) -> DataFrame:
+def journey_tree(spark: SparkSession, path: str, pattern: str = "*_journey.json") -> DataFrame:
     """One row per review with `initial` and `steps` as operators.journey takes them.
 
     Name the folder of the journey files itself: Spark passes over folders that start with an underscore."""
-    text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_journey.json")
-            .text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path")))
+    entries = object_entries(spark, path, pattern=pattern)
     number = lambda word: F.regexp_extract("file", rf"{word}_(\d+)", 1)
-    rows = text.select(F.concat(F.lit("cluster_"), number("cluster")).alias("cluster_id"),
-                       F.concat(F.lit("micro_"), number("micro")).alias("micro_id"),
-                       F.explode(F.from_json("value", f"map<string,struct<{S.JOURNEY_ENTRY}>>")).alias("review_key", "j"))
+    rows = entries.select(F.concat(F.lit("cluster_"), number("cluster")).alias("cluster_id"),
+                          F.concat(F.lit("micro_"), number("micro")).alias("micro_id"), F.col("key").alias("review_key"),
+                          F.from_json("value", f"struct<{S.JOURNEY_ENTRY}>").alias("j")).filter(F.col("j").isNotNull())
     step = lambda s: F.struct(s["iteration"].alias("iteration"), s["new_theme_delta"].alias("theme"),
                               s["new_overall_delta"].alias("overall"), s["new_text_delta"].alias("text"),
                               s["corrected_prediction_data"].alias("prediction"))
@@ -309,9 +307,8 @@ def journey_tree(spark: SparkSession, path: str) -> DataFrame:
 def cluster_texts(spark: SparkSession, path: str, cluster: str) -> DataFrame:
     """Review texts of one cluster from tribe seeds, whether members sit at the top level or under details."""
     member = "members_grouped_by_user map<string,array<struct<review_text:string>>>"
-    seeds = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(
-        "value", f"map<string,struct<tribe_id:string,{member.replace(' ', ':', 1)},"
-        f"details:struct<{member.replace(' ', ':', 1)}>>>")).alias("key", "s"))
+    seeds = object_entries(spark, path).select("key", F.from_json(
+        "value", f"tribe_id string, {member}, details struct<{member.replace(' ', ':', 1)}>").alias("s"))
     at = lambda place: seeds.select(F.coalesce("s.tribe_id", "key").alias("tribe_id"), F.explode(place).alias("user_id", "rs"))
     rows = at("s.members_grouped_by_user").unionByName(at("s.details.members_grouped_by_user"))
     number = int(cluster.rsplit("_", 1)[-1])

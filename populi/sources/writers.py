@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from populi.operators.clean import nan_to_null
@@ -21,6 +22,29 @@ def user_documents(reviews: DataFrame, user: str, order: Sequence[str], fields:
     return packed.select(user, "part", F.transform("e", lambda x: x["v"]).alias("reviews"))
 
 
+def write_objects(df: DataFrame, key: str, record: Column, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
+    """{key: record} files: one object a task with an entry a line or, laid out in folders by key, one object a line."""
+    folders = list(partition_by)
+    name = F.regexp_extract(F.to_json(F.struct(F.col(key).cast("string").alias("k"))), r'^\{"k":(.*)\}$', 1)  # with its quotes
+    rows = df.select(*folders, F.concat(name, F.lit(": "), F.to_json(record)).alias("value"))
+    if folders:
+        rows = rows.withColumn("value", F.concat(F.lit("{"), "value", F.lit("}"))).hint("rebalance", *folders)
+        return rows.write.mode(mode).partitionBy(*folders).text(path)
+
+    def object_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            entries, out = batch.column(0).to_pylist(), []
+            for entry in entries:
+                if waiting is not None:
+                    out.append(waiting + ",")
+                waiting = entry if waiting is not None else "{" + entry
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        if waiting is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([waiting + "}"])], names=["value"])
+    rows.mapInArrow(object_lines, "value string").write.mode(mode).text(path)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines; NaN and infinite values are written as missing."""
     nan_to_null(df).write.mode(mode).option("ignoreNullFields", "true").json(path)

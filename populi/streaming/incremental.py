@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,27 @@ def append_tagged(spark: SparkSession, source: str, sink: str, rejects: str, che
     run_available(tagged.filter(F.col("reason").isNotNull()), rejects, checkpoint + "/rejects")
 
 
+def append_once(spark: SparkSession, source: str, sink: str, rejects: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame],
+                keys: Sequence[str], ddl: str = CLASSIFICATION, event_time: str | None = None, delay: str = "7 days") -> None:
+    """append_tagged from a single read, and every key once over all runs, however often files repeat it.
+
+    The keys seen are the stream's state; with an event time only those of the last `delay` are kept. A batch writes good
+    and rejected rows to folders of its own number and overwrites them when it is repeated after a failure."""
+    arriving = follow_json(spark, source, ddl)
+    if event_time is None:
+        fresh = arriving.dropDuplicates(list(keys))
+    else:
+        fresh = arriving.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+    def both(batch: DataFrame, number: int) -> None:
+        tagged = transform(batch).persist()
+        tagged.filter(F.col("reason").isNull()).drop("reason").write.mode("overwrite").json(f"{sink}/batch={number}")
+        tagged.filter(F.col("reason").isNotNull()).write.mode("overwrite").json(f"{rejects}/batch={number}")
+        tagged.unpersist()
+    query = (fresh.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def _single(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: of several the smallest by all other columns, the same in every run."""
     rest = [c for c in df.columns if c not in keys]

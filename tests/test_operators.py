@@ -27,6 +27,28 @@ def test_describe_equals_numpy(spark):
         assert [r["q25"], r["median"], r["q90"]] == pytest.approx(list(np.percentile(v, [25, 50, 90])), rel=1e-12)
 
 
+def test_ordered_keys_keep_the_order_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.integers(-2 ** 63, 2 ** 63, 4000).view(np.float64), rng.normal(size=500), [2.0 ** e for e in range(-1074, 1024, 7)],
+                             [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, np.inf, -np.inf, 1 - 2 ** -53, 0.61, 1000.0]])
+    values = values[~np.isnan(values)]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", groups.ordered_key(F.col("v")).alias("k")).toPandas().sort_values("v")
+    bits = rows["v"].abs().to_numpy().view(np.int64)  # the doubles' own bits rise with their size
+    assert (rows["k"].to_numpy() == np.where(rows["v"] < 0, -bits, bits)).all()
+
+
+def test_quantiles_of_constants_and_of_values_close_together(spark):
+    rng = np.random.default_rng(9)
+    values = {"flat": np.repeat([0.61, 0.62], [9000, 10]), "close": 0.61 + rng.random(5000) * 1e-12, "thousand": 1000 + rng.random(3000) * 1e-3,
+              "signs": rng.normal(size=2000), "one": np.array([-3.5])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double")
+    out = groups.describe(df, ["k"], "v", {"q10": .1, "median": .5, "q99": .99})
+    for r in out.collect():
+        assert [r["q10"], r["median"], r["q99"]] == pytest.approx(list(np.percentile(values[r["k"]], [10, 50, 99])), rel=1e-15, abs=1e-300)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len([line for line in plan.splitlines() if "+- Exchange " in line]) <= 7 and "ReusedExchange" in plan  # one is shared
+
+
 @pytest.mark.parametrize("hot", ["'hot'", "CAST(NULL AS STRING)"])
 def test_ranks_of_hot_keys_and_hot_order_values(spark, hot):
     """One key, or the null key, holds most rows; so does one order value."""
@@ -274,6 +296,31 @@ def test_tribes_equal_the_sequential_rule(spark, rule, options):
     assert {(t, frozenset(m)) for t, m in got.items()} == want
 
 
+def test_tribes_of_a_dense_segment_take_few_rounds(spark, monkeypatch):
+    """2,000 users who are all near each other: the rule one by one would be a round for each of 67 seeds."""
+    rng = np.random.default_rng(7)
+    units = rng.normal(size=(1, 8)) + rng.normal(size=(2000, 8)) * 0.05
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    users = spark.createDataFrame([(f"u{i}", "s", i, [float(x) for x in u], 3) for i, u in enumerate(units)],
+                                  "user_id string, segment_id string, position long, user_embedding array<double>, n_reviews long")
+    rounds = []
+    for name in ("_seeds_apart", "_seeds_ahead"):
+        played = getattr(tribes, name)
+        monkeypatch.setattr(tribes, name, lambda *a, played=played: rounds.append(1) or played(*a))
+    rule = tribes.TribeRule(0.8, 1, 30, 5)
+    got = {}
+    for r in tribes.form_tribes(users, rule).collect():
+        got.setdefault(r["tribe_id"], set()).add(int(r["user_id"][1:]))
+    similarity, open_to, want = np.round(units @ units.T, 12), list(range(2000)), []
+    while open_to:
+        seed = open_to[0]
+        taken = sorted(open_to, key=lambda v: (-similarity[seed, v], v))[:30]
+        want.append(set(taken))
+        open_to = [v for v in open_to if v not in want[-1]]
+    assert similarity.min() >= 0.8 and sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert len(rounds) <= 10
+
+
 def test_tribe_caps(spark):
     members = spark.createDataFrame([("t", "a", 0), ("t", "b", 1), ("t", "c", 2)], "tribe_id string, user_id string, position long")
     reviews = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(4)], "user_id string, pos long")

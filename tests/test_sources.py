@@ -1,12 +1,14 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from populi.functions.base import present
-from populi.operators import clean, journey, match
+from populi.operators import clean, groups, journey, match
 from populi.sources import readers, writers
+from populi.sources.entries import object_entries
 from populi.streaming import incremental
 
 
@@ -193,3 +195,72 @@ def test_needed_products_by_either_id(spark):
 def test_unknown_layout(spark):
     with pytest.raises(ValueError):
         readers.predictions(spark, "x", "nothing")
+
+
+NASTY = ["}{", '",', '\\"', 'a"b', "[x]", "\\", "line\nfeed", "é✓", '{"k": 1}', ""]
+
+
+def nested(rng, depth=0):
+    kind = rng.randrange(6)
+    if depth == 0 or kind == 0 and depth < 4:
+        return {rng.choice(NASTY) + str(i): nested(rng, depth + 1) for i in range(rng.randrange(5))}
+    if kind == 1 and depth < 4:
+        return [nested(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return rng.choice([1, 2.5, None, True, *NASTY])
+
+
+@pytest.mark.parametrize("size", ["128m", "300b"])
+def test_entries_of_objects_do_not_depend_on_splits(spark, tmp_path, size):
+    """Objects on one line and on many, one a line, with brackets, quotes and backslashes in strings, cut anywhere."""
+    rng, want, whole = random.Random(1), {}, {}
+    for f in range(5):
+        entries = {f"{rng.choice(NASTY)}key{f}_{i}": nested(rng) for i in range(60)}
+        whole.update(entries)
+        put(tmp_path / "whole" / f"{f}.json", json.dumps(entries, indent=rng.choice([None, 1, 4]), ensure_ascii=f % 2 == 0) + rng.choice(["", "\n", " \n"]))
+    lines = {f"l{i}": nested(rng) for i in range(40)}
+    put(tmp_path / "lines" / "x.json", "\n".join(json.dumps({k: v}) for k, v in lines.items()) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for folder, want, end in (("whole", whole, "}"), ("whole", whole, ","), ("lines", lines, "}")):
+            rows = entries_of(spark, tmp_path / folder, end)
+            assert rows == want
+        scalars = put(tmp_path / "s" / "x.json", {"a": 1, "b": [1, {"c": "}"}], "d": "x, y", "e": {"f": {}}, "g": None})
+        assert {r["key"]: r["value"] for r in object_entries(spark, scalars).collect()} == {"a": "1", "b": '[1,{"c":"}"}]', "d": "x, y", "e": '{"f":{}}', "g": None}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def entries_of(spark, path, end):
+    return {r["key"]: json.loads(r["value"]) for r in object_entries(spark, str(path), end=end).collect()}
+
+
+def test_the_last_line_wins_however_files_are_split(spark, tmp_path):
+    lines = [json.dumps({"asin": f"a{i % 50}", "title": f"t{i}", "description": "x" * (i % 90)}) for i in range(4000)]
+    for f in range(4):
+        put(tmp_path / "p" / f"{f}.jsonl", "\n".join(lines[1000 * f:1000 * (f + 1)]) + "\n")
+    last = {f"a{k}": f"t{3950 + k}" for k in range(50)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")}
+    try:
+        for size, partitions in (("128m", 1), ("128m", 200), ("2k", 8)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = groups.keep_last(readers.products(spark, str(tmp_path / "p")), ["asin"], "pos")
+            assert {r["asin"]: r["title"] for r in rows.collect()} == last
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_restarted_stream_yields_every_id_once(spark, tmp_path):
+    line = lambda i, text, day: json.dumps({"id": i, "text": text, "ts": f"2024-01-{day:02d}T00:00:00"}) + "\n"
+    tag = lambda df: df.withColumn("reason", F.when(~present(F.col("text")), "blank"))
+    for name, event_time in (("plain", None), ("timed", "ts")):
+        at = lambda part, name=name: str(tmp_path / name / part)
+        for run, content in enumerate([line(1, "x", 1) + line(2, " ", 1) + line(1, "x", 1), line(1, "x", 2) + line(3, "y", 2), line(2, " ", 2) + line(3, "y", 2)]):
+            put(tmp_path / name / "in" / f"{run}.json", content)
+            incremental.append_once(spark, at("in"), at("good"), at("bad"), at("state"), tag, ["id"], "id int, text string, ts timestamp", event_time)
+        assert listed(spark.read.schema("id int").json(at("good/*")), "id") == [(1,), (3,)]
+        assert listed(spark.read.schema("id int, reason string").json(at("bad/*")), "id", "reason") == [(2, "blank")]
