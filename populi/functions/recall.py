@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from populi.functions.base import let, non_empty
 from populi.functions.dist import yes_share
+from populi.functions.text import themes_overlap
 
 
 def ranked(m: Column) -> Column:
@@ -95,6 +96,23 @@ def truth_themes(threshold: float, *, nested: Column | None = None, flat: Column
     return F.coalesce(*[non_empty(r) for r in rungs], F.array().cast("array<string>"))
 
 
+def soft_accuracy(predicted: Column, actual: Column, predicted_rating: Column, actual_rating: Column,
+                  predicted_sentiment: Column, actual_sentiment: Column) -> dict[str, Column]:
+    """Accuracy with themes that only need to overlap (see text.themes_overlap), as named columns; zeros without a true theme.
+
+    predicted: map<theme, p>; actual: array of themes. Names are compared folded; ratings count as 3 where missing."""
+    names = F.array_distinct(F.transform(actual, lambda t: F.lower(F.trim(t))))
+    top = F.transform(top_k(predicted, F.greatest(F.lit(3), F.size(names))), lambda t: F.lower(F.trim(t)))
+    found = let(top, lambda best: F.size(F.filter(names, lambda t: F.exists(best, lambda p: themes_overlap(p, t)))))
+    rating = rating_score(F.coalesce(predicted_rating, F.lit(3.0)), F.coalesce(actual_rating, F.lit(3.0)))
+    fold = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    sentiment = F.when(fold(predicted_sentiment) == fold(actual_sentiment), 1.0).otherwise(0.0)
+    share = found / F.size(names)
+    block = {"rating_score": rating, "sentiment_score": sentiment, "soft_recall": share,
+             "overall_accuracy": 0.4 * rating + 0.3 * sentiment + 0.3 * share}
+    return {name: F.when(F.size(names) > 0, c).otherwise(0.0) for name, c in block.items()}
+
+
 def recall_of_rows(rows: DataFrame, predicted: str, actual: str, threshold: float) -> DataFrame:
     """The rows with k_actual and recall at k and at max(3,k); true themes are the actual entries at or above the threshold."""
     truth = truth_themes(threshold, flat=F.col(actual))

@@ -260,6 +260,21 @@ def prediction_tasks(tribes: DataFrame, reviews: DataFrame, backstories: DataFra
     return tasks
 
 
+def delta_journey_truth(deltas: DataFrame, journeys: DataFrame, truth: DataFrame, keys: Sequence[str], order: Column, *, delta: str = "delta") -> DataFrame:
+    """The rows of deltas with the best corrected delta of their journey, the gain over their own, and their truth row.
+
+    journeys: keys, iteration, delta (iteration 0 is the prediction itself). truth: keys and more, the last by `order` counts.
+    reason: no_journey, no_truth, null where both were found; best_iteration is the earliest of the best."""
+    step = F.struct(F.col(delta).alias("d"), F.col("iteration").alias("i"))
+    best = (journeys.filter((F.col("iteration") > 0) & F.col(delta).isNotNull() & ~F.isnan(delta)).groupBy(*keys).agg(F.min(step).alias("__best")))
+    fields = [c for c in truth.columns if c not in keys]
+    last = truth.groupBy(*keys).agg(F.max(F.struct(order.alias("__o"), *fields)).alias("__t"))
+    joined = deltas.join(best, list(keys), "left").join(last, list(keys), "left")
+    reason = F.when(F.col("__best").isNull(), "no_journey").when(F.col("__t").isNull(), "no_truth")
+    return joined.select(*deltas.columns, F.col("__best.d").alias("best_delta"), F.col("__best.i").alias("best_iteration"),
+                         (F.col(delta) - F.col("__best.d")).alias("gain"), *[F.col(f"__t.{c}").alias(c) for c in fields], reason.alias("reason"))
+
+
 def user_memory(batches: DataFrame) -> DataFrame:
     """Learnings per (tribe, user) from batches with parallel arrays reviews and analyses.
 

@@ -178,6 +178,16 @@ def prediction_tasks_from_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.groupBy(F.coalesce("reason", F.lit("task")).alias("outcome"), "persona").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("prediction_tasks_with_memory", f"""WITH {SQL.POP} SELECT review_key, {_REASON.format(user='TRUE')} reason, 'persona ' || tribe_id persona, CASE WHEN c_acctbal > 0 THEN c_name END overall_summary,
+    CASE WHEN c_custkey % 3 = 0 THEN tribe_id || ' learned from ' || user_id END learnings, category = '1-URGENT' has_summary FROM pop JOIN customer ON CAST(c_custkey AS VARCHAR) = user_id""")
+def prediction_tasks_with_memory(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks with all three contexts: the tribe's seed, the user's backstory and what was learned about the user in the tribe."""
+    i = _task_inputs(spark, sf)
+    memory = i["tribes"].filter(F.col("user_id").cast("long") % 3 == 0).withColumn("learnings", F.concat("tribe_id", F.lit(" learned from "), "user_id"))
+    tasks = match.prediction_tasks(i["tribes"], i["reviews"], i["backstories"], i["topics"], seeds=i["seeds"], memory=memory)
+    return tasks.select("review_key", "reason", "persona", "overall_summary", "learnings", (F.col("category_summary") != "").alias("has_summary"))
+
+
 @query("seed_characteristics", """SELECT coalesce(a.s, b.s) tribe_id, CASE WHEN a.s IS NULL THEN 'missing_summary' WHEN b.s IS NULL THEN 'missing_details' END reason, a.n total_users, b.m total_reviews
   FROM (SELECT source s, count(*) n FROM documents WHERE lang = 'fr' GROUP BY 1) a FULL JOIN (SELECT source s, count(*) m FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1) b ON a.s = b.s""")
 def seed_characteristics(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,11 +204,11 @@ def seed_characteristics(spark: SparkSession, sf: str) -> DataFrame:
   SELECT event_id, round(value - best, 6) gain, g truth_key FROM d LEFT JOIN j USING (u) LEFT JOIN g USING (u)""")
 def delta_journey_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Initial delta of a view, best corrected delta among the user's clicks, and the user's last order."""
-    rows = _events(spark, sf)
-    best = rows.filter(F.col("event_type") == "click").groupBy("user_id").agg(F.min("value").alias("best"))
-    truth = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("user_id")).agg(F.max("o_orderkey").alias("truth_key"))
-    views = rows.filter(F.col("event_type") == "view").join(best, "user_id", "left").join(truth, "user_id", "left")
-    return rounded(views.select("event_id", (F.col("value") - F.col("best")).alias("gain"), "truth_key"))
+    rows = _events(spark, sf).withColumnRenamed("value", "delta")
+    journeys = rows.filter(F.col("event_type") == "click").select("user_id", (F.col("event_id") + 1).alias("iteration"), "delta")
+    truth = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("truth_key"))
+    found = match.delta_journey_truth(rows.filter(F.col("event_type") == "view"), journeys, truth, ["user_id"], F.col("truth_key"))
+    return rounded(found.select("event_id", "gain", "truth_key"))
 
 
 @query("category_key_lookup", """WITH u AS (SELECT DISTINCT replace(replace(o_orderpriority, '-', '_'), ' ', '_') k FROM orders WHERE o_orderpriority <> '3-MEDIUM'

@@ -312,6 +312,32 @@ def soft_recall(spark: SparkSession, sf: str) -> DataFrame:
         "k", F.size("truth").alias("k_actual"), (F.size(found) / F.size("truth")).alias("soft_recall")))
 
 
+@query("soft_accuracy_block", f"""WITH {SQL.POP}, line AS (SELECT l_orderkey k, p_name t, sum(l_extendedprice) FILTER (WHERE l_returnflag = 'N') b,
+    count(*) FILTER (WHERE l_returnflag = 'A') na FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+  truth AS (SELECT k, t FROM line WHERE na > 0), truth_n AS (SELECT k, count(*) kt FROM truth GROUP BY k),
+  pred AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY b DESC, t) r FROM line WHERE b IS NOT NULL),
+  hit AS (SELECT DISTINCT truth.k, truth.t FROM truth JOIN truth_n USING (k) JOIN pred ON pred.k = truth.k AND r <= greatest(3, kt)
+    WHERE contains(truth.t, pred.t) OR contains(pred.t, truth.t)
+    OR len(list_intersect(string_split(truth.t, ' '), string_split(pred.t, ' '))) >= 2),
+  m AS (SELECT k, kt, count(hit.t) / CAST(kt AS DOUBLE) soft FROM truth_n LEFT JOIN hit USING (k) GROUP BY k, kt),
+  b AS (SELECT review_key, soft, CASE WHEN kt IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0, 1 - abs(1 + CAST(user_id AS BIGINT) % 5 - rating) / 4.0) END rs,
+      CASE WHEN kt IS NOT NULL AND sentiment = CASE WHEN price > 200000 THEN 'Positive' ELSE 'Neutral' END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ss
+    FROM pop JOIN (SELECT DISTINCT k FROM line) l ON review_key = l.k LEFT JOIN m ON review_key = m.k)
+  SELECT review_key, round(rs, 6) rating_score, ss sentiment_score, round(coalesce(soft, 0.0), 6) soft_recall,
+    round(0.4::DOUBLE * rs + 0.3::DOUBLE * ss + 0.3::DOUBLE * coalesce(soft, 0.0), 6) overall_accuracy FROM b""")
+def soft_accuracy_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The accuracy block around soft recall, of every review that has themes on either side."""
+    line = sides(spark, sf, "p_name").groupBy("k", F.lower(F.trim("t")).alias("t")).agg(
+        F.sum(F.when(F.col("flag") == "N", F.col("c"))).alias("b"), F.max(F.col("flag") == "A").alias("actual"))
+    rows = line.groupBy("k").agg(
+        F.collect_list(F.when(F.col("actual"), F.col("t"))).alias("truth"),
+        F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("t", "b")))).alias("predicted"))
+    reviews = population(spark, sf).join(rows, F.col("review_key") == F.col("k"))
+    block = recall.soft_accuracy(F.col("predicted"), F.col("truth"), (F.lit(1) + F.col("user_id").cast("long") % 5).cast("double"), F.col("rating"),
+                                 F.when(F.col("price") > 200000, "POSITIVE").otherwise("Neutral"), F.col("sentiment"))
+    return rounded(reviews.select("review_key", *[c.alias(n) for n, c in block.items()]))
+
+
 def review_metric_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Metric block of every review; the predicted rating follows the customer, the predicted sentiment the price."""
     d = distributions(spark, sf).withColumn("truth", recall.keys_at_least(F.col("before"), 0.65))
