@@ -3,10 +3,13 @@
 Equal vectors are one node, named by their smallest id. Vectors are lengthened by one component so that all have the same
 norm, which makes the inner products of nodes a metric order while those with a query stay as they are. The graph starts
 from blocks of near vectors (random hyperplanes) and is improved by rounds of neighbours of neighbours: around every node
-its neighbours and the nodes that point to it are compared, pairs with a new edge only, and each node keeps its best. Nodes are
-dealt into groups; a group fetches each vector its nodes need once, by a join, and compares inside its task.
+its neighbours and the nodes that point to it are compared, pairs with a new edge only, and each node keeps its best. Near nodes
+are dealt into groups (by the sides of random hyperplanes); a group fetches each vector its nodes need once, by a join,
+and compares inside its task.
 A query keeps a beam of the best nodes found; each round those not yet opened are, by a join with the graph, new nodes are
-scored, and the search ends for a query when its whole beam has been opened.
+scored, and the search ends for a query when its whole beam has been opened. It starts at its own node and at the best
+DOORS of a bounded set of entries, the longest vectors and a spread of all: what is nearest by inner product can lie in
+another component of the graph, among long vectors above all.
 
 The graph and the search are approximate; the scores of what they return are exact inner products in double precision of
 the original vectors, and every vector is indexed. Recall against brute force is tested.
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from populi.llm.common import Scratch
 
@@ -30,7 +34,8 @@ DEGREE = 32  # neighbours a node keeps
 LINKS = 128  # links that a search follows from a node, nearest first, either way
 TREES, BLOCK = 3, 1024  # random partitions of the start at least, and nodes compared in a block
 ROUNDS, SETTLED = 40, 0.02  # rounds of improvement as a guard; they stop once that share of the edges changes
-GROUP, QUERY_GROUP = 512, 160  # nodes, and queries, whose vectors are fetched together
+GROUP, QUERY_GROUP = 256, 160  # nodes, and queries, whose vectors are fetched together
+LONGEST, SPREAD, DOORS = 512, 1536, 16  # entries of the search: the longest vectors, others, and how many a query takes
 BEAM = 200  # nodes a query keeps
 EDGE = "u long, v long, s float, fresh boolean"
 
@@ -210,10 +215,20 @@ def _opened(state: pa.Table, held: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, beam: int = BEAM, links: int = LINKS) -> DataFrame:
+def entries_of(nodes: DataFrame, longest: int = LONGEST, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, vectors) of the search's entries, longest + spread at most. nodes: node, vec, norm."""
+    rows = nodes.orderBy(F.desc("norm"), "node").limit(longest).select("node", "vec").collect()
+    rows += nodes.orderBy(F.xxhash64("node"), "node").limit(spread).select("node", "vec").collect()
+    once = {r["node"]: r["vec"] for r in rows}
+    return np.array(list(once), np.int64), np.array(list(once.values()), np.float32) if once else np.zeros((0, 0), np.float32)
+
+
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, entries: tuple[np.ndarray, np.ndarray],
+           beam: int = BEAM, links: int = LINKS) -> DataFrame:
     """query, node: the beam of each query after greedy search.
 
     graph: u, v, s; nodes: node, vec (array<float>); queries: grp, query, vec, entry (array of nodes to start from)."""
+    doors, places = entries
     both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")).groupBy("u", "v").agg(F.max("s").alias("s"))
     near = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
     linked = scratch.write(both.withColumn("r", near).where(F.col("r") <= links).groupBy("u").agg(F.collect_list("v").alias("vs")), "links")
@@ -222,7 +237,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scra
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(pa.chunked_array([batch.column("vec")])).astype(np.float32)
-                entry = [np.unique(np.array(e, np.int64)) for e in batch.column("entry").to_pylist()]
+                best = np.argsort(-(x @ places.T), axis=1, kind="stable")[:, :DOORS]
+                entry = [np.unique(np.concatenate((np.array(e, np.int64), doors[b]))) for e, b in zip(batch.column("entry").to_pylist(), best)]
                 none = {"ids": np.zeros(0), "s": np.zeros(0), "done": np.zeros(0)}
                 yield from _table([{"grp": g, "query": q, "x": v, "seen": e, "next": e, **none} for g, q, v, e in
                                    zip(batch.column("grp").to_pylist(), batch.column("query").to_pylist(), x, entry)]).to_batches()
@@ -249,6 +265,23 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scra
     return state.select("query", "ids").mapInArrow(beams, "query long, node long")
 
 
+def grouped(nodes: DataFrame, dim: int, count: int, group: int = GROUP, seed: int = 2) -> DataFrame:
+    """nodes (with x) and grp: nodes on the same side of random hyperplanes, cut at random to some `group` nodes."""
+    bits = max(0, int(np.ceil(np.log2(max(1, count / group)))))
+    planes = np.random.default_rng(seed).normal(size=(bits, dim)).astype(np.float32)
+
+    def side(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(pa.chunked_array([batch.column("x")]))
+                code = (x @ planes.T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code, pa.int64())], names=[*batch.schema.names, "side"])
+    sides = nodes.mapInArrow(side, StructType([*nodes.schema.fields]).add("side", "long"))
+    cuts = sides.groupBy("side").agg(F.ceil(F.count("*") / group).alias("cuts"))
+    cut = F.xxhash64("side", F.pmod(F.xxhash64("node"), F.col("cuts")))
+    return sides.join(cuts, "side").withColumn("grp", cut).drop("side", "cuts")
+
+
 def nearest(table: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM,
             degree: int = DEGREE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query (a condition on vec_id) holds."""
@@ -261,8 +294,7 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "ve
     count, top, dim = facts["n"], facts["norm"] or 1.0, facts["d"] or 0
     unit = F.transform("vec", lambda x: (x / F.lit(top)).cast("float"))
     more = F.sqrt(F.greatest(F.lit(1.0) - F.pow(F.col("norm") / F.lit(top), 2), F.lit(0.0))).cast("float")
-    groups = max(1, -(-count // GROUP))
-    nodes = classes.select("node", unit.alias("vec"), F.concat(unit, F.array(more)).alias("x"), F.pmod(F.xxhash64("node"), F.lit(groups)).alias("grp"))
+    nodes = grouped(classes.select("node", "norm", unit.alias("vec"), F.concat(unit, F.array(more)).alias("x")), dim + 1, count)
     nodes = scratch.write(nodes, "nodes")
     graph = build_graph(nodes, dim + 1, count, scratch, degree)
     # every member of a class is a query of its own, but one search serves a class
@@ -272,7 +304,7 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "ve
     heads = asked.select("node").distinct()
     wanted = scratch.write(heads.join(nodes, "node").select(F.col("node").alias("query"), "vec", F.array("node").alias("entry")), "queries")
     groups = max(1, -(-wanted.count() // QUERY_GROUP))
-    found = search(graph, nodes, wanted.withColumn("grp", F.pmod(F.xxhash64("query"), F.lit(groups))), scratch, max(beam, 2 * k + 2))
+    found = search(graph, nodes, wanted.withColumn("grp", F.pmod(F.xxhash64("query"), F.lit(groups))), scratch, entries_of(nodes), max(beam, 2 * k + 2))
     found = scratch.write(found, "found")
     exact = (found.join(classes.select(F.col("node").alias("query"), F.col("vec").alias("q")), "query").join(classes.select("node", "vec"), "node")
              .select("query", "node", F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")))

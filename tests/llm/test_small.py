@@ -517,6 +517,25 @@ def test_best_fit_is_close_to_the_bound():
     assert fill.max() <= 2048 and len(fill) <= sizes.sum() / 2048 * 1.01 + 1
 
 
+@pytest.mark.parametrize("shape", ["one long cluster", "tight clusters", "small components"])
+def test_recall_on_clusters(spark, shape):
+    """What is nearest by inner product can lie in other components of the graph."""
+    rng = np.random.default_rng(5)
+    clusters, each, noise = {"one long cluster": (40, 60, 0.15), "tight clusters": (40, 10, 0.01), "small components": (150, 8, 0.02)}[shape]
+    centres = rng.normal(size=(clusters, 16))
+    if shape == "one long cluster":
+        centres[7] *= 4
+    x = (np.repeat(centres, each, 0) * (1 + 0.1 * rng.normal(size=(clusters * each, 1))) + noise * rng.normal(size=(clusters * each, 16)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    share = [len(set(got[q]) & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in range(0, len(x), 20)]
+    assert all(len(got[q]) == 20 for q in range(0, len(x), 20)) and np.mean(share) >= 0.9, np.mean(share)
+
+
 def test_graph_is_improved_until_it_settles(spark):
     x = np.random.default_rng(8).normal(size=(3000, 32))
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
