@@ -43,9 +43,21 @@ def _last(steps: Column, last: int | Column | None) -> Column:
 
 
 def running_best(steps: Column, field: str, last: int | Column | None = None) -> Column:
-    """Smallest value seen up to each iteration 0..last; null before the first one."""
-    return F.transform(F.sequence(F.lit(0), _last(steps, last)), lambda i: F.array_min(F.transform(
-        F.filter(steps, lambda s: s["iteration"] <= i), lambda s: s[field])))
+    """Smallest value seen up to each iteration 0..last; null before the first one. One pass over the sorted steps."""
+    grow = lambda acc, s: F.concat(acc, F.array(F.least(F.get(acc, F.size(acc) - 1), s[field].cast("double"))))
+
+    def spread(given: Column) -> Column:
+        """Each minimum repeated up to the next step's iteration."""
+        end = given["end"]
+        best = F.reduce(given["steps"], F.array().cast("array<double>"), grow)
+        at = F.transform(given["steps"], lambda s: s["iteration"].cast("int"))
+        until = F.concat(F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), F.array(end + 1))
+        runs = F.zip_with(best, F.zip_with(at, until, lambda x, y: y - x), lambda v, n: F.array_repeat(v, n))
+        before = F.array_repeat(F.lit(None).cast("double"), F.coalesce(F.get(at, 0), end + 1))
+        return F.concat(before, F.when(F.size(at) > 0, F.flatten(runs)).otherwise(F.array().cast("array<double>")))
+    end = _last(steps, last)
+    kept = F.filter(steps, lambda s: (s["iteration"] >= 0) & (s["iteration"] <= end))
+    return F.when(steps.isNotNull(), let(F.struct(kept.alias("steps"), end.alias("end")), spread))
 
 
 def dense_grid(nested: DataFrame, keys: Sequence[str], fields: Sequence[str], fill: float | None = None,
