@@ -232,11 +232,9 @@ def test_short_terms_and_many_terms_are_learned(spark):
     rng = random.Random(6)
     neutral = [f"plain{i}" for i in range(40)]
     bad = ["zud"] + ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) + f"{i}q" for i in range(1200)]
-    rows = []
-    for k, term in enumerate(bad):
-        for j in range(6):
-            rows.append((6 * k + j, f"{rng.choice(neutral)} {neutral[(5 * j + k) % 40]} {term} {rng.choice(neutral)}", 1))
-    rows += [(10_000 + i, " ".join(rng.choice(neutral) for _ in range(8)), 0) for i in range(4000)]
+    n = len(bad)  # every toxic text holds six terms, and every term stands beside six different words
+    rows = [(j, " ".join(f"{neutral[(5 * i + j) % 40]} {bad[(j + 200 * i) % n]}" for i in range(6)), 1) for j in range(n)]
+    rows += [(10_000 + i, " ".join(rng.choice(neutral) for _ in range(8)), 0) for i in range(6 * n)]
     terms = {t for t, stem in toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), Scratch(spark, "t")) if not stem}
     assert len(terms & set(bad)) > 1150 and "zud" in terms and not terms & set(neutral)
 
