@@ -54,7 +54,7 @@ def category_targets(counts: DataFrame, category: str, total: int, keep_ratios:
 
 def uniform_sample(df: DataFrame, category: str, key: str, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Exactly target rows per category (or all of a smaller category)."""
-    hashed = df.withColumn("__h", unit_hash(F.col(key), seed=seed)).join(F.broadcast(targets), category)
+    hashed = df.withColumn("__h", unit_hash(F.col(key), seed=seed)).join(targets, category)
     return (rank_within(hashed, [category], [F.col("__h"), F.col(key)], rank="__rank")
             .filter(F.col("__rank") <= F.col("target")).drop("__h", "__rank", "target"))
 
@@ -66,7 +66,7 @@ def balanced_sample(df: DataFrame, category: str, user: str, key: str, targets:
              .withColumn("__h", unit_hash(F.col(user), seed=seed)))
     queued = (rank_within(users, [category], [F.col("__h"), F.col(user)], rank="__rank",
                           weight=F.col("__cnt"), running="__upto")
-              .join(F.broadcast(targets), category)
+              .join(targets, category)
               .withColumn("__take", F.least(F.col("__cnt"), F.col("target") - (F.col("__upto") - F.col("__cnt"))))
               .filter(F.col("__take") > 0).select(category, user, "__take"))
     picked = df.withColumn("__h", unit_hash(F.col(key), seed=seed)).join(queued, [category, user])
