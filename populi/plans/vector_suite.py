@@ -29,8 +29,8 @@ def similar_neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("similar_pairs", f"""WITH {_PAIR} SELECT a.vec_id a, b.vec_id b, round(list_cosine_similarity(a.e, b.e), 6) similarity FROM n a JOIN n b
   ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.8""")
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    reps = similarity.distinct_vectors(_vectors(spark, sf), "vec_id", "e")
-    return rounded(similarity.similar_pairs(reps, 0.8))
+    pairs = similarity.row_pairs(_vectors(spark, sf), "vec_id", "e", 0.8)
+    return pairs.withColumn("similarity", F.round("similarity", 6))  # once, as its SQL does
 
 
 @query("standardised_embeddings", """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) d, CAST(unnest(embedding) AS DOUBLE) x FROM embeddings)
