@@ -172,18 +172,25 @@ def category_map(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 # ---- prediction, ground-truth, delta and journey trees -------------------------------------------------------------
 
-def _tree(spark: SparkSession, path: str, ddl: str, pattern: str = "*.json") -> DataFrame:
-    """Small JSON files of a directory tree, with cluster and micro ids taken from their paths."""
-    rows = (spark.read.schema(ddl).option("multiLine", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", pattern).json(path).withColumn("file", F.col("_metadata.file_path")))
-    number = lambda word: F.regexp_extract("file", rf"{word}_(\d+)", 1)
+def _tree(spark: SparkSession, path: str, ddl: str, pattern: str = "*.json", lines: bool = False) -> DataFrame:
+    """Documents of the JSON files of a directory tree, with cluster and micro ids taken from their paths.
+
+    A file holds one small document or, with `lines`, one a line: so many tribes need few files, which Spark splits. Such
+    documents name cluster_id and micro_id themselves where the path does not; `file` is then the line's place."""
+    if lines and "cluster_id" not in ddl:
+        ddl += ", cluster_id string, micro_id string"
+    rows = (spark.read.schema(ddl).option("multiLine", not lines).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", pattern).json(path).withColumn("__path", F.col("_metadata.file_path")))
+    rows = rows.withColumn("file", line_place() if lines else F.col("__path"))
+    number = lambda word: F.regexp_extract("__path", rf"{word}_(\d+)", 1)
     tag = lambda word: F.when(number(word) != "", F.concat(F.lit(word + "_"), number(word)))
-    return rows.withColumns({"path_cluster": tag("cluster"), "path_micro": tag("micro")})
+    own = lambda name: [F.col(name)] if lines and name in rows.columns else []
+    return rows.withColumns({"path_cluster": F.coalesce(*own("cluster_id"), tag("cluster")), "path_micro": F.coalesce(*own("micro_id"), tag("micro"))}).drop("__path")
 
 
-def prediction_tree(spark: SparkSession, path: str) -> DataFrame:
+def prediction_tree(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per predicted review; files without user_predictions are skipped."""
-    files = _tree(spark, path, S.PREDICTION_FILE).filter(F.col("user_predictions").isNotNull())
+    files = _tree(spark, path, S.PREDICTION_FILE, lines=lines).filter(F.col("user_predictions").isNotNull())
     rows = (files.select("file", F.col("path_cluster").alias("cluster_id"), F.col("path_micro").alias("micro_id"),
                          F.coalesce("persona_name", "metadata.persona_name").alias("persona_name"),
                          F.explode("user_predictions").alias("user_id", "reviews"))
@@ -217,10 +224,12 @@ def baseline_predictions(spark: SparkSession, path: str) -> DataFrame:
         F.col("r.actual.sentiment").alias("actual_sentiment"), first_actual(F.col("r.actual")).alias("actual"))
 
 
-def predictions(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """One schema for every layout: tree | baseline | topic_list (records with topic_probabilities at the top)."""
+def predictions(spark: SparkSession, path: str, layout: str, lines: bool = False) -> DataFrame:
+    """One schema for every layout: tree | baseline | topic_list (records with topic_probabilities at the top).
+
+    lines: the files of a tree hold a document a line."""
     if layout == "tree":
-        return prediction_tree(spark, path).drop("file")
+        return prediction_tree(spark, path, lines).drop("file")
     if layout == "baseline":
         return baseline_predictions(spark, path).withColumns(
             {"cluster_id": F.lit(None).cast("string"), "micro_id": F.lit(None).cast("string"),
@@ -250,19 +259,19 @@ def detect_layout(spark: SparkSession, path: str) -> str:
     return "topic_list" if head and head[0] == "[" else "baseline"
 
 
-def all_predictions(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+def all_predictions(spark: SparkSession, sources: dict[str, str], lines: bool = False) -> DataFrame:
     """Union of several sources given as {path: layout}, with missing fields null; layout auto looks at the path."""
     result = None
     for path, layout in sources.items():
         layout = detect_layout(spark, path) if layout == "auto" else layout
-        rows = predictions(spark, path, layout).withColumn("layout", F.lit(layout))
+        rows = predictions(spark, path, layout, lines).withColumn("layout", F.lit(layout))
         result = rows if result is None else result.unionByName(rows, allowMissingColumns=True)
     return result
 
 
-def ground_truth_tree(spark: SparkSession, path: str, pattern: str = "*_details.json") -> DataFrame:
+def ground_truth_tree(spark: SparkSession, path: str, pattern: str = "*_details.json", lines: bool = False) -> DataFrame:
     """One row per ground-truth review, in the order (file, user, index) as pos; see match.match_to_truth."""
-    files = _tree(spark, path, S.GROUND_TRUTH_FILE, pattern)
+    files = _tree(spark, path, S.GROUND_TRUTH_FILE, pattern, lines)
     rows = (files.select("file", F.col("path_cluster").alias("cluster_id"), F.col("path_micro").alias("micro_id"),
                          "persona_name", F.explode("members_grouped_by_user").alias("user_id", "reviews"))
             .select("*", F.posexplode("reviews").alias("review_idx", "r")).drop("reviews")
@@ -275,8 +284,8 @@ def ground_truth_tree(spark: SparkSession, path: str, pattern: str = "*_details.
                        F.struct("file", "user_id", "review_idx").alias("pos"))
 
 
-def delta_tree(spark: SparkSession, path: str) -> DataFrame:
-    files = _tree(spark, path, S.DELTA_FILE)
+def delta_tree(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    files = _tree(spark, path, S.DELTA_FILE, lines=lines)
     return (files.select(F.coalesce("cluster_id", "path_cluster").alias("cluster_id"),
                          F.coalesce("micro_cluster_id", "path_micro").alias("micro_id"), F.explode("deltas").alias("d"))
             .select("cluster_id", "micro_id", "d.review_key", "d.user_id", "d.review_idx", "d.text_delta", "d.theme_delta",

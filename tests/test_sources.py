@@ -126,6 +126,25 @@ def test_delta_and_journey_trees(spark, tmp_path):
     assert len(j["steps"]) == 4 and j["best"]["iteration"] == 13 and json.loads(j["best"]["prediction"]) == {"t": 9}
 
 
+def test_trees_of_many_tribes_in_a_file(spark, tmp_path):
+    """A document a line, from documents that name their tribe or take its cluster from the folder."""
+    review = {"product_description": "P", "category": "C", "asin": "a", "prediction": side({"x": 1.0}), "actual": side(["x"]), "topic_probabilities": {"x": 1.0}}
+    tribes = [{"cluster_id": "cluster_1", "micro_id": "micro_7", "user_predictions": {"u1": [review]}, "members_grouped_by_user": {"u1": [review]}},
+              {"micro_id": "micro_8", "user_predictions": {"u2": [review, review]}, "members_grouped_by_user": {"u2": [review, review]}}]
+    put(tmp_path / "cluster_5" / "part-0.json", "\n".join(json.dumps(t) for t in tribes))
+    want = [("cluster_1", "micro_7", "u1"), ("cluster_5", "micro_8", "u2"), ("cluster_5", "micro_8", "u2")]
+    assert listed(readers.all_predictions(spark, {str(tmp_path): "tree"}, lines=True), "cluster_id", "micro_id", "user_id") == want
+    truth = readers.ground_truth_tree(spark, str(tmp_path), "*.json", lines=True)
+    assert listed(truth, "cluster_id", "micro_id", "user_id") == want and truth.select("pos").distinct().count() == 3
+
+
+def test_tree_queries_write_few_files(spark, tmp_path):
+    from populi.plans import sources_suite
+    path = sources_suite._tribe_files(spark, "/root/testdata/sf0.01", str(tmp_path / "t"), user_predictions=F.col("users"))
+    files, tribes = len(list((tmp_path / "t").rglob("*.json"))), spark.read.json(path).count()
+    assert tribes > 100 and files <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_cluster_texts_from_both_places(spark, tmp_path):
     path = put(tmp_path / "seeds.json", {
         "segment_4_micro_0": {"tribe_id": "segment_4_micro_0", "members_grouped_by_user": {"u": [{"review_text": "x"}]}},
