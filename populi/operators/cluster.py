@@ -13,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from populi.session import written
+
 
 def standardise(df: DataFrame, vector: str, output: str = "features") -> DataFrame:
     """Zero mean and unit population deviation per dimension, as an ml vector; Spark's scaler divides by the sample
@@ -119,17 +121,21 @@ def project_2d(df: DataFrame, features: str) -> DataFrame:
 
 
 def _theme_vectors(vectors: DataFrame) -> DataFrame:
-    """theme, vector with one row per theme; of several the smallest stands."""
-    return vectors.groupBy("theme").agg(F.min(F.col("vector").cast("array<double>")).alias("vector"))
+    """theme, vector with one row per theme; of several the smallest stands.
+
+    A written table has a known size: Spark broadcasts it when that allows, and reviews stay where they are."""
+    return written(vectors.groupBy("theme").agg(F.min(F.col("vector").cast("array<double>")).alias("vector")))
 
 
 def weighted_topic_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Probability-weighted mean of the theme vectors of each review. vectors: theme, vector."""
-    ready = _theme_vectors(vectors).select("theme", array_to_vector("vector").alias("__v"))
-    joined = probs.filter(F.col("p") > 0).join(ready, "theme")
-    mean = Summarizer.mean(F.col("__v"), F.col("p"))
-    return joined.groupBy(key).agg(mean.alias("__m"), F.count(F.lit(1)).alias("n_themes")).select(
-        key, vector_to_array("__m").alias("topic_vector"), "n_themes")
+    """Probability-weighted mean of the theme vectors of each review. vectors: theme, vector, all of one length."""
+    ready = _theme_vectors(vectors)
+    length = ready.agg(F.max(F.size("vector"))).first()[0] or 0
+    joined = probs.filter(F.col("p") > 0).join(ready.filter(F.col("vector").isNotNull()), "theme")
+    sums = [F.sum(F.col("p") * F.get("vector", i)).alias(f"__s{i}") for i in range(length)]
+    mean = F.array(*[F.col(f"__s{i}") / F.col("__w") for i in range(length)]).cast("array<double>")
+    return joined.groupBy(key).agg(F.sum("p").alias("__w"), F.count(F.lit(1)).alias("n_themes"), *sums).select(
+        key, mean.alias("topic_vector"), "n_themes")
 
 
 def attach_theme_vectors(probs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

@@ -134,7 +134,7 @@ _WEIGHTED = f"""{SQL.SIDES}, v AS (SELECT DISTINCT p_brand t, CAST(embedding AS
   n AS (SELECT k, count(DISTINCT t) n FROM sides JOIN v USING (t) GROUP BY 1)
   SELECT k, CAST(dim AS INTEGER) dim, round(sum(a * x) / sum(a), 6) + 0.0 x, n n_themes FROM d JOIN n USING (k) GROUP BY 1, 2, 4""")
 def weighted_topic_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    probs = sides(spark, sf).groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p"))
+    probs = sides(spark, sf).repartition("k").groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p"))
     rows = cluster.weighted_topic_vectors(probs, brand_vectors(spark, sf), "k")
     return rounded(rows.select("k", F.posexplode("topic_vector").alias("dim", "x"), "n_themes"))
 
@@ -142,7 +142,7 @@ def weighted_topic_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("attached_theme_vectors", f"""WITH {_WEIGHTED} SELECT k, CAST(count(*) AS INTEGER) n_themes, CAST(count(e) FILTER (WHERE t <> 'Brand#7') AS INTEGER) n_vectors, sum(a) mass FROM sides LEFT JOIN v USING (t) GROUP BY k""")
 def attached_theme_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """One brand has no vector."""
-    probs = sides(spark, sf).groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p"))
+    probs = sides(spark, sf).repartition("k").groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p"))
     vectors = brand_vectors(spark, sf).filter(F.col("theme") != "Brand#7")
     entries = F.map_values("theme_vectors")
     rows = cluster.attach_theme_vectors(probs, vectors, "k")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from populi.operators import groups, journey, rollup, wide
+from populi.functions import dist
+from populi.operators import cluster, fuzzy, groups, journey, rollup, wide
 from populi.plans.testbed import population, table
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,33 @@ def test_journeys_with_repeated_iterations_stay_bounded(spark):
 def test_keep_last_takes_one_row_per_key(spark):
     df = spark.range(1000).select(F.lit("same").alias("k"), F.col("id").alias("pos"))
     assert [tuple(r) for r in groups.keep_last(df, ["k"], "pos").collect()] == [("same", 999)]
+
+
+def test_theme_tables_leave_reviews_where_they_are(spark):
+    """One shuffle by key serves the sums, the join to themes and the grouping; no common theme lands in one task."""
+    probs = spark.range(4000).select((F.col("id") % 900).alias("k"), F.concat(F.lit("t"), F.col("id") % 3).alias("theme"), F.lit(1.0).alias("p"))
+    dealt = probs.repartition("k").groupBy("k", "theme").agg(F.sum("p").alias("p"))
+    vectors = spark.range(9).select(F.concat(F.lit("t"), F.col("id") % 3).alias("theme"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    mapping = spark.range(9).select(F.lit("c").alias("category"), F.lit("t1").alias("from_theme"), F.lit("t2").alias("to_theme"))
+    weighted = cluster.weighted_topic_vectors(dealt, vectors, "k")
+    for df in (weighted, cluster.attach_theme_vectors(dealt, vectors, "k")):
+        plan = plan_of(df)
+        assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+    assert {tuple(r["topic_vector"]) for r in weighted.filter("n_themes = 3").collect()} <= {(1.0, 1.0)}
+    assert "SortMergeJoin" not in plan_of(fuzzy.rename_themes(dealt.withColumn("category", F.lit("c")), mapping, ["k"]))
+
+
+def test_maps_take_one_shuffle(spark):
+    long = spark.range(100).select((F.col("id") % 9).alias("k"), F.concat(F.lit("t"), F.col("id") % 3).alias("t"), F.lit(1.0).alias("v"))
+    maps = wide.theme_map(long, "k", "t", m="v")
+    assert plan_of(maps).count("Exchange") == 1 and sum(sum(r["m"].values()) for r in maps.collect()) == 100.0
+
+
+@pytest.mark.parametrize("predicted", [{"b": 3.0, "x": 1.0}, {"x": 1.0}, {"b": 0.0}])
+def test_divergence_over_a_list_needs_no_zeros(spark, predicted):
+    themes = F.array(*[F.lit(t) for t in "abcdeef"])
+    df = spark.createDataFrame([({"a": 1.0, "b": 2.0, "y": 5.0}, predicted)], "a map<string,double>, p map<string,double>")
+    filled = dist.jsd(dist.zero_fill(F.col("a"), themes), dist.zero_fill(F.col("p"), themes))
+    row = df.select(dist.jsd_over_category(F.col("p"), F.col("a"), themes).alias("got"), filled.alias("want"),
+                    dist.compare(F.expr("map_filter(a, (t, v) -> t <> 'y')"), F.expr("map_filter(p, (t, v) -> t <> 'x')"), F.lit(6)).alias("c")).first()
+    assert row["got"] == pytest.approx(row["want"], abs=1e-12) and row["c"]["jsd"] == row["got"] and row["c"]["support"] == 6
