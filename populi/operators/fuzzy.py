@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from populi.functions import fixed_values as fixed
 from populi.functions.dist import cosine
 from populi.functions.text import fold, string_similarity
+from populi.session import written
 
 
 def token_theme_means(df: DataFrame, key: str, tokens: Column, names: DataFrame, theme: str = "theme") -> DataFrame:
@@ -83,8 +84,10 @@ def onto_topic_list(probs: DataFrame, topics: DataFrame, matches: list[DataFrame
 
 
 def _single_targets(mapping: DataFrame) -> DataFrame:
-    """(category, theme, to_theme): one row per mapped theme; of several targets the last name stands."""
-    return mapping.groupBy("category", F.col("from_theme").alias("theme")).agg(F.max("to_theme").alias("to_theme"))
+    """(category, theme, to_theme): one row per mapped theme; of several targets the last name stands.
+
+    A written table has a known size: Spark broadcasts it when that allows, so that no common theme lands in one task."""
+    return written(mapping.groupBy("category", F.col("from_theme").alias("theme")).agg(F.max("to_theme").alias("to_theme")))
 
 
 def rename_themes(probs: DataFrame, mapping: DataFrame, keys: list[str], combine: str = "sum",

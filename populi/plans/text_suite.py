@@ -133,7 +133,7 @@ def _mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _probs(spark: SparkSession, sf: str) -> DataFrame:
-    return sides(spark, sf).groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p")).withColumn("category", F.lit("all"))
+    return sides(spark, sf).repartition("k").groupBy("k", F.col("t").alias("theme")).agg(F.sum("a").alias("p")).withColumn("category", F.lit("all"))
 
 
 @query("renamed_themes_summed", f"WITH {SQL.SIDES} SELECT k, {_RENAME.format(rest='ELSE t')} theme, sum(a) p FROM sides GROUP BY 1, 2")
