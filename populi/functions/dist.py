@@ -62,10 +62,11 @@ def jsd_term(p: Column, q: Column) -> Column:
     return 0.5 * (p * F.log2(2.0 * p / (p + q)) + q * F.log2(2.0 * q / (p + q)))
 
 
-def compare(actual: Column, predicted: Column) -> Column:
+def compare(actual: Column, predicted: Column, support: Column | None = None) -> Column:
     """struct<jsd, wd, support, overlap> of two maps in one pass over the union of their themes.
 
-    wd is the Wasserstein-1 distance with unit cost, i.e. half the L1 distance; it is null when a side has no mass."""
+    wd is the Wasserstein-1 distance with unit cost, i.e. half the L1 distance; it is null when a side has no mass.
+    support: the size of a theme list that holds the union; its other themes, zero on both sides, have equal terms."""
 
     def measured(c: Column) -> Column:
         rows = F.transform(c["cells"], lambda s: F.struct(
@@ -77,16 +78,18 @@ def compare(actual: Column, predicted: Column) -> Column:
             rows, F.struct(F.lit(0.0).alias("jsd"), F.lit(0.0).alias("gap")),
             lambda acc, r: F.struct((acc["jsd"] + jsd_term(r["p"], r["q"])).alias("jsd"),
                                     (acc["gap"] + r["gap"]).alias("gap")))
+        zero = F.lit(0.0)
+        rest = 0.0 if support is None else (c["n"] - F.size(c["cells"])) * jsd_term(_smoothed(zero, c["a"], c["n"]), _smoothed(zero, c["b"], c["n"]))
         return let(folded, lambda f: F.struct(
-            f["jsd"].alias("jsd"),
+            (f["jsd"] + rest).alias("jsd"),
             F.when((c["a"] != 0) & (c["b"] != 0), 0.5 * f["gap"]).alias("wd"),
             c["n"].alias("support"),
-            (F.size(actual) + F.size(predicted) - c["n"]).alias("overlap")))
+            (F.size(actual) + F.size(predicted) - F.size(c["cells"])).alias("overlap")))
 
     cells = F.map_values(align(actual, predicted))
-    context = F.struct(total(actual).alias("a"), total(predicted).alias("b"), F.size(cells).alias("n"),
+    context = F.struct(total(actual).alias("a"), total(predicted).alias("b"), (F.size(cells) if support is None else support).alias("n"),
                        cells.alias("cells"))
-    return F.when(F.size(cells) > 0, let(context, measured))
+    return F.when((F.size(cells) if support is None else support) > 0, let(context, measured))
 
 
 def jsd(actual: Column, predicted: Column) -> Column:
@@ -99,12 +102,11 @@ def wasserstein(actual: Column, predicted: Column) -> Column:
 
 def jsd_over_category(predicted: Column, actual: Column, themes: Column) -> Column:
     """JSD over the category's whole theme list, with the training loss's rules for empty sides."""
-    known = F.size(themes) > 0
-    p = F.when(known, zero_fill(predicted, themes)).otherwise(predicted)
-    a = F.when(known, zero_fill(actual, themes)).otherwise(actual)
+    listed = lambda m: F.map_filter(m, lambda t, _: F.array_contains(themes, t))
     return (F.when(non_empty(actual).isNull(), 0.0)
             .when(non_empty(predicted).isNull(), 1.0)
-            .otherwise(jsd(a, p)))
+            .when(F.size(themes) > 0, compare(listed(actual), listed(predicted), F.size(F.array_distinct(themes)))["jsd"])
+            .otherwise(jsd(actual, predicted)))
 
 
 def softmax(logprobs: Column) -> Column:

@@ -29,8 +29,10 @@ def compare_long(sides: DataFrame, keys: str | Sequence[str], theme: str, actual
 
 
 def theme_map(long: DataFrame, key: str, theme: str, **values: str) -> DataFrame:
-    """Maps per key out of (key, theme, value columns); repeated themes are summed first."""
-    summed = long.groupBy(key, theme).agg(*[F.sum(c).alias(c) for c in values.values()])
+    """Maps per key out of (key, theme, value columns); repeated themes are summed first.
+
+    Rows are dealt by the key alone, which serves both aggregations: themes seldom repeat, so sums ahead would save little."""
+    summed = long.repartition(key).groupBy(key, theme).agg(*[F.sum(c).alias(c) for c in values.values()])
     return summed.groupBy(key).agg(*[
         F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(theme, c)))).alias(name)
         for name, c in values.items()])
