@@ -42,7 +42,8 @@ def pieces(spark: SparkSession, path: str, end: str, pattern: str | None = None)
 def object_entries(spark: SparkSession, path: str, *, end: str = "}", pattern: str | None = None) -> DataFrame:
     """(file, part, key, value): every entry of the objects in the files, value as JSON text (a string without its quotes).
 
-    end: '}' where the values are objects, ',' for any values (more pieces). A file holds one object or one a line; .gz
+    end: '}' where the values are objects, ',' for any values (more pieces), a line's end for files with an entry a line
+    as writers.write_objects makes them (a piece an entry; right for any file, but a long line is one piece). A file holds one object or one a line; .gz
     files are read too, each by one task. A pattern looks for file names in all folders below the path. Entries of a
     (file, part) follow each other; malformed ones are left out."""
     split, file = ["file", "block"], Window.partitionBy("file")

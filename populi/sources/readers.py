@@ -101,10 +101,12 @@ def flatten_users(documents: DataFrame, *carry: str) -> DataFrame:
             .select(*carry, "user_id", "review_idx", "r.*"))
 
 
-def user_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Reviews from {user: {reviews: [...]}} files, one object of any size or one a line; reviews with blank text are dropped."""
+def user_reviews(spark: SparkSession, path: str, *, end: str = "}") -> DataFrame:
+    """Reviews from {user: {reviews: [...]}} files, one object of any size or one a line; reviews with blank text are dropped.
+
+    end: see object_entries."""
     document = F.from_json("value", f"reviews array<struct<{_colon(S.NESTED_REVIEW)}>>")
-    rows = object_entries(spark, path).select(F.col("key").alias("user_id"), F.posexplode(document["reviews"]).alias("review_idx", "r"))
+    rows = object_entries(spark, path, end=end).select(F.col("key").alias("user_id"), F.posexplode(document["reviews"]).alias("review_idx", "r"))
     return rows.select("user_id", "review_idx", "r.*").filter(present(F.col("review_text")))
 
 
@@ -206,11 +208,11 @@ def prediction_tree(spark: SparkSession, path: str, lines: bool = False) -> Data
         F.col("r.actual.sentiment").alias("actual_sentiment"), first_actual(F.col("r.actual")).alias("actual"))
 
 
-def baseline_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Flat files {user_review_i: {...}} of any size in the layout of prediction_tree."""
+def baseline_predictions(spark: SparkSession, path: str, end: str = "}") -> DataFrame:
+    """Flat files {user_review_i: {...}} of any size in the layout of prediction_tree. end: see object_entries."""
     entry = (f"struct<product_description:string,category:string,asin:string,prediction:struct<{S.SIDE}>,"
              f"actual:struct<{S.SIDE},themes:string,topic_probabilities:string>>")
-    rows = (object_entries(spark, path).filter(F.col("key").rlike(r"_review_\d+$"))
+    rows = (object_entries(spark, path, end=end).filter(F.col("key").rlike(r"_review_\d+$"))
             .select("key", F.from_json("value", entry).alias("r")))
     return rows.select(
         F.regexp_extract("key", r"^(.*)_review_(\d+)$", 1).alias("user_id"),
@@ -227,11 +229,11 @@ def baseline_predictions(spark: SparkSession, path: str) -> DataFrame:
 def predictions(spark: SparkSession, path: str, layout: str, lines: bool = False) -> DataFrame:
     """One schema for every layout: tree | baseline | topic_list (records with topic_probabilities at the top).
 
-    lines: the files of a tree hold a document a line."""
+    lines: the files of a tree hold a document a line, those of a baseline an entry a line."""
     if layout == "tree":
         return prediction_tree(spark, path, lines).drop("file")
     if layout == "baseline":
-        return baseline_predictions(spark, path).withColumns(
+        return baseline_predictions(spark, path, "\n" if lines else "}").withColumns(
             {"cluster_id": F.lit(None).cast("string"), "micro_id": F.lit(None).cast("string"),
              "persona_name": F.lit(None).cast("string")})
     if layout == "topic_list":

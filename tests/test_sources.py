@@ -126,6 +126,15 @@ def test_delta_and_journey_trees(spark, tmp_path):
     assert len(j["steps"]) == 4 and j["best"]["iteration"] == 13 and json.loads(j["best"]["prediction"]) == {"t": 9}
 
 
+def test_objects_with_an_entry_a_line_are_read_by_line(spark, tmp_path):
+    text = 'a "}\n{ b'
+    rows = spark.createDataFrame([(f"u{i}", [(text, f"a{i}")]) for i in range(50)], "u string, reviews array<struct<review_text:string,asin:string>>")
+    writers.write_objects(rows, "u", F.struct("reviews"), str(tmp_path / "o"))
+    got = readers.user_reviews(spark, str(tmp_path / "o"), end="\n")
+    assert listed(got, "user_id", "asin", "review_text") == sorted((f"u{i}", f"a{i}", text) for i in range(50))
+    assert listed(readers.user_reviews(spark, str(tmp_path / "o")), "user_id", "asin", "review_text") == listed(got, "user_id", "asin", "review_text")
+
+
 def test_trees_of_many_tribes_in_a_file(spark, tmp_path):
     """A document a line, from documents that name their tribe or take its cluster from the folder."""
     review = {"product_description": "P", "category": "C", "asin": "a", "prediction": side({"x": 1.0}), "actual": side(["x"]), "topic_probabilities": {"x": 1.0}}
