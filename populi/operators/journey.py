@@ -164,14 +164,16 @@ def best_metrics(actual: Column, initial: Column, steps: Column, truth: Column)
     usable = F.filter(steps, lambda s: s["theme"].isNotNull() & ~F.isnan(s["theme"]) & (F.size(s["predicted"]) > 0))
     lead = F.array_min(F.transform(usable, lambda s: F.struct(s["theme"].alias("theme"), s["iteration"].alias("iteration"))))
     start = F.when(F.size(initial) > 0, jsd(actual, initial))
-    stepped = lead.isNotNull() & (start.isNull() | (lead["theme"] < start))
-    won = F.when(stepped, F.get(F.filter(usable, lambda s: s["iteration"] == lead["iteration"]), 0)["predicted"]).otherwise(initial)
-
     def measured(w: Column) -> Column:
         order = ranked(w["p"])
         return let(compare(actual, w["p"]), lambda c: F.struct(
             w["i"].alias("iteration"), c["jsd"].alias("jsd"), c["wd"].alias("wd"),
             recall_at_max_nk(order, truth, 3, no_truth=None).alias("recall_at_max3k"),
             recall_at_max_nk(order, truth, 4, no_truth=None).alias("recall_at_max4k")))
-    return F.when(F.size(won) > 0, let(F.struct(
-        won.alias("p"), F.when(stepped, lead["iteration"]).otherwise(0).cast("int").alias("i")), measured))
+
+    def chosen(x: Column) -> Column:
+        stepped = x["lead"].isNotNull() & (x["start"].isNull() | (x["lead"]["theme"] < x["start"]))
+        won = F.when(stepped, F.get(F.filter(usable, lambda s: s["iteration"] == x["lead"]["iteration"]), 0)["predicted"]).otherwise(initial)
+        best = F.struct(won.alias("p"), F.when(stepped, x["lead"]["iteration"]).otherwise(0).cast("int").alias("i"))
+        return let(best, lambda w: F.when(F.size(w["p"]) > 0, measured(w)))
+    return let(F.struct(start.alias("start"), lead.alias("lead")), chosen)  # bound: each is compared once

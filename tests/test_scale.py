@@ -109,3 +109,12 @@ def test_divergence_over_a_list_needs_no_zeros(spark, predicted):
     row = df.select(dist.jsd_over_category(F.col("p"), F.col("a"), themes).alias("got"), filled.alias("want"),
                     dist.compare(F.expr("map_filter(a, (t, v) -> t <> 'y')"), F.expr("map_filter(p, (t, v) -> t <> 'x')"), F.lit(6)).alias("c")).first()
     assert row["got"] == pytest.approx(row["want"], abs=1e-12) and row["c"]["jsd"] == row["got"] and row["c"]["support"] == 6
+
+
+def test_best_metrics_compare_two_pairs_of_maps(spark):
+    """The initial prediction and the winner, each once."""
+    df = spark.createDataFrame([({"a": 1.0}, {"a": .5, "b": .5})], "a map<string,double>, p map<string,double>")
+    steps = F.array(F.struct(F.lit(1).alias("iteration"), F.lit(.1).alias("theme"), F.col("a").alias("predicted")))
+    best = journey.best_metrics(F.col("a"), F.col("p"), steps, F.map_keys("a"))
+    count = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("map_zip_with")
+    assert count(best) <= 2 * count(dist.compare(F.col("a"), F.col("p"))) and df.select(best["iteration"]).first()[0] == 1
