@@ -339,6 +339,42 @@ def test_tribes_of_a_dense_segment_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 10
 
 
+def dense_users(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    units = rng.normal(size=(1, 8)) + rng.normal(size=(n, 8)) * rng.choice([0.05, 0.4, 2.0], size=(n, 1))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    return spark.createDataFrame([(f"u{i}", "s", i, [float(x) for x in u], 1 + i % 3) for i, u in enumerate(units)],
+                                 "user_id string, segment_id string, position long, user_embedding array<double>, n_reviews long")
+
+
+def test_tribes_of_a_dense_segment_make_no_links(spark, monkeypatch):
+    """Nearly all pairs of the segment are links: a table of them would grow with its square."""
+    users = dense_users(spark, 250, 3)
+    rule = tribes.TribeRule(0.6, 2, 7, 5, 0.8, 1)
+    tell = lambda df: sorted((r["tribe_id"], r["user_id"], round(r["similarity_score"], 9)) for r in df.collect())
+    want = tell(tribes.form_tribes(users, rule, block=100))
+    monkeypatch.setattr(tribes, "similar_pairs", lambda *a, **k: pytest.fail("links were made"))
+    assert tell(tribes.form_tribes(users, rule)) == want
+    monkeypatch.setattr(tribes, "BIN", 16)  # more rounds, more blocks, and lists that are used up
+    monkeypatch.setattr(tribes, "DEEP", 2)
+    monkeypatch.setattr(tribes, "BLOCK", 90)
+    assert tell(tribes.form_tribes(users, rule)) == want
+
+
+def test_large_segments_with_few_links_use_them(spark, monkeypatch):
+    """The segment of few neighbours goes by links, the dense one without."""
+    x = np.random.default_rng(4).normal(size=(150, 16))
+    sparse = spark.createDataFrame([(f"v{i}", "few", i, v.tolist(), 2) for i, v in enumerate(x)], dense_users(spark, 1, 1).schema)
+    users = dense_users(spark, 150, 6).unionByName(sparse)
+    rule = tribes.TribeRule(0.6, 1, 12, 2)
+    tell = lambda df: sorted((r["tribe_id"], r["user_id"]) for r in df.collect())
+    want = tell(tribes.form_tribes(users, rule))
+    monkeypatch.setattr(tribes, "LARGE", 100)
+    linked, made = [], tribes.vector_links
+    monkeypatch.setattr(tribes, "vector_links", lambda users, *a, **k: linked.append({r[0] for r in users.select("segment_id").distinct().collect()}) or made(users, *a, **k))
+    assert tell(tribes.form_tribes(users, rule)) == want and linked[0] == {"few"}
+
+
 def test_tribe_caps(spark):
     members = spark.createDataFrame([("t", "a", 0), ("t", "b", 1), ("t", "c", 2)], "tribe_id string, user_id string, position long")
     reviews = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(4)], "user_id string, pos long")
