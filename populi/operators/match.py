@@ -13,6 +13,7 @@ from populi.functions.dist import compare, total
 from populi.functions.recall import ranked, recall_at_max_nk
 from populi.functions.text import fold, match_key, topic_file_category, without_copy_suffix
 from populi.operators.groups import keep_first, keep_last
+from populi.session import written
 
 
 def spread_key(key: Column, usable: Column, spread_by: Column) -> Column:
@@ -291,18 +292,26 @@ def user_memory(batches: DataFrame) -> DataFrame:
 def memory_for(members: DataFrame, rows: DataFrame) -> DataFrame:
     """analyses of each member in batch order, from the member's tribe; a tribe without any memory takes its cluster's.
 
-    memory_level is tribe or cluster, null for a member without any; tribe_has_memory tells the two kinds apart once a tribe."""
-    def at(keys: list[str], tag: str) -> DataFrame:
-        entry = F.struct("tribe_id", "batch", "i", "analysis")
-        return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["analysis"]).alias(f"__{tag}"))
-    tribe, cluster = at(["tribe_id", "user_id"], "tribe"), at(["cluster_id", "user_id"], "cluster")
-    known = rows.select("tribe_id").distinct().withColumn("__known", F.lit(True))
-    joined = (members.join(tribe, ["tribe_id", "user_id"], "left").join(known, "tribe_id", "left")
-              .join(cluster, ["cluster_id", "user_id"], "left"))
-    has = F.coalesce("__known", F.lit(False))
-    found = F.when(has, F.col("__tribe")).otherwise(F.col("__cluster"))
-    return joined.select(*members.columns, found.alias("analyses"), has.alias("tribe_has_memory"),
-                         F.when(found.isNotNull(), F.when(has, "tribe").otherwise("cluster")).alias("memory_level"))
+    Tribes are named within their cluster, and a missing key has no memory. Members and rows are dealt once, by cluster and
+    user: a user's lists of the tribes are built there, and the cluster's from them. memory_level is tribe or cluster, null
+    for a member without any; tribe_has_memory tells the two kinds apart once a tribe."""
+    place, tribe = ["cluster_id", "user_id"], ["cluster_id", "tribe_id"]
+    rows = written(rows.select(*place, "tribe_id", "batch", "i", "analysis").dropna(subset=[*place, "tribe_id"]))
+    known = rows.select(*tribe).distinct().withColumn("__known", F.lit(True))
+    more = [c for c in members.columns if c not in (*place, "tribe_id")]
+    asked = members.join(known, tribe, "left").select(
+        *place, "tribe_id", F.struct(F.coalesce("__known", F.lit(False)).alias("__has"), *more).alias("__m"))
+    told = rows.select(*place, "tribe_id", F.struct("batch", "i", "analysis").alias("__e"))
+    lists = asked.unionByName(told, allowMissingColumns=True).repartition(*place).groupBy(*place, "tribe_id").agg(
+        F.collect_list("__m").alias("__ms"), F.sort_array(F.collect_list("__e")).getField("analysis").alias("__own"))
+    asking = F.when(F.size("__ms") > 0, F.struct("tribe_id", "__ms", F.when(F.get("__ms", 0)["__has"], F.col("__own")).alias("__own")))
+    users = lists.groupBy(*place).agg(F.sort_array(F.collect_list(F.when(F.size("__own") > 0, F.struct("tribe_id", "__own")))).getField("__own").alias("__all"),
+                                      F.collect_list(asking).alias("__asking"))
+    joined = (users.select(*place, "__all", F.explode("__asking").alias("__a"))
+              .select(*place, F.col("__a.tribe_id").alias("tribe_id"), F.coalesce("__a.__own", F.flatten("__all")).alias("__found"), F.explode("__a.__ms").alias("__m")))
+    found, has = F.when(F.size("__found") > 0, F.col("__found")), F.col("__m.__has")
+    return joined.select(*[F.col(f"__m.{c}").alias(c) if c in more else F.col(c) for c in members.columns], found.alias("analyses"),
+                         has.alias("tribe_has_memory"), F.when(found.isNotNull(), F.when(has, "tribe").otherwise("cluster")).alias("memory_level"))
 
 
 def history_without_own(rows: DataFrame, history: DataFrame, key: str, place: str) -> DataFrame:

@@ -242,9 +242,8 @@ def user_memory(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("l_partkey", F.lit("_review_"), "l_linenumber").alias("key"),
         F.when(told, F.concat("l_returnflag", "l_orderkey")).otherwise("").alias("analysis"),
         F.col("l_partkey").cast("string").alias("user_id"))
-    packed = line.groupBy("cluster_id", "tribe_id", "batch").agg(F.array_sort(F.collect_list(F.struct("key", "analysis"))).alias("e"))
-    batches = packed.select("cluster_id", "tribe_id", "batch", F.transform("e", lambda x: x["key"]).alias("reviews"),
-                            F.transform("e", lambda x: x["analysis"]).alias("analyses"))
+    packed = line.groupBy("cluster_id", "tribe_id", "batch").agg(F.sort_array(F.collect_list(F.struct("key", "analysis"))).alias("e"))
+    batches = packed.select("cluster_id", "tribe_id", "batch", F.col("e.key").alias("reviews"), F.col("e.analysis").alias("analyses"))
     found = match.memory_for(line.select("cluster_id", "tribe_id", "user_id").distinct(), match.user_memory(batches))
     return found.select("tribe_id", "user_id", "memory_level", F.array_join("analyses", ",").alias("analyses"))
 

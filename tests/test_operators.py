@@ -385,6 +385,20 @@ def test_tribe_caps(spark):
     assert len(got["a"]) == 2003 and got["b"] == "y" * 10 and "c" not in got
 
 
+def test_memory_of_tribes_and_clusters(spark):
+    """Tribes of one name in two clusters stay apart, in batch order; members and memory are dealt once, by cluster and user."""
+    rows = spark.createDataFrame([("c1", "m0", "u", 2, 0, "b"), ("c1", "m0", "u", 1, 0, "a"), ("c2", "m0", "u", 1, 0, "z"), ("c1", "m2", "u", 0, 0, "c"),
+                                  (None, "m0", "u", 1, 0, "n")], "cluster_id string, tribe_id string, user_id string, batch int, i int, analysis string")
+    members = spark.createDataFrame([("c1", "m0", "u", {"k": 1}), ("c2", "m0", "u", None), ("c1", "m1", "u", None), ("c1", "m0", "v", None), ("c3", "m0", "u", None), ("c1", "m1", "u", None)],
+                                    "cluster_id string, tribe_id string, user_id string, more map<string,int>")
+    found = match.memory_for(members, rows)
+    got = sorted(((r["cluster_id"], r["tribe_id"], r["user_id"]), r["analyses"], r["memory_level"], r["tribe_has_memory"], r["more"]) for r in found.collect())
+    assert got == [(("c1", "m0", "u"), ["a", "b"], "tribe", True, {"k": 1}), (("c1", "m0", "v"), None, None, True, None), (("c1", "m1", "u"), ["a", "b", "c"], "cluster", False, None),
+                   (("c1", "m1", "u"), ["a", "b", "c"], "cluster", False, None), (("c2", "m0", "u"), ["z"], "tribe", True, None), (("c3", "m0", "u"), None, None, False, None)]
+    above = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("REPARTITION_BY_COL")
+    assert len(above) == 2 and "Join" not in above[0] and "Exchange" in above[0]
+
+
 def test_choose_k():
     results = [{"k": 2, "silhouette": .5, "balance_ratio": .5}, {"k": 3, "silhouette": .45, "balance_ratio": .2}, {"k": 4, "silhouette": .5, "balance_ratio": .01}]
     assert cluster.choose_k(results, 3)["k"] == 3 and cluster.choose_k(results, 4)["k"] == 2 and cluster.choose_k(results)["k"] == 2
