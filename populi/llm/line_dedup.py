@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,18 +55,18 @@ def windows_of(text: str, min_words: int) -> list[tuple]:
     hashes = [_signed(xxhash.xxh64_intdigest(line)) for line in lines]
     words = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
     total = np.concatenate(([0], np.cumsum(words)))
-    out = []
+    out, held = [], np.array(hashes, np.int64).tobytes()
     ends = np.searchsorted(total, total[:-1] + min_words)  # lines up to there hold enough words
     lows = np.searchsorted(total, total[:-1] - min_words, side="right")  # fewer words lie between that line and this
+    # the line that completes another window is not needed
+    afters = np.searchsorted(total, total[np.minimum(ends, len(lines))] + min_words).tolist()
+    ends, befores = ends.tolist(), np.maximum(lows - 1, 0).tolist()
     for i in np.flatnonzero(words).tolist():
-        end = int(ends[i])
+        end = ends[i]
         if end > len(lines):
             break
-        held = hashes[i:end]
-        fingerprint = min(held)
-        after = int(np.searchsorted(total, total[end] + min_words))  # the line that completes another window is not needed
-        content = xxhash.xxh64_intdigest(np.array(held, np.int64).tobytes())
-        out.append((i, end - 1, fingerprint, _signed(content), hashes[max(int(lows[i]) - 1, 0):i][::-1], hashes[end:max(after, end)]))
+        content = xxhash.xxh64_intdigest(held[8 * i:8 * end])
+        out.append((i, end - 1, min(hashes[i:end]), _signed(content), hashes[befores[i]:i][::-1], hashes[end:max(afters[i], end)]))
     return out
 
 
@@ -103,6 +105,11 @@ def _merged(ranges: DataFrame) -> DataFrame:
     return listed.select(*KEY, merged.alias("runs"))
 
 
+def _order(single: bool) -> F.Column:
+    """The order of documents: where every doc_id is `single` (one row each, none null) it is the order itself, which needs no sort to find the first."""
+    return F.col(KEY[0]) if single else F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY])
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
     """KEY, runs: sorted, merged [first, last] line ranges that an earlier place has already. docs: KEY and text."""
     windows = scratch.write(_windows(docs, min_words), "windows")
@@ -130,14 +137,14 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first word, line of its first word, line of its last) of the selected stretches of a text."""
     lines = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-    words = [w for line in lines for w in line]
+    words = list(chain.from_iterable(lines))
     n = len(words) - GRAM + 1
     if n < SPAN:
         return (np.zeros(0, np.int64),) * 4
-    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    h = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + each[j:n + j]
+    h, factor, width = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)), 0x9E3779B97F4A7C15, 1
+    while width < GRAM:  # a power of two: stretches of twice the width from two neighbours
+        h = h[:-width] * np.uint64(pow(factor, width, 1 << 64)) + h[width:]
+        width *= 2
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -149,15 +156,55 @@ def fingerprints(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h[at].view(np.int64), at, np.searchsorted(upto, at, side="right"), np.searchsorted(upto, at + GRAM - 1, side="right")
 
 
-def passages_around(text: str, starts: list[int], free: list[bool]) -> tuple[list[int], list[int], list[bool]]:
-    """First words and hashes of all windows of PASSAGE words that hold one of the stretches, and whether one of these is free."""
+FACTOR = 0xD6E8FEB86659FD93  # odd, so that a change of one word always changes the hash of a window
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """FACTOR to the powers 0 to n - 1 and 0 to 1 - n, modulo 2^64."""
+    up, down = np.full(n, FACTOR, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def passages_around(text: str, starts: list[int], free: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words and hashes of all windows of PASSAGE words that hold one of the stretches, and whether one of these is free.
+
+    A window's hash is a polynomial of its words' hashes, from the sums up to both its ends."""
     words = text.encode("utf-8", "surrogatepass").split()
-    held: dict[int, bool] = {}
-    for s, f in zip(starts, free):
-        for i in range(max(0, s + GRAM - PASSAGE), min(s, len(words) - PASSAGE) + 1):
-            held[i] = f or held.get(i, False)
-    first = sorted(held)
-    return first, [_signed(xxhash.xxh64_intdigest(b" ".join(words[i:i + PASSAGE]))) for i in first], [held[i] for i in first]
+    n = len(words) - PASSAGE + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    at = np.array(starts, np.int64)
+    low, high = np.maximum(0, at + GRAM - PASSAGE), np.minimum(at, n - 1) + 1
+    base, top = int(low.min()), int(high.max())  # first words are from base on and below top
+
+    def covered(which: np.ndarray) -> np.ndarray:
+        edges = np.zeros(top - base + 1, np.int64)
+        np.add.at(edges, low[which] - base, 1)
+        np.add.at(edges, high[which] - base, -1)
+        return np.cumsum(edges)[:-1] > 0
+    first = np.flatnonzero(covered(np.ones(len(at), bool)))
+    used = words[base:top - 1 + PASSAGE]
+    up, down = _powers(len(used))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, used), np.uint64, len(used)) * up)))
+    h = (sums[first + PASSAGE] - sums[first]) * down[first]
+    h ^= h >> np.uint64(32)
+    return first + base, (h * np.uint64(FACTOR)).view(np.int64), covered(np.array(free, bool))[first]
+
+
+def _joined(places: DataFrame) -> DataFrame:
+    """KEY, runs: the word ranges that the windows of PASSAGE words cover together. places: KEY and first."""
+    def join(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("r")
+        first, sizes = lists.flatten().to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        opens = np.flatnonzero((np.diff(first, prepend=0) > PASSAGE) | (np.diff(row, prepend=-1) > 0))
+        closes = np.concatenate((opens[1:], [len(first)])) - 1 if len(opens) else opens
+        ranges = pa.StructArray.from_arrays([pa.array(first[opens].astype(np.int32)), pa.array((first[closes] + PASSAGE - 1).astype(np.int32))], names=["first", "last"])
+        offsets = pa.array(np.searchsorted(row[opens], np.arange(len(sizes) + 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.ListArray.from_arrays(offsets, ranges)], names=[*KEY, "runs"])
+    listed = places.groupBy(*KEY).agg(F.sort_array(F.collect_list("first")).alias("r"))
+    return listed.mapInArrow(per_batch(join), f"{KEY[0]} long, {KEY[1]} long, runs array<struct<first:int,last:int>>")
 
 
 def _with_starts(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,39 +216,42 @@ def _with_starts(docs: DataFrame, places: DataFrame, scratch: Scratch) -> DataFr
     return docs.join(asked, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t"))).select(*KEY, "text", "starts")
 
 
-def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_passages(docs: DataFrame, runs: DataFrame, scratch: Scratch, single: bool = False) -> DataFrame:
     """KEY, runs: [first, last] word ranges of passages that an earlier document has and whose lines `runs` does not cover."""
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [fingerprints(t) for t in batch.column("text").to_pylist()]
+        found, free = [fingerprints(t) for t in batch.column("text").to_pylist()], []
+        for (_, _, line, last), covered in zip(found, batch.column("__runs").to_pylist()):
+            ends = np.array([-1] + [r["last"] for r in covered or ()])
+            starts = np.array([-1] + [r["first"] for r in covered or ()])
+            at = np.searchsorted(starts, line, side="right") - 1  # the range that starts last before the stretch
+            free.append((at == 0) | (ends[at] < last))
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        parts = [np.concatenate([f[k] for f in found]) for k in range(4)]
-        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in KEY] + [pa.array(parts[0], pa.int64())] + [pa.array(p, pa.int32()) for p in parts[1:]],
-                                          names=[*KEY, "hash", "start", "line", "last"])
-    rows = docs.select(*KEY, "text").mapInArrow(per_batch(select, SLICE), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, line int, last int")
-    covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs"))
-    rows = scratch.write(rows, "stretches").join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
-    inside = F.exists("__runs", lambda r: (r["first"] <= F.col("line")) & (F.col("last") <= r["last"]))
-    rows = scratch.write(rows.select(*KEY, "hash", "start", (~F.coalesce(inside, F.lit(False))).alias("free")), "marked")
-    place = F.struct(F.col(KEY[0]).isNull().alias("late"), *[F.col(k) for k in KEY])
+        parts = [np.concatenate([f[k] for f in found]) for k in range(2)]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(row)) for c in KEY] + [pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int32()), pa.array(np.concatenate(free), pa.bool_())],
+                                          names=[*KEY, "hash", "start", "free"])
+    covered = runs.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias("__runs")).hint("merge")
+    told = docs.join(covered, F.col(KEY[0]).eqNullSafe(F.col("__d")) & (F.col(KEY[1]) == F.col("__t")), "left")
+    rows = scratch.write(told.select(*KEY, "text", "__runs").mapInArrow(per_batch(select, SLICE), f"{KEY[0]} long, {KEY[1]} long, hash long, start int, free boolean"), "marked")
+    place = _order(single)
     shared = rows.groupBy("hash").agg(F.min(place).alias("o"), F.max(F.when(F.col("free"), place)).alias("z")).where("z > o").select("hash")
     # a fingerprint that a third of all documents have must not meet in one task
-    shared = scratch.write(shared, "shared").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = scratch.write(shared, "shared").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("shuffle_hash")
     places = rows.withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int")).join(shared, ["hash", "salt"], "left_semi").select(*KEY, "start", "free")
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [passages_around(t, [x["start"] for x in s], [x["free"] for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist())]
         row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        cells = [pa.array([x for f in found for x in f[k]], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_()))]
+        cells = [pa.array(np.concatenate([f[k] for f in found]), t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_()))]
         return pa.RecordBatch.from_arrays([batch.column(c).take(row) for c in KEY] + cells, names=[*KEY, "first", "window", "free"])
     spans = _with_starts(docs, places, scratch).mapInArrow(per_batch(look, SLICE), f"{KEY[0]} long, {KEY[1]} long, first int, window long, free boolean")
     spans = scratch.write(spans, "spans")
-    for name in ("stretches", "marked", "shared", "places"):
+    for name in ("marked", "shared", "places"):
         scratch.drop(name)
     original = spans.groupBy("window").agg(F.min(place).alias("o"), F.max(F.when(F.col("free"), place)).alias("z")).where("z > o").select("window", "o")
     original = scratch.write(original, "held").select("window", "o", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     free = spans.where("free").withColumn("salt", F.pmod(F.xxhash64(*KEY), F.lit(SALTS)).cast("int"))
     held = free.join(original, ["window", "salt"]).where(place != F.col("o"))
-    merged = scratch.write(_merged(held.select(*KEY, "first", (F.col("first") + PASSAGE - 1).alias("last"))), "passages")
+    merged = scratch.write(_joined(held.select(*KEY, "first")), "passages")
     for name in ("spans", "held"):
         scratch.drop(name)
     return merged
@@ -243,12 +293,14 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     ranges) and __passages (word ranges) that were deleted, null if none were."""
     scratch = Scratch(docs.sparkSession, "lines")
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({KEY[0]: F.col(id_col).cast("long"), KEY[1]: F.xxhash64(text)})
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    single = ids.where("id IS NULL OR n > 1").isEmpty()
+    keyed = docs.withColumns({KEY[0]: F.col(id_col).cast("long"), KEY[1]: F.lit(0).cast("long") if single else F.xxhash64(text)})
     held = keyed.where(text != "").select(*KEY, text.alias("text"))
     runs = scratch.write(repeated_runs(held, scratch, min_words), "runs")
     for name in ("windows", "original"):
         scratch.drop(name)
-    passages = repeated_passages(held, runs, scratch)
+    passages = repeated_passages(held, runs, scratch, single)
     named = lambda df, name: df.select(F.col(KEY[0]).alias("__d"), F.col(KEY[1]).alias("__t"), F.col("runs").alias(name))
     none = F.lit(None).cast("array<struct<first:int,last:int>>")
     edits = (named(runs, "__runs").withColumn("__passages", none).unionByName(named(passages, "__passages").withColumn("__runs", none))

@@ -166,6 +166,34 @@ def test_fingerprints_are_guaranteed():
         assert set(a[0].tolist()) & set(b[0].tolist())
 
 
+def test_windows_around_stretches():
+    """All windows that hold a stretch, equal in hash where they are equal in words, wherever they stand."""
+    rng = random.Random(12)
+    text = [rng.choice(["a", "b", "cc"]) for _ in range(70)] * 2 + words(rng, 90, 10 ** 6).split()
+    starts, free = [0, 40, 75, 110, len(text) - line_dedup.GRAM], [False, True, False, True, False]
+    first, hashes, is_free = (x.tolist() for x in line_dedup.passages_around(" ".join(text), starts, free))
+    holds = lambda i, s: i <= s and s + line_dedup.GRAM <= i + line_dedup.PASSAGE
+    upto = len(text) - line_dedup.PASSAGE + 1
+    assert first == [i for i in range(upto) if any(holds(i, s) for s in starts)]
+    assert is_free == [any(holds(i, s) and f for s, f in zip(starts, free)) for i in first]
+    spelt = [tuple(text[i:i + line_dedup.PASSAGE]) for i in first]
+    assert len(set(hashes)) == len(set(spelt)) == len(set(zip(hashes, spelt))) < len(first)
+
+
+def test_single_ids_and_repeated_rows_give_the_same(spark, docs_of, monkeypatch):
+    """The order of single ids is a number; stretches are written once, marked, and the first of each is found without a sort."""
+    rng = random.Random(8)
+    shared = [words(rng, 70, 10 ** 6), "\n".join(words(rng, 12, 10 ** 6) for _ in range(3))]
+    rows = [(i, f"{words(rng, 30, 10 ** 6)}\n{words(rng, 9, 10 ** 6)} {shared[0] if i % 3 else ''} {words(rng, 20, 10 ** 6)}\n{shared[i % 2]}") for i in range(40)]
+    written, write = {}, line_dedup.Scratch.write
+    monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: written.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(self, df, name))
+    tell = lambda rows: sorted({(r["doc_id"], r["text"]) for r in line_dedup.drop_repeated_lines(docs_of(rows)).collect()})
+    once = tell(rows)
+    assert "stretches" not in written and "SortAggregate" not in written["shared"] + written["held"]
+    written.clear()
+    assert tell(rows + rows[:3]) == once != rows and "Aggregate" in written["shared"]
+
+
 def test_cutting():
     assert line_dedup.without("a b c\nd e\n\nf g h", [(1, 1)], [(1, 1), (6, 7)]) == "a c\n\nf"
     assert line_dedup.without("a b\nc d\ne", [], [(1, 3)]) == "a\ne"
