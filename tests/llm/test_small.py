@@ -194,6 +194,64 @@ def test_single_ids_and_repeated_rows_give_the_same(spark, docs_of, monkeypatch)
     assert tell(rows + rows[:3]) == once != rows and "Aggregate" in written["shared"]
 
 
+def test_texts_side_by_side_are_sketched_as_each_alone():
+    """Windows and fingerprints of many texts in one array are those of the definition, text by text."""
+    rng = random.Random(19)
+    part = lambda: rng.choice(["a", "bb", "w%d" % rng.randrange(60), "x" * rng.choice((24, 25, 300)), "c\x1cd", "\u00e9t\u00e9"]) + rng.choice((" ", " ", " ", "\n", "\t", " \n\n", "\r\n"))
+    texts = ["".join(part() for _ in range(rng.choice((1, 9, 48, 49, 50, 51, 200)))).encode() for _ in range(60)] + [b" ", b"\n", b"one line"]
+    w = line_dedup.words_of(texts)
+    found, of = line_dedup.stretches_of(w)
+    text, columns = line_dedup.windows_of(w, line_dedup.MIN_WORDS)
+    rows = [(t, *cells) for t, *cells in zip(text.tolist(), *(c.to_pylist() for c in columns))]
+    hashed = lambda b: int(np.uint64(xxhash.xxh64_intdigest(b)).astype(np.int64))
+    span, gram, n = line_dedup.SPAN, line_dedup.GRAM, line_dedup.MIN_WORDS
+    for k, b in enumerate(texts):
+        lines = b.split(b"\n")
+        words = [(word, i) for i, line in enumerate(lines) for word in line.split()]
+        h = []
+        for i in range(len(words) - gram + 1):
+            x = sum(zlib.crc32(word) * pow(0x9E3779B97F4A7C15, gram - 1 - j, 1 << 64) for j, (word, _) in enumerate(words[i:i + gram])) % (1 << 64)
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            h.append(x ^ x >> 32)
+        low = {i for a in range(len(h) - span + 1) for i in range(a, a + span) if h[i] == min(h[a:a + span])}
+        assert [(int(x["hash"]) % (1 << 64), *x.tolist()[1:]) for x in found[of == k]] == [(h[i], i, words[i][1], words[i + gram - 1][1]) for i in sorted(low)]
+        size, name, want, seen = [len(x.split()) for x in lines], [hashed(x.strip()) for x in lines], [], set()
+        for i in range(len(lines)):
+            last = next((e for e in range(i, len(lines)) if sum(size[i:e + 1]) >= n), None)
+            if size[i] and last is not None:
+                content = hashed(np.array(name[i:last + 1], np.int64).tobytes())
+                want.append((i, last, min(name[i:last + 1]), content, content in seen))
+                seen.add(content)
+        got = [r[1:] for r in rows if r[0] == k]
+        assert [r[:5] for r in got] == want
+        assert all(r[5] == name[:r[0]][::-1][:len(r[5])] and r[6] == name[r[1] + 1:][:len(r[6])] for r in got)
+
+
+def test_texts_are_dealt_without_sort_or_broadcast_and_frequent_hashes_parted(spark, docs_of, monkeypatch):
+    """Fingerprints are marked without their texts, texts meet their places in a shuffled map at any size, and salts are for frequent hashes only."""
+    rng = random.Random(5)
+    shared = [words(rng, 70, 10 ** 6), "\n".join(words(rng, 12, 10 ** 6) for _ in range(3))]
+    rows = [(i, f"{words(rng, 30, 10 ** 6)}\n{words(rng, 9, 10 ** 6)} {shared[0] if i % 3 else ''} {words(rng, 20, 10 ** 6)}\n{shared[1]}") for i in range(30)]
+    written, write = {}, line_dedup.Scratch.write
+    monkeypatch.setattr(line_dedup.Scratch, "write", lambda self, df, name: written.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(self, df, name))
+    dealt = line_dedup.drop_repeated_lines(docs_of(rows))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"\btext#", written["marked"]) and re.search(r"\btext#", written["spans"])
+    assert "SortMergeJoin" not in plan + written["spans"] and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan and "ShuffledHashJoin" in written["spans"]
+    once = sorted((r["doc_id"], r["text"], r["__runs"], r["__passages"]) for r in dealt.collect())
+    assert sum(shared[0] in t for _, t, *_ in once) == sum(shared[1] in t for _, t, *_ in once) == 1
+    monkeypatch.setattr(line_dedup, "FREQUENT", 2)
+    salts, parted = [], line_dedup._parted
+
+    def told(rows, hashes, on):
+        out = parted(rows, hashes, on)
+        salts.append((out[0].select("salt").distinct().count(), out[1].count(), hashes.count()))
+        return out
+    monkeypatch.setattr(line_dedup, "_parted", told)
+    assert sorted((r["doc_id"], r["text"], r["__runs"], r["__passages"]) for r in line_dedup.drop_repeated_lines(docs_of(rows)).collect()) == once
+    assert len(salts) == 4 and all(n > 1 and m > h and (m - h) % (line_dedup.SALTS - 1) == 0 for n, m, h in salts)
+
+
 def test_cutting():
     assert line_dedup.without("a b c\nd e\n\nf g h", [(1, 1)], [(1, 1), (6, 7)]) == "a c\n\nf"
     assert line_dedup.without("a b\nc d\ne", [], [(1, 3)]) == "a\ne"
