@@ -457,7 +457,7 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
              .groupBy(*KEY).agg(F.max("__runs").alias("__runs"), F.max("__passages").alias("__passages")))
     out = _with(keyed, edits).withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in [*docs.columns, "__runs", "__passages"]])
     schema = StructType([*out.schema.fields]).add("__lines", IntegerType())
-    return out.mapInArrow(per_batch(lambda batch: _cut(batch, text_col)), schema)
+    return out.mapInArrow(_bounded(lambda batch: _cut(batch, text_col), text_col), schema)
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
