@@ -104,10 +104,12 @@ def flatten_users(documents: DataFrame, *carry: str) -> DataFrame:
 def user_reviews(spark: SparkSession, path: str, *, end: str = "}") -> DataFrame:
     """Reviews from {user: {reviews: [...]}} files, one object of any size or one a line; reviews with blank text are dropped.
 
-    end: see object_entries."""
-    document = F.from_json("value", f"reviews array<struct<{_colon(S.NESTED_REVIEW)}>>")
-    rows = object_entries(spark, path, end=end).select(F.col("key").alias("user_id"), F.posexplode(document["reviews"]).alias("review_idx", "r"))
-    return rows.select("user_id", "review_idx", "r.*").filter(present(F.col("review_text")))
+    A user may have several entries, as writers.user_documents cuts them: each names as `first` how many of the user's
+    reviews come before it. end: see object_entries."""
+    document = F.from_json("value", f"first int, reviews array<struct<{_colon(S.NESTED_REVIEW)}>>")
+    docs = object_entries(spark, path, end=end).select(F.col("key").alias("user_id"), document.alias("d"))
+    rows = docs.select("user_id", F.coalesce("d.first", F.lit(0)).alias("first"), F.posexplode("d.reviews").alias("i", "r"))
+    return rows.select("user_id", (F.col("first") + F.col("i")).alias("review_idx"), "r.*").filter(present(F.col("review_text")))
 
 
 def _colon(ddl: str) -> str:

@@ -64,6 +64,22 @@ def test_nested_reviews_round_trip(spark, tmp_path):
     assert listed(back, "user_id", "review_text") == listed(rows, "user_id", "review_text") and docs.filter("part = 1").count() == 1
 
 
+def test_reviews_of_a_user_in_many_parts(spark, tmp_path):
+    from oracle import compare, connect
+
+    from __spark_entry__ import oracle_sql, queries
+    n = 20_003
+    orders = spark.range(n).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 5000 == 7, 2).otherwise(1).cast("long").alias("o_custkey"),
+                                   F.lit("1-URGENT").alias("o_orderpriority"), F.lit("F").alias("o_orderstatus"), F.lit("1995-01-01").cast("date").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"))
+    customer = spark.range(1, 3).select(F.col("id").alias("c_custkey"), F.lit(0).alias("c_nationkey"), F.lit("m").alias("c_mktsegment"))
+    nation, region = spark.sql("SELECT 0 n_nationkey, 0 n_regionkey"), spark.sql("SELECT 0 r_regionkey, 'r' r_name")
+    for name, df in (("orders", orders), ("customer", customer), ("nation", nation), ("region", region)):
+        df.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    name = "user_object_reviews"
+    assert queries()[name](spark, str(tmp_path)).count() == n
+    assert compare(spark, connect(str(tmp_path)), name, queries()[name], oracle_sql()[name], str(tmp_path)) is None
+
+
 def test_topic_universe_shapes(spark, tmp_path):
     path = put(tmp_path / "t.json", {"Health & Personal Care": ["a", "b"], "Books": {"topics": [{"topic_name": "c"}]}, "Toys": {"themes": ["d"]}})
     assert listed(readers.topic_universe(spark, path), "category", "pos", "theme") == [
