@@ -5,7 +5,8 @@ norm, which makes the inner products of nodes a metric order while those with a
 from blocks of near vectors (random hyperplanes) and is improved by rounds of neighbours of neighbours: around every node
 its neighbours and the nodes that point to it are compared, pairs with a new edge only, and each node keeps its best. Near nodes
 are dealt into groups (by the sides of random hyperplanes); a group fetches each vector its nodes need once, by a join,
-and compares inside its task.
+and compares inside its task. Joins with what grows with the table are merge joins at every size: a broadcast is built in the
+driver. It holds the entries, the sizes of the parts and, while few nodes are wanted, their numbers.
 A query keeps a beam of the best nodes found; each round those not yet opened are, by a join with the graph, new nodes are
 scored, and the search ends for a query when its whole beam has been opened. It starts at its own node and at the best
 DOORS of a bounded set of entries, the longest vectors and a spread of all: what is nearest by inner product can lie in
@@ -37,6 +38,7 @@ ROUNDS, SETTLED = 40, 0.02  # rounds of improvement as a guard; they stop once t
 GROUP, QUERY_GROUP = 256, 160  # nodes, and queries, whose vectors are fetched together
 LONGEST, SPREAD, DOORS = 512, 1536, 16  # entries of the search: the longest vectors, others, and how many a query takes
 BEAM = 200  # nodes a query keeps
+FEW = 10_000  # wanted nodes that a search sends to where the vectors are; more are shuffled
 EDGE = "u long, v long, s float, fresh boolean"
 
 
@@ -106,12 +108,12 @@ def improve(edges: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     pick = F.row_number().over(W.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v")))
     back = back.withColumn("r", pick).where(F.col("r") <= degree).drop("r")  # a node that many point to compares a sample of them
     around = edges.select("u", "v", "fresh").unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
-    around = around.join(nodes.select(F.col("node").alias("u"), "grp"), "u")
+    around = around.join(nodes.select(F.col("node").alias("u"), "grp").hint("merge"), "u")
     lists = around.groupBy("grp", "u").agg(F.collect_list(F.struct("v", "fresh")).alias("b")).select(
         "grp", F.transform("b", lambda e: e["v"]).alias("v"), F.transform("b", lambda e: e["fresh"]).alias("fresh"))
     worst = edges.groupBy("u").agg(F.when(F.count("*") >= degree, F.min("s")).otherwise(F.lit(-np.inf).cast("float")).alias("bar"))
-    held = nodes.select("node", "x").join(worst.withColumnRenamed("u", "node"), "node", "left")
-    need = around.select(F.col("grp").alias("part"), F.col("v").alias("node")).distinct().join(held, "node")
+    held = nodes.select("node", "x").join(worst.withColumnRenamed("u", "node").hint("merge"), "node", "left")
+    need = around.select(F.col("grp").alias("part"), F.col("v").alias("node")).distinct().join(held.hint("merge"), "node")
 
     def compare(lists_: pa.Table, held_: pa.Table) -> pa.Table:
         ids = held_.column("node").to_numpy()
@@ -215,14 +217,26 @@ def _opened(state: pa.Table, held: pa.Table) -> pa.Table:
     return _table(rows)
 
 
-def entries_of(nodes: DataFrame, longest: int = LONGEST, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, vectors) of the search's entries, longest + spread at most. nodes: node, vec, norm."""
-    rows = nodes.orderBy(F.desc("norm"), "node").limit(longest).select("node", "vec").collect()
-    rows += nodes.orderBy(F.xxhash64("node"), "node").limit(spread).select("node", "vec").collect()
+def entries_of(nodes: DataFrame, scratch: Scratch, longest: int = LONGEST, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, vectors) of the search's entries, longest + spread at most. nodes: node, vec, norm.
+
+    They are written first: a task merges what the tasks offer, each up to as many rows, and not the driver."""
+    rows = scratch.write(nodes.orderBy(F.desc("norm"), "node").limit(longest).select("node", "vec"), "longest").collect()
+    rows += scratch.write(nodes.orderBy(F.xxhash64("node"), "node").limit(spread).select("node", "vec"), "spread").collect()
     once = {r["node"]: r["vec"] for r in rows}
     return np.array(list(once), np.int64), np.array(list(once.values()), np.float32) if once else np.zeros((0, 0), np.float32)
 
 
+def _count(state: DataFrame) -> int:
+    return state.agg(F.sum(F.size("next"))).first()[0] or 0
+
+
+def _wanted(state: DataFrame, name: str, count: int) -> DataFrame:
+    """part, node (as `name`): the `count` nodes in `next`, once a group, ready for a join with the table that has them."""
+    need = state.select(F.col("grp").alias("part"), F.explode("next").alias(name)).distinct()
+    return need.hint("broadcast" if count <= FEW else "merge")
+
+
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scratch, entries: tuple[np.ndarray, np.ndarray],
            beam: int = BEAM, links: int = LINKS) -> DataFrame:
     """query, node: the beam of each query after greedy search.
@@ -246,12 +260,12 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, scratch: Scra
     state = scratch.write(queries.select("grp", "query", "vec", "entry").mapInArrow(first, STATE), "new-0")
     k = 0
     while True:  # every round opens all of a beam that is not; it ends, as every node is seen once
-        need = state.select(F.col("grp").alias("part"), F.explode("next").alias("node")).distinct().join(nodes.select("node", "vec"), "node")
+        need = _wanted(state, "node", _count(state)).join(nodes.select("node", "vec"), "node")
         state = scratch.write(state.groupBy("grp").cogroup(need.groupBy("part")).applyInArrow(_scored(beam), STATE), f"beam-{k}")
         scratch.drop(f"new-{k}")
-        if state.where(F.size("next") > 0).isEmpty():
+        if not (count := _count(state)):
             break
-        need = state.select(F.col("grp").alias("part"), F.explode("next").alias("u")).distinct().join(linked, "u")
+        need = _wanted(state, "u", count).join(linked, "u")
         state = scratch.write(state.groupBy("grp").cogroup(need.groupBy("part")).applyInArrow(_opened, STATE), f"new-{k + 1}")
         scratch.drop(f"beam-{k}")
         k += 1
@@ -298,26 +312,26 @@ def nearest(table: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "ve
     nodes = scratch.write(nodes, "nodes")
     graph = build_graph(nodes, dim + 1, count, scratch, degree)
     # every member of a class is a query of its own, but one search serves a class
-    members = rows.join(classes.select("vec", "node"), "vec").select("vec_id", "node")
+    members = rows.join(classes.select("vec", "node").hint("merge"), "vec").select("vec_id", "node")
     members = scratch.write(members, "members")
     asked = members.where(is_query).select(F.col("vec_id").alias("query_id"), "node")
     heads = asked.select("node").distinct()
-    wanted = scratch.write(heads.join(nodes, "node").select(F.col("node").alias("query"), "vec", F.array("node").alias("entry")), "queries")
+    wanted = scratch.write(heads.join(nodes.hint("merge"), "node").select(F.col("node").alias("query"), "vec", F.array("node").alias("entry")), "queries")
     groups = max(1, -(-wanted.count() // QUERY_GROUP))
-    found = search(graph, nodes, wanted.withColumn("grp", F.pmod(F.xxhash64("query"), F.lit(groups))), scratch, entries_of(nodes), max(beam, 2 * k + 2))
+    found = search(graph, nodes, wanted.withColumn("grp", F.pmod(F.xxhash64("query"), F.lit(groups))), scratch, entries_of(nodes, scratch), max(beam, 2 * k + 2))
     found = scratch.write(found, "found")
-    exact = (found.join(classes.select(F.col("node").alias("query"), F.col("vec").alias("q")), "query").join(classes.select("node", "vec"), "node")
+    exact = (found.join(classes.select(F.col("node").alias("query"), F.col("vec").alias("q")).hint("merge"), "query").join(classes.select("node", "vec").hint("merge"), "node")
              .select("query", "node", F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("score")))
     # k + 1 members of a class at most can be an answer beside a query of the class itself
     order = F.row_number().over(W.partitionBy("node").orderBy("vec_id"))
     low = scratch.write(members.withColumn("r", order).where(F.col("r") <= k + 1).select("node", "vec_id"), "low")
     some = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "node"))
     exact = scratch.write(exact.withColumn("r", some).where(F.col("r") <= k + 1).drop("r"), "exact")
-    answers = exact.join(low, "node").select("query", "vec_id", "score")
+    answers = exact.join(low.hint("merge"), "node").select("query", "vec_id", "score")
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     answers = scratch.write(answers.withColumn("r", place).where(F.col("r") <= k + 1).groupBy("query")
                             .agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("a")), "answers")  # k + 1 entries each
-    mine = asked.join(answers.withColumnRenamed("query", "node"), "node")
+    mine = asked.join(answers.withColumnRenamed("query", "node").hint("merge"), "node")
     others = F.slice(F.filter("a", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
     return (mine.select("query_id", F.posexplode(others).alias("p", "e"))
             .select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "e.vec_id", "e.score"))

@@ -362,6 +362,21 @@ def test_neighbours_small(spark):
     assert ann.nearest(table.where("vec_id = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_leave_the_driver_small_tables_only(spark, monkeypatch):
+    """What grows with the table is merged and not broadcast; the entries are merged by a task and not by the driver."""
+    x = np.random.default_rng(6).normal(size=(80, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    written, write = {}, ann.Scratch.write
+    monkeypatch.setattr(ann.Scratch, "write", lambda self, df, name: written.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(self, df, name))
+    monkeypatch.setattr(ann, "FEW", -1, raising=False)
+    found = ann.nearest(table, F.col("vec_id") % 20 == 0)
+    written["answer"] = found._jdf.queryExecution().executedPlan().toString()
+    joins = {n for n, plan in written.items() if "BroadcastHashJoin" in plan}
+    assert joins <= {"graph-0", "nodes"} and {"longest", "spread"} <= set(written), joins  # the sizes of the parts are few
+    assert all("SortMergeJoin" in written[n] for n in ("graph-1", "members", "queries", "beam-0", "new-1", "exact", "answers", "answer"))
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found.collect()} == plain_nearest([(i, v.tolist()) for i, v in enumerate(x)], 20)
+
+
 def test_recall(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = {}
