@@ -31,8 +31,9 @@ def pieces(spark: SparkSession, path: str, end: str, pattern: str | None = None)
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.text(path).select(line_place().alias("p"), F.concat("value", F.lit(end)).alias("text")).select("p.*", "text")
-    bare = F.regexp_replace("text", r"(?s)\\.", "")  # without escaped signs
-    rows = rows.withColumn("bare", bare)
+    bare = F.when(F.contains("text", F.lit("\\")), F.regexp_replace("text", r"(?s)\\.", "")).otherwise(F.col("text"))  # without escaped signs
+    # two quotes without a bracket between them change nothing, wherever the piece starts; what is left has few signs
+    rows = rows.withColumn("bare", F.regexp_replace(bare, r'"[^"{}\[\]]*"|[^"{}\[\]]+', ""))
     outside = F.regexp_replace("bare", r'"[^"]*("|$)', "")
     inside = F.regexp_replace(F.regexp_replace("bare", r'^[^"]*("|$)', ""), r'"[^"]*("|$)', "")
     quotes = (F.length("bare") - F.length(F.translate("bare", '"', ""))) % 2
@@ -71,8 +72,7 @@ def object_entries(spark: SparkSession, path: str, *, end: str = "}", pattern: s
     rows = rows.join(shifts, split).withColumn("part", F.col("n") + F.col("shift"))
     records = rows.groupBy("file", "part").agg(
         F.array_sort(F.collect_list(F.struct("block", "row", "text", "depth"))).alias("r"))
-    text = F.array_join(F.transform("r", lambda x: x["text"]), "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^[\s,]+", ""), r"[\s,]+$", "")
-    body = F.when(text.startswith("{"), text).otherwise(F.concat(F.lit("{"), text))
-    closed = F.when(F.element_at("r", -1)["depth"] == 1, F.concat(body, F.lit("}"))).otherwise(body)
+    text = F.btrim(F.array_join(F.col("r.text"), ""), F.lit(" \t\n\x0b\f\r,"))
+    records = records.select("file", "part", text.alias("text"), (F.element_at("r", -1)["depth"] == 1).alias("open"))
+    closed = F.concat(F.when(F.col("text").startswith("{"), "").otherwise("{"), "text", F.when(F.col("open"), "}").otherwise(""))
     return records.select("file", "part", F.explode(F.from_json(closed, "map<string,string>")).alias("key", "value"))

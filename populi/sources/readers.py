@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from populi import schema as S
-from populi.functions.base import non_empty, present
+from populi.functions.base import let, non_empty, present
 from populi.functions.dist import uniform
 from populi.functions.text import underscored_category
 from populi.sources.entries import line_place, object_entries
@@ -47,8 +47,7 @@ def logprob_map(raw: Column) -> Column:
 
 def first_actual(review: Column) -> Column:
     """Actual side by priority: topic_probabilities, then themes, then predicted_themes."""
-    return F.coalesce(non_empty(theme_map(review["topic_probabilities"])), non_empty(theme_map(review["themes"])),
-                      non_empty(theme_map(review["predicted_themes"])))
+    return F.coalesce(*[let(theme_map(review[name]), non_empty) for name in ("topic_probabilities", "themes", "predicted_themes")])
 
 
 # ---- reviews, products, users ------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,21 @@ def write_objects(df: DataFrame, key: str, record: Column, path: str, partition_
         return rows.write.mode(mode).partitionBy(*folders).text(path)
 
     def object_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        line = lambda before, entries, after: pa.RecordBatch.from_arrays([pc.binary_join_element_wise(before, entries, after, "")], names=["value"])
+        before, waiting = "{", None
         for batch in batches:
-            entries, out = batch.column(0).to_pylist(), []
-            for entry in entries:
+            if batch.num_rows:
+                entries = batch.column(0)
                 if waiting is not None:
-                    out.append(waiting + ",")
-                waiting = entry if waiting is not None else "{" + entry
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                    yield line(before, waiting, ",")
+                    before = ""
+                if batch.num_rows > 1:
+                    yield line(before, entries[:1], ",")
+                    yield line("", entries[1:-1], ",")
+                    before = ""
+                waiting = entries[-1:]
         if waiting is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([waiting + "}"])], names=["value"])
+            yield line(before, waiting, "}")
     rows.mapInArrow(object_lines, "value string").write.mode(mode).text(path)
 
 

@@ -1,13 +1,14 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from populi.functions.base import present
 from populi.operators import clean, groups, journey, match
-from populi.sources import readers, writers
+from populi.sources import entries, readers, writers
 from populi.sources.entries import object_entries
 from populi.streaming import incremental
 
@@ -277,6 +278,44 @@ def test_entries_of_objects_do_not_depend_on_splits(spark, tmp_path, size):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("end", ["}", ",", "\n"])
+def test_pieces_of_any_text(spark, tmp_path, end):
+    """Quotes and depth as a loop over the signs finds them, from outside and from inside a string."""
+    rng = random.Random(7)
+    text = "".join(rng.choice(['"', '"', "{", "}", "[", "]", ",", "\n", "a:", " ", "\\\"", "\\\\", "é}", "x" * 50]) for _ in range(4000))
+    put(tmp_path / "t.json", text + end)
+    rows = sorted(entries.pieces(spark, str(tmp_path / "t.json"), end).collect(), key=lambda r: (r["block"], r["row"]))
+    assert "".join(r["text"] for r in rows) == text + end
+    for r in rows:
+        bare, got = re.sub(r"(?s)\\.", "", r["text"]), []
+        for inside in (False, True):
+            depth, string = 0, inside
+            for sign in bare:
+                string ^= sign == '"'
+                depth += 0 if string else (sign in "{[") - (sign in "}]")
+            got.append(depth)
+        assert (r["quotes"], r["deep0"], r["deep1"]) == (bare.count('"') % 2, *got), r
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 10_000])
+def test_written_objects_are_whole_in_any_batches(spark, tmp_path, batch):
+    rows = spark.range(23).select(F.concat(F.lit('k"'), "id").alias("k"), F.struct((F.col("id") * 2).alias("v")).alias("r")).repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        writers.write_objects(rows, "k", F.col("r"), str(tmp_path / "o"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    objects = [json.loads(f.read_text()) for f in (tmp_path / "o").glob("part-*") if f.stat().st_size]
+    assert sorted((k, r["v"]) for o in objects for k, r in o.items()) == sorted((f'k"{i}', 2 * i) for i in range(23))
+
+
+def test_actual_sides_are_parsed_once(spark):
+    df = spark.createDataFrame([('{"a": 0.5}', None, '["b", "c"]')], "topic_probabilities string, themes string, predicted_themes string").select(F.struct("*").alias("r"))
+    count = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("from_json")
+    assert count(readers.first_actual(F.col("r"))) == 3 * count(readers.theme_map(F.col("r.themes")))
+    assert df.select(readers.first_actual(F.col("r"))).first()[0] == {"a": 0.5}
+
+
 def entries_of(spark, path, end):
     return {r["key"]: json.loads(r["value"]) for r in object_entries(spark, str(path), end=end).collect()}
 
